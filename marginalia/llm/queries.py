@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .line_dedup import template_line_dedup
 from .sharding import balanced_label_propagation
 
 
@@ -14,8 +15,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_label_propagation(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = template_line_dedup(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op4_line_dedup": op4_line_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.
