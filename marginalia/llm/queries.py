@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .line_dedup import template_line_dedup
 from .sharding import balanced_label_propagation
+from .simhash import simhash_report
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +21,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.
