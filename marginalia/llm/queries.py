@@ -10,6 +10,7 @@ from .common import table
 from .line_dedup import template_line_dedup
 from .sharding import balanced_label_propagation
 from .simhash import simhash_report
+from .token_counts import token_counts
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +26,13 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
 }
