@@ -11,6 +11,7 @@ from .line_dedup import template_line_dedup
 from .sharding import balanced_label_propagation
 from .simhash import simhash_report
 from .token_counts import token_counts
+from .token_files import token_file_round_trip
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +31,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op9_token_id_output": op9_token_id_output,
 }
 
 #: DuckDB SQL for those that SQL can express.
