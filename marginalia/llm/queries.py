@@ -12,6 +12,7 @@ from .ann import nearest_neighbours
 from .common import table
 from .language_id import language_report
 from .line_dedup import template_line_dedup
+from .lm_scoring import lm_scores
 from .sharding import balanced_label_propagation
 from .simhash import simhash_report
 from .token_counts import token_counts
@@ -51,6 +52,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_token_id_output": op9_token_id_output,
 }
 
