@@ -13,6 +13,7 @@ from .common import table
 from .language_id import language_report
 from .line_dedup import template_line_dedup
 from .lm_scoring import lm_scores
+from .sentencepiece_sampling import encoding_report
 from .sharding import balanced_label_propagation
 from .simhash import simhash_report
 from .token_counts import token_counts
@@ -56,6 +57,10 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_id_output": op9_token_id_output,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 #: DuckDB SQL for those that SQL can express.
