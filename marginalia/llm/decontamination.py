@@ -304,7 +304,7 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = F.aggregate(F.zip_with("starts", "stops", lambda a, b: b - a), F.lit(0), lambda s, x: s + x).cast("long")
     return found.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
 
 
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
