@@ -1,10 +1,633 @@
-"""The engine's queries over the driver's tables, each beside its DuckDB twin."""
+"""The engine's queries over the test tables, each beside its DuckDB twin."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import markdown, text, vectors
+from ..functions.embedding import embed, term_table
+from ..operators import atoms as atom_ops
+from ..operators import auth, changelog, notes, search, snapshot, sources
+from . import stand_ins as s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query by its name, with the SQL that must give the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(c: str):
+    return F.round(c, 6).alias(c)
+
+
+def vector_of(spark: SparkSession, d: str, vec_id: int) -> list[float]:
+    """A query vector: one row, looked up by its id."""
+    row = s.load(spark, d, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
+    return list(row["embedding"]) if row else []
+
+
+# --- nearest atoms and notes -----------------------------------------------------------------------
+
+
+@query(f"""WITH {s.ATOMS} SELECT a.id, a.content AS text, a.metadata, round(list_distance(a.vector, q.vector), 6) AS distance
+FROM atoms a, (SELECT vector FROM atoms WHERE id = 7) q ORDER BY list_distance(a.vector, q.vector), a.id LIMIT 5""")
+def find_top5(spark, d):
+    return search.find(s.atoms(spark, d), vector_of(spark, d, 7)).select("id", "text", "metadata", rounded("distance"))
+
+
+_SEARCH = f"""WITH {s.ATOMS}, {s.FILES}, {s.FILE_ATOMS}, near AS (
+  SELECT f.file_path, f.subject, f.updated_unix_ms, a.content, list_distance(a.vector, q.vector) AS d,
+    row_number() OVER (PARTITION BY f.id ORDER BY list_distance(a.vector, q.vector), a.id) AS rn
+  FROM files f JOIN file_atoms l ON l.file_id = f.id JOIN atoms a ON a.id = l.atom_id, (SELECT vector FROM atoms WHERE id = 0) q
+  WHERE NOT f.is_deleted AND lower(f.file_path) LIKE '%.md' {{where}})
+SELECT file_path, coalesce(nullif(trim(subject), ''), regexp_replace(regexp_extract(file_path, '[^/]*$'), '\\.[^.]+$', '')) AS title, content AS keypoint,
+  round(d, 6) AS distance, updated_unix_ms, regexp_replace(file_path, '\\.[^.]+$', '') AS obsidian_link
+FROM near WHERE rn = 1 ORDER BY d, file_path LIMIT 10"""
+
+
+def _search(spark, d, vault=None):
+    out = search.search_vault(s.files(spark, d), s.file_atoms(spark, d), s.atoms(spark, d), vector_of(spark, d, 0), vault_id=vault)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+@query(_SEARCH.format(where=""))
+def search_best_per_file(spark, d):
+    return _search(spark, d)
+
+
+@query(_SEARCH.format(where="AND f.vault_id = 1"))
+def search_vault_filtered(spark, d):
+    return _search(spark, d, 1)
+
+
+#: Wide enough that pairs exist among the test vectors.
+RADIUS = 1.12
+_NOTES = "notes AS (SELECT vec_id AS id, label AS vault_id, embedding::DOUBLE[] AS v FROM embeddings)"
+_NEAR = f"""near AS (SELECT id, other, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank FROM
+  (SELECT a.id, b.id AS other, list_distance(a.v, b.v) AS d FROM notes a JOIN notes b ON a.vault_id = b.vault_id AND a.id <> b.id) WHERE d <= {RADIUS}),
+kept AS (SELECT * FROM near WHERE rank <= 8)"""
+_LINKS = "links AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(greatest(0.0, 1 - d)) AS similarity FROM kept GROUP BY ALL)"
+
+
+def _notes(spark, d):
+    return s.load(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("vault_id"), F.col("embedding").alias("vector_content"))
+
+
+@query(f"WITH {_NOTES}, {_NEAR} SELECT id, other, round(d, 6) AS distance, rank::INT AS rank FROM kept")
+def note_neighbors_top8(spark, d):
+    return notes.neighbours(_notes(spark, d), RADIUS).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {_NOTES}, {_NEAR}, {_LINKS} SELECT a AS file_a_id, b AS file_b_id, round(similarity, 6) AS similarity FROM links")
+def similarity_pairs(spark, d):
+    return notes.edges(notes.neighbours(_notes(spark, d), RADIUS)).withColumn("similarity", F.round("similarity", 6))
+
+
+_BOTH = "both_ways AS (SELECT a AS id, b AS other, similarity FROM links UNION ALL SELECT b, a, similarity FROM links)"
+
+
+@query(f"""WITH {_NOTES}, {_NEAR}, {_LINKS}, {_BOTH}, ranked AS (SELECT id, other, 'n/' || other || '.md' AS file_path, similarity,
+  row_number() OVER (PARTITION BY id ORDER BY similarity DESC, 'n/' || other || '.md') AS rank FROM both_ways WHERE other % 7 <> 0)
+SELECT id, other, file_path, round(similarity, 6) AS similarity, rank::INT AS rank FROM ranked WHERE rank <= 8""")
+def related_notes(spark, d):
+    n = _notes(spark, d)
+    files = n.select("id", F.concat(F.lit("n/"), "id", F.lit(".md")).alias("file_path"), (F.col("id") % 7 == 0).alias("is_deleted"))
+    return notes.related(notes.edges(notes.neighbours(n, RADIUS)), files).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {_NOTES}, {_NEAR}, {_LINKS}, {_BOTH} SELECT id FROM notes WHERE id % 10 = 0
+UNION SELECT b.other FROM both_ways b WHERE b.id % 10 = 0""")
+def impacted_notes(spark, d):
+    n = _notes(spark, d)
+    links = notes.edges(notes.neighbours(n, RADIUS))
+    return notes.impacted(n.filter("id % 10 = 0"), links, links)
+
+
+@query(f"""WITH {_NOTES}, {_NEAR}, {_LINKS} SELECT a AS file_a_id, b AS file_b_id, round(similarity, 6) AS similarity FROM links WHERE a % 10 <> 0 AND b % 10 <> 0
+UNION ALL SELECT a, b, 0.5 FROM links WHERE a % 10 = 0""")
+def refreshed_links(spark, d):
+    n = _notes(spark, d)
+    links = notes.edges(notes.neighbours(n, RADIUS))
+    new = links.filter("file_a_id % 10 = 0").withColumn("similarity", F.lit(0.5))
+    return notes.refreshed_edges(links, new, n.filter("id % 10 = 0")).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("""SELECT vec_id, CASE WHEN d IS NULL THEN 'Unknown' WHEN d <= 0.2 THEN 'High' WHEN d <= 0.45 THEN 'Medium' ELSE 'Low' END AS confidence
+FROM (SELECT vec_id, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE (vec_id % 100) / 100.0 END AS d FROM embeddings)""")
+def confidence_bucket(spark, d):
+    t = s.load(spark, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 13 != 0, (F.col("vec_id") % 100) / F.lit(100.0)).alias("d"))
+    return t.select("vec_id", search.confidence(F.col("d")).alias("confidence"))
+
+
+@query(f"""WITH hits AS (SELECT * FROM ({_SEARCH.format(where="").replace("LIMIT 10", "LIMIT 8")})), mem AS (WITH {s.ATOMS} SELECT a.content, round(list_distance(a.vector, q.vector), 6) AS distance
+  FROM atoms a, (SELECT vector FROM atoms WHERE id = 0) q ORDER BY list_distance(a.vector, q.vector), a.id LIMIT 5),
+both_lists AS (SELECT 'vault' AS origin, file_path AS label, distance FROM hits UNION ALL SELECT 'memory', content, distance FROM mem)
+SELECT origin, row_number() OVER (PARTITION BY origin ORDER BY distance ASC NULLS LAST, label)::INT AS rank, label, distance FROM both_lists""")
+def unified_search(spark, d):
+    q = vector_of(spark, d, 0)
+    hits = search.search_vault(s.files(spark, d), s.file_atoms(spark, d), s.atoms(spark, d), q, 8).withColumn("distance", F.round("distance", 6))
+    memory = search.find(s.atoms(spark, d), q).withColumn("distance", F.round("distance", 6))
+    return search.unified(hits, memory, "two")
+
+
+@query("""SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', nullif(source, ''), nullif(lang, ''), nullif(text, ''))), 'src1 en')""")
+def source_text_filter(spark, d):
+    return s.documents(spark, d).filter(text.matches_any([F.col("source"), F.col("lang"), F.col("text")], "SRC1 en")).select("doc_id")
+
+
+# --- sources and atoms -----------------------------------------------------------------------------
+
+
+@query(f"WITH {s.ATOMS}, {s.SOURCE_ATOMS}, {s.CENTROIDS} SELECT source_id, (pos - 1)::INT AS pos, round(mean, 6) AS mean, n FROM terms")
+def source_centroid(spark, d):
+    return sources.centroid_terms(s.source_atoms(spark, d), s.atoms(spark, d)).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"WITH {s.ATOMS}, {s.SOURCE_ATOMS} SELECT source_id, count(*) AS link_count, count(a.id) AS atom_count FROM source_atoms s LEFT JOIN atoms a ON a.id = s.atom_id GROUP BY 1")
+def source_atom_counts(spark, d):
+    return sources.atom_counts(s.source_atoms(spark, d), s.atoms(spark, d))
+
+
+_SIMILAR = """near AS (SELECT b.source_id AS base, o.source_id, list_distance(o.embedding, b.embedding) AS d FROM indexes o JOIN indexes b ON b.source_id = 3 AND o.source_id <> b.source_id
+  ORDER BY d, o.source_id LIMIT 5)"""
+
+
+@query(f"WITH {s.ATOMS}, {s.SOURCE_ATOMS}, {s.CENTROIDS}, {_SIMILAR} SELECT source_id, round(d, 6) AS distance FROM near")
+def source_find_similar(spark, d):
+    indexes = sources.source_indexes(s.source_atoms(spark, d), s.atoms(spark, d))
+    return sources.find_similar(indexes, 3).withColumn("distance", F.round("distance", 6))
+
+
+_OLD_LINKS = "old AS (SELECT 3::BIGINT AS source_id, t::BIGINT AS target_source_id, 9.0::DOUBLE AS distance, 'manual' AS method FROM range(0, 10) r(t) WHERE t <> 3 UNION ALL SELECT 4, 5, 1.5, 'manual')"
+_ALL_LINKS = f"""{s.ATOMS}, {s.SOURCE_ATOMS}, {s.CENTROIDS}, {_SIMILAR}, {_OLD_LINKS}, new AS (SELECT 3::BIGINT AS source_id, source_id AS target_source_id, d AS distance, 'centroid' AS method FROM near),
+links AS (SELECT * FROM new UNION ALL SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.source_id = o.source_id AND n.target_source_id = o.target_source_id))"""
+
+
+def _source_links(spark, d):
+    old = spark.range(10).filter("id <> 3").select(F.lit(3).cast("long").alias("source_id"), F.col("id").alias("target_source_id"), F.lit(9.0).alias("distance"), F.lit("manual").alias("method"))
+    old = old.union(spark.range(1).select(F.lit(4).cast("long"), F.lit(5).cast("long"), F.lit(1.5), F.lit("manual")))
+    indexes = sources.source_indexes(s.source_atoms(spark, d), s.atoms(spark, d))
+    return sources.link_similar(old, indexes, 3)
+
+
+@query(f"WITH {_ALL_LINKS} SELECT source_id, target_source_id, round(distance, 6) AS distance, method FROM links")
+def source_link_similar_upsert(spark, d):
+    return _source_links(spark, d).withColumn("distance", F.round("distance", 6))
+
+
+def _sources(spark):
+    return spark.range(10).select("id", F.concat(F.lit("s"), "id").alias("source_uid"), F.lit("doc").alias("source_type"), F.concat(F.lit("Label "), "id").alias("label"), (F.col("id") % 3).alias("created_at"))
+
+
+@query(f"""WITH {_ALL_LINKS} SELECT target_source_id, 's' || target_source_id AS source_uid, 'doc' AS source_type, 'Label ' || target_source_id AS label, round(distance, 6) AS distance, method
+FROM links WHERE source_id = 3 ORDER BY distance, target_source_id LIMIT 200""")
+def source_links(spark, d):
+    return sources.links_of(_source_links(spark, d), _sources(spark), 3).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"""WITH {s.ATOMS}, {s.SOURCE_ATOMS}, {s.CENTROIDS}, src AS (SELECT id, 's' || id AS source_uid, id % 3 AS created_at FROM range(0, 13) r(id))
+SELECT id, source_uid, created_at, coalesce(n, 0)::INT AS atom_count, i.source_id IS NOT NULL AS indexed FROM src
+LEFT JOIN (SELECT source_id, count(*) AS n FROM source_atoms GROUP BY 1) c ON c.source_id = id LEFT JOIN indexes i ON i.source_id = id ORDER BY created_at DESC, id DESC LIMIT 500""")
+def source_list(spark, d):
+    src = spark.range(13).select("id", F.concat(F.lit("s"), "id").alias("source_uid"), (F.col("id") % 3).alias("created_at"))
+    links = s.source_atoms(spark, d)
+    return sources.list_sources(src, links, sources.source_indexes(links, s.atoms(spark, d)))
+
+
+@query("""WITH old AS (SELECT 'p' || p_partkey AS source_uid, 'part' AS source_type, p_name AS label, p_brand AS locator, NULL::VARCHAR AS metadata FROM part),
+new AS (SELECT 'p' || p_partkey AS source_uid, ' item ' AS source_type, CASE WHEN p_partkey % 2 = 0 THEN ' ' ELSE 'L' || p_partkey END AS label, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS locator,
+  CASE WHEN p_partkey % 5 = 0 THEN 'plain' END AS metadata FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT 'x' || p_partkey, 'item', 'new', '', '' FROM part WHERE p_partkey % 50 = 0)
+SELECT source_uid, coalesce(trim(n.source_type), o.source_type) AS source_type, coalesce(nullif(trim(n.label), ''), o.label) AS label, coalesce(nullif(trim(n.locator), ''), o.locator) AS locator,
+  coalesce(CASE WHEN trim(n.metadata) <> '' THEN '"' || trim(n.metadata) || '"' END, o.metadata) AS metadata FROM old o FULL JOIN new n USING (source_uid)""")
+def source_upsert(spark, d):
+    part = s.load(spark, d, "part")
+    uid = F.concat(F.lit("p"), "p_partkey").alias("source_uid")
+    old = part.select(uid, F.lit("part").alias("source_type"), F.col("p_name").alias("label"), F.col("p_brand").alias("locator"), F.lit(None).cast("string").alias("metadata"))
+    new = part.filter("p_partkey % 4 = 0").select(
+        uid, F.lit(" item ").alias("source_type"), F.when(F.col("p_partkey") % 2 == 0, " ").otherwise(F.concat(F.lit("L"), "p_partkey")).alias("label"),
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).alias("locator"), F.when(F.col("p_partkey") % 5 == 0, "plain").alias("metadata"))
+    new = new.union(part.filter("p_partkey % 50 = 0").select(F.concat(F.lit("x"), "p_partkey"), F.lit("item"), F.lit("new"), F.lit(""), F.lit("")))
+    return sources.upsert_sources(old, new)
+
+
+_PAIRS = "SELECT l_partkey % 50 AS source_id, l_suppkey AS atom_id FROM lineitem WHERE l_linenumber = {}"
+
+
+def _pairs(spark, d, line):
+    return s.load(spark, d, "lineitem").filter(F.col("l_linenumber") == line).select((F.col("l_partkey") % 50).alias("source_id"), F.col("l_suppkey").alias("atom_id"))
+
+
+@query(f"WITH old AS ({_PAIRS.format(1)}), new AS (SELECT DISTINCT * FROM ({_PAIRS.format(2)})) SELECT n.source_id, n.atom_id, NOT EXISTS (SELECT 1 FROM old o WHERE o.source_id = n.source_id AND o.atom_id = n.atom_id) AS linked FROM new n")
+def link_idempotent(spark, d):
+    return sources.link_atoms(_pairs(spark, d, 1), _pairs(spark, d, 2))
+
+
+@query(f"WITH old AS (SELECT DISTINCT * FROM ({_PAIRS.format(1)})), gone AS ({_PAIRS.format(3)}) SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source_id = o.source_id AND g.atom_id = o.atom_id)")
+def unlink(spark, d):
+    return sources.unlinked(_pairs(spark, d, 1).distinct(), _pairs(spark, d, 3))
+
+
+@query(f"WITH old AS (SELECT DISTINCT * FROM ({_PAIRS.format(1)})), gone AS ({_PAIRS.format(3)}) SELECT * FROM old o WHERE EXISTS (SELECT 1 FROM gone g WHERE g.source_id = o.source_id AND g.atom_id = o.atom_id)")
+def unlink_returning(spark, d):
+    return sources.returned(_pairs(spark, d, 1).distinct(), _pairs(spark, d, 3))
+
+
+@query(f"WITH {s.ATOMS}, {s.SOURCE_ATOMS}, {s.CENTROIDS}, {_OLD_LINKS} SELECT target_source_id, source_id, distance, method FROM old WHERE source_id IN (SELECT source_id FROM indexes WHERE source_id <> 4) AND target_source_id IN (SELECT source_id FROM indexes WHERE source_id <> 4)")
+def links_of_empty_sources_removed(spark, d):
+    old = spark.range(10).filter("id <> 3").select(F.lit(3).cast("long").alias("source_id"), F.col("id").alias("target_source_id"), F.lit(9.0).alias("distance"), F.lit("manual").alias("method"))
+    old = old.union(spark.range(1).select(F.lit(4).cast("long"), F.lit(5).cast("long"), F.lit(1.5), F.lit("manual")))
+    indexes = sources.source_indexes(s.source_atoms(spark, d), s.atoms(spark, d)).filter("source_id <> 4")
+    return sources.graph_without_empty(old, indexes)
+
+
+@query(f"""WITH {s.ATOMS}, {s.FILE_ATOMS}, {s.SOURCE_ATOMS} SELECT id, type FROM atoms a WHERE type IN ('aicreated', 'imported')
+AND NOT EXISTS (SELECT 1 FROM file_atoms f WHERE f.atom_id = a.id AND f.file_id < 50) AND NOT EXISTS (SELECT 1 FROM source_atoms x WHERE x.atom_id = a.id AND x.source_id < 5)""")
+def orphan_atoms(spark, d):
+    return atom_ops.orphans(s.atoms(spark, d), s.file_atoms(spark, d).filter("file_id < 50"), s.source_atoms(spark, d).filter("source_id < 5")).select("id", "type")
+
+
+@query("""SELECT request_id, atom_id FROM (SELECT r.request_id, CASE WHEN r.want IS NOT NULL THEN i.id ELSE t.id END AS atom_id FROM
+(SELECT doc_id AS request_id, CASE WHEN doc_id % 2 = 0 THEN doc_id * 3 END AS want, '  ' || lang || ' ' AS t FROM documents) r
+LEFT JOIN (SELECT doc_id AS id FROM documents) i ON i.id = r.want LEFT JOIN (SELECT lang, min(doc_id) AS id FROM documents GROUP BY 1) t ON t.lang = trim(r.t))""")
+def atom_lookup(spark, d):
+    docs = s.documents(spark, d)
+    asked = docs.select(F.col("doc_id").alias("request_id"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") * 3).alias("atom_id"), F.concat(F.lit("  "), "lang", F.lit(" ")).alias("atom_text"))
+    return atom_ops.lookup(asked, docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("content")))
+
+
+@query("""WITH old AS (SELECT doc_id AS id, text AS content FROM documents WHERE doc_id % 2 = 0), fresh AS (SELECT DISTINCT trim(text, chr(10) || chr(9) || chr(13) || ' ') AS content FROM documents WHERE doc_id % 2 = 1)
+SELECT id, sha256(content) AS digest FROM old UNION ALL SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY content), sha256(content) FROM fresh WHERE content <> '' AND content NOT IN (SELECT content FROM old)""")
+def existing_text_insert(spark, d):
+    docs = s.documents(spark, d).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    out = atom_ops.inserted(docs.filter("id % 2 = 1"), docs.filter("id % 2 = 0"))
+    return out.select("id", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT p_partkey AS id, p_brand AS content FROM part WHERE p_brand <> (SELECT min(p_brand) FROM part)")
+def delete_by_text(spark, d):
+    part = s.load(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("content"))
+    return atom_ops.deleted_by_text(part, part.agg(F.min("content")).first()[0])
+
+
+# --- changelog -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {s.LOG}, {s.STATE} SELECT * FROM state")
+def changelog_current_state(spark, d):
+    return changelog.current_state(s.log(spark, d))
+
+
+@query(f"WITH {s.LOG} SELECT id AS change_id, vault_id, file_path, action, changed_at_unix_ms FROM log WHERE changed_at_unix_ms > (SELECT min(changed_at_unix_ms) + 86400000 FROM log) ORDER BY changed_at_unix_ms, id LIMIT 5000")
+def delta_since(spark, d):
+    log = s.log(spark, d)
+    since = log.agg(F.min("changed_at_unix_ms")).first()[0] + 86_400_000
+    return changelog.delta_since(log, since).select(F.col("id").alias("change_id"), "vault_id", "file_path", "action", "changed_at_unix_ms")
+
+
+@query(f"WITH {s.LOG} SELECT id AS change_id, vault_id, file_path, action, changed_at_unix_ms FROM log WHERE id > 500000 ORDER BY id LIMIT 1000")
+def delta_safe_page(spark, d):
+    return changelog.delta_since(s.log(spark, d), 0, 1000, safe_after_id=500_000).select(F.col("id").alias("change_id"), "vault_id", "file_path", "action", "changed_at_unix_ms")
+
+
+@query(f"WITH {s.LOG} SELECT id, file_path, changed_at_unix_ms FROM (SELECT * FROM log ORDER BY changed_at_unix_ms DESC, id DESC LIMIT 100) ORDER BY changed_at_unix_ms, id")
+def status_newest_n(spark, d):
+    return changelog.newest(s.log(spark, d), 100).select("id", "file_path", "changed_at_unix_ms")
+
+
+@query(f"WITH {s.LOG} SELECT vault_id, max(id) AS latest_change_id, arg_max(changed_at_unix_ms, id) AS latest_change_unix_ms FROM log GROUP BY 1")
+def latest_change(spark, d):
+    return changelog.latest_change(s.log(spark, d), "vault_id")
+
+
+@query(f"WITH {s.LOG} SELECT vault_id, arg_max(id, (changed_at_unix_ms, id)) AS latest_change_id, max(changed_at_unix_ms) AS latest_change_unix_ms FROM log WHERE device_id = 'foundation-cip' GROUP BY 1")
+def latest_generated_change(spark, d):
+    return changelog.latest_generated(s.log(spark, d), "vault_id")
+
+
+@query(f"WITH {s.LOG}, {s.STATE} SELECT * FROM state WHERE NOT is_deleted ORDER BY vault_id, file_path LIMIT 5000")
+def live_snapshot(spark, d):
+    return changelog.live_snapshot(changelog.current_state(s.log(spark, d)))
+
+
+@query(f"WITH {s.LOG}, {s.STATE} SELECT vault_id, file_path, updated_unix_ms, size_bytes, is_deleted, last_change_id FROM state")
+def file_timestamps(spark, d):
+    return changelog.file_timestamps(changelog.current_state(s.log(spark, d)))
+
+
+@query(f"""WITH {s.LOG}, {s.STATE}, live AS (SELECT * FROM state WHERE NOT is_deleted), sent AS (SELECT vault_id, replace(file_path, '/3.md', '/new.md') AS file_path, 'eA==' AS content_base64 FROM state WHERE file_path NOT LIKE '%/2.md')
+SELECT vault_id, file_path, CASE WHEN s.content_base64 IS NULL THEN 'deleted' WHEN l.last_change_id IS NOT NULL THEN 'modified' ELSE 'added' END AS action, 1700000000000 AS changed_at_unix_ms, s.content_base64
+FROM live l FULL JOIN sent s USING (vault_id, file_path)""")
+def full_push_diff(spark, d):
+    state = changelog.current_state(s.log(spark, d))
+    sent = state.filter(~F.col("file_path").endswith("/2.md")).select("vault_id", F.replace("file_path", F.lit("/3.md"), F.lit("/new.md")).alias("file_path"), F.lit("eA==").alias("content_base64"))
+    return changelog.full_push(state, sent, 1_700_000_000_000)
+
+
+@query("SELECT l_orderkey, l_partkey, n FROM (SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL) WHERE n > 1")
+def duplicate_paths(spark, d):
+    return changelog.duplicate_paths(s.load(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
+@query(f"""WITH {s.LOG}, {s.STATE}, versions AS (SELECT vault_id, file_path, row_number() OVER (PARTITION BY vault_id, file_path ORDER BY id) AS file_version FROM log WHERE device_id <> 'foundation-cip')
+SELECT v.vault_id, v.file_path, v.file_version, j AS job_type, CASE WHEN v.file_version < s.content_version THEN 'superseded' ELSE 'pending' END AS status
+FROM versions v JOIN state s USING (vault_id, file_path), (VALUES ('file_enrichment'), ('atomize')) t(j)""")
+def job_queue_status(spark, d):
+    log = s.log(spark, d)
+    return changelog.job_status(changelog.enqueued(log), changelog.current_state(log))
+
+
+_RAW = "raw AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ' Created ' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'removed' WHEN 3 THEN 'x' WHEN 4 THEN 'add' ELSE 'changed' END AS action FROM events)"
+_ACTION = "CASE WHEN lower(trim(action)) IN ('added','add','created','create') THEN 'added' WHEN lower(trim(action)) IN ('modified','modify','changed','updated','update') THEN 'modified' WHEN lower(trim(action)) IN ('deleted','delete','removed','remove') THEN 'deleted' END"
+
+
+def _raw(spark, d):
+    n = F.col("event_id") % 6
+    names = F.when(n == 0, " Created ").when(n == 1, "UPDATE").when(n == 2, "removed").when(n == 3, "x").when(n == 4, "add").otherwise("changed")
+    return s.load(spark, d, "events").select("event_id", names.alias("action"))
+
+
+@query(f"WITH {_RAW} SELECT event_id, {_ACTION} AS action FROM raw")
+def action_synonyms(spark, d):
+    return _raw(spark, d).select("event_id", text.action_of(F.col("action")).alias("action"))
+
+
+@query(f"""WITH {_RAW}, full_raw AS (SELECT event_id, {_ACTION} AS action, CASE WHEN event_id % 17 = 0 THEN '/abs' ELSE 'a/./' || event_id || '.md' END AS path, CASE WHEN event_id % 19 <> 0 THEN 'aGVsbG8=' END AS b FROM raw)
+SELECT event_id, action, CASE WHEN path LIKE '/%' THEN NULL ELSE replace(path, '/./', '/') END AS file_path, 5::BIGINT AS changed_at_unix_ms, CASE WHEN action = 'deleted' THEN '' ELSE b END AS content_base64,
+  CASE WHEN action = 'deleted' THEN '' WHEN action IS NULL THEN CASE WHEN b IS NOT NULL THEN NULL END WHEN b IS NOT NULL THEN sha256('hello') END AS content_sha256,
+  CASE WHEN action = 'deleted' THEN 0 WHEN action IS NOT NULL AND b IS NOT NULL THEN 5 END::BIGINT AS size_bytes,
+  CASE WHEN path LIKE '/%' THEN 'file_path' WHEN action IS NULL THEN 'action' WHEN action <> 'deleted' AND b IS NULL THEN 'content_base64 is required' END AS error FROM full_raw""")
+def push_normalised(spark, d):
+    raw = _raw(spark, d).select(
+        "event_id", "action", F.when(F.col("event_id") % 17 == 0, "/abs").otherwise(F.concat(F.lit("a/./"), "event_id", F.lit(".md"))).alias("file_path"), F.lit(None).cast("long").alias("changed_at_unix_ms"),
+        F.when(F.col("event_id") % 19 != 0, "aGVsbG8=").alias("content_base64"), F.lit(None).cast("string").alias("content_sha256"))
+    return changelog.normalised(raw, 5)
+
+
+# --- snapshot diffs --------------------------------------------------------------------------------
+
+_PREV = "prev AS (SELECT 'p/' || o_orderkey AS path, o_custkey::BIGINT AS size_bytes, o_orderkey::BIGINT * 10 AS modified_unix_ms, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS content_fingerprint FROM orders WHERE o_orderkey % 5 <> 0)"
+_CUR = """cur AS (SELECT 'p/' || o_orderkey AS path, o_custkey::BIGINT + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS size_bytes, o_orderkey::BIGINT * 10 + CASE WHEN o_orderkey % 11 = 0 THEN 3 ELSE 0 END AS modified_unix_ms,
+  CASE WHEN o_orderkey % 6 <> 0 THEN CASE WHEN o_orderkey % 13 = 0 THEN 'Z' ELSE o_orderstatus END END AS content_fingerprint FROM orders WHERE o_orderkey % 3 <> 0)"""
+_CLS = """CASE WHEN {p}.path IS NULL OR {p}.size_bytes IS DISTINCT FROM {c}.size_bytes OR {p}.modified_unix_ms IS DISTINCT FROM {c}.modified_unix_ms THEN 'changed'
+  WHEN {p}.content_fingerprint IS NOT NULL AND {c}.content_fingerprint IS NOT NULL THEN CASE WHEN {p}.content_fingerprint = {c}.content_fingerprint THEN 'unchanged' ELSE 'changed' END
+  WHEN {p}.content_fingerprint IS DISTINCT FROM {c}.content_fingerprint THEN 'uncertain' ELSE 'unchanged' END""".format(p="p", c="c")
+
+
+def _snapshots(spark, d):
+    o, key = s.load(spark, d, "orders"), F.col("o_orderkey")
+    path, size, ms = F.concat(F.lit("p/"), key).alias("path"), F.col("o_custkey").cast("long"), key.cast("long") * 10
+    prev = o.filter(key % 5 != 0).select(path, size.alias("size_bytes"), ms.alias("modified_unix_ms"), F.when(key % 4 != 0, F.col("o_orderstatus")).alias("content_fingerprint"))
+    print_ = F.when(key % 6 != 0, F.when(key % 13 == 0, "Z").otherwise(F.col("o_orderstatus")))
+    cur = o.filter(key % 3 != 0).select(path, (size + (key % 7 == 0).cast("int")).alias("size_bytes"), (ms + F.when(key % 11 == 0, 3).otherwise(0)).alias("modified_unix_ms"), print_.alias("content_fingerprint"))
+    return prev, cur
+
+
+@query(f"WITH {_PREV}, {_CUR} SELECT c.path, {_CLS} AS cls FROM cur c LEFT JOIN prev p ON p.path = c.path")
+def change_classify(spark, d):
+    prev, cur = _snapshots(spark, d)
+    both = snapshot._packed(cur, "cur").join(snapshot._packed(prev, "prev"), "path", "left")
+    return both.select("path", snapshot.classified(True).alias("cls"))
+
+
+@query(f"""WITH {_PREV}, {_CUR}, j AS (SELECT coalesce(c.path, p.path) AS path, CASE WHEN c.path IS NULL THEN 'deleted' WHEN p.path IS NULL THEN 'added' WHEN {_CLS} <> 'unchanged' THEN 'modified' END AS action,
+  coalesce(c.modified_unix_ms, 77) AS changed_at_unix_ms FROM cur c FULL JOIN prev p ON p.path = c.path) SELECT * FROM j WHERE action IS NOT NULL""")
+def local_diff(spark, d):
+    prev, cur = _snapshots(spark, d)
+    return snapshot.local_diff(prev, cur, 77, prefer_fingerprint=True)
+
+
+_REMOTE = """remote AS (SELECT 'p/' || o_orderkey AS path, o_orderkey::BIGINT * 10 + CASE o_orderkey % 17 WHEN 0 THEN 5 WHEN 1 THEN -5 ELSE 0 END AS updated, o_custkey::BIGINT AS size, o_orderkey % 19 = 0 AS gone FROM orders WHERE o_orderkey % 8 <> 0)"""
+_REMOTE_DIFF = f"""WITH {_PREV}, {_CUR}, {_REMOTE}, j AS (SELECT coalesce(c.path, r.path, p.path) AS path, c.path IS NOT NULL AS here, r.path IS NOT NULL AS known, p.path IS NOT NULL AS before, c.modified_unix_ms AS m, c.size_bytes AS z, r.updated, r.size, r.gone, {_CLS} AS cls
+  FROM cur c FULL JOIN prev p ON p.path = c.path FULL JOIN remote r ON r.path = coalesce(c.path, p.path)),
+a AS (SELECT *, CASE WHEN here AND NOT known THEN 'added' WHEN here AND gone THEN CASE WHEN {{mirror}} OR cls = 'changed' THEN 'added' END WHEN here AND NOT {{mirror}} AND m < updated AND cls = 'unchanged' THEN NULL
+  WHEN here AND (cls = 'changed' OR (cls = 'uncertain' AND m >= updated) OR m > updated OR z <> size OR ({{mirror}} AND m <> updated)) THEN 'modified'
+  WHEN NOT here AND known AND NOT gone AND ({{mirror}} OR before) THEN 'deleted' END AS action FROM j)
+SELECT path, action, CASE WHEN action IN ('added', 'modified') THEN m ELSE 77 END AS changed_at_unix_ms FROM a WHERE action IS NOT NULL"""
+
+
+def _remote_diff(spark, d, mirror):
+    prev, cur = _snapshots(spark, d)
+    key = F.col("o_orderkey")
+    remote = s.load(spark, d, "orders").filter(key % 8 != 0).select(
+        F.concat(F.lit("p/"), key).alias("path"), (key.cast("long") * 10 + F.when(key % 17 == 0, 5).when(key % 17 == 1, -5).otherwise(0)).alias("updated_unix_ms"),
+        F.col("o_custkey").cast("long").alias("size_bytes"), (key % 19 == 0).alias("is_deleted"))
+    return snapshot.remote_diff(cur, prev, remote, 77, mirror, prefer_fingerprint=True)
+
+
+@query(_REMOTE_DIFF.format(mirror="false"))
+def remote_status_diff(spark, d):
+    return _remote_diff(spark, d, False)
+
+
+@query(_REMOTE_DIFF.format(mirror="true"))
+def remote_status_mirror(spark, d):
+    return _remote_diff(spark, d, True)
+
+
+@query(f"""WITH {s.LOG}, last AS (SELECT file_path AS path, arg_max(action, (changed_at_unix_ms, id)) AS a, arg_max(content_sha256, (changed_at_unix_ms, id)) AS c FROM log GROUP BY 1), there AS (SELECT DISTINCT user_id || '/9.md' AS path FROM events)
+SELECT path, c AS content_base64 FROM last WHERE a <> 'deleted' UNION ALL SELECT path, 'old' FROM there""")
+def delta_applied(spark, d):
+    log = s.log(spark, d).select(F.col("file_path").alias("path"), "action", F.col("content_sha256").alias("content_base64"), "changed_at_unix_ms", "id")
+    there = s.load(spark, d, "events").select(F.concat("user_id", F.lit("/9.md")).alias("path"), F.lit("old").alias("content_base64")).distinct()
+    return snapshot.applied(there, log)
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id AS vault_id, event_id AS seq, strlen(event_type || coalesce(props, ''))::BIGINT * 50 AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id < 20),
+r AS (SELECT vault_id, seq, bytes, n, 100 + bytes AS used, 0 AS batch FROM c WHERE n = 1 UNION ALL
+  SELECT c.vault_id, c.seq, c.bytes, c.n, CASE WHEN r.used + 1 + c.bytes > 20000 THEN 100 + c.bytes ELSE r.used + 1 + c.bytes END, CASE WHEN r.used + 1 + c.bytes > 20000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN c ON c.vault_id = r.vault_id AND c.n = r.n + 1)
+SELECT vault_id, seq, bytes, batch FROM r""")
+def upload_batches(spark, d):
+    size = F.octet_length(F.concat("event_type", F.coalesce("props", F.lit("")))).cast("long") * 50
+    changes = s.load(spark, d, "events").filter("user_id < 20").select(F.col("user_id").alias("vault_id"), F.col("event_id").alias("seq"), size.alias("bytes"))
+    return snapshot.upload_batches(changes, 100, 20_000)
+
+
+@query("SELECT event_id, strlen('{\"action\":\"' || event_type || '\"' || CASE WHEN event_id % 3 <> 0 THEN ',\"changed_at_unix_ms\":' || event_id ELSE '' END || ',\"file_path\":\"f' || event_id || '\"}')::BIGINT AS bytes FROM events")
+def encoded_sizes(spark, d):
+    t = s.load(spark, d, "events").select(
+        F.col("event_id").alias("seq"), F.col("event_type").alias("action"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("changed_at_unix_ms"), F.concat(F.lit("f"), "event_id").alias("file_path"), F.lit(None).cast("string").alias("content_sha256"))
+    return snapshot.encoded_size(t).select(F.col("seq").alias("event_id"), "bytes")
+
+
+# --- text ------------------------------------------------------------------------------------------
+
+WIDTH, HEAD = 64, 200
+_CHARS = f"""chars AS (SELECT doc_id, (i - 1) AS i, unicode(substr(t, i, 1)) AS c FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT doc_id, trim(substr(text, 1, {HEAD}), chr(10) || chr(9) || chr(13) || ' ') AS t FROM documents))),
+bytes AS (SELECT doc_id, i, o, ('0x' || substr(sha256(i || ':' || c), (o * 2 + 1)::BIGINT, 2))::INT AS b FROM chars, range(0, 8) r(o)),
+terms AS (SELECT doc_id AS id, ((b + 31 * i + 17 * o) % {WIDTH})::INT AS pos, sum(CASE WHEN (xor(b, o::INT) & 1) = 0 THEN 1 ELSE -1 END * ((b % 64) + 1) / 64.0)::DOUBLE AS value FROM bytes GROUP BY ALL)"""
+
+
+def _heads(spark, d):
+    return s.documents(spark, d).select("doc_id", F.substring("text", 1, HEAD).alias("t"))
+
+
+@query(f"WITH {_CHARS} SELECT id, pos, value FROM terms")
+def hash_embedding(spark, d):
+    return term_table(_heads(spark, d), "doc_id", "t", WIDTH)
+
+
+@query(f"WITH {_CHARS}, n AS (SELECT id, sqrt(sum(value * value)) AS size FROM terms GROUP BY 1) SELECT id, pos, round(value / size, 6) AS value FROM terms JOIN n USING (id) WHERE value <> 0")
+def hash_embedding_norm(spark, d):
+    out = embed(_heads(spark, d), "doc_id", "t", WIDTH)
+    return out.select("id", F.posexplode("vector").alias("pos", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
+
+
+_RESIZED = "(SELECT vec_id, list_concat(embedding::DOUBLE[], list_transform(range(0, 80), lambda x: 0.0::DOUBLE))[1:{n}] AS v FROM embeddings)"
+
+
+@query(f"""SELECT vec_id, 48 AS width, round(list_sum(v), 6) AS total, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS size FROM {_RESIZED.format(n=48)}
+UNION ALL SELECT vec_id, 80, round(list_sum(v), 6), round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) FROM {_RESIZED.format(n=80)}""")
+def embedding_resize(spark, d):
+    t = s.load(spark, d, "embeddings")
+    parts = [t.select("vec_id", F.lit(n).alias("width"), vectors.resize(F.col("embedding"), n).alias("v")) for n in (48, 80)]
+    rows = parts[0].union(parts[1])
+    return rows.select("vec_id", "width", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(vectors.norm(F.col("v")), 6).alias("size"))
+
+
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
+def vector_literal(spark, d):
+    t = s.load(spark, d, "embeddings")
+    return t.select("vec_id", vectors.to_literal(F.col("embedding")).alias("literal"))
+
+
+_TEXTS = "(SELECT doc_id, '# ' || '**' || substr(text, 1, 300) || '** [a](u) `c`' AS t FROM documents)"
+_INLINE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[(.*?)\]\((.*?)\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '[*_~#>]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _marked(spark, d):
+    return s.documents(spark, d).select("doc_id", F.concat(F.lit("# **"), F.substring("text", 1, 300), F.lit("** [a](u) `c`")).alias("t"))
+
+
+@query(f"SELECT doc_id, {_INLINE} AS plain FROM {_TEXTS}")
+def inline_normalize(spark, d):
+    return _marked(spark, d).select("doc_id", text.inline_normalised(F.col("t")).alias("plain"))
+
+
+@query(r"""SELECT doc_id, (i - 1)::INT AS pos, p[i] AS sentence FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?;。！？]*[.!?;。！？]|[^.!?;。！？]+$'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))""")
+def sentence_split(spark, d):
+    return s.documents(spark, d).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(r"SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(trim(substr(text, 1, 80), chr(10) || ' ')), '\s+'), lambda x: length(x) >= 2), '|') AS terms FROM documents")
+def query_terms(spark, d):
+    return s.documents(spark, d).select("doc_id", F.array_join(text.query_terms(F.substring("text", 1, 80)), "|").alias("terms"))
+
+
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/abs/x' WHEN 1 THEN 'a/../b' WHEN 2 THEN ' a\b/./' || page_id || '.md ' WHEN 3 THEN '' ELSE regexp_replace(url, '^https?:/*', '') END AS raw FROM pages), u AS (SELECT page_id, replace(trim(raw), '\', '/') AS u FROM p)
+SELECT page_id, CASE WHEN u = '' OR u LIKE '/%' OR list_contains(string_split(u, '/'), '..') THEN NULL ELSE nullif(array_to_string(list_filter(string_split(u, '/'), lambda x: x <> '' AND x <> '.'), '/'), '') END AS path FROM u""")
+def path_normalize(spark, d):
+    n = F.col("page_id") % 5
+    raw = F.when(n == 0, "/abs/x").when(n == 1, "a/../b").when(n == 2, F.concat(F.lit(" a\\b/./"), "page_id", F.lit(".md "))).when(n == 3, "").otherwise(F.regexp_replace("url", "^https?:/*", ""))
+    return s.load(spark, d, "pages").select("page_id", text.path_of(raw).alias("path"))
+
+
+@query(r"""SELECT page_id, CASE WHEN u IN ('', '.', '..') OR regexp_matches(u, '[/\\]') OR length(u) > 255 THEN NULL ELSE u END AS uid FROM
+(SELECT page_id, trim(CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '..' WHEN 2 THEN ' vault-' || page_id ELSE repeat('x', 256) END) AS u FROM pages)""")
+def vault_uid_check(spark, d):
+    n = F.col("page_id") % 4
+    raw = F.when(n == 0, F.col("url")).when(n == 1, "..").when(n == 2, F.concat(F.lit(" vault-"), "page_id")).otherwise("x" * 256)
+    return s.load(spark, d, "pages").select("page_id", text.vault_uid_of(raw).alias("uid"))
+
+
+@query("""WITH l AS (SELECT doc_id % 10 AS g, string_agg('- [[' || source || '/' || doc_id || ']]', chr(10) ORDER BY doc_id) AS links FROM documents WHERE doc_id < 60 GROUP BY 1)
+SELECT d.doc_id, sha256(CASE WHEN l.links IS NULL THEN CASE WHEN b = '' THEN '' ELSE b || chr(10) END ELSE CASE WHEN b = '' THEN '' ELSE b || chr(10) || chr(10) END || '<!-- foundation:related-links:start -->' || chr(10) || '## Related Notes' || chr(10)
+ || l.links || chr(10) || '<!-- foundation:related-links:end -->' || chr(10) END) AS digest FROM (SELECT doc_id, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS b FROM documents) d LEFT JOIN l ON l.g = d.doc_id % 12""")
+def related_block_render(spark, d):
+    docs = s.documents(spark, d)
+    paths = docs.filter("doc_id < 60").select((F.col("doc_id") % 10).alias("g"), "doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("p"))
+    lists = paths.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("doc_id", "p"))).alias("r"))  # ten groups of six
+    out = docs.join(lists, docs["doc_id"] % 12 == lists["g"], "left").select(docs["doc_id"], markdown.rendered(F.col("text"), F.col("r.p")).alias("x"))
+    return out.select("doc_id", F.sha2(F.col("x").cast("binary"), 256).alias("digest"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN t = '' THEN '' WHEN length(regexp_replace(t, '[^\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]', '', 'g')) <= length(t) * 0.05 THEN 'text' END AS kind FROM
+(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '' ELSE substr(text, 1, 10) || repeat(chr(7), 2) END AS t FROM documents)""")
+def text_sniff(spark, d):
+    n = F.col("doc_id") % 3
+    t = F.when(n == 0, F.col("text")).when(n == 1, "").otherwise(F.concat(F.substring("text", 1, 10), F.lit("\7\7")))
+    out = s.documents(spark, d).select("doc_id", text.text_of(t.cast("binary")).alias("t"))
+    return out.select("doc_id", F.when(F.col("t") == "", "").when(F.col("t").isNotNull(), "text").alias("kind"))
+
+
+@query("SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents WHERE doc_id % 20 = 0")
+def base64_roundtrip(spark, d):
+    t = s.documents(spark, d).filter("doc_id % 20 = 0").select("doc_id", F.base64(F.col("text").cast("binary")).alias("encoded"))
+    return t.select("doc_id", "encoded", text.strict_base64(F.col("encoded")).cast("string").alias("decoded"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, strlen(text)::BIGINT AS size_bytes FROM documents")
+def content_digest(spark, d):
+    return s.documents(spark, d).select("doc_id", text.digest_of(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("size_bytes"))
+
+
+@query("""SELECT c_custkey, CASE WHEN v = '' THEN '(not set)' WHEN length(v) <= 8 THEN '********' ELSE substr(v, 1, 4) || '********' || right(v, 4) END AS masked,
+ replace(replace(replace(replace(replace('<' || c_name || '&"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS escaped FROM (SELECT c_custkey, c_name, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'short' ELSE c_name END AS v FROM customer)""")
+def masks_and_escapes(spark, d):
+    n = F.col("c_custkey") % 3
+    v = F.when(n == 0, "").when(n == 1, "short").otherwise(F.col("c_name"))
+    return s.load(spark, d, "customer").select("c_custkey", text.masked_setting(v).alias("masked"), text.html_escaped(F.concat(F.lit("<"), "c_name", F.lit('&"'))).alias("escaped"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN true ELSE false END AS ok FROM customer""")
+def api_key_verify(spark, d):
+    t = s.load(spark, d, "customer").select("c_custkey", F.col("c_name").alias("salt"), F.concat(F.lit("key-"), "c_custkey").alias("key"))
+    t = t.withColumn("stored", F.when(F.col("c_custkey") % 2 == 0, auth.salted(F.col("salt"), F.col("key"))).otherwise(F.concat(F.lit("sha256$"), "salt", F.lit("$0"))))
+    return t.select("c_custkey", auth.verifies(F.col("stored"), F.col("key")).alias("ok"))
+
+
+# --- notes -----------------------------------------------------------------------------------------
+
+
+def _note_files(spark, d):
+    docs = s.documents(spark, d)
+    return docs.select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("source"), F.lit(1000)).alias("vault_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file_path"), F.col("text").alias("content"), F.lit(False).alias("is_deleted"))
+
+
+@query()
+def keypoints(spark, d):
+    return notes.keypoint_rows(notes.parse(_note_files(spark, d)))
+
+
+@query("""WITH link AS (SELECT doc_id AS a, doc_id + 20 AS b, doc_id % 5 = 0 AS on_ FROM documents WHERE doc_id % 5 = 0 AND doc_id + 20 IN (SELECT doc_id FROM documents)),
+e AS (SELECT a AS id, b AS other, 0.5 AS s FROM link UNION ALL SELECT b, a, 0.5 FROM link),
+p AS (SELECT e.id, d.source || '/' || e.other || '.md' AS path, row_number() OVER (PARTITION BY e.id ORDER BY s DESC, d.source || '/' || e.other || '.md') AS rank FROM e JOIN documents d ON d.doc_id = e.other),
+l AS (SELECT id, string_agg('- [[' || regexp_replace(path, '\\.md$', '') || ']]', chr(10) ORDER BY rank) AS links FROM p WHERE rank <= 8 GROUP BY 1),
+r AS (SELECT d.doc_id, d.source || '/' || d.doc_id || '.md' AS file_path, text, CASE WHEN links IS NULL THEN b || chr(10) ELSE b || chr(10) || chr(10) || '<!-- foundation:related-links:start -->' || chr(10) || '## Related Notes' || chr(10) || links || chr(10) || '<!-- foundation:related-links:end -->' || chr(10) END AS x
+  FROM (SELECT *, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS b FROM documents) d LEFT JOIN l ON l.id = d.doc_id)
+SELECT file_path, 'foundation-cip' AS device_id, 'modified' AS action, 9::BIGINT AS changed_at_unix_ms, sha256(x) AS content_sha256, strlen(x)::BIGINT AS size_bytes FROM r WHERE x <> text""".replace("\\\\", "\\"))
+def generated_changes(spark, d):
+    files = _note_files(spark, d)
+    ids = files.select("id")
+    links = ids.filter("id % 5 = 0").join(ids.select((F.col("id") - 20).alias("id")), "id", "left_semi")
+    links = links.select(F.col("id").alias("file_a_id"), (F.col("id") + 20).alias("file_b_id"), F.lit(0.5).alias("similarity"))
+    out = notes.generated_changes(notes.rewrites(files, links), 9)
+    return out.select("file_path", "device_id", "action", "changed_at_unix_ms", "content_sha256", "size_bytes")
+
+
+@query(f"WITH {s.LOG}, {s.STATE} SELECT vault_id, file_path, is_deleted, updated_unix_ms, content_version, last_change_id FROM state")
+def stream_changelog_state(spark, d):
+    """The log as a stream of files, folded by a query that runs until it has read them all."""
+    import uuid
+
+    from ..sources.scratch import scratch_dir
+    from ..streaming.vault_stream import fold_to, latest_version
+
+    here = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    s.log(spark, d).repartition(3).write.parquet(f"{here}/log")
+    log = spark.readStream.schema(spark.read.parquet(f"{here}/log").schema).option("maxFilesPerTrigger", 1).parquet(f"{here}/log")
+    fold_to(log, f"{here}/state", f"{here}/checkpoint").awaitTermination()
+    out = spark.read.parquet(latest_version(spark, f"{here}/state"))
+    return out.select("vault_id", "file_path", "is_deleted", "updated_unix_ms", "content_version", "last_change_id")
