@@ -564,7 +564,7 @@ def text_sniff(spark, d):
 
 @query("SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents WHERE doc_id % 20 = 0")
 def base64_roundtrip(spark, d):
-    t = s.documents(spark, d).filter("doc_id % 20 = 0").select("doc_id", F.base64(F.col("text").cast("binary")).alias("encoded"))
+    t = s.documents(spark, d).filter("doc_id % 20 = 0").select("doc_id", text.base64_of(F.col("text").cast("binary")).alias("encoded"))
     return t.select("doc_id", "encoded", text.strict_base64(F.col("encoded")).cast("string").alias("decoded"))
 
 

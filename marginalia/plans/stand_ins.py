@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import base64_of
 from ..schema import GENERATED_DEVICE
 
 
@@ -44,7 +45,7 @@ def log(spark: SparkSession, d: str) -> DataFrame:
     ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
     return t.select(
         ((F.col("event_id") * 7919) % 1000003).alias("id"), (F.col("user_id") % 7).alias("vault_id"), F.concat("user_id", F.lit("/"), F.col("event_id") % 5, F.lit(".md")).alias("file_path"),
-        action.alias("action"), ms.alias("changed_at_unix_ms"), F.base64(body).alias("content_base64"), F.sha2(body, 256).alias("content_sha256"), F.octet_length(body).cast("long").alias("size_bytes"),
+        action.alias("action"), ms.alias("changed_at_unix_ms"), base64_of(body).alias("content_base64"), F.sha2(body, 256).alias("content_sha256"), F.octet_length(body).cast("long").alias("size_bytes"),
         F.when(F.col("event_id") % 11 == 0, GENERATED_DEVICE).otherwise("phone").alias("device_id"))
 
 
