@@ -48,27 +48,33 @@ def _ranked(df: DataFrame, group: list[str], buckets: int, first: list[Column])
     return out.drop("bucket", "start", *[f"o{i}" for i in range(len(first))])
 
 
-def _round(linked: DataFrame, quotas: list[int], shards: int) -> DataFrame:
-    """One round of propagation over ``linked`` (nid, link, shard); None when nobody wants to move."""
-    load = {r["shard"]: r["n"] for r in linked.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row a shard
+def _round(linked: DataFrame, quotas: list[int], shards: int) -> DataFrame | None:
+    """One round of propagation over ``linked`` (nid, link, shard, went); None if the last round moved nothing."""
+    load = linked.groupBy("shard").agg(F.count("*").alias("n"), F.max("went").alias("went")).collect()  # one row a shard
+    if not any(r["went"] for r in load):
+        return None
+    load = {r["shard"]: r["n"] for r in load}
     room = [max(0, q - load.get(s, 0)) for s, q in enumerate(quotas)]
-    # One long orders (votes, smaller shard first), so that the maximum needs no sort.
-    score = F.col("votes") * shards + (shards - 1 - F.col("shard"))
+    # One long orders (votes, shards with room first, smaller shard first), so that the maximum needs no
+    # sort. Of two shards with equal votes the full one gives way, or its documents and those that
+    # wait for its room would stay apart.
+    open_ = _at(room, F.col("shard")) > 0
+    score = (F.col("votes") * 2 + open_.cast("int")) * shards + (shards - 1 - F.col("shard"))
     votes = linked.groupBy("link", "shard").agg(F.count("*").alias("votes")).select(
         "link", "shard", score.alias("own"),
-        F.max(F.when(_at(room, F.col("shard")) > 0, score)).over(Window.partitionBy("link")).alias("best"))
+        F.max(F.when(open_, score)).over(Window.partitionBy("link")).alias("best"))
     asks = votes.filter("best > own").select("link", "shard", (shards - 1 - F.pmod("best", F.lit(shards))).cast("int").alias("target"))
     movers = linked.join(asks, ["link", "shard"]).select("nid", "target")
     n = sum(load.values())
     ranked = _ranked(movers, ["target"], max(4, -(-n // (shards * BUCKET_ROWS))), [])
     moved = ranked.filter(F.col("rank") <= _at(room, F.col("target"))).select("nid", "target")
     return materialise(
-        linked.join(moved, "nid", "left").select("nid", "link", F.coalesce("target", "shard").alias("shard")), "shard-round"
-    )
+        linked.join(moved, "nid", "left").select(
+            "nid", "link", F.coalesce("target", "shard").alias("shard"), F.col("target").isNotNull().alias("went")), "shard-round")
 
 
 def balanced_label_propagation(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int = 8
 ) -> DataFrame:
     """Every row of ``docs`` with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
@@ -88,9 +94,13 @@ def balanced_label_propagation(
     total = nodes.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     ties = nodes.filter("link is not null").groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link")
-    linked = materialise(nodes.select("nid", "link", "shard").join(ties, "link", "left_semi").select("nid", "link", "shard"), "shard-linked")
+    linked = nodes.select("nid", "link", "shard").join(ties, "link", "left_semi")
+    linked = materialise(linked.select("nid", "link", "shard", F.lit(True).alias("went")), "shard-linked")
     for _ in range(rounds):
-        linked = _round(linked, quotas, shards)
+        after = _round(linked, quotas, shards)
+        if after is None:
+            break
+        linked = after
 
     placed = nodes.drop("shard", "link").join(linked.select("nid", F.col("shard").alias("led")), "nid", "left")
     placed = placed.select(

@@ -36,7 +36,7 @@ def test_groups_stay_together_and_hot_ones_are_split(make_docs):
     for r in got:
         at[r["text_crc32"]].append(r["shard"])
     hot = Counter(at[zlib.crc32(b"hot copy")])
-    assert max(hot.values()) == 100 and len(hot) <= 4  # a shard's whole quota, the rest in few others
+    assert len(hot) <= 4 and max(hot.values()) > 50  # of six shards of 100 rows, whose quotas the pairs share
     apart = sum(len(set(s)) > 1 for k, s in at.items() if len(s) == 2)
     assert apart <= 5
 
