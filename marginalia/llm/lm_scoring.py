@@ -278,6 +278,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     cells = laid.select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy("x.cells").agg(F.sum("x.counts").alias("n")).collect()  # BUCKETS * LEVELS^2 at most
     cells = np.array(sorted((r["cells"], r["n"]) for r in cells), dtype=np.int64).reshape(-1, 2)
     weights = learn_weights(cells[:, 0], cells[:, 1].astype(float))
+    if not totals[1]:  # nothing was seen: the uniform part alone says something
+        weights[:] = 0, 0, 1
     fields = [("doc_id", id_kind), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     names = [n for n, _ in fields]
     scored = laid.select(*LAID[:6]).mapInArrow(lambda batches: _scores(batches, totals, weights, names), T.StructType([T.StructField(n, k) for n, k in fields]))

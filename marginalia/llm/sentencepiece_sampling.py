@@ -203,25 +203,27 @@ def decode(pieces: Pieces, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [raw[a + 1 : b] if raw[a : a + 1] == b" " else raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def _samples(texts: pa.Array, keys: np.ndarray, k: int, pieces: Pieces) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each sample number: (number, texts that have it, ids, their counts, log_prob, perturbed, inclusion)."""
+def _samples(texts: pa.Array, keys: np.ndarray, k: int, pieces: Pieces) -> Iterator[tuple[int, *tuple[np.ndarray, ...]]]:
+    """For each sample number: (number, texts that have it, ids, their counts, log_prob, perturbed, inclusion, log_inclusion)."""
     points, sizes, codes, places = _words(texts)
     lattice = build(pieces, points, sizes)
     emitted, after = sample_paths(lattice, codes, places, keys, k)
     for r, path in enumerate(emitted):
         ids, lengths = _expand(pieces, lattice.piece[path.edges], path.lengths)
-        with np.errstate(over="ignore"):
-            inclusion = -np.expm1(-np.exp(np.minimum(path.total - after[path.rows], 700)))
-        yield r + 1, path.rows, ids, lengths, path.total, path.value, inclusion
+        above = path.total - after[path.rows]
+        inclusion = -np.expm1(-np.exp(np.minimum(above, 700)))
+        # Of a long text's paths each is so unlikely that the score itself falls below the smallest double.
+        log_inclusion = np.where(above < -30, above, np.log(np.maximum(inclusion, 1e-300)))
+        yield r + 1, path.rows, ids, lengths, path.total, path.value, inclusion, log_inclusion
 
 
 def sampled_encodings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, model_path: str | None = None, power: float = 1.0, seed: int = 0
 ) -> DataFrame:
-    """doc_id, sample, ids, n_pieces, log_prob, perturbed, inclusion and decoded of every row's whole text.
+    """doc_id, sample, ids, n_pieces, log_prob, perturbed, inclusion, log_inclusion and decoded of every row's whole text.
 
-    sample counts from 1 in falling order of the perturbed log probability; ids are little-endian
-    unsigned 32-bit numbers in a binary; decoded is the text that they stand for. A text with fewer
+    sample counts from 1 in falling order of the perturbed log probability; log_inclusion is the
+    logarithm of inclusion, which for long texts is too small for a double. ids are little-endian unsigned 32-bit numbers in a binary; decoded is the text that they stand for. A text with fewer
     than ``k`` segmentations gives fewer rows, each with inclusion 1; a null or empty text gives one
     row without ids. The noise depends on ``seed``, id and text only, so repeated rows give the same
     samples and results don't depend on partitions. Null ids are kept. An empty table gives no rows.
@@ -230,7 +232,7 @@ def sampled_encodings(
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("key"), text.alias("t"))
-    fields = [("sample", T.IntegerType()), ("ids", T.BinaryType()), ("n_pieces", T.LongType()), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("decoded", T.StringType())]
+    fields = [("sample", T.IntegerType()), ("ids", T.BinaryType()), ("n_pieces", T.LongType()), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("log_inclusion", T.DoubleType()), ("decoded", T.StringType())]
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +245,11 @@ def sampled_encodings(
                     continue
                 part = b.slice(a, e - a)
                 keys = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-                for number, at, ids, lengths, log_prob, value, inclusion in _samples(part.column(2).cast(pa.large_string()), keys, k, pieces):
+                for number, at, ids, lengths, *scores in _samples(part.column(2).cast(pa.large_string()), keys, k, pieces):
                     raw, ends = ids.astype("<u4").tobytes(), np.append(0, np.cumsum(lengths) * 4)
                     binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
                     texts = pa.array(decode(pieces, ids, lengths), pa.binary()).cast(pa.string())
-                    out = [part.column(0).take(pa.array(at)), pa.array(np.full(len(at), number, dtype=np.int32)), binary, pa.array(lengths), *(pa.array(x) for x in (log_prob, value, inclusion)), texts]
+                    out = [part.column(0).take(pa.array(at)), pa.array(np.full(len(at), number, dtype=np.int32)), binary, pa.array(lengths), *map(pa.array, scores), texts]
                     yield pa.RecordBatch.from_arrays(out, schema.names)
 
     return rows.mapInArrow(run, schema)
@@ -257,5 +259,5 @@ def encoding_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Digests of :func:`sampled_encodings`: the ids' crc32, and the decoded text's crc32 and length."""
     found = sampled_encodings(docs, id_col, text_col, k)
     return found.select(
-        "doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion",
+        "doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", "log_inclusion",
         F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.octet_length("decoded").cast("long").alias("n_bytes"))
