@@ -32,7 +32,7 @@ from .piece_lattice import MARK, Lattice, Pieces, build, uniform, walk
 
 #: Characters of text taken at once (a longer text is taken alone), and of a word's lattice; longer
 #: words are cut, so that no piece crosses a cut.
-SLICE_BYTES, WORD = 4 << 20, 256
+SLICE_BYTES, WORD = 2 << 20, 256
 
 
 @lru_cache(maxsize=2)
