@@ -7,8 +7,8 @@ tokens of a deleted fold of the training documents, with that fold's own counts
 Counts are exchanged in two shuffles instead of a join of every token:
 
 1. Documents are gathered in batches of bounded size where they are read. A batch is stored as its
-   word numbers, and asks for the counts of its distinct words and word pairs; the request carries
-   how often the batch itself saw them. A word is asked for once a batch, however frequent it is.
+   word numbers. From these it asks for the counts of its distinct words and word pairs; the request
+   carries how often the batch itself saw them. A word is asked for once a batch, however frequent.
 2. Requests are dealt by key. A part sums what all batches saw and answers each of them in the
    order it asked.
 3. Answers meet their batch again, where the counts are laid along its tokens.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import crc32_mod, materialise, small_batches
 
 #: Bytes of text in a batch, about (a longer document is a batch of its own), and for each part.
-BATCH_BYTES, PART_BYTES = 12 << 20, 32 << 20
+BATCH_BYTES, PART_BYTES = 8 << 20, 16 << 20
 #: Buckets: the base-2 logarithm of the context's count, 0 for none.
 BUCKETS = 20
 #: Log ratios to the uniform probability are kept in steps of 1 / STEP nat, in LEVELS levels.
@@ -132,36 +132,17 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _requests(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows of kind ``text`` (a batch's documents and tokens) and ``ask`` (what it asks of a part)."""
+def _batches(docs: DataFrame) -> DataFrame:
+    """A row for each batch: its documents, their lengths (a), tokens (b) and folds (c), and its words (d)."""
     id_kind = docs.schema["doc_id"].dataType
-    fields = [("batch", T.StringType()), ("ord", T.IntegerType()), ("part", T.IntegerType()), ("doc_ids", T.ArrayType(id_kind)), ("a", T.BinaryType()), ("b", T.BinaryType()), ("c", T.BinaryType()), ("d", T.BinaryType()), ("kind", T.StringType())]
-    schema = T.StructType([T.StructField(n, k) for n, k in fields])
+    schema = T.StructType([T.StructField("batch", T.StringType()), T.StructField("doc_ids", T.ArrayType(id_kind)), *(T.StructField(n, T.BinaryType()) for n in "abcd")])
 
-    def table(rows: list[tuple], ids: pa.Array | None) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int32(), pa.int32(), None, pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.string()]
-        cols = [pa.array(x, k) if k else None for x, k in zip(zip(*rows), kinds)]
-        ends = [0] + [len(ids)] * len(rows)  # the first row alone has documents
-        cols[3] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)
-        return pa.RecordBatch.from_arrays(cols, schema.names)
-
-    def batch_rows(name: str, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(name: str, held: list[pa.RecordBatch]) -> pa.RecordBatch:
         ids, texts, fold = (pa.concat_arrays([h.column(k) for h in held]) for k in range(3))
-        fold = fold.to_numpy(zero_copy_only=False).astype(np.int8)
         keys, codes, lengths = _tokenise(texts)
-        pair_keys, places, _ = _pairs(codes, lengths, keys)
-        each = np.repeat(fold, lengths)
-        rows = [(name, 0, 0, None, _pack(lengths.astype("<i4")), _pack(codes.astype("<i4")), _pack(fold), _pack(np.diff(keys, prepend=np.uint64(0))), "text")]
-        for order, names, at in ((1, keys, codes), (2, pair_keys, places)):
-            seen = np.bincount(at[each != 2], minlength=len(names))
-            dev = np.bincount(at[each == 1], minlength=len(names))
-            cuts = np.searchsorted(_part(names, parts), np.arange(parts + 1))
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a < b:
-                    step = np.diff(names[a:b], prepend=np.uint64(0))
-                    rows.append((name, order, p, None, _pack(step), _pack(seen[a:b].astype("<u4")), _pack(dev[a:b].astype("<u4")), None, "ask"))
-        yield table(rows, ids)
+        blobs = [_pack(lengths.astype("<i4")), _pack(codes.astype("<i4")), _pack(fold.to_numpy(zero_copy_only=False).astype(np.int8)), _pack(np.diff(keys, prepend=np.uint64(0)))]
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return pa.RecordBatch.from_arrays([pa.array([name]), listed, *(pa.array([b], pa.binary()) for b in blobs)], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me, k, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -170,14 +151,38 @@ def _requests(docs: DataFrame, parts: int) -> DataFrame:
                 held.append(b)
                 size += b.column(1).nbytes
             if size >= BATCH_BYTES:
-                yield from batch_rows(f"{me}-{k}", held)
+                yield row(f"{me}-{k}", held)
                 k, held, size = k + 1, [], 0
         if held:
-            yield from batch_rows(f"{me}-{k}", held)
+            yield row(f"{me}-{k}", held)
 
     return docs.mapInArrow(run, schema)
 
 
+def _requests(stored: DataFrame, parts: int) -> DataFrame:
+    """What each batch asks of each part: keys (a), how often it saw them (b), and that in the deleted fold (c)."""
+    names = ("batch", "ord", "part", "a", "b", "c")
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                lengths, codes, fold, steps = (_unpack(b.column(n)[k].as_py(), t) for n, t in zip("abcd", ("<i4", "<i4", "i1", "<u8")))
+                keys = np.cumsum(steps, dtype=np.uint64)
+                each = np.repeat(fold, lengths)
+                pair_keys, places, _ = _pairs(codes.astype(np.int64), lengths.astype(np.int64), keys)
+                for order, asked, at in ((1, keys, codes), (2, pair_keys, places)):
+                    seen = np.bincount(at[each != 2], minlength=len(asked))
+                    dev = np.bincount(at[each == 1], minlength=len(asked))
+                    cuts = np.searchsorted(_part(asked, parts), np.arange(parts + 1)).tolist()
+                    rows = [
+                        (b.column("batch")[k].as_py(), order, p, _pack(np.diff(asked[i:j], prepend=np.uint64(0))), _pack(seen[i:j].astype("<u4")), _pack(dev[i:j].astype("<u4")))
+                        for p, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], list(names))
+
+    return stored.select("batch", *"abcd").mapInArrow(run, "batch string, ord int, part int, a binary, b binary, c binary")
+
+
 def _answer(asked: pa.Table) -> pa.Table:
     """Sums over all batches for one part, in the order of each batch's request; totals on a row of their own."""
     names = asked.column("batch").to_pylist()
@@ -261,14 +266,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.when(held_out, 2).when(deleted, 1).otherwise(0).alias("fold"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    stored = materialise(_requests(rows, max(1, -(-size // PART_BYTES))), "lm-requests")
+    stored = materialise(_batches(rows), "lm-batches")
 
-    answers = stored.filter("kind = 'ask'").select("batch", "ord", "part", "a", "b", "c").groupBy("ord", "part")
+    answers = _requests(stored, max(1, -(-size // PART_BYTES))).groupBy("ord", "part")
     answers = materialise(answers.applyInArrow(_answer, "ord int, part int, batch string, seen binary, dev binary, n_kinds long, n_seen long, n_dev long"), "lm-answers")
     sums = answers.filter("batch is null and ord = 1").agg(F.sum("n_kinds"), F.sum("n_seen"), F.sum("n_dev")).first()
     totals = tuple(int(x or 0) for x in sums)
 
-    texts = stored.filter("kind = 'text'").select("batch", "doc_ids", "a", "b", "c", "d").groupBy("batch")
+    texts = stored.groupBy("batch")
     id_kind = rows.schema["doc_id"].dataType
     kinds = [T.ArrayType(id_kind), *[T.BinaryType()] * 5, *[T.ArrayType(T.LongType())] * 2]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(LAID, kinds)])
