@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .common import crc32_mod, materialise, small_batches
 
 #: Bytes of text in a batch, about (a longer document is a batch of its own), and for each part.
-BATCH_BYTES, PART_BYTES = 8 << 20, 16 << 20
+BATCH_BYTES, PART_BYTES = 5 << 20, 12 << 20
 #: Buckets: the base-2 logarithm of the context's count, 0 for none.
 BUCKETS = 20
 #: Log ratios to the uniform probability are kept in steps of 1 / STEP nat, in LEVELS levels.
@@ -153,6 +153,7 @@ def _batches(docs: DataFrame) -> DataFrame:
             if size >= BATCH_BYTES:
                 yield row(f"{me}-{k}", held)
                 k, held, size = k + 1, [], 0
+                pa.default_memory_pool().release_unused()
         if held:
             yield row(f"{me}-{k}", held)
 
@@ -211,22 +212,23 @@ def _laid_out(stored: pa.Table, answers: pa.Table, totals: tuple[int, int, int])
     lengths, codes, fold = (_unpack(row[n].as_py(), k) for n, k in (("a", "<i4"), ("b", "<i4"), ("c", "i1")))
     keys = np.cumsum(_unpack(row["d"].as_py(), "<u8"), dtype=np.uint64)
     answers = sorted(answers.select(["ord", "part", "seen", "dev"]).to_pylist(), key=lambda r: (r["ord"], r["part"]))
-    count = {(o, n): np.concatenate([_unpack(r[n], "<u4") for r in answers if r["ord"] == o]).astype(np.int64) for o in (1, 2) for n in ("seen", "dev")}
+    count = {(o, n): np.concatenate([_unpack(r[n], "<u4") for r in answers if r["ord"] == o]) for o in (1, 2) for n in ("seen", "dev")}
     _, places, before = _pairs(codes.astype(np.int64), lengths.astype(np.int64), keys)
     end = codes[np.cumsum(lengths) - 1][0]
-    along = {}
-    for n in ("seen", "dev"):
+    dev = np.flatnonzero(np.repeat(fold, lengths) == 1)
+
+    def along(n: str, at: np.ndarray | slice) -> tuple[np.ndarray, ...]:
         word = count[1, n]
-        along[n] = (np.append(word, word[end])[before], word[codes], count[2, n][places])  # there are as many starts as ends
-    dev = np.repeat(fold, lengths) == 1
-    h, w, p = (along["seen"][k][dev] - along["dev"][k][dev] for k in range(3))
+        return np.append(word, word[end])[before[at]], word[codes[at]], count[2, n][places[at]]  # there are as many starts as ends
+
+    h, w, p = (a.astype(np.int64) - b for a, b in zip(along("seen", dev), along("dev", dev)))
     two = np.where(p > 0, p / np.maximum(h, 1), 0) * (n_kinds + 1.0)
     one = np.where(w > 0, w, 0) / max(1, n_all - n_dev) * (n_kinds + 1.0)
     level = [np.zeros(len(h), dtype=np.int64) for _ in range(2)]
     for x, at in zip((two, one), level):
         at[x > 0] = np.clip(np.round(np.log(x[x > 0]) * STEP) + ZERO_AT, 1, LEVELS - 1)
     cells, counts = np.unique((_bucket(h) * LEVELS + level[0]) * LEVELS + level[1], return_counts=True)
-    blobs = [_pack(lengths), _pack(fold), *(_pack(x.astype("<u4")) for x in along["seen"])]
+    blobs = [_pack(lengths), _pack(fold), *map(_pack, along("seen", slice(None)))]
     ids = row["doc_ids"].values
     out = [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([b], pa.binary()) for b in blobs)]
     out += [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (cells, counts)]
