@@ -4,7 +4,8 @@ A line's tokens (split at white space, those with a digit generalised to ``<*>``
 tree: the first level is the number of tokens, the next levels are the leading tokens. In a leaf,
 lines that agree in at least ``similarity`` of their positions share one template; positions in
 which they differ are its variable fields. A template that occurs in ``min_docs`` documents or more
-recurs: the document with the smallest id keeps its lines, every other document loses them.
+recurs, and a long one, of ``long_tokens`` tokens or more, from two documents on: the document with
+the smallest id keeps its lines, every other document loses them.
 
 Only leaves that hold two or more different lines need their tokens; all else runs on hashes.
 Templates of a leaf are grown in passes: the line with the most documents that has no template yet
@@ -78,11 +79,13 @@ def template_line_dedup(
     min_tokens: int = 3,
     max_templates: int = 8,
     count_col: str | None = None,
+    long_tokens: int = 50,
 ) -> DataFrame:
     """``docs`` with recurring lines dropped, all columns kept, plus n_lines and n_dropped (int).
 
     Lines are split at ``\\n`` and the kept ones joined by it, so a text without recurring lines
-    comes back unchanged. Lines of fewer than ``min_tokens`` tokens recur by chance and stay. A null
+    comes back unchanged. Lines of fewer than ``min_tokens`` tokens recur by chance and stay; ``min_docs``
+    binds lines of fewer than ``long_tokens``, longer ones recur in two documents already. A null
     text stays null (0 lines); an empty text has one empty line. A text whose lines all go becomes
     empty; the row stays. Rows with the same id count as one document; exactly repeated rows get
     the same result. Rows with a null id come after all others. Columns n_lines and n_dropped of
@@ -100,17 +103,18 @@ def template_line_dedup(
     n_tokens = F.when(F.col("shape") == "", 0).otherwise(_occurrences(F.col("shape"), " ") + 1)
     hashed = lines.select("did", "tk", "pos", F.xxhash64("shape").alias("h"), n_tokens.alias("n_tokens"), F.xxhash64(F.substring_index("shape", " ", depth)).alias("lead"))
     hashed = materialise(hashed, "line-hashes").filter(F.col("n_tokens") >= min_tokens)
-    hashed = hashed.select("did", "tk", "pos", "h", F.xxhash64("n_tokens", "lead").alias("leaf"))
-    shapes = hashed.groupBy("h", "leaf", "did").agg(F.lit(1).alias("one")).groupBy("h", "leaf").agg(F.count("*").alias("n_docs"))
+    need = F.when(F.col("n_tokens") >= long_tokens, min(min_docs, 2)).otherwise(min_docs)  # the same in a whole leaf
+    hashed = hashed.select("did", "tk", "pos", "h", F.xxhash64("n_tokens", "lead").alias("leaf"), need.alias("need"))
+    shapes = hashed.groupBy("h", "leaf", "did").agg(F.max("need").alias("need")).groupBy("h", "leaf").agg(F.count("*").alias("n_docs"), F.max("need").alias("need"))
     shapes = materialise(shapes, "line-shapes")
-    leaves = shapes.groupBy("leaf").agg(F.count("*").alias("n_shapes"), F.sum("n_docs").alias("n_docs"))
+    leaves = shapes.groupBy("leaf").agg(F.count("*").alias("n_shapes"), F.sum("n_docs").alias("n_docs"), F.max("need").alias("need"))
     # A template can only recur in a leaf with enough documents; most lines go no further than this.
-    leaves = materialise(leaves.filter(F.col("n_docs") >= min_docs), "line-leaves")
+    leaves = materialise(leaves.filter(F.col("n_docs") >= F.col("need")), "line-leaves")
     templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "shape"), similarity, max_templates)
     busy = hashed.join(leaves.select("leaf"), "leaf", "left_semi")
-    named = busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"))
-    recurring = named.groupBy("template", "did").agg(F.lit(1).alias("one")).groupBy("template")
-    recurring = recurring.agg(F.count("*").alias("n"), F.min("did").alias("owner")).filter(F.col("n") >= min_docs)
+    named = busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"), "need")
+    recurring = named.groupBy("template", "did").agg(F.max("need").alias("need")).groupBy("template")
+    recurring = recurring.agg(F.count("*").alias("n"), F.min("did").alias("owner"), F.max("need").alias("need")).filter(F.col("n") >= F.col("need"))
     drops = named.join(recurring.select("template", "owner"), "template").filter("did > owner")
     drops = drops.groupBy("did", "tk").agg(F.collect_set("pos").alias("__drops"))
 

@@ -75,3 +75,18 @@ def test_character_counts_follow(make_docs):
     rows = [(i, f"boiler plate line of text é\nown {chr(97 + i)} words", "en") for i in range(5)]
     out = template_line_dedup(make_docs(rows), count_col="n_chars").collect()
     assert all(r["n_chars"] == len(r["text"]) for r in out)
+
+
+def test_long_lines_go_from_two_documents_on(make_docs):
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    pool = [" ".join(word() for _ in range(rng.choice([4, 20, 49, 50, 51, 90]))) for _ in range(40)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 4))), "en") for i in range(40)]
+    short, long = ([x for x in pool if (len(x.split()) >= 50) == k] for k in (False, True))
+    docs_of = lambda x: [i for i, t, _ in rows if x in t.split("\n")]
+    assert any(len(docs_of(x)) == 2 for x in short) and any(len(docs_of(x)) == 2 for x in long)
+    owner = {x: min(docs_of(x)) for x in pool if len(docs_of(x)) >= (3 if x in short else 2)}
+    want = {i: "\n".join(x for x in t.split("\n") if owner.get(x, i) >= i) for i, t, _ in rows}
+    assert {g[0]: g[1] for g in run(make_docs(rows))} == want
