@@ -9,9 +9,12 @@ the smallest id keeps its lines, every other document loses them.
 
 Only leaves that hold two or more different lines need their tokens; all else runs on hashes.
 Templates of a leaf are grown in passes: the line with the most documents that has no template yet
-(ties: the larger hash) founds one, and similar lines join it. Passes end when no leaf has two
-lines left, or after ``max_templates``; lines that are left then (a leaf with very many different
-templates) are templates of their own, that is, they are compared exactly.
+(ties: the larger hash) founds one, and similar lines join it. After ``max_templates`` passes over
+whole leaves, what is left goes by buckets: a line's positions below the leading ones are dealt into
+one group more than similar lines may differ in, so similar lines agree in all of some group, and
+share its bucket. In a pass every line that outranks all others in its buckets founds a template,
+and the others take the highest-ranked founder that they are similar to. The founders are those of
+single-file passes, many at a time. Passes end when no lines are left.
 """
 
 from __future__ import annotations
@@ -43,7 +46,21 @@ def _occurrences(text: Column, mark: str) -> Column:
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, similarity: float, max_templates: int) -> DataFrame:
+def _fits(tokens: str, model: str, similarity: float) -> Column:
+    alike = F.aggregate(F.zip_with(tokens, model, lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+    return (alike >= similarity * F.size(tokens)) & (F.size(tokens) > 0)
+
+
+def _buckets(left: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """(h, rank, bucket): similar lines of a leaf share a bucket at least."""
+    size = F.size("tokens")
+    groups = size - F.ceil(size * similarity - 1e-9).cast("int") + 1  # the lines differ in fewer positions
+    dealt = left.select("h", "leaf", "rank", "tokens", F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"), groups.alias("groups"))
+    part = F.filter("tokens", lambda _, i: (i >= depth) & (F.pmod(i - F.col("g"), F.col("groups")) == 0))
+    return dealt.select("h", "rank", F.xxhash64("leaf", "g", part).alias("bucket"))
+
+
+def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: int, similarity: float, max_templates: int) -> DataFrame:
     """(h, template) for lines that take another line's template."""
     crowded = materialise(
         shapes.join(leaves.filter("n_shapes > 1").select("leaf"), "leaf", "left_semi").select("h", "leaf", "n_docs"), "line-crowded"
@@ -58,14 +75,28 @@ def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, similarit
         founders = left.groupBy("leaf").agg(F.max("rank").alias("rank"), F.count("*").alias("n")).filter("n > 1").drop("n")
         founders = left.join(founders, ["leaf", "rank"]).select("leaf", F.col("h").alias("template"), F.col("tokens").alias("model"))
         founders = founders.groupBy("leaf").agg(F.min_by("template", "template").alias("template"), F.min_by("model", "template").alias("model"))
-        alike = F.aggregate(F.zip_with("tokens", "model", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-        joined = left.join(founders, "leaf").withColumn("fits", (alike >= similarity * F.size("tokens")) & (F.size("tokens") > 0))
+        joined = left.join(founders, "leaf").withColumn("fits", _fits("tokens", "model", similarity))
         joined = materialise(joined.select("h", "leaf", "tokens", "rank", "template", "fits"), "line-pass")
         took = joined.filter((F.col("fits")) | (F.col("h") == F.col("template"))).select("h", "template")
         found = took if found is None else found.union(took)
         left = joined.filter(~F.col("fits") & (F.col("h") != F.col("template"))).select("h", "leaf", "tokens", "rank")
         if left.isEmpty():
-            break
+            return found
+    buckets = materialise(_buckets(left, depth, similarity), "line-buckets")
+    while not left.isEmpty():
+        top = buckets.groupBy("bucket").agg(F.max(F.struct("rank", "h")).alias("top"))
+        seen = buckets.join(top, "bucket").groupBy("h").agg(F.collect_set("top").alias("tops"))
+        seen = materialise(seen.select("h", F.forall("tops", lambda t: t["h"] == F.col("h")).alias("founds"), "tops"), "line-seen")
+        founders = seen.filter("founds").select(F.col("h").alias("template"))
+        models = left.join(founders, F.col("h") == F.col("template"), "left_semi").select(F.col("h").alias("template"), F.col("tokens").alias("model"))
+        tried = seen.filter("not founds").select("h", F.explode("tops").alias("top"))
+        tried = tried.select("h", F.col("top.rank").alias("top_rank"), F.col("top.h").alias("template")).join(models, "template")
+        tried = tried.join(left.select("h", "tokens"), "h").filter(_fits("tokens", "model", similarity))
+        took = tried.groupBy("h").agg(F.max_by("template", F.struct("top_rank", "template")).alias("template"))
+        took = materialise(took.union(founders.select(F.col("template").alias("h"), "template")), "line-took")
+        found = took if found is None else found.union(took)
+        left = materialise(left.join(took.select("h"), "h", "left_anti"), "line-left")
+        buckets = materialise(buckets.join(took.select("h"), "h", "left_anti"), "line-buckets")
     return found
 
 
@@ -110,7 +141,7 @@ def template_line_dedup(
     leaves = shapes.groupBy("leaf").agg(F.count("*").alias("n_shapes"), F.sum("n_docs").alias("n_docs"), F.max("need").alias("need"))
     # A template can only recur in a leaf with enough documents; most lines go no further than this.
     leaves = materialise(leaves.filter(F.col("n_docs") >= F.col("need")), "line-leaves")
-    templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "shape"), similarity, max_templates)
+    templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "shape"), depth, similarity, max_templates)
     busy = hashed.join(leaves.select("leaf"), "leaf", "left_semi")
     named = busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"), "need")
     recurring = named.groupBy("template", "did").agg(F.max("need").alias("need")).groupBy("template")

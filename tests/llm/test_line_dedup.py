@@ -90,3 +90,42 @@ def test_long_lines_go_from_two_documents_on(make_docs):
     owner = {x: min(docs_of(x)) for x in pool if len(docs_of(x)) >= (3 if x in short else 2)}
     want = {i: "\n".join(x for x in t.split("\n") if owner.get(x, i) >= i) for i, t, _ in rows}
     assert {g[0]: g[1] for g in run(make_docs(rows))} == want
+
+
+def test_a_leaf_with_many_templates(make_docs):
+    """Unique copies of a template are found after any number of more frequent lines of their leaf."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    lead = "we hereby state"
+    frequent = [f"{lead} {' '.join(word() for _ in range(12))}" for _ in range(15)]
+    fields = [[word() for _ in range(12)] for _ in range(3)]  # three templates, each copy with two words of its own
+    copies = [[f"{lead} {' '.join([word(), *f[1:7], word(), *f[8:]])}" for _ in range(6)] for f in fields]
+    rows = [(i, x, "en") for i, x in enumerate([*frequent, *frequent, *frequent, *[c for cs in copies for c in cs]])]
+    got = {g[0]: g[3] for g in run(make_docs(rows))}
+    assert got == {i: int(i >= 15 and (i - 45) % 6 != 0) if i >= 45 else int(i >= 15) for i in got}
+
+
+def test_buckets_hold_all_similar_pairs(spark):
+    import random
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from marginalia.llm.line_dedup import _buckets
+
+    rng = random.Random(8)
+    lines = []
+    for m in range(4, 24):
+        base = [*"abc", *(rng.choice("xyzuvw") for _ in range(m - 3))]
+        for _ in range(12):
+            t = list(base)
+            for k in range(3, m):
+                if rng.random() < 0.15:
+                    t[k] = rng.choice("xyzuvw")
+            lines.append((len(lines), m, len(lines), t))
+    left = spark.createDataFrame(lines, "h long, leaf long, rank long, tokens array<string>")
+    held = {r["h"]: set(r["b"]) for r in _buckets(left, 3, 0.8).groupBy("h").agg(F.collect_set("bucket").alias("b")).collect()}
+    close = [(a[0], b[0]) for a, b in combinations(lines, 2) if a[1] == b[1] and sum(x == y for x, y in zip(a[3], b[3])) >= 0.8 * a[1]]
+    assert close and all(held[a] & held[b] for a, b in close)
