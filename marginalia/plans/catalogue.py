@@ -455,6 +455,13 @@ def upload_batches(spark, d):
     return snapshot.upload_batches(changes, 100, 20_000)
 
 
+@query(ORACLES["upload_batches"].replace(" WHERE user_id < 20", ""))
+def upload_batches_whole(spark, d):
+    size = F.octet_length(F.concat("event_type", F.coalesce("props", F.lit("")))).cast("long") * 50
+    changes = s.load(spark, d, "events").select(F.col("user_id").alias("vault_id"), F.col("event_id").alias("seq"), size.alias("bytes"))
+    return snapshot.upload_batches(changes, 100, 20_000)
+
+
 @query("SELECT event_id, strlen('{\"action\":\"' || event_type || '\"' || CASE WHEN event_id % 3 <> 0 THEN ',\"changed_at_unix_ms\":' || event_id ELSE '' END || ',\"file_path\":\"f' || event_id || '\"}')::BIGINT AS bytes FROM events")
 def encoded_sizes(spark, d):
     t = s.load(spark, d, "events").select(
@@ -485,6 +492,21 @@ def hash_embedding_norm(spark, d):
     return out.select("id", F.posexplode("vector").alias("pos", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
+#: Production's width, for whole texts. DuckDB's substr for each character is quadratic in a text, so tests hold these against brute force.
+FULL_WIDTH = 1024
+
+
+@query()
+def hash_embedding_whole(spark, d):
+    return term_table(s.documents(spark, d), "doc_id", "text", FULL_WIDTH)
+
+
+@query()
+def hash_embedding_norm_whole(spark, d):
+    out = embed(s.documents(spark, d), "doc_id", "text", FULL_WIDTH)
+    return out.select("id", F.posexplode("vector").alias("pos", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
+
+
 _RESIZED = "(SELECT vec_id, list_concat(embedding::DOUBLE[], list_transform(range(0, 80), lambda x: 0.0::DOUBLE))[1:{n}] AS v FROM embeddings)"
 
 
@@ -516,6 +538,12 @@ def inline_normalize(spark, d):
     return _marked(spark, d).select("doc_id", text.inline_normalised(F.col("t")).alias("plain"))
 
 
+@query(f"SELECT doc_id, {_INLINE} AS plain FROM (SELECT doc_id, '# ' || '**' || text || '** [a](u) `c`' AS t FROM documents)")
+def inline_normalize_whole(spark, d):
+    marked = s.documents(spark, d).select("doc_id", F.concat(F.lit("# **"), "text", F.lit("** [a](u) `c`")).alias("t"))
+    return marked.select("doc_id", text.inline_normalised(F.col("t")).alias("plain"))
+
+
 @query(r"""SELECT doc_id, (i - 1)::INT AS pos, p[i] AS sentence FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?;。！？]*[.!?;。！？]|[^.!?;。！？]+$'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))""")
 def sentence_split(spark, d):
     return s.documents(spark, d).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
@@ -526,6 +554,11 @@ def query_terms(spark, d):
     return s.documents(spark, d).select("doc_id", F.array_join(text.query_terms(F.substring("text", 1, 80)), "|").alias("terms"))
 
 
+@query(ORACLES["query_terms"].replace("substr(text, 1, 80)", "text"))
+def query_terms_whole(spark, d):
+    return s.documents(spark, d).select("doc_id", F.array_join(text.query_terms(F.col("text")), "|").alias("terms"))
+
+
 @query(r"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN '/abs/x' WHEN 1 THEN 'a/../b' WHEN 2 THEN ' a\b/./' || page_id || '.md ' WHEN 3 THEN '' ELSE regexp_replace(url, '^https?:/*', '') END AS raw FROM pages), u AS (SELECT page_id, replace(trim(raw), '\', '/') AS u FROM p)
 SELECT page_id, CASE WHEN u = '' OR u LIKE '/%' OR list_contains(string_split(u, '/'), '..') THEN NULL ELSE nullif(array_to_string(list_filter(string_split(u, '/'), lambda x: x <> '' AND x <> '.'), '/'), '') END AS path FROM u""")
 def path_normalize(spark, d):
@@ -553,6 +586,16 @@ def related_block_render(spark, d):
     return out.select("doc_id", F.sha2(F.col("x").cast("binary"), 256).alias("digest"))
 
 
+@query(ORACLES["related_block_render"].replace("doc_id % 10 AS g", "doc_id // 6 AS g").replace(" WHERE doc_id < 60", "").replace("l.g = d.doc_id % 12", "d.doc_id % 12 < 10 AND l.g = d.doc_id // 6"))
+def related_block_render_whole(spark, d):
+    docs = s.documents(spark, d)
+    group = F.floor(F.col("doc_id") / 6)
+    paths = docs.select(group.alias("g"), "doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("p"))
+    lists = paths.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("doc_id", "p"))).alias("r"))  # groups of six
+    out = docs.withColumn("g", F.when(F.col("doc_id") % 12 < 10, group)).join(lists, "g", "left").select("doc_id", markdown.rendered(F.col("text"), F.col("r.p")).alias("x"))
+    return out.select("doc_id", F.sha2(F.col("x").cast("binary"), 256).alias("digest"))
+
+
 @query(r"""SELECT doc_id, CASE WHEN t = '' THEN '' WHEN length(regexp_replace(t, '[^\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]', '', 'g')) <= length(t) * 0.05 THEN 'text' END AS kind FROM
 (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '' ELSE substr(text, 1, 10) || repeat(chr(7), 2) END AS t FROM documents)""")
 def text_sniff(spark, d):
@@ -562,12 +605,28 @@ def text_sniff(spark, d):
     return out.select("doc_id", F.when(F.col("t") == "", "").when(F.col("t").isNotNull(), "text").alias("kind"))
 
 
+@query(r"""SELECT doc_id, marked, CASE WHEN t = '' THEN '' WHEN length(regexp_replace(t, '[^\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]', '', 'g')) <= length(t) * 0.05 THEN 'text' END AS kind FROM
+(SELECT doc_id, false AS marked, text AS t FROM documents UNION ALL SELECT doc_id, true, text || repeat(chr(7), length(text) // 10 + 1) FROM documents)""")
+def text_sniff_whole(spark, d):
+    docs = s.documents(spark, d)
+    bells = F.repeat(F.lit("\7"), F.floor(F.char_length("text") / 10).cast("int") + 1)
+    both = docs.select("doc_id", F.lit(False).alias("marked"), "text").union(docs.select("doc_id", F.lit(True), F.concat("text", bells)))
+    out = both.select("doc_id", "marked", text.text_of(F.col("text").cast("binary")).alias("t"))
+    return out.select("doc_id", "marked", F.when(F.col("t") == "", "").when(F.col("t").isNotNull(), "text").alias("kind"))
+
+
 @query("SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents WHERE doc_id % 20 = 0")
 def base64_roundtrip(spark, d):
     t = s.documents(spark, d).filter("doc_id % 20 = 0").select("doc_id", text.base64_of(F.col("text").cast("binary")).alias("encoded"))
     return t.select("doc_id", "encoded", text.strict_base64(F.col("encoded")).cast("string").alias("decoded"))
 
 
+@query(ORACLES["base64_roundtrip"].replace(" WHERE doc_id % 20 = 0", ""))
+def base64_roundtrip_whole(spark, d):
+    t = s.documents(spark, d).select("doc_id", text.base64_of(F.col("text").cast("binary")).alias("encoded"))
+    return t.select("doc_id", "encoded", text.strict_base64(F.col("encoded")).cast("string").alias("decoded"))
+
+
 @query("SELECT doc_id, sha256(text) AS digest, strlen(text)::BIGINT AS size_bytes FROM documents")
 def content_digest(spark, d):
     return s.documents(spark, d).select("doc_id", text.digest_of(F.col("text").cast("binary")).alias("digest"), F.octet_length("text").cast("long").alias("size_bytes"))
