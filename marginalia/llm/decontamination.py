@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, small_batches
+from .common import free_names, materialise, release_memory, small_batches
 
 #: Words of a document or an item, after A-Z are lower-cased.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -310,10 +310,11 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which a window of the benchmark occurs; all columns kept."""
     row = F.struct(F.col(id_col).cast("string").alias("i"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-    keyed = docs.withColumn("__row", F.xxhash64(row))
-    found = contamination(keyed, benchmark, "__row", text_col)
-    bad = found.filter(F.size("starts") > 0).select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    (name,) = free_names(docs, "row")
+    keyed = docs.withColumn(name, F.xxhash64(row))
+    found = contamination(keyed, benchmark, name, text_col)
+    bad = found.filter(F.size("starts") > 0).select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(bad, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, materialise, small_batches
+from .common import crc32_mod, free_names, materialise, release_memory, small_batches
 
 #: The bound of the sample of labelled rows that a model is fitted on (about), and of its landmarks.
 TRAIN_ROWS, LANDMARKS = 6000, 160
@@ -174,6 +174,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
                 for k, lang in zip(part, found):
                     langs[k] = lang
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores)], schema.names)
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 
@@ -193,6 +194,6 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_known_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.25) -> DataFrame:
     """``docs`` without the rows that language ID rejects: ``und``, or a score below ``least``."""
     model = fit(docs, F.lit(True), id_col, text_col, lang_col)
-    names = ("__lang_pred", "__score")
-    kept = predict(docs.withColumn("__t", F.col(text_col).cast("string")), model, "__t", names)
+    text, *names = free_names(docs, "t", "lang_pred", "score")
+    kept = predict(docs.withColumn(text, F.col(text_col).cast("string")), model, text, tuple(names))
     return kept.filter((F.col(names[0]) != "und") & (F.col(names[1]) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

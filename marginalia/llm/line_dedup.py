@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, row_keys
+from .common import free_names, materialise, row_keys
 
 #: Bits of the hash in a founder's rank, above which the number of documents stands.
 HASH_BITS = 40
@@ -147,19 +147,20 @@ def template_line_dedup(
     recurring = named.groupBy("template", "did").agg(F.max("need").alias("need")).groupBy("template")
     recurring = recurring.agg(F.count("*").alias("n"), F.min("did").alias("owner"), F.max("need").alias("need")).filter(F.col("n") >= F.col("need"))
     drops = named.join(recurring.select("template", "owner"), "template").filter("did > owner")
-    drops = drops.groupBy("did", "tk").agg(F.collect_set("pos").alias("__drops"))
+    drops = drops.groupBy("did", "tk").agg(F.collect_set("pos").alias("drops"))
 
-    keyed = docs.select(*[F.col(f"`{c}`") for c in spare], *[k.alias(f"__{n}") for n, k in zip(("did", "tk"), row_keys(id_col, text_col), strict=True)])
-    out = keyed.join(drops.select(F.col("did").alias("__did"), F.col("tk").alias("__tk"), "__drops"), ["__did", "__tk"], "left")
+    did, tk, gone = free_names(docs, "did", "tk", "drops")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in spare], *[k.alias(n) for n, k in zip((did, tk), row_keys(id_col, text_col), strict=True)])
+    out = keyed.join(drops.select(F.col("did").alias(did), F.col("tk").alias(tk), F.col("drops").alias(gone)), [did, tk], "left")
     parts = F.split(text, "\n")
     n_lines = F.coalesce(_occurrences(text, "\n") + 1, F.lit(0))
-    kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col("__drops"))
-    cleaned = F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col(gone))
+    cleaned = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
 
     out = out.select(
         *[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in spare],
         n_lines.alias("n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).alias("n_dropped"))
+        F.coalesce(F.size(gone), F.lit(0)).alias("n_dropped"))
     if count_col is None:
         return out
     # In a projection of its own: Spark 4.1 evaluates a lambda wrongly when one projection holds it twice.

@@ -1,11 +1,17 @@
-"""Operator 7, SimHash near-dedup: tiled exact comparison of 64-bit fingerprints.
+"""Operator 7, SimHash near-dedup: tiled exact comparison of fingerprints.
 
-Two fingerprints at ``radius`` or fewer differing bits agree wholly in one of ``radius + 1`` bands
-of bits, so fingerprints that share a band value are compared with each other and no link is lost.
-What shares a band value is cut into tiles. A small one is a single tile; a large one is cut by the
-number of one bits and, above ``TILE`` fingerprints of one count, by hash. Pairs of tiles whose
-population counts differ by more than the radius are skipped: they can't hold a link. A pair of
-tiles is compared by numpy exclusive-or and bit counts in a Spark task of bounded size.
+Fingerprints are compared with those that share a key with them. For the report, 64-bit fingerprints
+at ``radius`` or fewer differing bits agree wholly in one of ``radius + 1`` bands of bits, so the
+bands' values are the keys and no link is lost. For near copies (:func:`keep_one_each`) fingerprints
+have 1024 bits, of five-word shingles: the share of differing bits estimates the angle between two
+texts, and the radius is that of a similarity of 0.8. There the keys are anchors, pairs of the text's
+smallest shingles under different orders; texts of similarity 0.8 share one of six with probability
+0.998.
+
+What shares a key is cut into tiles. A small one is a single tile; a large one is cut by the number
+of one bits and, above ``TILE`` fingerprints of one count, by hash. Pairs of tiles whose population
+counts differ by more than the radius are skipped: they can't hold a link. A pair of tiles meets
+under a key of its own and is compared by numpy exclusive-or and bit counts.
 
 A tile pair reports a spanning forest of its links instead of all of them, so a group of n near
 copies gives about n rows; the components of the forest are those of the links.
@@ -22,43 +28,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, row_keys, small_batches
+from .common import free_names, materialise, release_memory, row_keys, small_batches
 from .components import connected_components
 
 #: Fingerprints in a tile, about.
 TILE = 1024
 #: Tiles up to this size are compared many at once.
 TINY = 48
-#: The bits of each byte value, lowest first.
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-COLUMN = np.arange(8, dtype=np.int64) * 256
+#: 64-bit words of a wide fingerprint, words of its shingles, and differing bits of near copies at most. At a
+#: similarity of 0.8 texts differ in 155 of 1024 bits, give or take 12; at 0.7, in 205.
+WIDE, SHINGLE, NEAR = 16, 5, 172
+#: Anchors of a text: its smallest shingles under two orders each.
+ANCHORS = 6
+ODD = (np.arange(1, 2 * ANCHORS + WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The signed 64-bit SimHash of a text's ``width``-word shingles; 0 if it has no word."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's ``width``-word shingles, repeats included; of all its words if there are fewer."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII blanks only
-    if not words:
-        return 0
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = np.array([digest(joined, 42)], dtype=np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(words) - width + 1].tolist()
-        hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
-    counts = np.zeros(2048, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        counts += np.bincount((hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8) + COLUMN).ravel(), minlength=2048)
-    ones = (counts.reshape(8, 256) @ BITS).ravel()
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+        return np.array([digest(joined, 42)] if words else [], dtype="<u8")
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(words) - width + 1].tolist()
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[width - 1 :].tolist())], dtype="<u8")
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
+    """64-bit words whose bits are set in over half of the rows of ``hashes`` (rows, words)."""
+    raw = np.ascontiguousarray(hashes, dtype="<u8").view(np.uint8)
+    counts = np.zeros(8 * raw.shape[1], dtype=np.int64)
+    for at in range(0, len(raw), 255):  # as many as a byte can count
+        counts += np.add.reduce(np.unpackbits(raw[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(raw), bitorder="little").view("<i8")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The signed 64-bit SimHash of a text's ``width``-word shingles; 0 if it has no word."""
+    hashes = shingle_hashes(text, width)
+    return int(_majority(hashes[:, None])[0]) if len(hashes) else 0
 
 
 @F.pandas_udf(T.LongType())
 def fingerprint_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+    release_memory()
+
+
+def wide_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the 1024-bit SimHash of five-word shingles, anchors); all zero if the text has no word."""
+    hashes = shingle_hashes(text, SHINGLE)
+    if not len(hashes):
+        return np.zeros(WIDE, dtype="<i8"), np.zeros(ANCHORS, dtype="<i8")
+    bits = np.zeros(8 * 8 * WIDE, dtype=np.int64)
+    for at in range(0, len(hashes), 255):
+        x = hashes[at : at + 255, None] * ODD[None, :WIDE]
+        x = ((x ^ (x >> np.uint64(29))) * ODD[1]) ^ (x >> np.uint64(32))
+        bits += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    least = np.array([(hashes * k).min() for k in ODD[WIDE:]])
+    anchors = (least[::2] ^ (least[1::2] >> np.uint64(7))) * np.uint64(8) + np.arange(ANCHORS, dtype=np.uint64)
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8"), anchors.view("<i8")
+
+
+@F.pandas_udf(T.StructType([T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def wide_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in batches:
+        rows = [wide_fingerprint(t) for t in texts]
+        yield pd.DataFrame({"bits": [b for b, _ in rows], "keys": [k for _, k in rows]})
+    release_memory()
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,50 +117,61 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+    """Places (i, j) of the rows of ``a`` and ``b`` (rows, words) at ``radius`` or fewer differing bits."""
+    step = max(1, (1 << 20) // max(1, b.size))
+    found = []
+    for at in range(0, len(a), step):
+        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]).sum(axis=2, dtype=np.int32) <= radius)
+        found.append((i + at, j))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _tiny_links(tiles: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, i, j): links within each of many small tiles, found together."""
-    tiles = sorted(tiles, key=len)
+def _tiny_links(tiles: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): links within each of many small tiles that stand in a row, found together."""
     sizes = np.array([len(t) for t in tiles])
     values, left = np.concatenate(tiles), np.concatenate([np.arange(n, 0, -1) for n in sizes])
     found_i, found_j = [], []
     for d in range(1, int(sizes.max())):
         i = np.flatnonzero(left > d)  # a later one of the same tile is d places on
-        i = i[np.bitwise_count(values[i] ^ values[i + d]) <= radius]
+        i = i[np.bitwise_count(values[i] ^ values[i + d]).sum(axis=1, dtype=np.int32) <= radius]
         found_i.append(i)
         found_j.append(i + d)
-    return values, np.concatenate(found_i), np.concatenate(found_j)
+    return np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _compare(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
-    """Rows (fps, others): a tile with itself, or with another tile, to a forest of their links."""
+    """Rows of one tile, or of a tile and another: (nodes, bits) each, to a forest of their links."""
 
-    def rows(values, i, j):
-        node, root = _forest(len(values), i, j)
-        return pd.DataFrame({"u": values[node].view(np.int64), "v": values[root].view(np.int64)})
+    def tile(nodes, bits) -> tuple[np.ndarray, np.ndarray]:
+        nodes = np.asarray(nodes, dtype=np.int64)
+        return nodes, (nodes[:, None] if bits is None else np.concatenate(bits).reshape(len(nodes), -1)).view(np.uint64)
+
+    def rows(nodes, i, j):
+        node, root = _forest(len(nodes), i, j)
+        return pd.DataFrame({"u": nodes[node], "v": nodes[root]})
 
     for batch in batches:
         tiny = []
-        for fps, others in zip(batch["fps"], batch["others"]):
-            a = np.asarray(fps, dtype=np.int64).view(np.uint64)
-            if others is not None:
-                b = np.asarray(others, dtype=np.int64).view(np.uint64)
+        for tiles in batch["tiles"]:
+            (names, a), *more = [tile(t["nodes"], t["bits"]) for t in tiles]
+            if more:
+                (others, b), = more
                 i, j = _near(a, b, radius)
                 if len(i):
-                    yield rows(np.concatenate([a, b]), i, j + len(a))
+                    yield rows(np.concatenate([names, others]), i, j + len(a))
             elif len(a) <= TINY:
-                tiny.append(a)
+                tiny.append((names, a))
             else:
                 i, j = _near(a, a, radius)
                 keep = i < j
                 if keep.any():
-                    yield rows(a, i[keep], j[keep])
+                    yield rows(names, i[keep], j[keep])
         if tiny:
-            values, i, j = _tiny_links(tiny, radius)
+            tiny.sort(key=lambda t: len(t[0]))
+            i, j = _tiny_links([a for _, a in tiny], radius)
             if len(i):
-                yield rows(values, i, j)
+                yield rows(np.concatenate([n for n, _ in tiny]), i, j)
+    release_memory()
 
 
 def _band_keys(fp: Column, bands: int) -> Column:
@@ -130,62 +181,79 @@ def _band_keys(fp: Column, bands: int) -> Column:
         for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
-    """A spanning forest (u, v) of all pairs in ``distinct`` (fp) at ``radius`` or fewer differing bits."""
-    entries = distinct.select("fp", F.bit_count("fp").alias("pop"), F.explode(_band_keys(F.col("fp"), radius + 1)).alias("key"))
+def _tile_links(entries: DataFrame, radius: int) -> DataFrame:
+    """A spanning forest (u, v) of the links among ``entries`` (node, pop, bits, key) that share a key."""
     counts = entries.groupBy("key", "pop").agg(F.count("*").alias("c"))
-    counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).filter("n > 1")  # 65 counts a key at most
+    counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).filter("n > 1")  # a row a population count
     cut = F.col("n") > TILE
     counts = counts.select(
         "key", "pop", F.when(cut, F.col("pop")).otherwise(-1).alias("tile"),
         F.when(cut, F.ceil(F.col("c") / TILE)).otherwise(1).alias("chunks"))
-    tiles = entries.join(counts, ["key", "pop"]).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")))
-    tiles = tiles.groupBy("key", "tile", "chunk").agg(F.collect_list("fp").alias("fps"))
-    tiles = materialise(tiles, "simhash-tiles")
-    alone = tiles.filter(F.size("fps") > 1).select("fps", F.lit(None).cast("array<bigint>").alias("others"))
-    large = tiles.filter("tile >= 0")
-    other = large.select("key", F.col("tile").alias("tile2"), F.col("chunk").alias("chunk2"), F.col("fps").alias("others"))
-    across = large.join(other, "key").filter(
+    counts = materialise(counts, "simhash-counts")
+    tiles = entries.join(counts, ["key", "pop"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    tiles = tiles.groupBy("key", "tile", "chunk").agg(F.collect_list("node").alias("nodes"), F.collect_list("bits").alias("bits"))
+    bits = F.when(F.size("bits") > 0, F.col("bits"))
+    tiles = materialise(tiles.select("key", "tile", "chunk", F.struct("nodes", bits.alias("bits")).alias("t")), "simhash-tiles")
+    alone = tiles.filter(F.size("t.nodes") > 1).select(F.array("t").alias("tiles"))
+
+    # A large key's tiles within the radius meet two by two: each pair under a name of its own.
+    large = counts.filter("tile >= 0").select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    other = large.select("key", F.col("tile").alias("tile2"), F.col("chunk").alias("chunk2"))
+    pairs = large.join(other, "key").filter(
         F.col("tile2").between(F.col("tile"), F.col("tile") + radius)
         & ((F.col("tile2") > F.col("tile")) | (F.col("chunk2") > F.col("chunk"))))
-    pairs = alone.union(across.select("fps", "others"))
-    return pairs.mapInPandas(lambda batches: _compare(batches, radius), "u long, v long")
+    pairs = pairs.withColumn("pair", F.xxhash64("key", "tile", "chunk", "tile2", "chunk2"))
+    sides = pairs.select("pair", "key", "tile", "chunk").union(pairs.select("pair", "key", "tile2", "chunk2"))
+    met = tiles.filter("tile >= 0").join(sides, ["key", "tile", "chunk"]).groupBy("pair").agg(F.collect_list("t").alias("tiles"))
+    return alone.union(met.select("tiles")).mapInPandas(lambda batches: _compare(batches, radius), "u long, v long")
+
+
+def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+    """A spanning forest (u, v) of all pairs in ``distinct`` (fp) at ``radius`` or fewer differing bits."""
+    keys = F.explode(_band_keys(F.col("fp"), radius + 1)).alias("key")
+    return _tile_links(distinct.select(F.col("fp").alias("node"), F.bit_count("fp").alias("pop"), F.lit(None).cast("array<bigint>").alias("bits"), keys), radius)
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """(doc_id, tk, fp, component_id) for every row; component_id: the smallest doc_id reachable by links.
+def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id (the smallest doc_id reachable by links) of every row.
 
     Null and blank texts have fingerprint zero and link like any other. Null ids take part and never
     are a component_id, unless a component has no other. Repeated rows each come back. An empty table
-    gives no rows. Further columns are ignored. tk is a hash of the text.
+    gives no rows. Further columns are ignored.
     """
     small_batches(docs.sparkSession)
-    text = F.col(text_col).cast("string")
-    prints = docs.select(F.col(id_col).alias("doc_id"), row_keys(id_col, text_col)[1], fingerprint_udf(text).alias("fp"))
+    prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(F.col(text_col).cast("string")).alias("fp"))
     prints = materialise(prints, "simhash-prints")
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     roots = connected_components(near_links(first.select("fp"), radius))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "tk", "fp", "component_id")
-
-
-def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
-    parts = simhash_components(docs, id_col, text_col)
+    parts = prints.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
     return parts.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near copies: of each component, the row with its smallest id stays, once.
+    """``docs`` without near copies: of each group, the row with its smallest id stays, once; all columns kept.
 
-    Components without any id keep the row with the smallest text hash.
+    Groups are the components of links between texts whose five-word shingles have a similarity of
+    about 0.8 or more (:data:`NEAR` differing bits of 1024). Letter case of A-Z and blanks don't
+    count. Texts without a word (null, empty, blank) are one group. Shorter texts than five words are
+    one shingle. Rows with a null id come after all others, the smallest text hash first. Repeated
+    rows count as copies. An empty table gives no rows.
     """
-    parts = simhash_components(docs, id_col, text_col)
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod("tk", F.lit(1 << 61)))
-    keep = parts.select(did.alias("__did"), F.col("tk").alias("__tk"), "fp", F.coalesce("component_id", F.lit(-1)).alias("component_id"))
-    nameless = F.when(F.col("component_id") == -1, F.col("fp"))
-    best = keep.groupBy("component_id", nameless.alias("fp")).agg(F.min(F.struct("__did", "__tk")).alias("best")).select("best.*")
-    keys = [k.alias(f"__{n}") for n, k in zip(("did", "tk"), row_keys(id_col, text_col), strict=True)]
-    kept = docs.select("*", *keys).join(best, ["__did", "__tk"], "left_semi").dropDuplicates(["__did", "__tk"])
+    small_batches(docs.sparkSession)
+    keys = row_keys(id_col, text_col)
+    prints = docs.select(*keys, wide_udf(F.col(text_col).cast("string")).alias("p"))
+    prints = materialise(prints.select("did", "tk", "p.bits", "p.keys", F.xxhash64("p.bits").alias("node")), "simhash-wide")
+    first = prints.groupBy("node").agg(F.min(F.struct("did", "tk", "keys", "bits")).alias("first"))
+    first = materialise(first.select("node", "first.*"), "simhash-distinct")
+    pop = F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
+    entries = materialise(first.select("node", pop.alias("pop"), "bits", "keys"), "simhash-pops")
+    entries = entries.select("node", "pop", "bits", F.explode(F.array_distinct("keys")).alias("key"))
+    roots = connected_components(_tile_links(entries, NEAR))
+    rooted = first.select("node", "did", "tk").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("did", "tk").alias("row"))
+    best = rooted.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
+    did, tk = free_names(docs, "did", "tk")
+    keyed = docs.select("*", keys[0].alias(did), keys[1].alias(tk))
+    kept = keyed.join(best.select(F.col("did").alias(did), F.col("tk").alias(tk)), [did, tk], "left_semi").dropDuplicates([did, tk])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that operators use inside, as further columns of an input.
-CLASHES = ["did", "tk", "t", "h", "key", "fold", "link", "shard", "slot", "size", "bucket", "rank", "part", "n_lines", "score", "lang_pred", "fp", "root", "node", "block", "items", "starts", "sample", "ids", "batch", "text_crc32"]
+CLASHES = ["did", "tk", "t", "h", "key", "fold", "link", "shard", "slot", "size", "bucket", "rank", "part", "n_lines", "score", "lang_pred", "fp", "root", "node", "block", "items", "starts", "sample", "ids", "batch", "text_crc32", "row", "drops", "body", "pos", "bits", "keys", "__did", "__tk", "__drops", "__score", "__lang_pred", "__t", "__row"]
 
 
 @pytest.fixture(scope="session")

@@ -96,5 +96,41 @@ def test_one_of_each_group_stays(make_docs, odd_rows, prose):
     assert 50 in ids and not {51, 52, 53, 54} & set(ids) and ids.count(4) == 1 and 5 not in ids and 1 in ids and 2 not in ids
 
 
+def jaccard(a, b):
+    sets = []
+    for t in (a, b):
+        w = t.lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_against_brute_force_similarity(make_docs, prose):
+    """Pairs of a known five-word similarity: nearly all from 0.8 on are found, and few below 0.7."""
+    rng = random.Random(3)
+    rows, pairs = [], []
+    for k in range(300):
+        words = prose(1000 + k, 60 + 3 * k % 300, words=3000).split()
+        other = list(words)
+        for _ in range(rng.randrange(0, 1 + len(words) // 14)):
+            other[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(other), "en")]
+        pairs.append((2 * k + 1, jaccard(rows[-2][1], rows[-1][1])))
+    kept = {r["doc_id"] for r in simhash.keep_one_each(make_docs(rows)).collect()}
+    assert {2 * k for k in range(300)} <= kept
+    near, far = [i for i, j in pairs if j >= 0.8], [i for i, j in pairs if j < 0.7]
+    assert len(near) > 60 and sum(i not in kept for i in near) >= 0.95 * len(near)
+    assert len(far) > 30 and sum(i in kept for i in far) >= 0.97 * len(far)
+
+
+def test_a_large_group_of_near_copies(make_docs, prose, monkeypatch):
+    """More copies under one anchor than a tile holds."""
+    monkeypatch.setattr(simhash, "TILE", 16)
+    base = prose(77, 200, words=3000).split()
+    rows = [(i, " ".join([*base[:100], f"n{i}", *base[100:]]), "en") for i in range(150)]
+    rows += [(1000 + i, prose(2000 + i, 80, words=3000), "en") for i in range(20)]
+    kept = {r["doc_id"] for r in simhash.keep_one_each(make_docs(rows)).collect()}
+    assert kept == {0, *range(1000, 1020)}
+
+
 def test_empty_table(make_docs):
     assert simhash.simhash_report(make_docs([])).count() == 0 and simhash.keep_one_each(make_docs([])).count() == 0
