@@ -6,10 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Multiplier of the rolling hash of code points, and those of the two tables.
+#: Multiplier of the rolling hash of code points, and the first of those of the tables.
 BASE = np.uint64(0x9E3779B97F4A7C15)
-SALTS = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-SLOT_BITS = 21
+SALT = 0xC2B2AE3D27D4EB4F
+#: Bits of a table's slots: a few tables of 3 MB hold all prefixes of 32,000 pieces.
+SLOT_BITS = 18
 MARK = "▁"
 
 
@@ -29,7 +30,9 @@ class Pieces:
         names = [sp.id_to_piece(i) for i in range(self.size)]
         self.byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], dtype=np.int64)
         bytes_of = {int(i): bytes([b]) for b, i in enumerate(self.byte_ids)}
-        plain = [i for i, n in enumerate(names) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and (n == MARK or MARK not in n[1:])]
+        plain = [i for i in range(self.size) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+        if any(MARK in names[i].lstrip(MARK) for i in plain):
+            raise ValueError("a piece with a space after another character would cross the units of a text")
         self.bytes = [bytes_of.get(i, n.replace(MARK, " ").encode()) for i, n in enumerate(names)]
         ranks = np.array([max(0.0, -sp.get_score(i)) for i in range(self.size)])
         self.weights = -power * np.log(np.minimum(ranks, self.size) + 2)
@@ -43,19 +46,16 @@ class Pieces:
         self.longest = max(map(len, prefixes), default=1)
         hashes = np.array([self._hash(p) for p in prefixes], dtype=np.uint64)
         values = np.fromiter(prefixes.values(), dtype=np.int64, count=len(prefixes))
-        self.tables = []
-        for salt in (*SALTS, None):
-            if salt is None:
-                assert not len(hashes), "prefixes collide in both tables"
-                break
-            slots = (hashes * salt) >> np.uint64(64 - SLOT_BITS)
+        self.tables, salt = [], SALT
+        while len(hashes):  # what finds its slot taken goes into the next table
+            slots = (hashes * np.uint64(salt)) >> np.uint64(64 - SLOT_BITS)
             _, first = np.unique(slots, return_index=True)
             keys, found = np.zeros(1 << SLOT_BITS, dtype=np.uint64), np.full(1 << SLOT_BITS, -2, dtype=np.int32)
             keys[slots[first]], found[slots[first]] = hashes[first], values[first]
-            self.tables.append((salt, keys, found))
+            self.tables.append((np.uint64(salt), keys, found))
             rest = np.ones(len(hashes), dtype=bool)
             rest[first] = False
-            hashes, values = hashes[rest], values[rest]
+            hashes, values, salt = hashes[rest], values[rest], salt * int(BASE) & (1 << 64) - 1
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -115,7 +115,7 @@ def build(pieces: Pieces, points: np.ndarray, sizes: np.ndarray) -> Lattice:
         count[at + 1] += 1
     first = np.cumsum(count)
     total = int(first[-1])
-    target, which, ptr = np.empty(total, dtype=np.int64), np.empty(total, dtype=np.int64), first[:-1].copy()
+    target, which, ptr = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.int32), first[:-1].copy()
     for at, piece, length in found:
         place = ptr[at]
         ptr[at] += 1
@@ -134,7 +134,7 @@ def build(pieces: Pieces, points: np.ndarray, sizes: np.ndarray) -> Lattice:
         value = weight[edges] + mass[target[edges]]
         top = np.maximum.reduceat(value, begin)
         mass[at] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), begin))
-    source = np.repeat(np.arange(n_nodes), np.diff(first))
+    source = np.repeat(np.arange(n_nodes, dtype=np.int32), np.diff(first))
     chance = np.exp(weight + mass[target] - mass[source])
     running = np.cumsum(chance)
     cum = running - np.append(0.0, running)[first[source]]
@@ -154,14 +154,14 @@ def uniform(keys: np.ndarray, stream: np.ndarray | int, index: np.ndarray) -> np
 def walk(lattice: Lattice, nodes: np.ndarray, keys: np.ndarray, stream: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(edges, counts): a path drawn from each node to its string's end, edges of all paths in a row.
 
-    ``index`` numbers the walkers of a row key; step s of walker i draws number (i << 10) + s.
+    ``index`` numbers the walkers of a row key; step s of walker i draws number (i << 32) + s.
     """
     counts = np.zeros(len(nodes), dtype=np.int64)
     active, at, steps = np.flatnonzero(~lattice.end[nodes]), nodes, []
     at = nodes[active]
     step = 0
     while len(active):
-        u = uniform(keys[active], stream[active], (index[active] << 10) + step)
+        u = uniform(keys[active], stream[active], (index[active] << 32) + step)
         edge = lattice.first[at]
         low = np.flatnonzero(lattice.cum[edge] < u)
         while len(low):

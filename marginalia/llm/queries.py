@@ -13,7 +13,7 @@ from .common import table
 from .language_id import language_report
 from .line_dedup import template_line_dedup
 from .lm_scoring import lm_scores
-from .sentencepiece_sampling import encoding_report
+from .sentencepiece_sampling import sampled_encodings
 from .sharding import balanced_label_propagation
 from .simhash import simhash_report
 from .token_counts import token_counts
@@ -58,7 +58,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_report(table(spark, sf_dir, "documents"))
+    return sampled_encodings(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,9 +1,10 @@
 """Operator 10, SentencePiece encoding and decoding: Gumbel top-k without replacement.
 
-A text's lattice is the chain of the lattices of its words (a word is what stands between spaces,
-with the space before it). Its paths have probabilities in proportion to the product of their
-pieces' weights. Perturbing each path's log probability by Gumbel noise and taking the ``k`` largest
-gives ``k`` distinct paths, a sample without replacement.
+A text's lattice is the chain of the lattices of its units: a unit is a run of spaces with the other
+characters up to the next space, and no piece crosses from one to the next. Its paths have
+probabilities in proportion to the product of their pieces' weights. Perturbing each path's log
+probability by Gumbel noise and taking the ``k`` largest gives ``k`` distinct paths, a sample without
+replacement.
 
 The search finds them without listing paths. The whole lattice's largest perturbed value is drawn
 first, then the path that has it. What remains is split by the step at which a path first leaves an
@@ -17,6 +18,7 @@ among the emitted ones given the next largest perturbed value: 1 - exp(-exp(log
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,12 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import release_memory, small_batches
 from .piece_lattice import MARK, Lattice, Pieces, build, uniform, walk
 
-#: Characters of text taken at once (a longer text is taken alone), and of a word's lattice; longer
-#: words are cut, so that no piece crosses a cut.
-SLICE_BYTES, WORD = 2 << 20, 256
+#: Bytes of text taken at once; a longer text is taken alone. A slice needs about 200 bytes of memory a byte.
+SLICE_BYTES = 512 << 10
 
 
 @lru_cache(maxsize=2)
@@ -42,32 +43,32 @@ def worker_pieces(model_path: str | None = None, power: float = 1.0) -> Pieces:
     return Pieces(model_path or public_tokenizers.path("piece_bpe_32k.model"), power)
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, sizes) of the distinct words, and (word of each place, places of each text)."""
-    parts = pc.split_pattern(texts, " ")
-    coded = parts.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    places = np.diff(parts.offsets.to_numpy())
-    empty = pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0
-    if empty.any():  # an empty text has no word at all
-        codes = codes[np.repeat(~empty, places)]
-        places = np.where(empty, 0, places)
-    if max(map(len, names), default=0) >= WORD:
-        cut = [[(MARK + n)[k : k + WORD] for k in range(0, len(n) + 1, WORD)] for n in names]
-        n_cut = np.array([len(c) for c in cut])
-        begin = np.cumsum(n_cut) - n_cut
-        owner = np.repeat(np.arange(len(places)), places)
-        n = n_cut[codes]
-        places = np.bincount(owner, weights=n, minlength=len(places)).astype(np.int64)
-        codes = np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        names = [w for c in cut for w in c]
-        sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
-        joined = "".join(names)
-    else:
-        sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names)) + 1
-        joined = MARK + MARK.join(names) if names else ""
-    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64), sizes, codes, places
+def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, sizes) of the distinct units, and (unit of each place, places of each text).
+
+    A space stands before every text that isn't empty; the mark of spaces in a text is a space.
+    """
+    if pc.any(pc.match_substring(texts, MARK)).as_py():
+        texts = pc.replace_substring(texts, MARK, " ")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, dtype=np.uint8)
+    full = np.diff(ends) > 0
+    begin = ends[:-1] - ends[0]
+    raw = np.insert(raw, begin[full], ord(" "))
+    begin = begin + np.cumsum(full) - full
+    space = raw == ord(" ")
+    head = space.copy()
+    head[1:] &= ~space[:-1]
+    head[begin[full]] = True
+    cuts = np.append(np.flatnonzero(head), len(raw))
+    units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(raw))
+    coded = units.dictionary_encode()
+    names = coded.dictionary
+    points = np.frombuffer("".join(names.to_pylist()).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    points[points == ord(" ")] = ord(MARK)
+    places = np.diff(np.searchsorted(cuts[:-1], np.append(begin, len(raw))))
+    return points, pc.utf8_length(names).to_numpy(), coded.indices.to_numpy().astype(np.int64), places
 
 
 class Paths:
@@ -94,7 +95,8 @@ class Paths:
             noise = -np.log(uniform(keys[rows][owner], stream, step + (1 << 40)))
             self.best = np.full(len(edges), -np.inf)
             some = np.flatnonzero(mass > -np.inf)
-            self.best[some] = -np.log(np.exp(-value[owner[some]]) + noise[some] * np.exp(-np.maximum(mass[some], -700)))
+            below = -np.logaddexp(-value[owner[some]], np.log(noise[some]) - mass[some])
+            self.best[some] = np.minimum(below, value[owner[some]])
 
     def top(self, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
         """For each text the largest value of a region here, and its step; -inf if none."""
@@ -119,7 +121,8 @@ def sample_paths(lattice: Lattice, codes: np.ndarray, places: np.ndarray, keys:
     lengths = np.bincount(owner, weights=counts, minlength=n).astype(np.int64)
     value = -np.log(-np.log(uniform(keys, 1, np.zeros(n, dtype=np.int64))))
     with np.errstate(divide="ignore"):
-        log_chance = np.log(lattice.chance)
+        # In steps of 2^-30 sums are exact, so that a text's scores don't depend on what stands before it.
+        log_chance = np.round(np.log(lattice.chance) * 2.0**30) / 2.0**30
     emitted = [Paths(np.arange(n), edges, lengths, log_chance[edges], value, lattice, keys, 2, None, None)]
     gone: list[dict[tuple[int, int], list[int]]] = [{}]  # edges that a region at a step leaves out, beside the path's own
     word_of = [np.repeat(np.arange(len(codes)), counts)]
@@ -154,7 +157,7 @@ def sample_paths(lattice: Lattice, codes: np.ndarray, places: np.ndarray, keys:
             prefix.append(path.edges[path.begin[me] : at])
             prefix_words.append(word_of[parent[i]][path.begin[me] : at + 1])
             resume[j] = word_of[parent[i]][at]
-        # The rest of the word in which the path leaves its parent, and all later words of the text, are drawn anew.
+        # The rest of the unit in which the path leaves its parent, and all later units of the text, are drawn anew.
         last = np.cumsum(places)[rows]
         later = last - resume
         who = np.repeat(np.arange(len(rows)), later)
@@ -205,7 +208,7 @@ def decode(pieces: Pieces, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
 
 def _samples(texts: pa.Array, keys: np.ndarray, k: int, pieces: Pieces) -> Iterator[tuple[int, *tuple[np.ndarray, ...]]]:
     """For each sample number: (number, texts that have it, ids, their counts, log_prob, perturbed, inclusion, log_inclusion)."""
-    points, sizes, codes, places = _words(texts)
+    points, sizes, codes, places = _units(texts)
     lattice = build(pieces, points, sizes)
     emitted, after = sample_paths(lattice, codes, places, keys, k)
     for r, path in enumerate(emitted):
@@ -220,19 +223,21 @@ def _samples(texts: pa.Array, keys: np.ndarray, k: int, pieces: Pieces) -> Itera
 def sampled_encodings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2, model_path: str | None = None, power: float = 1.0, seed: int = 0
 ) -> DataFrame:
-    """doc_id, sample, ids, n_pieces, log_prob, perturbed, inclusion, log_inclusion and decoded of every row's whole text.
-
-    sample counts from 1 in falling order of the perturbed log probability; log_inclusion is the
-    logarithm of inclusion, which for long texts is too small for a double. ids are little-endian unsigned 32-bit numbers in a binary; decoded is the text that they stand for. A text with fewer
-    than ``k`` segmentations gives fewer rows, each with inclusion 1; a null or empty text gives one
-    row without ids. The noise depends on ``seed``, id and text only, so repeated rows give the same
-    samples and results don't depend on partitions. Null ids are kept. An empty table gives no rows.
-    Further columns are ignored.
+    """doc_id, sample, ids, n_pieces, log_prob, perturbed, inclusion, log_inclusion, decoded_crc32 and n_bytes of every whole text.
+
+    sample counts from 1 in falling order of the perturbed log probability; ids is an array of int.
+    log_inclusion is the logarithm of inclusion, which for long texts is too small for a double.
+    The last two tell the text that the ids stand for (see :func:`decode_ids`): its unsigned crc32
+    and its UTF-8 length. That is the given text, but for the mark of spaces (U+2581), which decodes
+    to a space, as with the library. A text with fewer than ``k`` segmentations gives fewer rows, each with
+    inclusion 1; a null or empty text gives one row without ids. The noise depends on ``seed``, id and
+    text only, so repeated rows give the same samples and results don't depend on partitions. Null
+    ids are kept. An empty table gives no rows. Further columns are ignored.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), text).alias("key"), text.alias("t"))
-    fields = [("sample", T.IntegerType()), ("ids", T.BinaryType()), ("n_pieces", T.LongType()), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("log_inclusion", T.DoubleType()), ("decoded", T.StringType())]
+    fields = [("sample", T.IntegerType()), ("ids", T.ArrayType(T.IntegerType())), ("n_pieces", T.LongType()), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("log_inclusion", T.DoubleType()), ("decoded_crc32", T.LongType()), ("n_bytes", T.LongType())]
     schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, t) for n, t in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,18 +251,30 @@ def sampled_encodings(
                 part = b.slice(a, e - a)
                 keys = part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
                 for number, at, ids, lengths, *scores in _samples(part.column(2).cast(pa.large_string()), keys, k, pieces):
-                    raw, ends = ids.astype("<u4").tobytes(), np.append(0, np.cumsum(lengths) * 4)
-                    binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-                    texts = pa.array(decode(pieces, ids, lengths), pa.binary()).cast(pa.string())
-                    out = [part.column(0).take(pa.array(at)), pa.array(np.full(len(at), number, dtype=np.int32)), binary, pa.array(lengths), *map(pa.array, scores), texts]
+                    texts = decode(pieces, ids, lengths)
+                    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(ids, pa.int32()))
+                    told = [pa.array([f(t) for t in texts], pa.int64()) for f in (zlib.crc32, len)]
+                    out = [part.column(0).take(pa.array(at)), pa.array(np.full(len(at), number, dtype=np.int32)), listed, pa.array(lengths), *map(pa.array, scores), *told]
                     yield pa.RecordBatch.from_arrays(out, schema.names)
+        release_memory()
 
     return rows.mapInArrow(run, schema)
 
 
-def encoding_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 2) -> DataFrame:
-    """Digests of :func:`sampled_encodings`: the ids' crc32, and the decoded text's crc32 and length."""
-    found = sampled_encodings(docs, id_col, text_col, k)
-    return found.select(
-        "doc_id", "sample", "n_pieces", F.crc32("ids").alias("ids_crc32"), "log_prob", "perturbed", "inclusion", "log_inclusion",
-        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"), F.octet_length("decoded").cast("long").alias("n_bytes"))
+def decode_ids(encodings: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model_path: str | None = None) -> DataFrame:
+    """``encodings`` with the text of each row's ids in ``out_col``; null ids give null. All columns are kept."""
+    small_batches(encodings.sparkSession)
+    kept = encodings.drop(out_col)
+    schema = T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())])
+    at = kept.columns.index(ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = worker_pieces(model_path)
+        for b in batches:
+            listed = b.column(at)
+            lengths = pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = decode(pieces, listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+            texts = [t if ok else None for t, ok in zip(texts, listed.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary()).cast(pa.string())], schema.names)
+
+    return kept.mapInArrow(run, schema)

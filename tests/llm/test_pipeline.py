@@ -1,9 +1,11 @@
 import zlib
+from collections import Counter
+from itertools import combinations
 
 import corpus_pipeline
 from marginalia.llm.decontamination import decontamination_report
 from marginalia.llm.language_id import has_letter
-from marginalia.llm.simhash import simhash_report
+from marginalia.llm.simhash import keep_one_each
 
 SF = "/root/testdata/sf0.01"
 
@@ -32,8 +34,17 @@ def test_each_stage_and_the_run(spark):
             assert all({*(rows[i] or "").split("\n")} <= {*(before[i] or "").split("\n"), ""} for i in rows)
             assert {r["doc_id"] for r in out.collect() if r["n_chars"] != len(r["text"] or "")} <= {r["doc_id"] for r in docs.collect() if r["n_chars"] != len(r["text"] or "")}
         if name == "simhash_near_dedup":
-            parts = {r["doc_id"]: r["component_id"] for r in simhash_report(docs).collect()}
-            assert set(rows) == set(parts.values())
+            assert set(rows) == {r["doc_id"] for r in keep_one_each(docs).collect()}
+            grams = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in before.items() for w in [(t or "").lower().split()]}
+            holders = {}
+            for i, found in grams.items():
+                for g in found:
+                    holders.setdefault(g, []).append(i)
+            both = Counter(pair for ids in holders.values() for pair in combinations(sorted(ids), 2))
+            near = [(a, b) for (a, b), n in both.items() if n >= 0.8 * (len(grams[a]) + len(grams[b]) - n)]
+            assert near and sum(not {a, b} <= set(rows) for a, b in near) >= 0.95 * len(near)
+            lone = set(before) - {i for (a, b), n in both.items() if n >= 0.6 * (len(grams[a]) + len(grams[b]) - n) for i in (a, b)}
+            assert lone <= set(rows)  # clean documents stay
         if name == "decontamination":
             hit = {r["doc_id"] for r in decontamination_report(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if r["contaminated"]}
             assert hit and set(rows) == set(before) - hit
@@ -44,7 +55,7 @@ def test_each_stage_and_the_run(spark):
     for r in corpus_pipeline.run(spark, SF).collect():
         final.setdefault(r["doc_id"], []).append(r)
     assert {i: zlib.crc32((t or "").encode()) for i, t in before.items()} == {i: rows[0]["decoded_crc32"] for i, rows in final.items()}
-    assert all(len({r["ids_crc32"] for r in rows}) == len(rows) <= 2 for rows in final.values())
+    assert all(len({tuple(r["ids"]) for r in rows}) == len(rows) <= 2 for rows in final.values())
 
 
 def test_odd_rows_pass_through_every_stage(spark, make_docs, odd_rows, tmp_path):

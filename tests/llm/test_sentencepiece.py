@@ -1,10 +1,11 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from marginalia.llm.sentencepiece_sampling import encoding_report, sampled_encodings, worker_pieces
+from marginalia.llm.sentencepiece_sampling import decode_ids, sampled_encodings, worker_pieces
 from marginalia.llm.piece_lattice import MARK
 
 
@@ -20,7 +21,7 @@ def paths(pieces, word):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     known = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    full = MARK + word
+    full = MARK + word.replace(" ", MARK)
 
     def cut(at):
         if at == len(full):
@@ -36,17 +37,18 @@ def paths(pieces, word):
 
 
 def ids_of(row):
-    return tuple(np.frombuffer(row["ids"], dtype="<u4").tolist())
+    return tuple(row["ids"])
 
 
 def test_round_trip_of_odd_rows(make_docs, odd_rows):
-    rows = sampled_encodings(make_docs(odd_rows), k=3).collect()
+    rows = decode_ids(sampled_encodings(make_docs(odd_rows), k=3)).collect()
     texts = Counter((i, (t or "").encode()) for i, t, _ in odd_rows)
     first = Counter((r["doc_id"], r["decoded"].encode()) for r in rows if r["sample"] == 1)
     assert first == texts
     assert {(r["doc_id"], r["decoded"].encode()) for r in rows} == set(texts)
     by = defaultdict(list)
     for r in rows:
+        assert r["decoded_crc32"] == zlib.crc32(r["decoded"].encode()) and r["n_bytes"] == len(r["decoded"].encode())
         assert r["n_pieces"] == len(ids_of(r)) and 0 <= r["inclusion"] <= 1 and r["log_prob"] <= 1e-9
         assert np.isfinite(r["log_inclusion"]) and abs(math.exp(r["log_inclusion"]) - r["inclusion"]) < 1e-12
         by[r["doc_id"], r["decoded"]].append(r)
@@ -95,9 +97,55 @@ def test_all_paths_of_a_short_text(make_docs, pieces):
     assert all(r["inclusion"] == 1 for r in rows)
 
 
-def test_report(make_docs, odd_rows):
-    assert encoding_report(make_docs([])).count() == 0
-    rows = encoding_report(make_docs(odd_rows)).collect()
+def test_runs_of_spaces_and_long_words_have_all_their_paths(make_docs, pieces):
+    """Pieces that are runs of spaces take part, and no piece is lost at a cut of a long word."""
+    for text in ("a   b", "  a", "a  "):
+        want = paths(pieces, text)
+        rows = sampled_encodings(make_docs([(1, text, "en")]), k=len(want) + 2).collect()
+        assert {ids_of(r) for r in rows} == set(want)
+        assert all(abs(r["log_prob"] - want[ids_of(r)]) < 1e-9 for r in rows)
+
+
+def forward_sum(pieces, text):
+    """The log of the sum over all segmentations of a text, from its beginning on."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    known = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    full = MARK + text.replace(" ", MARK)
+    mass = [0.0] + [-math.inf] * len(full)
+    for end in range(1, len(full) + 1):
+        for at in range(max(0, end - 16), end):
+            i = known.get(full[at:end])
+            weight = float(pieces.weights[i]) if i is not None else float(pieces.fallback) if end - at == 1 else -math.inf
+            mass[end] = float(np.logaddexp(mass[end], mass[at] + weight))
+    return known, mass[-1]
+
+
+def test_probabilities_of_a_long_word(make_docs, pieces):
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("etaoinshr"), 600)) + "    x日本語 end"
+    known, total = forward_sum(pieces, text)
+    for r in sampled_encodings(make_docs([(1, text, "en")]), k=2).collect():
+        weight = sum(float(pieces.weights[i]) for i in ids_of(r) if i not in set(pieces.byte_ids.tolist()))
+        odd = sum(c not in known for c in text.replace(" ", MARK))  # characters given as bytes
+        assert abs(weight + odd * pieces.fallback - total - r["log_prob"]) < 1e-6
+
+
+def test_the_mark_of_spaces_decodes_to_a_space(make_docs):
+    rows = decode_ids(sampled_encodings(make_docs([(1, "a▁b c▁", "en")]))).collect()
+    assert {r["decoded"] for r in rows} == {"a b c "}
+
+
+def test_decode_null_and_empty_ids(spark):
+    rows = decode_ids(spark.createDataFrame([(1, None, 7), (2, [], 8)], "i long, ids array<int>, decoded int")).collect()
+    assert {(r["i"], r["decoded"]) for r in rows} == {(1, None), (2, "")}
+
+
+def test_every_row_has_two_samples(make_docs, odd_rows):
+    assert sampled_encodings(make_docs([])).count() == 0
+    rows = sampled_encodings(make_docs(odd_rows)).collect()
     assert {r["sample"] for r in rows} == {1, 2}
     for i, t, _ in odd_rows:
         assert any(r["doc_id"] == i and r["n_bytes"] == len((t or "").encode()) for r in rows)
