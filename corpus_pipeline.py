@@ -14,7 +14,7 @@ from marginalia.llm.common import shared_dir, table
 from marginalia.llm.decontamination import keep_uncontaminated
 from marginalia.llm.language_id import keep_known_languages
 from marginalia.llm.line_dedup import template_line_dedup
-from marginalia.llm.sentencepiece_sampling import encoding_report
+from marginalia.llm.sentencepiece_sampling import sampled_encodings
 from marginalia.llm.simhash import keep_one_each
 
 
@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
     return keep_one_each(docs)
 
 
@@ -39,8 +39,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two sampled encodings of every document."""
-    return encoding_report(docs)
+    """Two sampled encodings of every document: their ids, and the digests of what the ids decode to."""
+    return sampled_encodings(docs)
 
 
 STAGES = [
