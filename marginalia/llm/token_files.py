@@ -1,9 +1,12 @@
 """Operator 9, token-ID files: Re-Pair grammars over shards of ids, with random access.
 
 Texts are ranged and sorted by id, encoded, and closed by an end id. A shard holds about
-``SHARD_IDS`` ids of consecutive documents. In passes, its most frequent pairs of neighbouring
-symbols become nonterminals (one rule each) and are replaced from left to right; a later pass sees
-the nonterminals of the earlier ones. The file format is a Parquet row for each shard:
+``SHARD_IDS`` ids of consecutive documents. Its frequent pairs of neighbouring symbols become
+nonterminals (one rule each), until no pair occurs ``LEAST`` times. Many pairs are replaced at once:
+in a pass all pairs are counted, and a pair is replaced where it is more frequent than both pairs
+that overlap it; the most frequent one of all is replaced everywhere, so passes come to an end. Only
+pairs that were frequent in the last pass, or that hold a nonterminal made by it, can be frequent in
+the next, so that later passes touch few places. The file format is a Parquet row for each shard:
 
 =============  ================================================================================
 part, piece    the shard's place: parts in order, pieces in order inside a part
@@ -31,76 +34,85 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import worker_bpe
-from .common import shared_dir, small_batches
+from .common import release_memory, shared_dir, small_batches
 
 #: Ids in a shard, about; a single longer document is a shard of its own.
 SHARD_IDS = 4_000_000
 #: The first nonterminal; ids are below it.
 FIRST_RULE = 1 << 16
-#: Passes over a shard, pairs replaced in each, and how often a pair must occur to get a rule.
-PASSES, PAIRS, LEAST = 4, 4096, 8
-#: Pairs are counted in every n-th run of neighbours.
-SAMPLED, RUN = 8, 1024
-
-
-def _frequent_pairs(symbols: np.ndarray) -> np.ndarray:
-    """Keys (left << 32 | right) of the most frequent pairs, as counted in runs spread over the shard."""
-    n = len(symbols) - 1
-    if n <= 64 * RUN:
-        keys, scale = (symbols[:-1].astype(np.int64) << 32) | symbols[1:], 1
-    else:
-        runs = n // (RUN * SAMPLED)
-        left = symbols[: runs * RUN * SAMPLED].reshape(runs, -1)[:, : RUN + 1].astype(np.int64)
-        keys, scale = ((left[:, :-1] << 32) | left[:, 1:]).ravel(), SAMPLED
-    keys, counts = np.unique(keys, return_counts=True)
-    often = np.flatnonzero(counts * scale >= LEAST)
-    if len(often) > PAIRS:
-        often = often[np.argpartition(counts[often], -PAIRS)[-PAIRS:]]
-    return np.sort(keys[often])
-
-
-def _replace(symbols: np.ndarray, keys: np.ndarray, first: int) -> np.ndarray:
-    """``symbols`` with each pair of ``keys`` replaced by ``first`` + its place, left to right."""
-    left, right = (keys >> 32).astype(np.int64), keys & 0xFFFFFFFF
-    # Pairs are found by a hash of 20 bits; of pairs that share a slot one is dropped from the table.
-    slot = ((left * 0x9E3779B1 + right * 0x85EBCA77) >> 7) & 0xFFFFF
-    table_left = np.full(1 << 20, -1, dtype=np.int32)
-    table_right, table_rule = np.zeros(1 << 20, dtype=np.int32), np.zeros(1 << 20, dtype=np.int32)
-    table_left[slot], table_right[slot], table_rule[slot] = left, right, np.arange(len(keys)) + first
-    wide = symbols.astype(np.int64)
-    slots = (((wide[:-1] * 0x9E3779B1 + wide[1:] * 0x85EBCA77) >> 7) & 0xFFFFF).astype(np.int32)
-    at = np.flatnonzero((table_left[slots] == symbols[:-1]) & (table_right[slots] == symbols[1:]))
-    if not len(at):
-        return symbols
-    # In a run of overlapping pairs every second one is taken.
+#: How often a pair must occur to get a rule, and bits of the hash by which most rare pairs are told first.
+LEAST, HASH_BITS = 8, 22
+#: Bytes of text in a range of ids, about.
+PART_BYTES = 32 << 20
+
+
+def _alternate(at: np.ndarray) -> np.ndarray:
+    """For ascending places, whether each is one of every second in its run of consecutive ones."""
     fresh = np.ones(len(at), dtype=bool)
     fresh[1:] = np.diff(at) > 1
     order = np.arange(len(at))
-    start = np.maximum.accumulate(np.where(fresh, order, 0))
-    at = at[(order - start) % 2 == 0]
-    out = symbols.copy()
-    out[at] = table_rule[slots[at]]
-    keep = np.ones(len(symbols), dtype=bool)
-    keep[at + 1] = False
-    return out[keep]
+    return (order - np.maximum.accumulate(np.where(fresh, order, 0))) % 2 == 0
 
 
-def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, spans, body) of a sequence of ids: rules has a row (left, right) for each nonterminal."""
-    symbols = ids.astype(np.int32)
-    rules = np.zeros((0, 2), dtype=np.int32)
-    spans = np.zeros(0, dtype=np.int64)
-    for _ in range(PASSES):
-        if len(symbols) < 2:
-            break
-        keys = _frequent_pairs(symbols)
-        if not len(keys):
+    symbols, found, n_rules = ids.astype(np.int32), [], 0
+    at = np.arange(len(symbols) - 1, dtype=np.int32)  # where a pair may be frequent
+    while len(at):
+        left, right = symbols[at], symbols[at + 1]
+        keys = (left.astype(np.int64) << 32) | right
+        slots = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+        often = np.bincount(slots, minlength=1 << HASH_BITS)[slots] >= least
+        # In a run of one symbol every second pair counts; the others may later.
+        same = np.flatnonzero(often & (left == right))
+        same = same[~_alternate(at[same])]
+        often[same] = False
+        waiting = at[same]
+        at, coded = at[often], pa.array(keys[often]).dictionary_encode()
+        pair, names = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        counts = np.bincount(pair, minlength=len(names))
+        used = np.flatnonzero(counts >= least)
+        if not len(used):
             break
-        new = np.stack([keys >> 32, keys & 0xFFFFFFFF], axis=1).astype(np.int32)
-        symbols = _replace(symbols, keys, FIRST_RULE + len(rules))
-        size = np.where(new >= FIRST_RULE, np.append(spans, 0)[np.where(new >= FIRST_RULE, new - FIRST_RULE, len(spans))], 1).sum(axis=1)
-        rules, spans = np.concatenate([rules, new]), np.concatenate([spans, size])
-    return rules, spans.astype(np.int32), symbols
+        rank = np.zeros(len(names), dtype=np.int32)  # by count, ties by key; 0 for what is rare
+        rank[used[np.lexsort((names[used], counts[used]))]] = np.arange(1, len(used) + 1)
+        mine = rank[pair]
+        at, pair, mine = at[mine > 0], pair[mine > 0], mine[mine > 0]
+        ranks = np.zeros(len(symbols) + 1, dtype=np.int32)
+        ranks[at + 1] = mine
+        win = (mine > ranks[at]) & (mine > ranks[at + 2])
+        got = np.bincount(pair[win], minlength=len(names))
+        win &= got[pair] >= least
+        new = np.flatnonzero(got >= least)
+        name = np.zeros(len(names), dtype=np.int32)
+        name[new] = np.arange(len(new)) + FIRST_RULE + n_rules
+        hit = at[win]
+        symbols[hit] = name[pair[win]]
+        stay, next_at = np.ones(len(symbols), dtype=bool), np.zeros(len(symbols), dtype=bool)
+        stay[hit + 1] = False
+        next_at[waiting] = next_at[at] = True
+        next_at[hit[hit > 0] - 1] = True
+        symbols, next_at = symbols[stay], next_at[stay]
+        next_at[-1] = False
+        at = np.flatnonzero(next_at).astype(np.int32)
+        found.append(np.stack([names[new] >> 32, names[new] & 0xFFFFFFFF], axis=1).astype(np.int32))
+        n_rules += len(new)
+    rules = np.concatenate([np.zeros((0, 2), dtype=np.int32), *found])
+    spans = np.ones(FIRST_RULE + len(rules), dtype=np.int64)
+    for a, b in _levels(rules):
+        spans[FIRST_RULE + a : FIRST_RULE + b] = spans[rules[a:b]].sum(axis=1)
+    return rules, spans[FIRST_RULE:].astype(np.int32), symbols
+
+
+def _levels(rules: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rules that refer only to rules before their range."""
+    out, start, newest = [], 0, rules.max(axis=1, initial=0) - FIRST_RULE
+    while start < len(rules):
+        late = np.flatnonzero(newest[start:] >= start)
+        end = start + int(late[0]) if len(late) else len(rules)
+        out.append((start, end))
+        start = end
+    return out
 
 
 def _expansions(rules: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +121,12 @@ def _expansions(rules: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.cumsum(sizes) - sizes
     flat = np.zeros(int(sizes.sum()), dtype="<u2")
     flat[:FIRST_RULE] = np.arange(FIRST_RULE)
-    for r, (left, right) in enumerate(rules.tolist()):
-        at, a, b = starts[FIRST_RULE + r], sizes[left], sizes[right]
-        flat[at : at + a] = flat[starts[left] : starts[left] + a]
-        flat[at + a : at + a + b] = flat[starts[right] : starts[right] + b]
+    for a, b in _levels(rules):
+        parts = rules[a:b].ravel()
+        n = sizes[parts]
+        place = np.repeat(starts[parts] - (np.cumsum(n) - n), n)
+        place += np.arange(len(place))
+        flat[starts[FIRST_RULE + a] : starts[FIRST_RULE + a] + len(place)] = flat[place]
     return flat, starts
 
 
@@ -157,7 +171,9 @@ def write_token_files(
     small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("t"))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    order = [F.col("doc_id"), F.xxhash64("t")]  # rows with the same id may lie in several ranges
+    ranged = rows.repartitionByRange(max(1, -(-size // PART_BYTES)), *order).sortWithinPartitions(*order)
     id_kind = rows.schema["doc_id"].dataType
 
     def shard(held: list[tuple[pa.Array, np.ndarray, np.ndarray]], part: int, piece: int) -> pa.RecordBatch:
@@ -184,6 +200,8 @@ def write_token_files(
                 piece, held, n = piece + 1, [], 0
         if n:
             yield shard(held, part, piece)
+        held.clear()
+        release_memory()
 
     fields = [T.StructField("part", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(id_kind)), *(T.StructField(n, T.BinaryType()) for n in COLUMNS[5:])]
     ranged.mapInArrow(encode, T.StructType(fields)).write.option("compression", "none").parquet(path)
@@ -220,6 +238,7 @@ def read_token_files(spark, path: str, schema: T.StructType | None = None) -> Da
                 same = [pa.array(np.full(len(lengths), row[n].as_py(), dtype=np.int32)) for n in ("part", "piece")]
                 out = [*same, row["doc_ids"].values, pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, ["part", "piece", "doc_id", "local", "n_tokens", "ids_crc32"])
+        release_memory()
 
     id_kind = shards.schema["doc_ids"].dataType.elementType
     fields = [("part", T.IntegerType()), ("piece", T.IntegerType()), ("doc_id", id_kind), ("local", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType())]

@@ -66,3 +66,37 @@ def test_tiny_grammars():
     for ids in ([], [5], [5, 5], [5] * 101):
         rules, spans, body = token_files.compress(np.array(ids, dtype=int))
         assert token_files.expand(rules, spans, body).tolist() == ids
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grammars_go_on_until_no_pair_is_frequent(seed):
+    rng = np.random.default_rng(seed)
+    ids = np.concatenate([(rng.zipf(1.3, 60_000) % 5000), np.tile([1, 2, 3, 4, 5], 300), np.zeros(99, dtype=int)])
+    rules, spans, body = token_files.compress(ids)
+    assert (token_files.expand(rules, spans, body) == ids).all()
+    seen, at = {}, 0
+    while at < len(body) - 1:  # pairs from left to right, those that overlap themselves once
+        pair = (int(body[at]), int(body[at + 1]))
+        seen.setdefault(pair, []).append(at)
+        at += 1
+    apart = lambda places: 1 + sum(b - a > 1 for a, b in zip(places, places[1:]))  # noqa: E731  runs of one symbol
+    assert all(len(v) < token_files.LEAST or (p[0] == p[1] and apart(v) < token_files.LEAST) for p, v in seen.items())
+    used = set(body.tolist()) | set(rules.ravel().tolist())
+    assert len(rules) and all(token_files.FIRST_RULE + r in used for r in range(len(rules)))
+    assert spans.tolist() == [len(token_files.expand(rules, spans, np.array([token_files.FIRST_RULE + r]))) for r in range(len(rules))]
+
+
+def test_whole_table_against_the_library(spark):
+    """Every text of sf0.01 in one call of the library, for the counts and the files."""
+    from marginalia.llm.queries import op3_token_counts, op9_token_id_output
+
+    d = "/root/testdata/sf0.01"
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect())
+    ids = [e.ids for e in worker_bpe().library.encode_batch([t for _, t in rows], add_special_tokens=False)]
+    counts = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in op3_token_counts(spark, d).collect()}
+    assert counts == {i: (len(t.encode()), len(x), len(x) > 512) for (i, t), x in zip(rows, ids)}
+    want, start = {}, 0
+    for (i, _), x in zip(rows, ids):
+        want[i] = (start, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes()))
+        start += len(x) + 1
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in op9_token_id_output(spark, d).collect()} == want
