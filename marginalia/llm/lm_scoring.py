@@ -13,7 +13,7 @@ Counts are exchanged in two shuffles instead of a join of every token:
    order it asked.
 3. Answers meet their batch again, where the counts are laid along its tokens.
 
-Words and pairs are named by 64-bit hashes.
+Words and pairs are named by 64-bit hashes; counts over the corpus have 64 bits.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, materialise, small_batches
+from .common import crc32_mod, materialise, release_memory, small_batches
 
 #: Bytes of text in a batch, about (a longer document is a batch of its own), and for each part.
-BATCH_BYTES, PART_BYTES = 5 << 20, 12 << 20
+BATCH_BYTES, PART_BYTES = 5 << 20, 8 << 20
 #: Buckets: the base-2 logarithm of the context's count, 0 for none.
 BUCKETS = 20
 #: Log ratios to the uniform probability are kept in steps of 1 / STEP nat, in LEVELS levels.
@@ -156,6 +156,8 @@ def _batches(docs: DataFrame) -> DataFrame:
                 pa.default_memory_pool().release_unused()
         if held:
             yield row(f"{me}-{k}", held)
+        held.clear()
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 
@@ -193,7 +195,7 @@ def _answer(asked: pa.Table) -> pa.Table:
     sums = []
     for column in ("b", "c"):
         given = np.concatenate([_unpack(x, "<u4") for x in asked.column(column).to_pylist()])
-        sums.append(np.bincount(place, weights=given, minlength=len(every)).astype("<u4"))
+        sums.append(np.bincount(place, weights=given, minlength=len(every)).astype("<i8"))
     rows = [(n, *(_pack(s[place[e - len(k) : e]]) for s in sums), None, None, None) for n, k, e in zip(names, keys, ends)]
     rows.append((None, None, None, int((sums[0] > 0).sum()), int(sums[0].sum(dtype=np.int64)), int(sums[1].sum(dtype=np.int64))))
     columns = list(zip(*rows))
@@ -212,7 +214,7 @@ def _laid_out(stored: pa.Table, answers: pa.Table, totals: tuple[int, int, int])
     lengths, codes, fold = (_unpack(row[n].as_py(), k) for n, k in (("a", "<i4"), ("b", "<i4"), ("c", "i1")))
     keys = np.cumsum(_unpack(row["d"].as_py(), "<u8"), dtype=np.uint64)
     answers = sorted(answers.select(["ord", "part", "seen", "dev"]).to_pylist(), key=lambda r: (r["ord"], r["part"]))
-    count = {(o, n): np.concatenate([_unpack(r[n], "<u4") for r in answers if r["ord"] == o]) for o in (1, 2) for n in ("seen", "dev")}
+    count = {(o, n): np.concatenate([_unpack(r[n], "<i8") for r in answers if r["ord"] == o]) for o in (1, 2) for n in ("seen", "dev")}
     _, places, before = _pairs(codes.astype(np.int64), lengths.astype(np.int64), keys)
     end = codes[np.cumsum(lengths) - 1][0]
     dev = np.flatnonzero(np.repeat(fold, lengths) == 1)
@@ -241,7 +243,7 @@ def _scores(batches: Iterator[pa.RecordBatch], totals: tuple[int, int, int], wei
         for k in range(b.num_rows):
             row = {n: b.column(n)[k] for n in LAID[:6]}
             lengths, fold = _unpack(row["lengths"].as_py(), "<i4").astype(np.int64), _unpack(row["fold"].as_py(), "i1")
-            h, w, p = (_unpack(row[n].as_py(), "<u4").astype(np.float64) for n in ("context", "word", "pair"))
+            h, w, p = (_unpack(row[n].as_py(), "<i8").astype(np.float64) for n in ("context", "word", "pair"))
             mix = weights[_bucket(h)]
             likely = mix[:, 0] * p / np.maximum(h, 1) + mix[:, 1] * w / max(1, n_all) + mix[:, 2] / (n_kinds + 1)
             starts = np.cumsum(lengths) - lengths

@@ -93,3 +93,16 @@ def test_expectation_maximisation_finds_the_mixture():
     order = np.argsort(cells)
     w = lm.learn_weights(np.array(cells)[order], np.array([counts[k] for k in order], dtype=float))
     assert np.allclose(w[5], true, atol=0.02)
+
+
+def test_sums_beyond_32_bits():
+    import pyarrow as pa
+
+    keys = np.array([5, 9], dtype=np.uint64)
+    blob = lambda x, k: lm._pack(np.array(x, dtype=k))
+    asked = pa.table({
+        "ord": pa.array([1, 1, 1], pa.int32()), "part": pa.array([0, 0, 0], pa.int32()), "batch": ["x", "y", "z"], "a": [lm._pack(np.diff(keys, prepend=np.uint64(0)))] * 3,
+        "b": [blob([3_000_000_000, 1], "<u4")] * 3, "c": [blob([0, 1], "<u4")] * 3})
+    rows = lm._answer(asked).to_pylist()
+    assert all(lm._unpack(r["seen"], "<i8").tolist() == [9_000_000_000, 3] for r in rows[:3])
+    assert (rows[-1]["n_kinds"], rows[-1]["n_seen"], rows[-1]["n_dev"]) == (2, 9_000_000_003, 3)
