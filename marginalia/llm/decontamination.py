@@ -8,13 +8,13 @@ A search brings a bounded set of phrases (windows of the benchmark's items) to e
 are looked up from their rarest term, rarity being counted over all blocks: its list, shifted by the
 term's offset, gives candidate starts, which are intersected with the shifted lists of the further
 terms, rarest first, until none is left or all terms agree. The same lists answer proximity
-searches: all terms of a set within a span of words.
+searches (:func:`proximity_matches`): all terms of a set within a span of words.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,14 +54,14 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 INDEX = T.StructType([
-    T.StructField("n_docs", T.IntegerType()), T.StructField("lengths", T.BinaryType()), T.StructField("terms", T.StringType()),
+    T.StructField("block", T.StringType()), T.StructField("n_docs", T.IntegerType()), T.StructField("lengths", T.BinaryType()), T.StructField("terms", T.StringType()),
     T.StructField("ends", T.BinaryType()), T.StructField("steps", T.BinaryType())])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index of ``docs``: a row for each block.
 
-    doc_ids and lengths (words) list its documents in order; terms its terms, joined by newlines;
+    block names it; doc_ids and lengths (words) list its documents in order; terms its terms, joined by newlines;
     ends where each term's list ends; steps the lists in a row, each position as its distance from
     the one before it in its list.
     """
@@ -83,7 +83,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         steps[first] = listed[first]
         names = pa.concat_arrays(ids)
         terms = "\n".join(flat.dictionary.to_pylist())
-        out = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([len(texts)], pa.int32())]
+        out = [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([uuid.uuid4().hex]), pa.array([len(texts)], pa.int32())]
         out += [pa.array([_pack(lengths)], pa.binary()), pa.array([terms], pa.string()), pa.array([_pack(ends)], pa.binary()), pa.array([_pack(steps)], pa.binary())]
         return pa.RecordBatch.from_arrays(out, schema.names)
 
@@ -102,6 +102,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ids.append(b.column(0).slice(start))
         if texts:
             yield block(ids, texts)
+        ids, texts = [], []
+        release_memory()
 
     return materialise(rows.mapInArrow(run, schema), "index")
 
@@ -116,39 +118,42 @@ class Block:
         begins = ends - np.diff(ends, prepend=0)
         steps = _unpack(row["steps"])
         self.lists: dict[int, np.ndarray] = {}
-        size = int((self.lengths + GAP).sum()) + GAP
-        self.term_at = np.full(size, -1, dtype=np.int32)  # which wanted term stands at a position
+        self.present = np.zeros(len(wanted), dtype=bool)
         for k, term in enumerate(row["terms"].split("\n") if len(ends) else ()):
             w = wanted.get(term)
             if w is not None:
                 self.lists[w] = np.cumsum(steps[begins[k] : ends[k]])
-                self.term_at[self.lists[w]] = w
+                self.present[w] = True
 
     def phrase(self, terms: list[int], order: list[int]) -> np.ndarray:
         """Starts of the phrase ``terms``; ``order``: its places, rarest term first."""
-        found = self.lists.get(terms[order[0]])
-        if found is None:
-            return np.zeros(0, dtype=np.int64)
-        found = found - order[0]
+        found = self.lists[terms[order[0]]] - order[0]
         for place in order[1:]:
             if not len(found):
                 break
-            # A start stays if it is on the shifted list of this term, that is, the term stands there.
-            found = found[self.term_at[found + place] == terms[place]]
+            # A start stays if it is on the list of this term, shifted by the term's place.
+            other = self.lists[terms[place]]
+            at = np.searchsorted(other, found + place)
+            found = found[other[np.minimum(at, len(other) - 1)] == found + place]
         return found
 
-    def near(self, terms: list[int], span: int) -> np.ndarray:
-        """Positions of the first term with every other term at most ``span`` - 1 words away."""
-        found = self.lists.get(terms[0], np.zeros(0, dtype=np.int64))
-        for t in terms[1:]:
-            other = self.lists.get(t, np.zeros(0, dtype=np.int64))
-            if not len(other) or not len(found):
-                return found[:0]
-            k = np.searchsorted(other, found)
-            after = np.abs(other[np.minimum(k, len(other) - 1)] - found)
-            before = np.abs(other[np.maximum(k - 1, 0)] - found)
-            found = found[np.minimum(after, before) < span]
-        return found
+    def near(self, terms: list[int], span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, stops): places of a term from which on all ``terms`` stand within ``span`` words; stops exclusive."""
+        lists = [self.lists.get(t, np.zeros(0, dtype=np.int64)) for t in set(terms)]
+        rarest = min(lists, key=len)
+        if not len(rarest):
+            return rarest, rarest
+        starts = np.unique(np.concatenate(lists))
+        at = np.searchsorted(rarest, starts)  # the rarest term must follow soon
+        starts = starts[(at < len(rarest)) & (rarest[np.minimum(at, len(rarest) - 1)] - starts < span)]
+        stops = starts + 1
+        for other in lists:
+            at = np.searchsorted(other, starts)
+            ok = at < len(other)
+            starts, stops, at = starts[ok], stops[ok], at[ok]
+            stops = np.maximum(stops, other[at] + 1)
+        ok = stops - starts <= span
+        return starts[ok], stops[ok]
 
     def document(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, side="right") - 1
@@ -213,21 +218,25 @@ def _search(index: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
         order = sorted(range(len(terms)), key=lambda k: (counts[terms[k]], k))
         if counts[terms[order[0]]]:  # a window with a term that no document has can't occur
             plan.append((terms, order, sorted(set(owners))))
-    shared = index.sparkSession.sparkContext.broadcast((wanted, plan, names))
+    every = np.zeros((len(plan), WIDTH), dtype=np.int32)  # each phrase's terms; a short one's first stands again
+    for k, (terms, _, _) in enumerate(plan):
+        every[k] = terms + terms[:1] * (WIDTH - len(terms))
+    shared = index.sparkSession.sparkContext.broadcast((wanted, plan, every, names))
     id_kind = index.schema["doc_ids"].dataType.elementType
     schema = T.StructType([
         T.StructField("doc_id", id_kind), T.StructField("block", T.StringType()), T.StructField("n_words", T.LongType()),
         T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("stops", T.ArrayType(T.IntegerType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, plan, names = shared.value
+        wanted, plan, every, names = shared.value
         for b in batches:
             for k in range(b.num_rows):
-                row = {n: b.column(n)[k].as_py() for n in ("lengths", "terms", "ends", "steps")}
+                row = {n: b.column(n)[k].as_py() for n in ("block", "lengths", "terms", "ends", "steps")}
                 ids = b.column("doc_ids")[k].values
                 block = Block(row, wanted)
                 at, size, owner = [], [], []
-                for terms, order, owners in plan:
+                for p in np.flatnonzero(block.present[every].all(axis=1)).tolist():  # all its terms are in this block
+                    terms, order, owners = plan[p]
                     found = block.phrase(terms, order)
                     for o in owners if len(found) else ():
                         at.append(found)
@@ -243,10 +252,40 @@ def _search(index: DataFrame, items: list[tuple[str, str]]) -> DataFrame:
                     for d, part in zip(*_split(doc[order], order)):
                         starts[d], stops[d] = _merged(begin[part], begin[part] + size[part])
                         hit[d] = [names[o] for o in np.unique(owner[part]).tolist()]
-                # The block is told by its content, so that rounds over the same index agree.
-                mark = hashlib.md5(row["lengths"] + row["ends"] + row["steps"]).hexdigest()
-                out = [ids, pa.array([f"{mark}:{d}" for d in range(n)]), pa.array(block.lengths), *(pa.array(x, pa.list_(pa.int32())) for x in (starts, stops)), pa.array(hit, pa.list_(pa.string()))]
+                out = [ids, pa.array([f"{row['block']}:{d}" for d in range(n)]), pa.array(block.lengths), *(pa.array(x, pa.list_(pa.int32())) for x in (starts, stops)), pa.array(hit, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(out, schema.names)
+        release_memory()
+
+    return index.mapInArrow(run, schema)
+
+
+def proximity_matches(index: DataFrame, term_sets: list[list[str]], span: int) -> DataFrame:
+    """(doc_id, query, start, stop): where all terms of a set stand within ``span`` words of a document.
+
+    ``index`` is of :func:`build_index`; ``query`` numbers the sets, which are stated by the caller and
+    go to every block. A row for each word number ``start`` at which a term of the set stands and all
+    others (each once) follow before start + span; stop is the word after the last of them. Terms are
+    words in the sense of :func:`words`. A set without terms matches nothing; ``span`` is ``GAP`` at most.
+    """
+    if not 1 <= span <= GAP:
+        raise ValueError(f"a span has 1 to {GAP} words")
+    sets = [sorted({w for t in terms for w in words(t)}) for terms in term_sets]
+    wanted = {t: k for k, t in enumerate(sorted({t for s in sets for t in s}))}
+    shared = index.sparkSession.sparkContext.broadcast((wanted, [[wanted[t] for t in s] for s in sets]))
+    kinds = [T.StructField("doc_id", index.schema["doc_ids"].dataType.elementType), *(T.StructField(n, T.LongType()) for n in ("query", "start", "stop"))]
+    schema = T.StructType(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, sets = shared.value
+        for b in batches:
+            for k in range(b.num_rows):
+                block = Block({n: b.column(n)[k].as_py() for n in ("lengths", "terms", "ends", "steps")}, wanted)
+                for q, terms in enumerate(sets):
+                    starts, stops = block.near(terms, span) if terms else (np.zeros(0, dtype=np.int64),) * 2
+                    doc = block.document(starts)
+                    base = block.starts[doc]
+                    out = [b.column("doc_ids")[k].values.take(pa.array(doc)), pa.array(np.full(len(doc), q)), pa.array(starts - base), pa.array(stops - base)]
+                    yield pa.RecordBatch.from_arrays(out, schema.names)
 
     return index.mapInArrow(run, schema)
 
@@ -293,9 +332,9 @@ def contamination(
             yield b.assign(starts=[s for s, _ in spans], stops=[e for _, e in spans])
 
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  a row a round
-    # Blocks and places in them tell documents apart; equal blocks hold equal documents.
-    once = found.groupBy("block", "doc_id", "n_words").agg(flat("starts"), flat("stops"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count("*").alias("n"))
-    return once.mapInPandas(merge, once.schema).drop("block", "n")
+    # Blocks and places in them tell documents apart.
+    once = found.groupBy("block", "doc_id", "n_words").agg(flat("starts"), flat("stops"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return once.mapInPandas(merge, once.schema).drop("block")
 
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
