@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import free_names, materialise, row_keys
 
 #: Bits of the hash in a founder's rank, above which the number of documents stands.
-HASH_BITS = 40
+HASH_BITS = 24
 
 
 def _general(line: Column) -> Column:
@@ -63,12 +63,13 @@ def _buckets(left: DataFrame, depth: int, similarity: float) -> DataFrame:
 def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: int, similarity: float, max_templates: int) -> DataFrame:
     """(h, template) for lines that take another line's template."""
     crowded = materialise(
-        shapes.join(leaves.filter("n_shapes > 1").select("leaf"), "leaf", "left_semi").select("h", "leaf", "n_docs"), "line-crowded"
+        shapes.join(leaves.filter("n_shapes > 1").select("leaf"), "leaf", "left_semi").select("h", "leaf", "n_docs", "did"), "line-crowded"
     )
-    # The crowded lines grow with the corpus, so their join is a merge at every size.
-    text = lines.join(crowded.select("h").hint("merge"), "h", "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
+    # The crowded lines grow with the corpus, so their join is a merge at every size. A line's text
+    # is that of its first document, so that a frequent line is one row here.
+    text = lines.join(crowded.select("h", "did").hint("merge"), ["h", "did"], "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
     text = text.select("h", F.split("shape", " ").alias("tokens"))
-    rank = F.least("n_docs", F.lit(1 << 20)) * (1 << HASH_BITS) + F.pmod("h", F.lit(1 << HASH_BITS))
+    rank = F.col("n_docs") * (1 << HASH_BITS) + F.pmod("h", F.lit(1 << HASH_BITS))
     left = materialise(crowded.join(text, "h").select("h", "leaf", "tokens", rank.alias("rank")), "line-texts")
     found = None
     for _ in range(max_templates):
@@ -136,12 +137,12 @@ def template_line_dedup(
     hashed = materialise(hashed, "line-hashes").filter(F.col("n_tokens") >= min_tokens)
     need = F.when(F.col("n_tokens") >= long_tokens, min(min_docs, 2)).otherwise(min_docs)  # the same in a whole leaf
     hashed = hashed.select("did", "tk", "pos", "h", F.xxhash64("n_tokens", "lead").alias("leaf"), need.alias("need"))
-    shapes = hashed.groupBy("h", "leaf", "did").agg(F.max("need").alias("need")).groupBy("h", "leaf").agg(F.count("*").alias("n_docs"), F.max("need").alias("need"))
+    shapes = hashed.groupBy("h", "leaf", "did").agg(F.max("need").alias("need")).groupBy("h", "leaf").agg(F.count("*").alias("n_docs"), F.max("need").alias("need"), F.min("did").alias("did"))
     shapes = materialise(shapes, "line-shapes")
     leaves = shapes.groupBy("leaf").agg(F.count("*").alias("n_shapes"), F.sum("n_docs").alias("n_docs"), F.max("need").alias("need"))
     # A template can only recur in a leaf with enough documents; most lines go no further than this.
     leaves = materialise(leaves.filter(F.col("n_docs") >= F.col("need")), "line-leaves")
-    templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "shape"), depth, similarity, max_templates)
+    templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "did", "shape"), depth, similarity, max_templates)
     busy = hashed.join(leaves.select("leaf"), "leaf", "left_semi")
     named = busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"), "need")
     recurring = named.groupBy("template", "did").agg(F.max("need").alias("need")).groupBy("template")

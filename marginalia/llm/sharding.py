@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Rows that one bucket of a shard should hold.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 1024
 
 
 def _literal_array(values: list[int]) -> Column:
@@ -66,7 +66,7 @@ def _round(linked: DataFrame, quotas: list[int], shards: int) -> DataFrame | Non
     asks = votes.filter("best > own").select("link", "shard", (shards - 1 - F.pmod("best", F.lit(shards))).cast("int").alias("target"))
     movers = linked.join(asks, ["link", "shard"]).select("nid", "target")
     n = sum(load.values())
-    ranked = _ranked(movers, ["target"], max(4, -(-n // (shards * BUCKET_ROWS))), [])
+    ranked = _ranked(movers, ["target"], max(16, -(-n // (shards * BUCKET_ROWS))), [])
     moved = ranked.filter(F.col("rank") <= _at(room, F.col("target"))).select("nid", "target")
     return materialise(
         linked.join(moved, "nid", "left").select(
@@ -113,7 +113,7 @@ def balanced_label_propagation(
     for h, q in zip(have, quotas, strict=True):
         over.append(over[-1] + max(0, h - q))
         under.append(under[-1] + max(0, q - h))
-    ranked = _ranked(placed, ["home"], max(4, -(-total // (shards * BUCKET_ROWS))), [F.col("free")])
+    ranked = _ranked(placed, ["home"], max(16, -(-total // (shards * BUCKET_ROWS))), [F.col("free")])
     spare = _at(over[:-1], F.col("home")) + F.col("rank") - _at(quotas, F.col("home")) - 1  # number among those that must go
     ranked = ranked.withColumn("spare", F.when(F.col("rank") > _at(quotas, F.col("home")), spare))
     goes_to = F.lit(0)
