@@ -1,7 +1,6 @@
 """Markdown notes: front matter, title, atomic keypoints, and the managed block of related notes.
 
-Small per-note helpers, run by Spark on Arrow batches (:func:`parsed_notes`). Lengths count code
-points, so a text of combining characters or emoji may be cut elsewhere than by grapheme.
+Small per-note helpers, run by Spark on Arrow batches (:func:`parsed_notes`).
 """
 
 from __future__ import annotations
@@ -9,15 +8,20 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import BLOCK_END, BLOCK_START, KEYPOINT_CHARS, KEYPOINTS
+from ..sources.scratch import spread
 from .text import BLANK, NEWLINE, SENTENCE_END, SPACE
 
+GRAPHEME = regex.compile(r"\X")
+# The patterns of a note's lines and inline marks.
 LINE_END = re.compile(rf"[{NEWLINE}]")
 EDGES = re.compile(rf"^{SPACE}+|{SPACE}+\Z")
 LINE_EDGES = re.compile(rf"^[{BLANK}]+|[{BLANK}]+\Z")
@@ -119,8 +123,8 @@ class Keypoints:
         text = inline(raw)
         if not text:
             return
-        if len(text) > KEYPOINT_CHARS:
-            text = strip(text[:KEYPOINT_CHARS])
+        if len(text) > KEYPOINT_CHARS:  # as a reader counts: a letter with its accents is one
+            text = strip("".join(islice((m[0] for m in GRAPHEME.finditer(text)), KEYPOINT_CHARS)))
         under = " / ".join(t for _, t in self.above)
         self.found.setdefault(nfc(text if not under or text.startswith(under) else f"{under}: {text}"))
 
@@ -204,24 +208,28 @@ def with_block(text: str, related: list[str]) -> str:
     return (f"{base}\n\n" if base else "") + block + "\n"
 
 
-NOTE = T.StructType([T.StructField("title", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("keypoints", T.ArrayType(T.StringType()))])
+NOTE = [T.StructField("title", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("keypoints", T.ArrayType(T.StringType()))]
 
 
-@F.pandas_udf(NOTE)
-def _parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for paths, texts in batches:
-        rows = []
-        for path, text in zip(paths, texts):
-            base = without_block(text or "")
-            title = title_of(path or "", base)
-            points = keypoints(base, title)
-            rows.append((title, "\n".join(points) or title, points))
-        yield pd.DataFrame(rows, columns=["title", "summary", "keypoints"])
+def parsed_notes(notes: DataFrame, path_col: str = "file_path", text_col: str = "content") -> DataFrame:
+    """``notes`` with title, summary and keypoints, each without its managed block, instead of the text.
 
+    A map over batches, not a column: Spark would evaluate a column again for each filter on it.
+    """
+    kept = [f for f in notes.schema.fields if f.name != text_col]
 
-def parsed_notes(path: Column, text: Column) -> Column:
-    """(title, summary, keypoints) of a note without its managed block."""
-    return _parse(path, text)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b[path_col], b[text_col]):
+                base = without_block(text or "")
+                title = title_of(path or "", base)
+                points = keypoints(base, title)
+                rows.append((title, "\n".join(points) or title, points))
+            made = pd.DataFrame(rows, columns=[f.name for f in NOTE], index=b.index)
+            yield pd.concat([b.drop(columns=text_col), made], axis=1)
+
+    return spread(notes).mapInPandas(run, T.StructType([*kept, *NOTE]))
 
 
 @F.pandas_udf(T.StringType())

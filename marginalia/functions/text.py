@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 BLANK = r"\t\x20\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
 NEWLINE = r"\n-\r\u0085\u2028\u2029"
 SPACE = rf"[{BLANK}{NEWLINE}]"
+#: The same, one by one.
+SPACES = "\t \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\n\x0b\x0c\r\u0085\u2028\u2029"
 # Where sentences end.
 SENTENCE_END = ".!?;。！？"
 # Words for the three actions.
@@ -26,7 +29,7 @@ ACTIONS = {
 
 def trimmed(c: Column) -> Column:
     """Without white space and line ends around it."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -35,8 +38,10 @@ def blank_to_null(c: Column) -> Column:
 
 def inline_normalised(c: Column) -> Column:
     """Markdown inline marks resolved: wiki links, links, code, emphasis; white space collapsed."""
-    c = F.regexp_replace(c, rf"!?\[\[[^\]|]*\|{SPACE}*([^\]]*[^\]\t\x20\n])\s*\]\]", "$1")
-    c = F.regexp_replace(c, r"!?\[\[([^\]|]*)(?:\|\s*)?\]\]", "$1")
+    # A wiki link gives its alias, or its target where the alias is blank; both end before the first "]]".
+    c = F.regexp_replace(c, rf"!?\[\[(?:(?!\]\]|\|).)*\|{SPACE}*((?:(?!\]\]).)*?(?!\]\])[^{BLANK}{NEWLINE}]){SPACE}*\]\]", "$1")
+    c = F.regexp_replace(c, rf"!?\[\[{SPACE}*((?:(?!\]\]|\|).)*?){SPACE}*(?:\|{SPACE}*)?\]\]", "$1")
+    # The patterns of the other marks.
     for pattern, to in ((r"\[(.*?)\]\((.*?)\)", "$1"), (r"`([^`]*)`", "$1"), (r"[*_~#>]+", " "), (rf"{SPACE}+", " ")):
         c = F.regexp_replace(c, pattern, to)
     return trimmed(c)
@@ -142,9 +147,23 @@ def digest_of(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
-def masked_key(key: Column) -> Column:
+def masked_key(key: Column, prefix: str = "key_") -> Column:
     """An API key with its first four characters after the prefix shown and 60 stars."""
-    return F.concat(F.lit("foundation_"), F.substring(F.regexp_replace(key, "^foundation_", ""), 1, 4), F.lit("*" * 60))
+    bare = F.when(key.startswith(prefix), F.substring(key, len(prefix) + 1, 4)).otherwise(F.substring(key, 1, 4))
+    return F.concat(F.lit(prefix), bare, F.lit("*" * 60))
+
+
+def highlighted(c: Column, query: str) -> Column:
+    """HTML-escaped text with every occurrence of the query's terms, in any case, between mark tags.
+
+    Longer terms first, so that of two that start together the longer one is marked.
+    """
+    terms = sorted({t for t in query.lower().split() if len(t) >= 2}, key=lambda t: (-len(t), t))
+    safe = html_escaped(c)
+    if not terms:
+        return safe
+    escaped = [re.escape(t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")) for t in terms]
+    return F.regexp_replace(safe, f"(?i)({'|'.join(escaped)})", "<mark>$1</mark>")
 
 
 def masked_setting(c: Column) -> Column:

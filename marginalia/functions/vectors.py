@@ -33,8 +33,9 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """v over its norm; a zero vector stays."""
-    size = norm(v)
-    return F.when(size > 0, F.transform(as_doubles(v), lambda x: x / size)).otherwise(as_doubles(v))
+    # The outer lambda binds the norm, which would be found again for each element otherwise.
+    over = lambda n: F.when(n > 0, F.transform(as_doubles(v), lambda x: x / n)).otherwise(as_doubles(v))
+    return F.get(F.transform(F.array(norm(v)), over), F.lit(0))
 
 
 def resize(v: Column, width: int) -> Column:

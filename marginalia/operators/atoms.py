@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..sources.scratch import stored
 
 
 def lookup(requests: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -21,18 +22,21 @@ def lookup(requests: DataFrame, atoms: DataFrame) -> DataFrame:
 
 
 def insertable(texts: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Distinct non-blank trimmed texts that no atom has yet."""
-    fresh = texts.select(trimmed(F.col("content")).alias("content")).filter("content <> ''").distinct()
-    return fresh.join(atoms.select("content"), "content", "left_anti")
+    """Distinct non-blank trimmed texts that no atom has yet; texts are told by 128 bits of hashes."""
+    key = [F.xxhash64("content").alias("k1"), F.xxhash64(F.lit(1), F.col("content")).alias("k2")]
+    fresh = texts.select(trimmed(F.col("content")).alias("content")).filter("content <> ''").select("content", *key)
+    fresh = fresh.join(atoms.select(*key), ["k1", "k2"], "left_anti")
+    return fresh.groupBy("k1", "k2").agg(F.min("content").alias("content")).select("content")
 
 
 def inserted(texts: DataFrame, atoms: DataFrame) -> DataFrame:
     """(id, content) of all atoms after insertion; new ids follow the largest, in text order.
 
-    Ids come in two levels: ranges of texts first, then a number inside each range.
+    Ids come in two levels: ranges of texts first, then a number inside each range. The ranges are
+    stored before they are used, so that both levels see the same ones.
     """
     old = atoms.select("id", "content")
-    fresh = insertable(texts, atoms).repartitionByRange("content").withColumn("part", F.spark_partition_id())
+    fresh = stored(insertable(texts, atoms).repartitionByRange("content").withColumn("part", F.spark_partition_id()), "atoms-fresh")
     inside = fresh.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("content")))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = inside.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))

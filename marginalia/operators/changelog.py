@@ -52,6 +52,28 @@ def current_state(log: DataFrame, keys: tuple[str, ...] = ("vault_id", "file_pat
         F.col("l.changed_at_unix_ms").alias("updated_unix_ms"), "content_version", F.col("l.id").alias("last_change_id"))
 
 
+def with_derived(log: DataFrame, derived: DataFrame, keys: tuple[str, ...] = ("vault_id", "file_path")) -> DataFrame:
+    """Current state with the columns derived from a file's text (``derived``: keys, derived_at_id, others).
+
+    They are null from a client's change on until they are derived again; changes that the engine
+    generated leave them alone. Deleted files have none.
+    """
+    mine = F.coalesce(F.col("device_id"), F.lit("")) != GENERATED_DEVICE
+    client = log.filter(mine).groupBy(*keys).agg(F.max("id").alias("client_id"))
+    both = current_state(log, keys).join(client, list(keys), "left").join(derived, list(keys), "left")
+    fresh = ~F.col("is_deleted") & (F.coalesce("client_id", F.lit(-1)) <= F.col("derived_at_id"))
+    names = [c for c in derived.columns if c not in (*keys, "derived_at_id")]
+    return both.withColumns({c: F.when(fresh, F.col(c)) for c in names}).drop("client_id", "derived_at_id")
+
+
+def pushed(log: DataFrame, changes: DataFrame, now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(state with text, jobs) after ``changes`` (with ids) are appended to ``log``; invalid ones are left out."""
+    good = normalised(changes, now_ms).filter("error is null").drop("error")
+    whole = log.select(*[c for c in good.columns if c in log.columns]).unionByName(good, allowMissingColumns=True)
+    state = current_state(whole)
+    return with_text(state), job_status(enqueued(whole), state)
+
+
 def with_text(state: DataFrame) -> DataFrame:
     """State with the content as text where it looks like text."""
     return state.withColumn("content", F.when(~F.col("is_deleted"), text_of(F.unbase64("base64"))))
@@ -60,7 +82,7 @@ def with_text(state: DataFrame) -> DataFrame:
 def delta_since(log: DataFrame, since_ms: int, limit: int | None = None, safe_after_id: int | None = None) -> DataFrame:
     """Changes later than a time, in order of (time, id); all of them, not the latest of each file.
 
-    The reference order can miss changes that arrive late. ``safe_after_id`` pages on the id instead.
+    This order can miss changes that arrive late. ``safe_after_id`` pages on the id instead.
     """
     if safe_after_id is not None:
         return log.filter(F.col("id") > safe_after_id).orderBy("id").limit(clamp(limit, SYNC_LIMIT))

@@ -49,10 +49,10 @@ def search_vault(
     return found.orderBy("distance", "file_path").limit(clamp(limit, SEARCH_LIMIT))
 
 
-def best_per_group(rows: DataFrame, group: str, order: list[str | Column], keep: int = 1) -> DataFrame:
-    """The first ``keep`` rows of each group; tasks cut their own groups before the shuffle."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.filter(F.col("rank") <= keep)
+def by_path(rows: DataFrame, path_col: str, part: str = "", suffix: str = "") -> DataFrame:
+    """Rows whose path holds ``part`` and ends in ``suffix``, in any case; blank filters let all through."""
+    path = F.lower(F.col(path_col))
+    return rows.filter(F.contains(path, F.lit(part.strip().lower())) & path.endswith(suffix.strip().lower()))
 
 
 def confidence(distance: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .changelog import current_state
+
 #: Bytes of an upload batch, by default and at least.
 UPLOAD_BYTES, UPLOAD_LEAST = 8 << 20, 256 << 10
 
@@ -63,6 +65,20 @@ def remote_diff(
     return rows.withColumn("action", action).filter("action is not null").select("path", "action", time.alias("changed_at_unix_ms"))
 
 
+def full_push_plan(
+    local: DataFrame, previous: DataFrame, remote: DataFrame, now_ms: int, body_bytes: int, limit: int = UPLOAD_BYTES, prefer_fingerprint: bool = False
+) -> DataFrame | None:
+    """None if a full push's body fits the limit; else the changes of a strict mirror diff, to be sent in batches."""
+    if body_bytes <= max(limit, UPLOAD_LEAST):
+        return None
+    return remote_diff(local, previous, remote, now_ms, mirror=True, prefer_fingerprint=prefer_fingerprint, strict_mirror=True)
+
+
+def upload_limit(asked: Column) -> Column:
+    """Bytes of an upload batch: the default where nothing is asked, and never below the floor."""
+    return F.greatest(F.coalesce(asked, F.lit(UPLOAD_BYTES)), F.lit(UPLOAD_LEAST)).cast("long")
+
+
 def encoded_size(changes: DataFrame) -> DataFrame:
     """Each change with the bytes of its compact JSON (fields without a value left out)."""
     fields = [c for c in changes.columns if c not in ("vault_id", "seq")]
@@ -103,6 +119,20 @@ def without_content(changes: DataFrame) -> DataFrame:
     return changes.filter(F.lower("action").isin("added", "modified") & (F.trim(F.coalesce("content_base64", F.lit(""))) == ""))
 
 
+def pulled(files: DataFrame, log: DataFrame, since_ms: int | None) -> tuple[DataFrame, int | None]:
+    """(files, watermark) of a client after a pull of one vault's ``log``.
+
+    Without a watermark the client takes the live snapshot, and files that it doesn't hold go; with
+    one, the changes since. The new watermark is the latest time in the log, or the old one.
+    """
+    latest = log.agg(F.max("changed_at_unix_ms")).first()[0]
+    if since_ms is None:
+        live = current_state(log).filter(~F.col("is_deleted"))
+        return live.select(F.col("file_path").alias("path"), F.col("base64").alias("content_base64")), latest
+    changes = log.filter(F.col("changed_at_unix_ms") > since_ms).select(F.col("file_path").alias("path"), "action", "content_base64", "changed_at_unix_ms", "id")
+    return applied(files, changes), latest if latest is not None else since_ms
+
+
 def applied(files: DataFrame, changes: DataFrame) -> DataFrame:
     """(path, content_base64) after a delta: the last change of each path by (time, id) decides."""
     last = changes.groupBy("path").agg(F.max_by(F.struct("action", "content_base64"), F.struct("changed_at_unix_ms", "id")).alias("l"))

@@ -27,6 +27,13 @@ def source_indexes(source_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
     return out.select("source_id", F.col("t.mean").alias("embedding"), "atom_count")
 
 
+def refreshed_indexes(indexes: DataFrame, changed: DataFrame, source_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
+    """``indexes`` with the centroids of the ``changed`` sources (source_id) found anew; those without an atom go."""
+    touched = source_atoms.join(changed.select("source_id"), "source_id", "left_semi")
+    kept = indexes.select("source_id", "embedding", "atom_count").join(changed.select("source_id"), "source_id", "left_anti")
+    return kept.unionByName(source_indexes(touched, atoms))
+
+
 def atom_counts(source_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
     """(source_id, link_count, atom_count): all links, and those whose atom exists."""
     there = atoms.select(F.col("id").alias("atom_id"), F.lit(1).alias("there"))

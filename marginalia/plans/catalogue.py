@@ -11,6 +11,9 @@ from ..functions import markdown, text, vectors
 from ..functions.embedding import embed, term_table
 from ..operators import atoms as atom_ops
 from ..operators import auth, changelog, notes, search, snapshot, sources
+from ..schema import VECTOR_WIDTH
+from ..sources import payloads
+from ..sources.scratch import spread
 from . import stand_ins as s
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +151,12 @@ def source_text_filter(spark, d):
     return s.documents(spark, d).filter(text.matches_any([F.col("source"), F.col("lang"), F.col("text")], "SRC1 en")).select("doc_id")
 
 
+@query("SELECT page_id FROM pages WHERE contains(lower(url), '/p') AND lower(url) LIKE '%1'")
+def path_filter(spark, d):
+    pages = s.load(spark, d, "pages")
+    return search.by_path(pages, "url", part="/P", suffix="1").select("page_id")
+
+
 # --- sources and atoms -----------------------------------------------------------------------------
 
 
@@ -156,6 +165,17 @@ def source_centroid(spark, d):
     return sources.centroid_terms(s.source_atoms(spark, d), s.atoms(spark, d)).withColumn("mean", F.round("mean", 6))
 
 
+@query(f"""WITH {s.ATOMS}, {s.SOURCE_ATOMS}, {s.CENTROIDS}
+SELECT source_id, (pos - 1)::INT AS pos, round(CASE WHEN source_id % 2 = 0 THEN mean ELSE 7.0 END, 6) AS value FROM terms WHERE source_id <> 2""")
+def centroids_of_changed_sources(spark, d):
+    """Stored centroids (all 7) after the even sources changed: those are found anew, and source 2 lost its atoms."""
+    links, made = s.source_atoms(spark, d), s.atoms(spark, d)
+    stored = sources.source_indexes(links, made).withColumn("embedding", F.transform("embedding", lambda x: F.lit(7.0)))
+    changed = links.filter("source_id % 2 = 0").select("source_id").distinct()
+    now = sources.refreshed_indexes(stored, changed, links.filter("source_id <> 2"), made)
+    return now.select("source_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.round("value", 6))
+
+
 @query(f"WITH {s.ATOMS}, {s.SOURCE_ATOMS} SELECT source_id, count(*) AS link_count, count(a.id) AS atom_count FROM source_atoms s LEFT JOIN atoms a ON a.id = s.atom_id GROUP BY 1")
 def source_atom_counts(spark, d):
     return sources.atom_counts(s.source_atoms(spark, d), s.atoms(spark, d))
@@ -253,10 +273,14 @@ def links_of_empty_sources_removed(spark, d):
     return sources.graph_without_empty(old, indexes)
 
 
-@query(f"""WITH {s.ATOMS}, {s.FILE_ATOMS}, {s.SOURCE_ATOMS} SELECT id, type FROM atoms a WHERE type IN ('aicreated', 'imported')
-AND NOT EXISTS (SELECT 1 FROM file_atoms f WHERE f.atom_id = a.id AND f.file_id < 50) AND NOT EXISTS (SELECT 1 FROM source_atoms x WHERE x.atom_id = a.id AND x.source_id < 5)""")
+@query("""WITH a AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'usercreated' WHEN 1 THEN 'aicreated' ELSE 'imported' END AS type FROM part) SELECT id, type FROM a
+WHERE type <> 'usercreated' AND id NOT IN (SELECT l_partkey FROM lineitem) AND id NOT IN (SELECT o_orderkey // 4 FROM orders)""")
 def orphan_atoms(spark, d):
-    return atom_ops.orphans(s.atoms(spark, d), s.file_atoms(spark, d).filter("file_id < 50"), s.source_atoms(spark, d).filter("source_id < 5")).select("id", "type")
+    kind = F.when(F.col("p_partkey") % 3 == 0, "usercreated").when(F.col("p_partkey") % 3 == 1, "aicreated").otherwise("imported")
+    made = s.load(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("type"))
+    held = s.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("atom_id"))
+    linked = s.load(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.floor(F.col("o_orderkey") / 4).alias("atom_id"))
+    return atom_ops.orphans(made, held, linked)
 
 
 @query("""SELECT request_id, atom_id FROM (SELECT r.request_id, CASE WHEN r.want IS NOT NULL THEN i.id ELSE t.id END AS atom_id FROM
@@ -312,7 +336,7 @@ def latest_change(spark, d):
     return changelog.latest_change(s.log(spark, d), "vault_id")
 
 
-@query(f"WITH {s.LOG} SELECT vault_id, arg_max(id, (changed_at_unix_ms, id)) AS latest_change_id, max(changed_at_unix_ms) AS latest_change_unix_ms FROM log WHERE device_id = 'foundation-cip' GROUP BY 1")
+@query(f"WITH {s.LOG} SELECT vault_id, arg_max(id, (changed_at_unix_ms, id)) AS latest_change_id, max(changed_at_unix_ms) AS latest_change_unix_ms FROM log WHERE device_id = 'generated' GROUP BY 1")
 def latest_generated_change(spark, d):
     return changelog.latest_generated(s.log(spark, d), "vault_id")
 
@@ -341,7 +365,7 @@ def duplicate_paths(spark, d):
     return changelog.duplicate_paths(s.load(spark, d, "lineitem"), "l_orderkey", "l_partkey")
 
 
-@query(f"""WITH {s.LOG}, {s.STATE}, versions AS (SELECT vault_id, file_path, row_number() OVER (PARTITION BY vault_id, file_path ORDER BY id) AS file_version FROM log WHERE device_id <> 'foundation-cip')
+@query(f"""WITH {s.LOG}, {s.STATE}, versions AS (SELECT vault_id, file_path, row_number() OVER (PARTITION BY vault_id, file_path ORDER BY id) AS file_version FROM log WHERE device_id <> 'generated')
 SELECT v.vault_id, v.file_path, v.file_version, j AS job_type, CASE WHEN v.file_version < s.content_version THEN 'superseded' ELSE 'pending' END AS status
 FROM versions v JOIN state s USING (vault_id, file_path), (VALUES ('file_enrichment'), ('atomize')) t(j)""")
 def job_queue_status(spark, d):
@@ -353,10 +377,13 @@ _RAW = "raw AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ' Created ' WHEN
 _ACTION = "CASE WHEN lower(trim(action)) IN ('added','add','created','create') THEN 'added' WHEN lower(trim(action)) IN ('modified','modify','changed','updated','update') THEN 'modified' WHEN lower(trim(action)) IN ('deleted','delete','removed','remove') THEN 'deleted' END"
 
 
+def _raw_action(event_id):
+    n = event_id % 6
+    return F.when(n == 0, " Created ").when(n == 1, "UPDATE").when(n == 2, "removed").when(n == 3, "x").when(n == 4, "add").otherwise("changed")
+
+
 def _raw(spark, d):
-    n = F.col("event_id") % 6
-    names = F.when(n == 0, " Created ").when(n == 1, "UPDATE").when(n == 2, "removed").when(n == 3, "x").when(n == 4, "add").otherwise("changed")
-    return s.load(spark, d, "events").select("event_id", names.alias("action"))
+    return s.load(spark, d, "events").select("event_id", _raw_action(F.col("event_id")).alias("action"))
 
 
 @query(f"WITH {_RAW} SELECT event_id, {_ACTION} AS action FROM raw")
@@ -376,6 +403,84 @@ def push_normalised(spark, d):
     return changelog.normalised(raw, 5)
 
 
+_JOBS = f"""{s.LOG}, {s.STATE}, versions AS (SELECT vault_id, file_path, row_number() OVER (PARTITION BY vault_id, file_path ORDER BY id) AS file_version FROM log WHERE device_id <> 'generated'),
+jobs AS (SELECT v.vault_id, v.file_path, v.file_version, j AS job_type, CASE WHEN v.file_version < s.content_version THEN 'superseded' ELSE 'pending' END AS status
+  FROM versions v JOIN state s USING (vault_id, file_path), (VALUES ('file_enrichment'), ('atomize')) t(j))"""
+
+
+@query(f"""WITH {_JOBS} SELECT vault_id, file_path, file_version, job_type, CASE WHEN status <> 'pending' THEN status WHEN file_path LIKE '%/1.md' THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN status = 'pending' AND file_path LIKE '%/1.md' THEN 1 ELSE 0 END AS attempts, CASE WHEN status = 'pending' AND file_path LIKE '%/1.md' THEN 'no model' END AS last_error FROM jobs""")
+def jobs_finished(spark, d):
+    log = s.log(spark, d)
+    state = changelog.current_state(log)
+    jobs = changelog.job_status(changelog.enqueued(log), state).withColumns({"attempts": F.lit(0), "last_error": F.lit(None).cast("string")})
+    failed = state.filter(F.col("file_path").endswith("/1.md")).select("vault_id", "file_path", F.lit("no model").alias("error"))
+    return changelog.finished(jobs, failed)
+
+
+@query(f"""WITH {s.LOG}, {s.STATE}, clients AS (SELECT vault_id, file_path, max(id) AS client_id FROM log WHERE device_id <> 'generated' GROUP BY ALL)
+SELECT vault_id, file_path, is_deleted, CASE WHEN NOT is_deleted AND (client_id IS NULL OR client_id <= 500000) THEN 'subject ' || file_path END AS subject FROM state LEFT JOIN clients USING (vault_id, file_path)""")
+def derived_columns_reset(spark, d):
+    log = s.log(spark, d)
+    derived = log.select("vault_id", "file_path").distinct().select("*", F.concat(F.lit("subject "), "file_path").alias("subject"), F.lit(500_000).alias("derived_at_id"))
+    return changelog.with_derived(log, derived).select("vault_id", "file_path", "is_deleted", "subject")
+
+
+_PUSH = """raw AS (SELECT event_id AS id, user_id % 7 AS vault_id, CASE WHEN event_id % 17 = 0 THEN '/abs' ELSE 'a/./' || user_id || '.md' END AS path,
+  CASE event_id % 6 WHEN 0 THEN ' Created ' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'removed' WHEN 3 THEN 'x' WHEN 4 THEN 'add' ELSE 'changed' END AS act FROM events),
+named AS (SELECT *, CASE WHEN act IN (' Created ', 'add') THEN 'added' WHEN act IN ('UPDATE', 'changed') THEN 'modified' WHEN act = 'removed' THEN 'deleted' END AS action FROM raw),
+good AS (SELECT id, vault_id, replace(path, '/./', '/') AS file_path, action FROM named WHERE action IS NOT NULL AND path NOT LIKE '/%'),
+last AS (SELECT vault_id, file_path, arg_max(action, id) AS a, max(id) AS last_change_id, count(*) AS content_version FROM good GROUP BY ALL)"""
+
+
+def _push(spark, d):
+    return s.load(spark, d, "events").select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("vault_id"), F.lit("phone").alias("device_id"),
+        F.when(F.col("event_id") % 17 == 0, "/abs").otherwise(F.concat(F.lit("a/./"), "user_id", F.lit(".md"))).alias("file_path"), _raw_action(F.col("event_id")).alias("action"),
+        F.lit(5).cast("long").alias("changed_at_unix_ms"), F.lit("aGVsbG8=").alias("content_base64"), F.lit(None).cast("string").alias("content_sha256"))
+
+
+@query(f"""WITH {_PUSH} SELECT vault_id, file_path, a = 'deleted' AS is_deleted, CASE WHEN a = 'deleted' THEN '' ELSE sha256('hello') END AS content_sha256, content_version, last_change_id,
+  CASE WHEN a <> 'deleted' THEN 'hello' END AS content FROM last""")
+def push_applied_state(spark, d):
+    """A whole push: normalised, appended to an empty log, folded, and read as text."""
+    state, _ = changelog.pushed(_push(spark, d).limit(0), _push(spark, d), 5)
+    return state.select("vault_id", "file_path", "is_deleted", "content_sha256", "content_version", "last_change_id", "content")
+
+
+@query(f"""WITH {_PUSH}, versions AS (SELECT vault_id, file_path, row_number() OVER (PARTITION BY vault_id, file_path ORDER BY id) AS file_version FROM good)
+SELECT v.vault_id, v.file_path, v.file_version, j AS job_type, CASE WHEN v.file_version < l.content_version THEN 'superseded' ELSE 'pending' END AS status
+FROM versions v JOIN last l USING (vault_id, file_path), (VALUES ('file_enrichment'), ('atomize')) t(j)""")
+def push_applied_jobs(spark, d):
+    _, jobs = changelog.pushed(_push(spark, d).limit(0), _push(spark, d), 5)
+    return jobs
+
+
+_PULL_LOG = "SELECT file_path AS path, arg_max(action, (changed_at_unix_ms, id)) AS a, arg_max(content_sha256, (changed_at_unix_ms, id)) AS c FROM log WHERE vault_id = {v} AND changed_at_unix_ms > {since} GROUP BY 1"
+
+
+@query(f"""WITH {s.LOG}, {s.STATE}, mark AS (SELECT min(changed_at_unix_ms) + 86400000 AS ms FROM log), old AS (SELECT 'gone/' || vault_id || '.md' AS path FROM state GROUP BY vault_id HAVING vault_id < 2),
+delta AS ({_PULL_LOG.format(v=1, since="(SELECT ms FROM mark)")})
+SELECT 0 AS run, file_path AS path, content_sha256 AS content_base64 FROM state WHERE vault_id = 0 AND NOT is_deleted
+UNION ALL SELECT 1, path, c FROM delta WHERE a <> 'deleted' UNION ALL SELECT 1, path, 'old' FROM old WHERE path NOT IN (SELECT path FROM delta)""")
+def delta_pull(spark, d):
+    """A client without a watermark takes the snapshot of vault 0, one with a watermark the changes of vault 1 since."""
+    log = s.log(spark, d).withColumn("content_base64", F.col("content_sha256"))
+    here = s.log(spark, d).filter("vault_id < 2").select(F.concat(F.lit("gone/"), "vault_id", F.lit(".md")).alias("path"), F.lit("old").alias("content_base64")).distinct()
+    since = log.agg(F.min("changed_at_unix_ms")).first()[0] + 86_400_000
+    full, _ = snapshot.pulled(here, log.filter("vault_id = 0"), None)
+    delta, _ = snapshot.pulled(here, log.filter("vault_id = 1"), since)
+    return full.select(F.lit(0).alias("run"), "path", "content_base64").union(delta.select(F.lit(1), "path", "content_base64"))
+
+
+@query(f"""WITH {s.LOG} SELECT v AS vault_id, max(changed_at_unix_ms) AS watermark FROM log JOIN (VALUES (0), (1)) t(v) ON v = vault_id GROUP BY 1""")
+def pull_watermarks(spark, d):
+    log = s.log(spark, d).withColumn("content_base64", F.col("content_sha256"))
+    none = log.select(F.col("file_path").alias("path"), "content_base64").limit(0)
+    marks = [(v, snapshot.pulled(none, log.filter(F.col("vault_id") == v), None)[1]) for v in (0, 1)]
+    return spark.createDataFrame(marks, "vault_id int, watermark long")
+
+
 # --- snapshot diffs --------------------------------------------------------------------------------
 
 _PREV = "prev AS (SELECT 'p/' || o_orderkey AS path, o_custkey::BIGINT AS size_bytes, o_orderkey::BIGINT * 10 AS modified_unix_ms, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS content_fingerprint FROM orders WHERE o_orderkey % 5 <> 0)"
@@ -445,18 +550,11 @@ def delta_applied(spark, d):
     return snapshot.applied(there, log)
 
 
-@query("""WITH RECURSIVE c AS (SELECT user_id AS vault_id, event_id AS seq, strlen(event_type || coalesce(props, ''))::BIGINT * 50 AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id < 20),
+@query("""WITH RECURSIVE c AS (SELECT user_id AS vault_id, event_id AS seq, strlen(event_type || coalesce(props, ''))::BIGINT * 50 AS bytes, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 r AS (SELECT vault_id, seq, bytes, n, 100 + bytes AS used, 0 AS batch FROM c WHERE n = 1 UNION ALL
   SELECT c.vault_id, c.seq, c.bytes, c.n, CASE WHEN r.used + 1 + c.bytes > 20000 THEN 100 + c.bytes ELSE r.used + 1 + c.bytes END, CASE WHEN r.used + 1 + c.bytes > 20000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN c ON c.vault_id = r.vault_id AND c.n = r.n + 1)
 SELECT vault_id, seq, bytes, batch FROM r""")
 def upload_batches(spark, d):
-    size = F.octet_length(F.concat("event_type", F.coalesce("props", F.lit("")))).cast("long") * 50
-    changes = s.load(spark, d, "events").filter("user_id < 20").select(F.col("user_id").alias("vault_id"), F.col("event_id").alias("seq"), size.alias("bytes"))
-    return snapshot.upload_batches(changes, 100, 20_000)
-
-
-@query(ORACLES["upload_batches"].replace(" WHERE user_id < 20", ""))
-def upload_batches_whole(spark, d):
     size = F.octet_length(F.concat("event_type", F.coalesce("props", F.lit("")))).cast("long") * 50
     changes = s.load(spark, d, "events").select(F.col("user_id").alias("vault_id"), F.col("event_id").alias("seq"), size.alias("bytes"))
     return snapshot.upload_batches(changes, 100, 20_000)
@@ -469,41 +567,66 @@ def encoded_sizes(spark, d):
     return snapshot.encoded_size(t).select(F.col("seq").alias("event_id"), "bytes")
 
 
-# --- text ------------------------------------------------------------------------------------------
+@query(f"""WITH {_PREV}, {_CUR}, {_REMOTE}, j AS (SELECT coalesce(c.path, r.path) AS path, c.path IS NOT NULL AS here, r.path IS NOT NULL AS known, c.modified_unix_ms AS m, c.size_bytes AS z, r.updated, r.size, r.gone,
+  {_CLS} AS cls FROM cur c LEFT JOIN prev p ON p.path = c.path FULL JOIN remote r ON r.path = c.path)
+SELECT path, CASE WHEN here AND (NOT known OR gone) THEN 'added' WHEN here THEN 'modified' ELSE 'deleted' END AS action FROM j
+WHERE (here AND (NOT known OR gone OR cls = 'changed' OR (cls = 'uncertain' AND m >= updated) OR m <> updated OR z <> size)) OR (NOT here AND NOT gone)""")
+def full_push_fallback(spark, d):
+    """A full push that is too large for one body becomes a strict mirror diff in upload batches."""
+    prev, cur = _snapshots(spark, d)
+    key = F.col("o_orderkey")
+    remote = s.load(spark, d, "orders").filter(key % 8 != 0).select(
+        F.concat(F.lit("p/"), key).alias("path"), (key.cast("long") * 10 + F.when(key % 17 == 0, 5).when(key % 17 == 1, -5).otherwise(0)).alias("updated_unix_ms"),
+        F.col("o_custkey").cast("long").alias("size_bytes"), (key % 19 == 0).alias("is_deleted"))
+    return snapshot.full_push_plan(cur, prev, remote, 77, body_bytes=1 << 40, prefer_fingerprint=True).select("path", "action")
 
-WIDTH, HEAD = 64, 200
-_CHARS = f"""chars AS (SELECT doc_id, (i - 1) AS i, unicode(substr(t, i, 1)) AS c FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM (SELECT doc_id, trim(substr(text, 1, {HEAD}), chr(10) || chr(9) || chr(13) || ' ') AS t FROM documents))),
-bytes AS (SELECT doc_id, i, o, ('0x' || substr(sha256(i || ':' || c), (o * 2 + 1)::BIGINT, 2))::INT AS b FROM chars, range(0, 8) r(o)),
-terms AS (SELECT doc_id AS id, ((b + 31 * i + 17 * o) % {WIDTH})::INT AS pos, sum(CASE WHEN (xor(b, o::INT) & 1) = 0 THEN 1 ELSE -1 END * ((b % 64) + 1) / 64.0)::DOUBLE AS value FROM bytes GROUP BY ALL)"""
 
+@query(f"WITH {_PREV} SELECT path, CASE WHEN size_bytes % 3 = 0 THEN 'Added' ELSE 'modified' END AS action FROM prev WHERE size_bytes % 3 < 2 AND size_bytes % 5 = 0")
+def uploads_without_content(spark, d):
+    prev, _ = _snapshots(spark, d)
+    n = F.col("size_bytes")
+    action = F.when(n % 3 == 0, "Added").when(n % 3 == 1, "modified").otherwise("deleted")
+    content = F.when(n % 5 != 0, "eA==").when(n % 2 == 0, " ")
+    return snapshot.without_content(prev.select("path", action.alias("action"), content.alias("content_base64"))).select("path", "action")
 
-def _heads(spark, d):
-    return s.documents(spark, d).select("doc_id", F.substring("text", 1, HEAD).alias("t"))
 
+@query("SELECT limit_bytes, greatest(262144, CASE WHEN limit_bytes IS NULL THEN 8388608 ELSE limit_bytes END)::BIGINT AS used FROM (SELECT CASE WHEN p_partkey % 10 > 0 THEN p_partkey * 4096 END::BIGINT AS limit_bytes FROM part)")
+def upload_limits(spark, d):
+    asked = F.when(F.col("p_partkey") % 10 > 0, F.col("p_partkey").cast("long") * 4096)
+    return s.load(spark, d, "part").select(asked.alias("limit_bytes"), snapshot.upload_limit(asked).alias("used"))
 
-@query(f"WITH {_CHARS} SELECT id, pos, value FROM terms")
-def hash_embedding(spark, d):
-    return term_table(_heads(spark, d), "doc_id", "t", WIDTH)
 
+@query("""SELECT 'v' || page_id % 3 AS vault_uid, CASE WHEN page_id % 4 < 3 THEN k END AS seq, CASE WHEN page_id % 4 < 3 THEN page_id || '/' || k || '.md' END AS file_path, CASE WHEN page_id % 4 < 3 THEN 'eA==' END AS content_base64
+FROM pages, (VALUES (0), (1)) t(k) WHERE page_id % 4 < 3 OR k = 0""")
+def full_push_bodies(spark, d):
+    """Bodies in either spelling, as JSON text, parsed to a row for each file; an empty list gives a row without a path."""
+    i = F.col("page_id")
+    name = F.when(i % 2 == 0, "vault_uid").otherwise("vaultUid")
+    path = F.when(i % 2 == 0, "file_path").otherwise("filePath")
+    one = lambda k: F.format_string('{"%s":"%s/%d.md","content_base64":"eA=="}', path, i, F.lit(k))
+    files = F.when(i % 4 < 3, F.concat_ws(",", one(0), one(1))).otherwise("")
+    bodies = s.load(spark, d, "pages").select(F.format_string('{"%s":"v%d","files":[%s]}', name, i % 3, files).alias("body"))
+    return payloads.parse_full_pushes(bodies, "body").select("vault_uid", "seq", "file_path", "content_base64")
 
-@query(f"WITH {_CHARS}, n AS (SELECT id, sqrt(sum(value * value)) AS size FROM terms GROUP BY 1) SELECT id, pos, round(value / size, 6) AS value FROM terms JOIN n USING (id) WHERE value <> 0")
-def hash_embedding_norm(spark, d):
-    out = embed(_heads(spark, d), "doc_id", "t", WIDTH)
-    return out.select("id", F.posexplode("vector").alias("pos", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 
+# --- text ------------------------------------------------------------------------------------------
 
-#: Production's width, for whole texts. DuckDB's substr for each character is quadratic in a text, so tests hold these against brute force.
-FULL_WIDTH = 1024
+_CHARS = f"""texts AS (SELECT doc_id, string_split(trim(text, chr(10) || chr(9) || chr(13) || ' '), '') AS cs FROM documents),
+chars AS (SELECT doc_id, unnest(range(0, len(cs))) AS i, unnest(cs) AS ch FROM texts),
+kinds AS (SELECT DISTINCT i, ch, sha256(i || ':' || unicode(ch)) AS h FROM chars WHERE ch <> ''),
+bytes AS (SELECT i, ch, o, ('0x' || substr(h, (o * 2 + 1)::BIGINT, 2))::INT AS b FROM kinds, range(0, 8) r(o)),
+terms AS (SELECT doc_id AS id, ((b + 31 * i + 17 * o) % {VECTOR_WIDTH})::INT AS pos, sum(CASE WHEN (xor(b, o::INT) & 1) = 0 THEN 1 ELSE -1 END * ((b % 64) + 1) / 64.0)::DOUBLE AS value
+  FROM chars JOIN bytes USING (i, ch) GROUP BY ALL)"""
 
 
-@query()
-def hash_embedding_whole(spark, d):
-    return term_table(s.documents(spark, d), "doc_id", "text", FULL_WIDTH)
+@query(f"WITH {_CHARS} SELECT id, pos, value FROM terms")
+def hash_embedding(spark, d):
+    return term_table(s.documents(spark, d), "doc_id", "text", VECTOR_WIDTH)
 
 
-@query()
-def hash_embedding_norm_whole(spark, d):
-    out = embed(s.documents(spark, d), "doc_id", "text", FULL_WIDTH)
+@query(f"WITH {_CHARS}, n AS (SELECT id, sqrt(sum(value * value)) AS size FROM terms GROUP BY 1) SELECT id, pos, round(value / size, 6) AS value FROM terms JOIN n USING (id) WHERE value <> 0")
+def hash_embedding_norm(spark, d):
+    out = embed(s.documents(spark, d), "doc_id", "text", VECTOR_WIDTH)
     return out.select("id", F.posexplode("vector").alias("pos", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
@@ -525,12 +648,12 @@ def vector_literal(spark, d):
     return t.select("vec_id", vectors.to_literal(F.col("embedding")).alias("literal"))
 
 
-_TEXTS = "(SELECT doc_id, '# ' || '**' || substr(text, 1, 300) || '** [a](u) `c`' AS t FROM documents)"
+_TEXTS = "(SELECT doc_id, '# ' || '**' || text || '** [a](u) `c`' AS t FROM documents)"
 _INLINE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[(.*?)\]\((.*?)\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '[*_~#>]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def _marked(spark, d):
-    return s.documents(spark, d).select("doc_id", F.concat(F.lit("# **"), F.substring("text", 1, 300), F.lit("** [a](u) `c`")).alias("t"))
+    return s.documents(spark, d).select("doc_id", F.concat(F.lit("# **"), "text", F.lit("** [a](u) `c`")).alias("t"))
 
 
 @query(f"SELECT doc_id, {_INLINE} AS plain FROM {_TEXTS}")
@@ -538,24 +661,13 @@ def inline_normalize(spark, d):
     return _marked(spark, d).select("doc_id", text.inline_normalised(F.col("t")).alias("plain"))
 
 
-@query(f"SELECT doc_id, {_INLINE} AS plain FROM (SELECT doc_id, '# ' || '**' || text || '** [a](u) `c`' AS t FROM documents)")
-def inline_normalize_whole(spark, d):
-    marked = s.documents(spark, d).select("doc_id", F.concat(F.lit("# **"), "text", F.lit("** [a](u) `c`")).alias("t"))
-    return marked.select("doc_id", text.inline_normalised(F.col("t")).alias("plain"))
-
-
 @query(r"""SELECT doc_id, (i - 1)::INT AS pos, p[i] AS sentence FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(replace(text, chr(10), ' '), '[^.!?;。！？]*[.!?;。！？]|[^.!?;。！？]+$'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents))""")
 def sentence_split(spark, d):
-    return s.documents(spark, d).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
+    return spread(s.documents(spark, d).select("doc_id", "text")).select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(trim(substr(text, 1, 80), chr(10) || ' ')), '\s+'), lambda x: length(x) >= 2), '|') AS terms FROM documents")
+@query(r"SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(trim(text, chr(10) || ' ')), '\s+'), lambda x: length(x) >= 2), '|') AS terms FROM documents")
 def query_terms(spark, d):
-    return s.documents(spark, d).select("doc_id", F.array_join(text.query_terms(F.substring("text", 1, 80)), "|").alias("terms"))
-
-
-@query(ORACLES["query_terms"].replace("substr(text, 1, 80)", "text"))
-def query_terms_whole(spark, d):
     return s.documents(spark, d).select("doc_id", F.array_join(text.query_terms(F.col("text")), "|").alias("terms"))
 
 
@@ -575,19 +687,10 @@ def vault_uid_check(spark, d):
     return s.load(spark, d, "pages").select("page_id", text.vault_uid_of(raw).alias("uid"))
 
 
-@query("""WITH l AS (SELECT doc_id % 10 AS g, string_agg('- [[' || source || '/' || doc_id || ']]', chr(10) ORDER BY doc_id) AS links FROM documents WHERE doc_id < 60 GROUP BY 1)
-SELECT d.doc_id, sha256(CASE WHEN l.links IS NULL THEN CASE WHEN b = '' THEN '' ELSE b || chr(10) END ELSE CASE WHEN b = '' THEN '' ELSE b || chr(10) || chr(10) END || '<!-- foundation:related-links:start -->' || chr(10) || '## Related Notes' || chr(10)
- || l.links || chr(10) || '<!-- foundation:related-links:end -->' || chr(10) END) AS digest FROM (SELECT doc_id, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS b FROM documents) d LEFT JOIN l ON l.g = d.doc_id % 12""")
+@query("""WITH l AS (SELECT doc_id // 6 AS g, string_agg('- [[' || source || '/' || doc_id || ']]', chr(10) ORDER BY doc_id) AS links FROM documents GROUP BY 1)
+SELECT d.doc_id, sha256(CASE WHEN l.links IS NULL THEN CASE WHEN b = '' THEN '' ELSE b || chr(10) END ELSE CASE WHEN b = '' THEN '' ELSE b || chr(10) || chr(10) END || '<!-- related-links:start -->' || chr(10) || '## Related Notes' || chr(10)
+ || l.links || chr(10) || '<!-- related-links:end -->' || chr(10) END) AS digest FROM (SELECT doc_id, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS b FROM documents) d LEFT JOIN l ON d.doc_id % 12 < 10 AND l.g = d.doc_id // 6""")
 def related_block_render(spark, d):
-    docs = s.documents(spark, d)
-    paths = docs.filter("doc_id < 60").select((F.col("doc_id") % 10).alias("g"), "doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("p"))
-    lists = paths.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("doc_id", "p"))).alias("r"))  # ten groups of six
-    out = docs.join(lists, docs["doc_id"] % 12 == lists["g"], "left").select(docs["doc_id"], markdown.rendered(F.col("text"), F.col("r.p")).alias("x"))
-    return out.select("doc_id", F.sha2(F.col("x").cast("binary"), 256).alias("digest"))
-
-
-@query(ORACLES["related_block_render"].replace("doc_id % 10 AS g", "doc_id // 6 AS g").replace(" WHERE doc_id < 60", "").replace("l.g = d.doc_id % 12", "d.doc_id % 12 < 10 AND l.g = d.doc_id // 6"))
-def related_block_render_whole(spark, d):
     docs = s.documents(spark, d)
     group = F.floor(F.col("doc_id") / 6)
     paths = docs.select(group.alias("g"), "doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("p"))
@@ -596,18 +699,9 @@ def related_block_render_whole(spark, d):
     return out.select("doc_id", F.sha2(F.col("x").cast("binary"), 256).alias("digest"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN t = '' THEN '' WHEN length(regexp_replace(t, '[^\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]', '', 'g')) <= length(t) * 0.05 THEN 'text' END AS kind FROM
-(SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN '' ELSE substr(text, 1, 10) || repeat(chr(7), 2) END AS t FROM documents)""")
-def text_sniff(spark, d):
-    n = F.col("doc_id") % 3
-    t = F.when(n == 0, F.col("text")).when(n == 1, "").otherwise(F.concat(F.substring("text", 1, 10), F.lit("\7\7")))
-    out = s.documents(spark, d).select("doc_id", text.text_of(t.cast("binary")).alias("t"))
-    return out.select("doc_id", F.when(F.col("t") == "", "").when(F.col("t").isNotNull(), "text").alias("kind"))
-
-
 @query(r"""SELECT doc_id, marked, CASE WHEN t = '' THEN '' WHEN length(regexp_replace(t, '[^\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]', '', 'g')) <= length(t) * 0.05 THEN 'text' END AS kind FROM
 (SELECT doc_id, false AS marked, text AS t FROM documents UNION ALL SELECT doc_id, true, text || repeat(chr(7), length(text) // 10 + 1) FROM documents)""")
-def text_sniff_whole(spark, d):
+def text_sniff(spark, d):
     docs = s.documents(spark, d)
     bells = F.repeat(F.lit("\7"), F.floor(F.char_length("text") / 10).cast("int") + 1)
     both = docs.select("doc_id", F.lit(False).alias("marked"), "text").union(docs.select("doc_id", F.lit(True), F.concat("text", bells)))
@@ -615,14 +709,8 @@ def text_sniff_whole(spark, d):
     return out.select("doc_id", "marked", F.when(F.col("t") == "", "").when(F.col("t").isNotNull(), "text").alias("kind"))
 
 
-@query("SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents WHERE doc_id % 20 = 0")
+@query("SELECT doc_id, base64(encode(text)) AS encoded, text AS decoded FROM documents")
 def base64_roundtrip(spark, d):
-    t = s.documents(spark, d).filter("doc_id % 20 = 0").select("doc_id", text.base64_of(F.col("text").cast("binary")).alias("encoded"))
-    return t.select("doc_id", "encoded", text.strict_base64(F.col("encoded")).cast("string").alias("decoded"))
-
-
-@query(ORACLES["base64_roundtrip"].replace(" WHERE doc_id % 20 = 0", ""))
-def base64_roundtrip_whole(spark, d):
     t = s.documents(spark, d).select("doc_id", text.base64_of(F.col("text").cast("binary")).alias("encoded"))
     return t.select("doc_id", "encoded", text.strict_base64(F.col("encoded")).cast("string").alias("decoded"))
 
@@ -640,11 +728,50 @@ def masks_and_escapes(spark, d):
     return s.load(spark, d, "customer").select("c_custkey", text.masked_setting(v).alias("masked"), text.html_escaped(F.concat(F.lit("<"), "c_name", F.lit('&"'))).alias("escaped"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN true ELSE false END AS ok FROM customer""")
+_KEYS = """keys AS (SELECT c_custkey, c_name AS salt, 'key_' || c_custkey || lower(c_name) AS key, CASE c_custkey % 5 WHEN 0 THEN 'sha256$' || c_name || '$0' WHEN 1 THEN 'broken'
+  WHEN 2 THEN 'sha256$' || c_name || '$' || sha256(c_name || ':key_other') ELSE 'sha256$' || c_name || '$' || sha256(c_name || ':key_' || c_custkey || lower(c_name)) END AS stored FROM customer)"""
+
+
+def _keys(spark, d):
+    n = F.col("c_custkey") % 5
+    t = s.load(spark, d, "customer").select("c_custkey", F.col("c_name").alias("salt"), F.concat(F.lit("key_"), "c_custkey", F.lower("c_name")).alias("key"))
+    stored = F.when(n == 0, F.concat(F.lit("sha256$"), "salt", F.lit("$0"))).when(n == 1, "broken").when(n == 2, auth.salted(F.col("salt"), F.lit("key_other")))
+    return t.withColumn("stored", stored.otherwise(auth.salted(F.col("salt"), F.col("key"))))
+
+
+@query(f"WITH {_KEYS} SELECT c_custkey, stored = 'sha256$' || split_part(stored, '$', 2) || '$' || sha256(split_part(stored, '$', 2) || ':' || key) AS ok FROM keys")
 def api_key_verify(spark, d):
-    t = s.load(spark, d, "customer").select("c_custkey", F.col("c_name").alias("salt"), F.concat(F.lit("key-"), "c_custkey").alias("key"))
-    t = t.withColumn("stored", F.when(F.col("c_custkey") % 2 == 0, auth.salted(F.col("salt"), F.col("key"))).otherwise(F.concat(F.lit("sha256$"), "salt", F.lit("$0"))))
-    return t.select("c_custkey", auth.verifies(F.col("stored"), F.col("key")).alias("ok"))
+    return _keys(spark, d).select("c_custkey", auth.verifies(F.col("stored"), F.col("key")).alias("ok"))
+
+
+@query(f"WITH {_KEYS} SELECT c_custkey, 'key_' || substr(key, 5, 4) || repeat('*', 60) AS masked FROM keys")
+def api_key_masks(spark, d):
+    return _keys(spark, d).select("c_custkey", text.masked_key(F.col("key")).alias("masked"))
+
+
+@query("SELECT event_id, epoch_us(ts + INTERVAL 604800 SECOND) AS expires_us FROM events WHERE ts + INTERVAL 604800 SECOND > (SELECT max(ts) - INTERVAL 3 DAY FROM events)")
+def open_sessions(spark, d):
+    events = s.load(spark, d, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    sessions = events.select("event_id", auth.expiry(F.col("ts")).alias("expires_at"))
+    alive = auth.open_sessions(sessions, F.lit(now) - F.make_interval(days=F.lit(3)))
+    return alive.select("event_id", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("expires_at").cast("timestamp_ntz")).alias("expires_us"))
+
+
+_MARKED = "replace(replace(replace(replace(replace(source || ' <' || lang || '> & EN text', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+@query(f"SELECT doc_id, regexp_replace({_MARKED}, '(src|en)', '<mark>\\1</mark>', 'gi') AS html FROM documents".replace("\\\\", "\\"))
+def query_highlight(spark, d):
+    c = F.concat("source", F.lit(" <"), "lang", F.lit("> & EN text"))
+    return s.documents(spark, d).select("doc_id", text.highlighted(c, "SRC x en").alias("html"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '{"a":' || page_id || ',"b":[1,2]}' WHEN 1 THEN '"plain ' || page_id || '"' WHEN 2 THEN NULL ELSE '[' || page_id || ',"x"]' END AS metadata FROM pages""")
+def metadata_json(spark, d):
+    n, i = F.col("page_id") % 4, F.col("page_id")
+    raw = F.when(n == 0, F.concat(F.lit(' {"a": '), i, F.lit(', "b": [1, 2] }'))).when(n == 1, F.concat(F.lit("plain "), i)).when(n == 2, "  ").otherwise(F.concat(F.lit("[ "), i, F.lit(' , "x"]')))
+    return s.load(spark, d, "pages").select("page_id", text.json_of(raw).alias("metadata"))
 
 
 # --- notes -----------------------------------------------------------------------------------------
@@ -660,13 +787,54 @@ def keypoints(spark, d):
     return notes.keypoint_rows(notes.parse(_note_files(spark, d)))
 
 
+#: A note for each page: the kinds of lines, one after another, each with the keypoints it must give.
+_NOTE = [
+    ("'---'", []), ("'Title: Note ' || page_id", []), ("'tags: x'", []), ("'---'", []), ("'# Top **' || page_id || '**'", []), ("''", []),
+    ("'- [[Target|Alias ' || page_id || ']]'", ["'Top ' || page_id || ': Alias ' || page_id"]), ("'1) [link](http://u) and `code`'", ["'Top ' || page_id || ': link and code'"]),
+    ("'* '", []), ("'## Sub_' || page_id", []), ("'> quoted ' || page_id", ["'Top ' || page_id || ' / Sub ' || page_id || ': quoted ' || page_id"]),
+    ("'| a | b' || page_id || ' |'", ["'Top ' || page_id || ' / Sub ' || page_id || ': a | b' || page_id"]), ("'|---|:--|'", []), ("'```'", []), ("'# not a heading'", []), ("'- not an item'", []), ("'```'", []),
+    ("'First of ' || page_id || '. Second'", ["'Top ' || page_id || ' / Sub ' || page_id || ': First of ' || page_id || '.'"]),
+    ("'goes on! Last'", ["'Top ' || page_id || ' / Sub ' || page_id || ': Second goes on!'", "'Top ' || page_id || ' / Sub ' || page_id || ': Last'"]),
+    ("'# Other'", []), ("'+ again'", ["'Other: again'"]), ("'+ again'", []), ("'####### seven'", ["'Other: seven'"]),
+]
+_NOTE_ORDER = [k for _, found in _NOTE for k in found]
+
+
+def _lined_notes(spark, d):
+    lines = F.expr("concat_ws('\n', " + ", ".join(x.replace("||", "||") for x, _ in _NOTE) + ")")
+    return s.load(spark, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 5).alias("vault_id"), F.concat(F.lit("n/"), "page_id", F.lit(".md")).alias("file_path"), lines.alias("content"), F.lit(False).alias("is_deleted"))
+
+
+_LISTED = "SELECT page_id AS file_id, (k - 1)::INT AS keypoint_index, list_extract([" + ", ".join(_NOTE_ORDER) + f"], k) AS content FROM pages, range(1, {len(_NOTE_ORDER) + 1}) r(k)"
+
+
+@query(f"SELECT file_id, keypoint_index, content, 'vault://' || file_id % 5 || '/n/' || file_id || '.md' AS parent FROM ({_LISTED})")
+def keypoints_of_all_kinds(spark, d):
+    rows = notes.keypoint_rows(notes.parse(_lined_notes(spark, d)))
+    return rows.select("file_id", "keypoint_index", "content", "parent")
+
+
+@query(f"SELECT file_id AS id, 'Note ' || file_id AS title, string_agg(content, chr(10) ORDER BY keypoint_index) AS summary FROM ({_LISTED}) GROUP BY file_id")
+def note_titles_and_summaries(spark, d):
+    return notes.parse(_lined_notes(spark, d)).select("id", "title", "summary")
+
+
+@query("""SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'Deep ' || page_id ELSE 'my.note ' || page_id END AS title, CASE page_id % 3 WHEN 0 THEN 'Deep ' || page_id || ': ' || repeat('ab ', 140)[1:419] WHEN 1 THEN 'only prose here' ELSE 'my.note ' || page_id END AS summary FROM pages""")
+def note_fallbacks(spark, d):
+    """A title from a heading, else from the file's name; a long keypoint cut at 420 characters; prose alone; an empty note."""
+    n = F.col("page_id") % 3
+    content = F.when(n == 0, F.concat(F.lit("### Deep "), "page_id", F.lit("\n- "), F.repeat(F.lit("ab "), F.lit(150)))).when(n == 1, "only prose here").otherwise("")
+    files = s.load(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit(1).alias("vault_id"), F.concat(F.lit("x/my.note "), "page_id", F.lit(".md")).alias("file_path"), content.alias("content"), F.lit(False).alias("is_deleted"))
+    return notes.parse(files).select("id", "title", "summary")
+
+
 @query("""WITH link AS (SELECT doc_id AS a, doc_id + 20 AS b, doc_id % 5 = 0 AS on_ FROM documents WHERE doc_id % 5 = 0 AND doc_id + 20 IN (SELECT doc_id FROM documents)),
 e AS (SELECT a AS id, b AS other, 0.5 AS s FROM link UNION ALL SELECT b, a, 0.5 FROM link),
 p AS (SELECT e.id, d.source || '/' || e.other || '.md' AS path, row_number() OVER (PARTITION BY e.id ORDER BY s DESC, d.source || '/' || e.other || '.md') AS rank FROM e JOIN documents d ON d.doc_id = e.other),
 l AS (SELECT id, string_agg('- [[' || regexp_replace(path, '\\.md$', '') || ']]', chr(10) ORDER BY rank) AS links FROM p WHERE rank <= 8 GROUP BY 1),
-r AS (SELECT d.doc_id, d.source || '/' || d.doc_id || '.md' AS file_path, text, CASE WHEN links IS NULL THEN b || chr(10) ELSE b || chr(10) || chr(10) || '<!-- foundation:related-links:start -->' || chr(10) || '## Related Notes' || chr(10) || links || chr(10) || '<!-- foundation:related-links:end -->' || chr(10) END AS x
+r AS (SELECT d.doc_id, d.source || '/' || d.doc_id || '.md' AS file_path, text, CASE WHEN links IS NULL THEN b || chr(10) ELSE b || chr(10) || chr(10) || '<!-- related-links:start -->' || chr(10) || '## Related Notes' || chr(10) || links || chr(10) || '<!-- related-links:end -->' || chr(10) END AS x
   FROM (SELECT *, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS b FROM documents) d LEFT JOIN l ON l.id = d.doc_id)
-SELECT file_path, 'foundation-cip' AS device_id, 'modified' AS action, 9::BIGINT AS changed_at_unix_ms, sha256(x) AS content_sha256, strlen(x)::BIGINT AS size_bytes FROM r WHERE x <> text""".replace("\\\\", "\\"))
+SELECT file_path, 'generated' AS device_id, 'modified' AS action, 9::BIGINT AS changed_at_unix_ms, sha256(x) AS content_sha256, strlen(x)::BIGINT AS size_bytes FROM r WHERE x <> text""".replace("\\\\", "\\"))
 def generated_changes(spark, d):
     files = _note_files(spark, d)
     ids = files.select("id")

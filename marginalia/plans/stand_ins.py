@@ -66,13 +66,13 @@ LOG = (
     "log AS (SELECT (event_id * 7919) % 1000003 AS id, user_id % 7 AS vault_id, user_id || '/' || (event_id % 5) || '.md' AS file_path,"
     " CASE event_type WHEN 'signup' THEN 'added' WHEN 'error' THEN 'deleted' ELSE 'modified' END AS action, epoch_us(ts) // 1000 AS changed_at_unix_ms,"
     " base64(encode(event_type || ' ' || coalesce(props, ''))) AS content_base64, sha256(event_type || ' ' || coalesce(props, '')) AS content_sha256,"
-    " strlen(event_type || ' ' || coalesce(props, ''))::BIGINT AS size_bytes, CASE WHEN event_id % 11 = 0 THEN 'foundation-cip' ELSE 'phone' END AS device_id FROM events)"
+    " strlen(event_type || ' ' || coalesce(props, ''))::BIGINT AS size_bytes, CASE WHEN event_id % 11 = 0 THEN 'generated' ELSE 'phone' END AS device_id FROM events)"
 )
 STATE = (
     "state AS (SELECT vault_id, file_path, CASE WHEN a = 'deleted' THEN '' ELSE b END AS base64, CASE WHEN a = 'deleted' THEN '' ELSE s END AS content_sha256,"
     " CASE WHEN a = 'deleted' THEN 0 ELSE n END::BIGINT AS size_bytes, a = 'deleted' AS is_deleted, t AS updated_unix_ms, v AS content_version, id AS last_change_id FROM"
     " (SELECT vault_id, file_path, arg_max(action, id) AS a, arg_max(content_base64, id) AS b, arg_max(content_sha256, id) AS s, arg_max(size_bytes, id) AS n,"
-    " arg_max(changed_at_unix_ms, id) AS t, count(*) FILTER (device_id <> 'foundation-cip') AS v, max(id) AS id FROM log GROUP BY ALL))"
+    " arg_max(changed_at_unix_ms, id) AS t, count(*) FILTER (device_id <> 'generated') AS v, max(id) AS id FROM log GROUP BY ALL))"
 )
 CENTROIDS = (
     "terms AS (SELECT source_id, pos, avg(x) AS mean, count(*) AS n FROM (SELECT s.source_id, unnest(range(1, len(vector) + 1)) AS pos, unnest(vector) AS x"

@@ -1,6 +1,4 @@
-"""Table schemas and the fixed numbers of the note engine."""
-
-from pyspark.sql import types as T
+"""The fixed numbers of the note engine, and the marks of what it writes."""
 
 # Limits and thresholds whose results must not change.
 NEIGHBOUR_DISTANCE = 0.32
@@ -15,35 +13,9 @@ SYNC_LIMIT = (1, 20000, 5000)
 SOURCE_LIST_LIMIT = 500
 SOURCE_LINK_LIMIT = 200
 VECTOR_WIDTH = 1024
-GENERATED_DEVICE = "foundation-cip"
-BLOCK_START = "<!-- foundation:related-links:start -->"
-BLOCK_END = "<!-- foundation:related-links:end -->"
-
-_V = "ARRAY<FLOAT>"
-
-
-def _ddl(text: str) -> T.StructType:
-    """A struct from ``name TYPE, ...``; only the types used below."""
-    kinds = {"BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(), _V: T.ArrayType(T.FloatType()), "ARRAY<BIGINT>": T.ArrayType(T.LongType())}
-    return T.StructType([T.StructField(n, kinds[k]) for n, k in (f.split() for f in text.split(","))])
-
-
-TABLES = {
-    "atoms": _ddl(f"id BIGINT,content STRING,vector {_V},type STRING,parent STRING,metadata STRING,created_at TIMESTAMP"),
-    "sources": _ddl("id BIGINT,source_uid STRING,source_type STRING,label STRING,locator STRING,metadata STRING,created_at TIMESTAMP"),
-    "source_atoms": _ddl("source_id BIGINT,atom_id BIGINT,created_at TIMESTAMP"),
-    "source_indexes": _ddl(f"source_id BIGINT,embedding {_V},atom_count INT,updated_at TIMESTAMP"),
-    "source_links": _ddl("source_id BIGINT,target_source_id BIGINT,distance DOUBLE,method STRING,updated_at TIMESTAMP"),
-    "vaults": _ddl("id BIGINT,vault_uid STRING,created_at TIMESTAMP,updated_at TIMESTAMP"),
-    "vault_changes": _ddl("id BIGINT,vault_id BIGINT,file_id BIGINT,device_id STRING,file_path STRING,action STRING,changed_at_unix_ms BIGINT,content_base64 STRING,content_sha256 STRING,size_bytes BIGINT,received_at TIMESTAMP"),
-    "vault_files": _ddl(f"id BIGINT,vault_id BIGINT,file_path STRING,name STRING,base64 STRING,content STRING,interpreted STRING,subject STRING,vector_subject {_V},vector_content {_V},content_sha256 STRING,size_bytes BIGINT,is_deleted BOOLEAN,updated_unix_ms BIGINT,content_version BIGINT,created_at TIMESTAMP,modified_at TIMESTAMP,updated_at TIMESTAMP,last_change_id BIGINT"),
-    "file_atoms": _ddl("file_id BIGINT,atom_id BIGINT,created_at TIMESTAMP"),
-    "file_links": _ddl("id BIGINT,file_a_id BIGINT,file_b_id BIGINT,subject STRING,absolute DOUBLE,atoms ARRAY<BIGINT>,content STRING,created_at TIMESTAMP,updated_at TIMESTAMP"),
-    "file_processing_jobs": _ddl("id BIGINT,vault_id BIGINT,file_id BIGINT,job_type STRING,status STRING,file_version BIGINT,attempts INT,last_error STRING,created_at TIMESTAMP,updated_at TIMESTAMP"),
-    "local_snapshot": _ddl("path STRING,size_bytes BIGINT,modified_unix_ms BIGINT,content_fingerprint STRING"),
-    "auth_keys": _ddl("id BIGINT,key_hash STRING,masked STRING,created_at TIMESTAMP"),
-    "app_settings": _ddl("setting_key STRING,setting_value STRING"),
-}
+GENERATED_DEVICE = "generated"
+BLOCK_START = "<!-- related-links:start -->"
+BLOCK_END = "<!-- related-links:end -->"
 
 
 def clamp(value: int | None, bounds: tuple[int, int, int]) -> int:

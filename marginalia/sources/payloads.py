@@ -46,6 +46,12 @@ def read_full_pushes(spark: SparkSession, path: str) -> DataFrame:
     return _exploded(spark.read.schema(body_schema("files", FILE)).json(path), "files", FILE)
 
 
+def parse_full_pushes(bodies: DataFrame, text_col: str) -> DataFrame:
+    """The same from a column of JSON text."""
+    parsed = bodies.select(F.from_json(text_col, body_schema("files", FILE)).alias("b")).select("b.*")
+    return _exploded(parsed, "files", FILE)
+
+
 def parse_pushes(bodies: DataFrame, text_col: str) -> DataFrame:
     """The same from a column of JSON text."""
     parsed = bodies.select(F.from_json(text_col, body_schema("changes", CHANGE)).alias("b")).select("b.*")

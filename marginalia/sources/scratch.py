@@ -1,10 +1,11 @@
-"""A folder for working files that the driver and all executors see."""
+"""Working tables in a folder that the driver and all executors see."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -18,3 +19,19 @@ def scratch_dir(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("marginalia.scratch.dir", folder)
     return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its rows are fixed from then on."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as the session has cores; a frame that has them already stays as it is.
+
+    For heavy work on each row: a small file is a single task otherwise.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

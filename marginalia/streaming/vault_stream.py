@@ -12,9 +12,6 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.changelog import current_state
 
 
-def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A folder of Parquet log files as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
 
 
 def fold_stream(log: DataFrame, checkpoint: str, name: str) -> StreamingQuery:

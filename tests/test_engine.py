@@ -94,7 +94,7 @@ def log_of(spark, rows):
 
 
 def test_fold_follows_arrival(spark):
-    log = log_of(spark, [(1, "a.md", "modified", 10, "d"), (2, "a.md", "modified", 5, "d"), (3, "b.md", "added", 1, "d"), (4, "b.md", "deleted", 2, "d"), (5, "a.md", "modified", 99, "foundation-cip")])
+    log = log_of(spark, [(1, "a.md", "modified", 10, "d"), (2, "a.md", "modified", 5, "d"), (3, "b.md", "added", 1, "d"), (4, "b.md", "deleted", 2, "d"), (5, "a.md", "modified", 99, "generated")])
     got = {r["file_path"]: r for r in changelog.current_state(log).collect()}
     assert got["a.md"]["last_change_id"] == 5 and got["a.md"]["content_version"] == 2
     assert got["b.md"]["is_deleted"] and got["b.md"]["base64"] == "" and got["b.md"]["size_bytes"] == 0
@@ -223,9 +223,9 @@ def test_payloads(spark, tmp_path):
 def test_folders(spark, tmp_path):
     root = tmp_path / "in"
     (root / "d").mkdir(parents=True)
-    (root / ".foundation-sync").mkdir()
+    (root / ".sync-state").mkdir()
     (root / "d" / "a.md").write_bytes(b"hello")
-    (root / ".foundation-sync" / "s").write_bytes(b"x")
+    (root / ".sync-state" / "s").write_bytes(b"x")
     snap = directory.snapshot(directory.read_folder(spark, str(root))).collect()
     assert [(r["path"], r["size_bytes"], r["content_fingerprint"]) for r in snap] == [("d/a.md", 5, "a430d84680aabd0b")]
     files = spark.createDataFrame([("x/y.md", bytearray(b"1"))], "path string, content binary")
@@ -242,7 +242,7 @@ def test_state_files():
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    log = log_of(spark, [(i, f"{i % 3}.md", "deleted" if i % 7 == 0 else "modified", 100 - i, "foundation-cip" if i % 5 == 0 else "d") for i in range(1, 40)])
+    log = log_of(spark, [(i, f"{i % 3}.md", "deleted" if i % 7 == 0 else "modified", 100 - i, "generated" if i % 5 == 0 else "d") for i in range(1, 40)])
     log.repartition(4).write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     vault_stream.fold_to(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
