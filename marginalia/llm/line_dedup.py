@@ -144,10 +144,12 @@ def template_line_dedup(
     leaves = materialise(leaves.filter(F.col("n_docs") >= F.col("need")), "line-leaves")
     templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "did", "shape"), depth, similarity, max_templates)
     busy = hashed.join(leaves.select("leaf"), "leaf", "left_semi")
-    named = busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"), "need")
+    named = materialise(busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"), "need"), "line-named")
     recurring = named.groupBy("template", "did").agg(F.max("need").alias("need")).groupBy("template")
     recurring = recurring.agg(F.count("*").alias("n"), F.min("did").alias("owner"), F.max("need").alias("need")).filter(F.col("n") >= F.col("need"))
-    drops = named.join(recurring.select("template", "owner"), "template").filter("did > owner")
+    # Stored, so that the join below reads two plain shuffles and Spark can split a frequent template.
+    recurring = materialise(recurring.select("template", "owner"), "line-recurring")
+    drops = named.join(recurring, "template").filter("did > owner")
     drops = drops.groupBy("did", "tk").agg(F.collect_set("pos").alias("drops"))
 
     did, tk, gone = free_names(docs, "did", "tk", "drops")

@@ -129,3 +129,54 @@ def test_buckets_hold_all_similar_pairs(spark):
     held = {r["h"]: set(r["b"]) for r in _buckets(left, 3, 0.8).groupBy("h").agg(F.collect_set("bucket").alias("b")).collect()}
     close = [(a[0], b[0]) for a, b in combinations(lines, 2) if a[1] == b[1] and sum(x == y for x, y in zip(a[3], b[3])) >= 0.8 * a[1]]
     assert close and all(held[a] & held[b] for a, b in close)
+
+
+def brute_templates(rows, depth=3, similarity=0.8, min_docs=3, min_tokens=3, long_tokens=50):
+    """Single-file passes over each leaf, in the order of founders' ranks."""
+    import xxhash
+
+    shape = lambda line: re.sub(r"\s+", " ", re.sub(r"\S*[0-9]\S*", "<*>", line)).strip()
+    docs_of, template = {}, {}
+    for i, t, _ in rows:
+        for line in t.split("\n"):
+            if len(shape(line).split(" ")) >= min_tokens and shape(line):
+                docs_of.setdefault(shape(line), set()).add(i)
+    leaves = {}
+    for x in docs_of:
+        leaves.setdefault((len(x.split(" ")), *x.split(" ")[:depth]), []).append(x)
+    rank = lambda x: (len(docs_of[x]), xxhash.xxh64_intdigest(x.encode(), 42) & (1 << 24) - 1)
+    for leaf in leaves.values():
+        left = sorted(leaf, key=rank, reverse=True)
+        while left:
+            model = left[0].split(" ")
+            took = [x for x in left if sum(a == b for a, b in zip(x.split(" "), model)) >= similarity * len(model)]
+            template |= dict.fromkeys(took, left[0])
+            left = [x for x in left if x not in took]
+    holders = {}
+    for x, t in template.items():
+        holders.setdefault(t, set()).update(docs_of[x])
+    need = lambda t: min_docs if len(t.split(" ")) < long_tokens else 2
+    owner = {t: min(ids) for t, ids in holders.items() if len(ids) >= need(t)}
+    return {i: "\n".join(x for x in t.split("\n") if owner.get(template.get(shape(x)), i) >= i) for i, t, _ in rows}
+
+
+@pytest.mark.parametrize("max_templates", [0, 8])
+def test_templates_against_brute_force(make_docs, max_templates):
+    """Lines with variable fields in shared leaves, up to 14 templates of four copies in one."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    copies = []
+    for lead, n, size in (("we hereby state", 14, 15), ("read on here", 3, 10), ("all of this", 2, 55)):
+        for _ in range(n):
+            base = [word() for _ in range(size - 3)]
+            for k in range(4):
+                line = list(base)
+                for _ in range(rng.randrange(0, 2)):
+                    line[rng.randrange(len(line))] = word() if k % 2 else f"{rng.randrange(99)}"
+                copies.append(" ".join([lead, *line]))
+    rng.shuffle(copies)
+    rows = [(i, "\n".join([f"own words of {word()} {word()}", *copies[2 * i : 2 * i + 2]]), "en") for i in range(len(copies) // 2)]
+    got, want = {g[0]: g[1] for g in run(make_docs(rows), max_templates=max_templates)}, brute_templates(rows)
+    assert got == want and sum(len(t) for t in want.values()) < 0.5 * sum(len(t) for _, t, _ in rows)
