@@ -13,18 +13,25 @@ shards below theirs. Quotas differ by one at most, so law ``rows`` holds exactly
 
 Orders inside a shard (who is admitted, slots) are found in two levels: counts for hashed buckets
 of bounded size, a running sum over the bucket counts, and a row number inside each bucket. No
-shard, and no link, is ever sorted in one task.
+shard, and no link, is ever sorted in one task. Documents also lie in hashed parts: what is found
+for a link goes to its parts first, so no join brings all documents of a link together.
+
+Rounds go on until none moves a document. They end: a document moves only to a shard that holds at
+least as many of its neighbours, which raises the sum of the squared votes each time.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Rows that one bucket of a shard should hold.
+#: Rows that one bucket of a shard should hold, and a part of the hottest possible link at most, about.
 BUCKET_ROWS = 1024
+PART_ROWS = 4096
 
 
 def _literal_array(values: list[int]) -> Column:
@@ -49,7 +56,7 @@ def _ranked(df: DataFrame, group: list[str], buckets: int, first: list[Column])
 
 
 def _round(linked: DataFrame, quotas: list[int], shards: int) -> DataFrame | None:
-    """One round of propagation over ``linked`` (nid, link, shard, went); None if the last round moved nothing."""
+    """One round of propagation over ``linked`` (nid, link, part, shard, went); None if the last round moved nothing."""
     load = linked.groupBy("shard").agg(F.count("*").alias("n"), F.max("went").alias("went")).collect()  # one row a shard
     if not any(r["went"] for r in load):
         return None
@@ -60,24 +67,27 @@ def _round(linked: DataFrame, quotas: list[int], shards: int) -> DataFrame | Non
     # wait for its room would stay apart.
     open_ = _at(room, F.col("shard")) > 0
     score = (F.col("votes") * 2 + open_.cast("int")) * shards + (shards - 1 - F.col("shard"))
-    votes = linked.groupBy("link", "shard").agg(F.count("*").alias("votes")).select(
+    pieces = linked.groupBy("link", "part", "shard").agg(F.count("*").alias("c"))
+    votes = pieces.groupBy("link", "shard").agg(F.sum("c").alias("votes")).select(
         "link", "shard", score.alias("own"),
         F.max(F.when(open_, score)).over(Window.partitionBy("link")).alias("best"))
     asks = votes.filter("best > own").select("link", "shard", (shards - 1 - F.pmod("best", F.lit(shards))).cast("int").alias("target"))
-    movers = linked.join(asks, ["link", "shard"]).select("nid", "target")
+    asks = pieces.join(asks, ["link", "shard"]).select("link", "part", "shard", "target")
+    movers = linked.join(asks, ["link", "part", "shard"]).select("nid", "target")
     n = sum(load.values())
     ranked = _ranked(movers, ["target"], max(16, -(-n // (shards * BUCKET_ROWS))), [])
     moved = ranked.filter(F.col("rank") <= _at(room, F.col("target"))).select("nid", "target")
     return materialise(
         linked.join(moved, "nid", "left").select(
-            "nid", "link", F.coalesce("target", "shard").alias("shard"), F.col("target").isNotNull().alias("went")), "shard-round")
+            "nid", "link", "part", F.coalesce("target", "shard").alias("shard"), F.col("target").isNotNull().alias("went")), "shard-round")
 
 
 def balanced_label_propagation(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int = 8
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, rounds: int | None = None
 ) -> DataFrame:
     """Every row of ``docs`` with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
+    ``rounds`` ends the propagation early; by default it ends when no document moves.
     size is the UTF-8 length plus 8. A null text has length 0 and crc 0 and links to nothing; the
     empty text is a text like any other. Repeated rows are rows of their own, linked by their text;
     a null id is kept as it is. Ties between shards go to the smaller number. An empty table gives
@@ -93,10 +103,13 @@ def balanced_label_propagation(
     nodes = materialise(nodes.withColumn("shard", F.pmod(F.xxhash64("nid"), F.lit(shards)).cast("int")), "shard-nodes")
     total = nodes.count()
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
-    ties = nodes.filter("link is not null").groupBy("link").agg(F.count("*").alias("n")).filter("n > 1").select("link")
-    linked = nodes.select("nid", "link", "shard").join(ties, "link", "left_semi")
-    linked = materialise(linked.select("nid", "link", "shard", F.lit(True).alias("went")), "shard-linked")
-    for _ in range(rounds):
+    part = F.pmod(F.xxhash64(F.lit("part"), "nid"), F.lit(max(64, -(-total // PART_ROWS)))).cast("int")
+    linked = nodes.filter("link is not null").select("nid", "link", part.alias("part"), "shard")
+    pieces = linked.groupBy("link", "part").agg(F.count("*").alias("c"))
+    ties = pieces.groupBy("link").agg(F.sum("c").alias("n")).filter("n > 1")
+    linked = linked.join(pieces.join(ties, "link", "left_semi"), ["link", "part"], "left_semi")
+    linked = materialise(linked.select("nid", "link", "part", "shard", F.lit(True).alias("went")), "shard-linked")
+    for _ in itertools.count() if rounds is None else range(rounds):
         after = _round(linked, quotas, shards)
         if after is None:
             break

@@ -44,3 +44,21 @@ def test_groups_stay_together_and_hot_ones_are_split(make_docs):
 def test_results_repeat(make_docs):
     docs = make_docs([(i, f"t{i % 40}", "en") for i in range(100)])
     assert {tuple(r) for r in balanced_label_propagation(docs).collect()} == {tuple(r) for r in balanced_label_propagation(docs).collect()}
+
+
+def test_fewer_copies_lie_apart_than_by_hash(make_docs):
+    rows = [(i, f"group {i // 5}" if i < 400 else f"alone {i}", "en") for i in range(900)]
+    got = balanced_label_propagation(make_docs(rows), shards=8).collect()
+    check(got, 900, 8)
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    start = {r["doc_id"]: r["shard"] for r in balanced_label_propagation(make_docs(rows), shards=8, rounds=0).collect()}
+    pairs = [(a, b) for a in range(400) for b in range(a + 1, min(400, a // 5 * 5 + 5))]
+    cut, before = (sum(at[a] != at[b] for a, b in pairs) for at in (shard, start))
+    assert before > 600 and cut <= 80  # of 800 links; only what full shards force apart
+
+
+def test_propagation_settles(make_docs):
+    docs = make_docs([(i, f"t{i % 40}", "en") for i in range(200)])
+    settled = balanced_label_propagation(docs, shards=5)
+    longer = balanced_label_propagation(docs, shards=5, rounds=200)
+    assert {tuple(r) for r in settled.collect()} == {tuple(r) for r in longer.collect()}
