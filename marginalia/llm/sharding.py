@@ -44,7 +44,8 @@ def _at(values: list[int], index: Column) -> Column:
 
 def _ranked(df: DataFrame, group: list[str], buckets: int, first: list[Column]) -> DataFrame:
     """``rank`` from 1 in each ``group``, in the order (``first``'s bucketless key, bucket, nid)."""
-    keyed = df.withColumn("bucket", F.pmod(F.xxhash64("nid"), F.lit(buckets)))
+    # A hash of its own: shards come from the plain one, and a shard's rows would share a few buckets.
+    keyed = df.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), "nid"), F.lit(buckets)))
     keyed = keyed.withColumns({f"o{i}": c for i, c in enumerate(first)})
     order = [*[f"o{i}" for i in range(len(first))], "bucket"]
     counts = keyed.groupBy(*group, *order).agg(F.count("*").alias("cnt"))
