@@ -3,10 +3,11 @@
 Fingerprints are compared with those that share a key with them. For the report, 64-bit fingerprints
 at ``radius`` or fewer differing bits agree wholly in one of ``radius + 1`` bands of bits, so the
 bands' values are the keys and no link is lost. For near copies (:func:`keep_one_each`) fingerprints
-have 1024 bits, of five-word shingles: the share of differing bits estimates the angle between two
-texts, and the radius is that of a similarity of 0.8. There the keys are anchors, pairs of the text's
-smallest shingles under different orders; texts of similarity 0.8 share one of six with probability
-0.998.
+have 1024 bits, of the set of five-word shingles: the share of differing bits estimates the angle
+between two texts, and the radius leaves room for all texts of similarity 0.8. There the keys are
+anchors, pairs of the text's smallest shingles under different orders; texts of similarity 0.8 share
+one of six with probability 0.998. Links whose fingerprints alone don't prove the similarity are then
+held against the texts' shingles, exactly.
 
 What shares a key is cut into tiles. A small one is a single tile; a large one is cut by the number
 of one bits and, above ``TILE`` fingerprints of one count, by hash. Pairs of tiles whose population
@@ -14,7 +15,8 @@ counts differ by more than the radius are skipped: they can't hold a link. A pai
 under a key of its own and is compared by numpy exclusive-or and bit counts.
 
 A tile pair reports a spanning forest of its links instead of all of them, so a group of n near
-copies gives about n rows; the components of the forest are those of the links.
+copies gives about n rows; the components of the forest are those of the links. Links that need the
+exact check enter the forest nearest first, and only where sure ones don't already join their ends.
 """
 
 from __future__ import annotations
@@ -35,9 +37,13 @@ from .components import connected_components
 TILE = 1024
 #: Tiles up to this size are compared many at once.
 TINY = 48
-#: 64-bit words of a wide fingerprint, words of its shingles, and differing bits of near copies at most. At a
-#: similarity of 0.8 texts differ in 155 of 1024 bits, give or take 12; at 0.7, in 205.
-WIDE, SHINGLE, NEAR = 16, 5, 172
+#: 64-bit words of a wide fingerprint, words of its shingles, and the similarity of near copies.
+WIDE, SHINGLE, SIMILAR = 16, 5, 0.8
+#: Differing bits of a near copy at most, and up to which no check is needed. At a similarity of 0.8 texts differ in
+#: 155 of 1024 bits, give or take 12; the shortest ones, of 4 and 5 shingles, in 192; none in fewer than 126 on average.
+NEAR, SURE = 240, 80
+#: Links of one text that a task of the exact check should hold, if all links were that text's.
+PART_LINKS = 4096
 #: Anchors of a text: its smallest shingles under two orders each.
 ANCHORS = 6
 ODD = (np.arange(1, 2 * ANCHORS + WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -79,8 +85,8 @@ def fingerprint_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def wide_fingerprint(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(words of the 1024-bit SimHash of five-word shingles, anchors); all zero if the text has no word."""
-    hashes = shingle_hashes(text, SHINGLE)
+    """(words of the 1024-bit SimHash of the set of five-word shingles, anchors); all zero if the text has no word."""
+    hashes = np.unique(shingle_hashes(text, SHINGLE))
     if not len(hashes):
         return np.zeros(WIDE, dtype="<i8"), np.zeros(ANCHORS, dtype="<i8")
     bits = np.zeros(8 * 8 * WIDE, dtype=np.int64)
@@ -101,8 +107,8 @@ def wide_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     release_memory()
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) of a spanning forest of the links (i, j) among n nodes."""
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node that the links (i, j) reach from each of n nodes."""
     label = np.arange(n)
     while True:
         least = np.minimum(label[i], label[j])
@@ -111,44 +117,66 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarra
         np.minimum.at(new, j, least)
         new = new[new]
         if (new == label).all():
-            node = np.flatnonzero(label != np.arange(n))
-            return node, label[node]
+            return label
         label = new
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the rows of ``a`` and ``b`` (rows, words) at ``radius`` or fewer differing bits."""
+def _forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, other, bits) of a spanning forest of the links (i, j) at d bits among n nodes.
+
+    Sure links are given as (node, root, 0); of the others those of least d that join what sure links don't.
+    """
+    label = _labels(n, i[d <= sure], j[d <= sure])
+    node = np.flatnonzero(label != np.arange(n))
+    found = [(node, label[node], np.zeros(len(node), dtype=np.int64))]
+    left = np.flatnonzero(d > sure)
+    left = left[np.argsort(d[left], kind="stable")]
+    while True:
+        left = left[label[i[left]] != label[j[left]]]
+        if not len(left):
+            return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+        a, b, best = label[i[left]], label[j[left]], np.full(n, len(left))
+        np.minimum.at(best, a, np.arange(len(left)))
+        np.minimum.at(best, b, np.arange(len(left)))
+        pick = np.unique(best[best < len(left)])
+        found.append((i[left[pick]], j[left[pick]], d[left[pick]]))
+        label = _labels(n, a[pick], b[pick])[label]
+
+
+def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places (i, j) of the rows of ``a`` and ``b`` (rows, words) at d bits, ``radius`` or fewer, and d."""
     step = max(1, (1 << 20) // max(1, b.size))
     found = []
     for at in range(0, len(a), step):
-        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]).sum(axis=2, dtype=np.int32) <= radius)
-        found.append((i + at, j))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        d = np.bitwise_count(a[at : at + step, None] ^ b[None, :]).sum(axis=2, dtype=np.int32)
+        i, j = np.nonzero(d <= radius)
+        found.append((i + at, j, d[i, j]))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def _tiny_links(tiles: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): links within each of many small tiles that stand in a row, found together."""
+def _tiny_links(tiles: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d): links within each of many small tiles that stand in a row, found together."""
     sizes = np.array([len(t) for t in tiles])
     values, left = np.concatenate(tiles), np.concatenate([np.arange(n, 0, -1) for n in sizes])
-    found_i, found_j = [], []
-    for d in range(1, int(sizes.max())):
-        i = np.flatnonzero(left > d)  # a later one of the same tile is d places on
-        i = i[np.bitwise_count(values[i] ^ values[i + d]).sum(axis=1, dtype=np.int32) <= radius]
-        found_i.append(i)
-        found_j.append(i + d)
-    return np.concatenate(found_i), np.concatenate(found_j)
+    found = []
+    for on in range(1, int(sizes.max())):
+        i = np.flatnonzero(left > on)  # a later one of the same tile is ``on`` places on
+        d = np.bitwise_count(values[i] ^ values[i + on]).sum(axis=1, dtype=np.int32)
+        i, d = i[d <= radius], d[d <= radius]
+        found.append((i, i + on, d))
+    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
-def _compare(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], radius: int, sure: int) -> Iterator[pd.DataFrame]:
     """Rows of one tile, or of a tile and another: (nodes, bits) each, to a forest of their links."""
 
     def tile(nodes, bits) -> tuple[np.ndarray, np.ndarray]:
         nodes = np.asarray(nodes, dtype=np.int64)
         return nodes, (nodes[:, None] if bits is None else np.concatenate(bits).reshape(len(nodes), -1)).view(np.uint64)
 
-    def rows(nodes, i, j):
-        node, root = _forest(len(nodes), i, j)
-        return pd.DataFrame({"u": nodes[node], "v": nodes[root]})
+    def rows(nodes, i, j, d):
+        node, other, bits = _forest(len(nodes), i, j, d, sure)
+        return pd.DataFrame({"u": nodes[node], "v": nodes[other], "d": bits})
 
     for batch in batches:
         tiny = []
@@ -156,21 +184,21 @@ def _compare(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFr
             (names, a), *more = [tile(t["nodes"], t["bits"]) for t in tiles]
             if more:
                 (others, b), = more
-                i, j = _near(a, b, radius)
+                i, j, d = _near(a, b, radius)
                 if len(i):
-                    yield rows(np.concatenate([names, others]), i, j + len(a))
+                    yield rows(np.concatenate([names, others]), i, j + len(a), d)
             elif len(a) <= TINY:
                 tiny.append((names, a))
             else:
-                i, j = _near(a, a, radius)
+                i, j, d = _near(a, a, radius)
                 keep = i < j
                 if keep.any():
-                    yield rows(names, i[keep], j[keep])
+                    yield rows(names, i[keep], j[keep], d[keep])
         if tiny:
             tiny.sort(key=lambda t: len(t[0]))
-            i, j = _tiny_links([a for _, a in tiny], radius)
+            i, j, d = _tiny_links([a for _, a in tiny], radius)
             if len(i):
-                yield rows(np.concatenate([n for n, _ in tiny]), i, j)
+                yield rows(np.concatenate([n for n, _ in tiny]), i, j, d)
     release_memory()
 
 
@@ -181,8 +209,8 @@ def _band_keys(fp: Column, bands: int) -> Column:
         for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def _tile_links(entries: DataFrame, radius: int) -> DataFrame:
-    """A spanning forest (u, v) of the links among ``entries`` (node, pop, bits, key) that share a key."""
+def _tile_links(entries: DataFrame, radius: int, sure: int) -> DataFrame:
+    """A spanning forest (u, v, d) of the links among ``entries`` (node, pop, bits, key) that share a key; d is 0 for sure ones."""
     counts = entries.groupBy("key", "pop").agg(F.count("*").alias("c"))
     counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).filter("n > 1")  # a row a population count
     cut = F.col("n") > TILE
@@ -205,13 +233,58 @@ def _tile_links(entries: DataFrame, radius: int) -> DataFrame:
     pairs = pairs.withColumn("pair", F.xxhash64("key", "tile", "chunk", "tile2", "chunk2"))
     sides = pairs.select("pair", "key", "tile", "chunk").union(pairs.select("pair", "key", "tile2", "chunk2"))
     met = tiles.filter("tile >= 0").join(sides, ["key", "tile", "chunk"]).groupBy("pair").agg(F.collect_list("t").alias("tiles"))
-    return alone.union(met.select("tiles")).mapInPandas(lambda batches: _compare(batches, radius), "u long, v long")
+    return alone.union(met.select("tiles")).mapInPandas(lambda batches: _compare(batches, radius, sure), "u long, v long, d int")
 
 
 def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """A spanning forest (u, v) of all pairs in ``distinct`` (fp) at ``radius`` or fewer differing bits."""
     keys = F.explode(_band_keys(F.col("fp"), radius + 1)).alias("key")
-    return _tile_links(distinct.select(F.col("fp").alias("node"), F.bit_count("fp").alias("pop"), F.lit(None).cast("array<bigint>").alias("bits"), keys), radius)
+    return _tile_links(distinct.select(F.col("fp").alias("node"), F.bit_count("fp").alias("pop"), F.lit(None).cast("array<bigint>").alias("bits"), keys), radius, radius).select("u", "v")
+
+
+def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of the pairs (u, v) with their two texts, those whose sets of shingles are similar."""
+    for batch in batches:
+        keep = []
+        for one, other in batch["texts"]:
+            a, b = (np.unique(shingle_hashes(t, SHINGLE)) for t in (one, other))
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            keep.append(both >= SIMILAR * (len(a) + len(b) - both))
+        yield batch.loc[np.array(keep, dtype=bool), ["u", "v"]]
+    release_memory()
+
+
+def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
+    """The (u, v) of ``links`` whose texts are similar; ``texts`` has (node, text).
+
+    A text is sent to the hashed parts of its links first, so no task holds all links of one text.
+    """
+    parts = max(64, -(-links.count() // PART_LINKS))
+    part = F.pmod(F.xxhash64("u", "v"), F.lit(parts)).cast("int").alias("part")
+    sides = links.select("u", "v", part, F.explode(F.array("u", "v")).alias("node"))
+    sent = sides.select("node", "part").distinct().join(texts, "node")
+    met = sides.join(sent, ["node", "part"]).groupBy("u", "v").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    return met.mapInPandas(_similar, "u long, v long")
+
+
+def _near_copies(first: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of the groups of near copies among ``first`` (node, did, tk, bits, keys); ``docs`` has (did, tk, text)."""
+    pop = F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
+    entries = materialise(first.select("node", pop.alias("pop"), "bits", "keys"), "simhash-pops")
+    entries = entries.select("node", "pop", "bits", F.explode(F.array_distinct("keys")).alias("key"))
+    links = materialise(_tile_links(entries, NEAR, SURE), "simhash-links")
+    sure = materialise(connected_components(links.filter("d = 0").select("u", "v")), "simhash-sure")
+    open_ = links.filter("d > 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    for end in ("u", "v"):
+        root = sure.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        open_ = open_.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    open_ = materialise(open_.filter("root_u <> root_v").select("u", "v"), "simhash-open")
+    ends = open_.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    # Stored, so that the join with all texts knows this side's size.
+    ends = materialise(first.select("node", "did", "tk").join(ends, "node", "left_semi"), "simhash-ends")
+    texts = docs.join(ends, ["did", "tk"]).groupBy("node").agg(F.first("text").alias("text"))
+    passed = _checked(open_, texts)
+    return connected_components(sure.select(F.col("node").alias("u"), F.col("root").alias("v")).union(passed))
 
 
 def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
@@ -235,8 +308,10 @@ def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near copies: of each group, the row with its smallest id stays, once; all columns kept.
 
-    Groups are the components of links between texts whose five-word shingles have a similarity of
-    about 0.8 or more (:data:`NEAR` differing bits of 1024). Letter case of A-Z and blanks don't
+    Groups are the components of links between texts whose sets of five-word shingles have a
+    similarity of 0.8 or more; a link whose fingerprints differ in over :data:`SURE` bits of 1024 is
+    checked exactly. Two such texts may be missed where they share no anchor (one in 500 at 0.8), or
+    where a third one is nearer to both by its fingerprint but not similar to one of them. Letter case of A-Z and blanks don't
     count. Texts without a word (null, empty, blank) are one group. Shorter texts than five words are
     one shingle. Rows with a null id come after all others, the smallest text hash first. Repeated
     rows count as copies. An empty table gives no rows.
@@ -247,10 +322,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = materialise(prints.select("did", "tk", "p.bits", "p.keys", F.xxhash64("p.bits").alias("node")), "simhash-wide")
     first = prints.groupBy("node").agg(F.min(F.struct("did", "tk", "keys", "bits")).alias("first"))
     first = materialise(first.select("node", "first.*"), "simhash-distinct")
-    pop = F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
-    entries = materialise(first.select("node", pop.alias("pop"), "bits", "keys"), "simhash-pops")
-    entries = entries.select("node", "pop", "bits", F.explode(F.array_distinct("keys")).alias("key"))
-    roots = connected_components(_tile_links(entries, NEAR))
+    roots = _near_copies(first, docs.select(*keys, F.col(text_col).cast("string").alias("text")))
     rooted = first.select("node", "did", "tk").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("did", "tk").alias("row"))
     best = rooted.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     did, tk = free_names(docs, "did", "tk")
