@@ -17,6 +17,9 @@ under a key of its own and is compared by numpy exclusive-or and bit counts.
 A tile pair reports a spanning forest of its links instead of all of them, so a group of n near
 copies gives about n rows; the components of the forest are those of the links. Links that need the
 exact check enter the forest nearest first, and only where sure ones don't already join their ends.
+Where some of them fail it, what they stood for is open again: the tile pairs concerned then report
+further links between texts that aren't joined yet, a growing number of the nearest a component in
+each round, until all links are checked or lie within a component.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ WIDE, SHINGLE, SIMILAR = 16, 5, 0.8
 NEAR, SURE = 240, 80
 #: Links of one text that a task of the exact check should hold, if all links were that text's.
 PART_LINKS = 4096
+#: Links a component that a tile pair reports in the first round after a failed check, and its growth by round.
+FAN, GROWTH = 8, 8
 #: Anchors of a text: its smallest shingles under two orders each.
 ANCHORS = 6
 ODD = (np.arange(1, 2 * ANCHORS + WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -167,38 +172,84 @@ def _tiny_links(tiles: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(part) for part in zip(*found, strict=True))
 
 
+def _tile(t) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of a tile and the words of their fingerprints; a node without any is its own."""
+    nodes = np.asarray(t["nodes"], dtype=np.int64)
+    bits = t["bits"]
+    return nodes, (nodes[:, None] if bits is None else np.concatenate(bits).reshape(len(nodes), -1)).view(np.uint64)
+
+
+def _links(tiles, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, i, j, d): the links within one tile, or between two."""
+    (names, a), *more = map(_tile, tiles)
+    if more:
+        (others, b), = more
+        i, j, d = _near(a, b, radius)
+        return np.concatenate([names, others]), i, j + len(a), d
+    i, j, d = _near(a, a, radius)
+    keep = i < j
+    return names, i[keep], j[keep], d[keep]
+
+
 def _compare(batches: Iterator[pd.DataFrame], radius: int, sure: int) -> Iterator[pd.DataFrame]:
-    """Rows of one tile, or of a tile and another: (nodes, bits) each, to a forest of their links."""
+    """Rows of one tile, or of a tile and another, under a name ``at``, to a forest of their links.
 
-    def tile(nodes, bits) -> tuple[np.ndarray, np.ndarray]:
-        nodes = np.asarray(nodes, dtype=np.int64)
-        return nodes, (nodes[:, None] if bits is None else np.concatenate(bits).reshape(len(nodes), -1)).view(np.uint64)
+    ``more`` says whether ``at`` has links that need a check and aren't in the forest.
+    """
 
-    def rows(nodes, i, j, d):
+    def rows(at, nodes, i, j, d):
         node, other, bits = _forest(len(nodes), i, j, d, sure)
-        return pd.DataFrame({"u": nodes[node], "v": nodes[other], "d": bits})
+        names, open_ = np.unique(at[i[d > sure]], return_counts=True)
+        given, shown = np.unique(at[node[bits > sure]], return_counts=True)
+        open_[np.searchsorted(names, given)] -= shown
+        return pd.DataFrame({"at": at[node], "u": nodes[node], "v": nodes[other], "d": bits, "more": np.isin(at[node], names[open_ > 0])})
 
     for batch in batches:
         tiny = []
-        for tiles in batch["tiles"]:
-            (names, a), *more = [tile(t["nodes"], t["bits"]) for t in tiles]
-            if more:
-                (others, b), = more
-                i, j, d = _near(a, b, radius)
-                if len(i):
-                    yield rows(np.concatenate([names, others]), i, j + len(a), d)
-            elif len(a) <= TINY:
-                tiny.append((names, a))
-            else:
-                i, j, d = _near(a, a, radius)
-                keep = i < j
-                if keep.any():
-                    yield rows(names, i[keep], j[keep], d[keep])
+        for at, tiles in zip(batch["at"], batch["tiles"], strict=True):
+            if len(tiles) == 1 and len(tiles[0]["nodes"]) <= TINY:
+                tiny.append((at, *_tile(tiles[0])))
+                continue
+            nodes, i, j, d = _links(tiles, radius)
+            if len(i):
+                yield rows(np.full(len(nodes), at), nodes, i, j, d)
         if tiny:
-            tiny.sort(key=lambda t: len(t[0]))
-            i, j, d = _tiny_links([a for _, a in tiny], radius)
+            tiny.sort(key=lambda t: len(t[1]))
+            i, j, d = _tiny_links([a for *_, a in tiny], radius)
             if len(i):
-                yield rows(np.concatenate([n for n, _ in tiny]), i, j, d)
+                at = np.repeat([t[0] for t in tiny], [len(t[1]) for t in tiny])
+                yield rows(at, np.concatenate([n for _, n, _ in tiny]), i, j, d)
+    release_memory()
+
+
+def _nearest_of(label: np.ndarray, fan: int) -> np.ndarray:
+    """Whether each entry is among the first ``fan`` of its label."""
+    order = np.argsort(label, kind="stable")
+    _, start, count = np.unique(label[order], return_index=True, return_counts=True)
+    out = np.empty(len(label), dtype=bool)
+    out[order] = np.arange(len(label)) - np.repeat(start, count) < fan
+    return out
+
+
+def _compare_again(batches: Iterator[pd.DataFrame], radius: int, fan: int) -> Iterator[pd.DataFrame]:
+    """Of the links at ``at`` that join different components and haven't failed, the ``fan`` nearest of each component."""
+    for batch in batches:
+        for at, tiles, known, roots, us, vs in batch[["at", "tiles", "known", "roots", "us", "vs"]].itertuples(index=False):
+            nodes, i, j, d = _links(tiles, radius)
+            order = np.argsort(nodes)
+
+            def places(ids, nodes=nodes, order=order):
+                return order[np.searchsorted(nodes, np.asarray(ids, dtype=np.int64), sorter=order)]
+
+            label = nodes.copy()
+            label[places(known)] = np.asarray(roots, dtype=np.int64)
+            pair = np.minimum(i, j) * len(nodes) + np.maximum(i, j)
+            a, b = places(us), places(vs)
+            left = np.flatnonzero((label[i] != label[j]) & ~np.isin(pair, np.minimum(a, b) * len(nodes) + np.maximum(a, b)))
+            left = left[np.argsort(d[left], kind="stable")]
+            pick = left[_nearest_of(label[i[left]], fan) | _nearest_of(label[j[left]], fan)]
+            if len(pick):
+                yield pd.DataFrame({"at": at, "u": nodes[i[pick]], "v": nodes[j[pick]], "d": d[pick], "more": len(pick) < len(left)})
     release_memory()
 
 
@@ -209,8 +260,8 @@ def _band_keys(fp: Column, bands: int) -> Column:
         for b, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def _tile_links(entries: DataFrame, radius: int, sure: int) -> DataFrame:
-    """A spanning forest (u, v, d) of the links among ``entries`` (node, pop, bits, key) that share a key; d is 0 for sure ones."""
+def _tiles(entries: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Tiles (key, tile, chunk, t) of ``entries`` (node, pop, bits, key), and names ``at`` of the pairs of them to compare."""
     counts = entries.groupBy("key", "pop").agg(F.count("*").alias("c"))
     counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).filter("n > 1")  # a row a population count
     cut = F.col("n") > TILE
@@ -222,7 +273,6 @@ def _tile_links(entries: DataFrame, radius: int, sure: int) -> DataFrame:
     tiles = tiles.groupBy("key", "tile", "chunk").agg(F.collect_list("node").alias("nodes"), F.collect_list("bits").alias("bits"))
     bits = F.when(F.size("bits") > 0, F.col("bits"))
     tiles = materialise(tiles.select("key", "tile", "chunk", F.struct("nodes", bits.alias("bits")).alias("t")), "simhash-tiles")
-    alone = tiles.filter(F.size("t.nodes") > 1).select(F.array("t").alias("tiles"))
 
     # A large key's tiles within the radius meet two by two: each pair under a name of its own.
     large = counts.filter("tile >= 0").select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -230,16 +280,28 @@ def _tile_links(entries: DataFrame, radius: int, sure: int) -> DataFrame:
     pairs = large.join(other, "key").filter(
         F.col("tile2").between(F.col("tile"), F.col("tile") + radius)
         & ((F.col("tile2") > F.col("tile")) | (F.col("chunk2") > F.col("chunk"))))
-    pairs = pairs.withColumn("pair", F.xxhash64("key", "tile", "chunk", "tile2", "chunk2"))
-    sides = pairs.select("pair", "key", "tile", "chunk").union(pairs.select("pair", "key", "tile2", "chunk2"))
-    met = tiles.filter("tile >= 0").join(sides, ["key", "tile", "chunk"]).groupBy("pair").agg(F.collect_list("t").alias("tiles"))
-    return alone.union(met.select("tiles")).mapInPandas(lambda batches: _compare(batches, radius, sure), "u long, v long, d int")
+    return tiles, pairs.withColumn("at", F.xxhash64("key", "tile", "chunk", "tile2", "chunk2"))
+
+
+def _meetings(tiles: DataFrame, pairs: DataFrame, some: DataFrame | None = None) -> DataFrame:
+    """(at, tiles) of each tile alone and each of ``pairs``; only those that ``some`` (at) names, if given."""
+    alone = tiles.filter(F.size("t.nodes") > 1).select(F.xxhash64("key", "tile", "chunk").alias("at"), F.array("t").alias("tiles"))
+    if some is not None:
+        alone, pairs = alone.join(some, "at", "left_semi"), pairs.join(some, "at", "left_semi")
+    sides = pairs.select("at", "key", "tile", "chunk").union(pairs.select("at", "key", "tile2", "chunk2"))
+    met = tiles.filter("tile >= 0").join(sides, ["key", "tile", "chunk"]).groupBy("at").agg(F.collect_list("t").alias("tiles"))
+    return alone.union(met)
+
+
+LINKS = "at long, u long, v long, d int, more boolean"
 
 
 def near_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     """A spanning forest (u, v) of all pairs in ``distinct`` (fp) at ``radius`` or fewer differing bits."""
     keys = F.explode(_band_keys(F.col("fp"), radius + 1)).alias("key")
-    return _tile_links(distinct.select(F.col("fp").alias("node"), F.bit_count("fp").alias("pop"), F.lit(None).cast("array<bigint>").alias("bits"), keys), radius, radius).select("u", "v")
+    bits = F.lit(None).cast("array<bigint>").alias("bits")
+    tiles, pairs = _tiles(distinct.select(F.col("fp").alias("node"), F.bit_count("fp").alias("pop"), bits, keys), radius)
+    return _meetings(tiles, pairs).mapInPandas(lambda batches: _compare(batches, radius, radius), LINKS).select("u", "v")
 
 
 def _similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,23 +330,59 @@ def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _near_copies(first: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of the groups of near copies among ``first`` (node, did, tk, bits, keys); ``docs`` has (did, tk, text)."""
+    """(node, root) of the groups of near copies among ``first`` (node, did, tk, bits, keys); ``docs`` has (did, tk, text).
+
+    The driver sees two counts a round. Rounds end when no link is left that is neither checked nor
+    within a component; their fan grows, so a tile pair of n texts has about log(n) of them.
+    """
     pop = F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
     entries = materialise(first.select("node", pop.alias("pop"), "bits", "keys"), "simhash-pops")
     entries = entries.select("node", "pop", "bits", F.explode(F.array_distinct("keys")).alias("key"))
-    links = materialise(_tile_links(entries, NEAR, SURE), "simhash-links")
-    sure = materialise(connected_components(links.filter("d = 0").select("u", "v")), "simhash-sure")
-    open_ = links.filter("d > 0").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    for end in ("u", "v"):
-        root = sure.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        open_ = open_.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    open_ = materialise(open_.filter("root_u <> root_v").select("u", "v"), "simhash-open")
-    ends = open_.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    # Stored, so that the join with all texts knows this side's size.
-    ends = materialise(first.select("node", "did", "tk").join(ends, "node", "left_semi"), "simhash-ends")
-    texts = docs.join(ends, ["did", "tk"]).groupBy("node").agg(F.first("text").alias("text"))
-    passed = _checked(open_, texts)
-    return connected_components(sure.select(F.col("node").alias("u"), F.col("root").alias("v")).union(passed))
+    tiles, pairs = _tiles(entries, NEAR)
+    links = _meetings(tiles, pairs).mapInPandas(lambda batches: _compare(batches, NEAR, SURE), LINKS)
+    links = materialise(links, "simhash-links")
+    joined = links.filter("d = 0").select("u", "v").distinct()
+    links = links.filter("d > 0").select("at", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "more")
+    roots, fan = materialise(connected_components(joined), "simhash-roots"), FAN
+    failed = before = None
+    while True:
+        open_ = links.select("u", "v").distinct()
+        if failed is not None:
+            open_ = open_.join(failed, ["u", "v"], "left_anti")
+        for end in ("u", "v"):
+            root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+            open_ = open_.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        open_ = materialise(open_.filter("root_u <> root_v").select("u", "v"), "simhash-open")
+        ends = open_.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        # Stored, so that the join with all texts knows this side's size.
+        ends = materialise(first.select("node", "did", "tk").join(ends, "node", "left_semi"), "simhash-ends")
+        texts = docs.join(ends, ["did", "tk"]).groupBy("node").agg(F.first("text").alias("text"))
+        passed = materialise(_checked(open_, texts), "simhash-passed")
+        joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(passed)
+        roots = materialise(connected_components(joined), "simhash-roots")
+        new = open_.join(passed, ["u", "v"], "left_anti")
+        failed = materialise(new if failed is None else failed.union(new), "simhash-failed")
+        missed = links.join(failed, ["u", "v"], "left_semi")
+        # A forest whose links all hold leaves none open; of the rounds' links any tile pair may have further ones.
+        again = (missed if before is None else links).filter("more").select("at").distinct()
+        again = materialise(again, "simhash-again")
+        if not again.count():
+            return roots
+        missed = missed.select("at", "u", "v")
+        before = materialise((missed if before is None else missed.union(before)).join(again, "at", "left_semi"), "simhash-missed")
+        links, fan = materialise(_further(_meetings(tiles, pairs, again), before, roots, fan), "simhash-links"), fan * GROWTH
+
+
+def _further(meetings: DataFrame, missed: DataFrame, roots: DataFrame, fan: int) -> DataFrame:
+    """(at, u, v, more): links of ``meetings`` between components; ``missed`` (at, u, v) has those that failed."""
+    nodes = meetings.select("at", F.explode(F.flatten("tiles.nodes")).alias("node"))
+    known = nodes.join(roots, "node").groupBy("at").agg(F.collect_list("node").alias("known"), F.collect_list("root").alias("roots"))
+    bad = missed.groupBy("at").agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"))
+    none = F.array().cast("array<bigint>")
+    sent = meetings.join(known, "at", "left").join(bad, "at", "left")
+    sent = sent.select("at", "tiles", *[F.coalesce(c, none).alias(c) for c in ("known", "roots", "us", "vs")])
+    found = sent.mapInPandas(lambda batches: _compare_again(batches, NEAR, fan), LINKS)
+    return found.select("at", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "more")
 
 
 def simhash_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
@@ -310,9 +408,8 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Groups are the components of links between texts whose sets of five-word shingles have a
     similarity of 0.8 or more; a link whose fingerprints differ in over :data:`SURE` bits of 1024 is
-    checked exactly. Two such texts may be missed where they share no anchor (one in 500 at 0.8), or
-    where a third one is nearer to both by its fingerprint but not similar to one of them. Letter case of A-Z and blanks don't
-    count. Texts without a word (null, empty, blank) are one group. Shorter texts than five words are
+    checked exactly. Two such texts may be missed where they share no anchor (one in 500 at 0.8).
+    Letter case of A-Z and blanks don't count. Texts without a word (null, empty, blank) are one group. Shorter texts than five words are
     one shingle. Rows with a null id come after all others, the smallest text hash first. Repeated
     rows count as copies. An empty table gives no rows.
     """

@@ -155,3 +155,38 @@ def test_a_large_group_of_near_copies(make_docs, prose, monkeypatch):
 
 def test_empty_table(make_docs):
     assert simhash.simhash_report(make_docs([])).count() == 0 and simhash.keep_one_each(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize(("tile", "fan", "growth"), [(1024, 8, 8), (16, 1, 2)])
+def test_a_failed_check_loses_no_other_link(spark, prose, monkeypatch, tile, fan, growth):
+    """Links that nearer, but failing, texts stood for are found in later rounds."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "FAN", fan)
+    monkeypatch.setattr(simhash, "GROWTH", growth)
+    rng = np.random.default_rng(4)
+    texts = []
+    for g in range(9):
+        words = prose(500 + g, 90, words=3000).split()
+        for i in range(5):  # a chain: each text is similar to the next one
+            words[17 * i + 3] = f"new{g}x{i}"
+            texts.append(" ".join(words))
+    rows = []
+    for i, text in enumerate(texts):  # fingerprints of no use: all are at 81 to 240 bits, in an order of their own
+        raw = np.zeros(1024, dtype=np.uint8)
+        raw[rng.choice(1024, rng.integers(55, 110), replace=False)] = 1
+        bits = np.packbits(raw, bitorder="little").view("<i8").tolist()
+        rows.append((int(rng.integers(-(1 << 60), 1 << 60)), i, 7 * i, bits, [5, 5, 6]))
+    names = [r[0] for r in rows]
+    root = list(names)
+    for _ in range(6):
+        for a in range(len(rows)):
+            for b in range(a):
+                if jaccard(texts[a], texts[b]) >= 0.8:
+                    root[a] = root[b] = min(root[a], root[b])
+    assert len(set(root)) == 9
+    first = spark.createDataFrame(rows, "node long, did long, tk long, bits array<long>, keys array<long>")
+    docs = spark.createDataFrame([(i, 7 * i, t) for i, t in enumerate(texts)], "did long, tk long, text string")
+    got = {r["node"]: r["root"] for r in simhash._near_copies(first, docs).collect()}
+    assert {n: got.get(n, n) for n in names} == dict(zip(names, root, strict=True))
