@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination
+from . import decontamination, exact_dedup
 from .ann import nearest_neighbours
 from .common import table
 from .language_id import language_report
@@ -61,6 +61,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_encodings(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -72,7 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_id_output": op9_token_id_output,
     "op10_sentencepiece": op10_sentencepiece,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontamination.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}
