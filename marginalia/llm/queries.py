@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup
+from . import decontamination, exact_dedup, lexical_search
 from .ann import nearest_neighbours
 from .common import table
 from .language_id import language_report
@@ -18,6 +18,7 @@ from .sharding import balanced_label_propagation
 from .simhash import simhash_report
 from .token_counts import token_counts
 from .token_files import token_file_round_trip
+from .whitening import whitened_vectors
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,14 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_encodings(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -76,8 +85,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_token_id_output": op9_token_id_output,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_ranked_search": op12_ranked_search,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLES: dict[str, str] = {"op6_benchmark_decontamination": decontamination.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_benchmark_decontamination": decontamination.ORACLE, "op12_ranked_search": lexical_search.ORACLE, "op13_exact_dedup": exact_dedup.ORACLE}
