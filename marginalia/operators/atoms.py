@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
-from ..sources.scratch import stored
+from .ids import numbered
 
 
 def lookup(requests: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -32,17 +32,11 @@ def insertable(texts: DataFrame, atoms: DataFrame) -> DataFrame:
 def inserted(texts: DataFrame, atoms: DataFrame) -> DataFrame:
     """(id, content) of all atoms after insertion; new ids follow the largest, in text order.
 
-    Ids come in two levels: ranges of texts first, then a number inside each range. The ranges are
-    stored before they are used, so that both levels see the same ones.
+    Where no atom has an id yet, the first is 1.
     """
     old = atoms.select("id", "content")
-    fresh = stored(insertable(texts, atoms).repartitionByRange("content").withColumn("part", F.spark_partition_id()), "atoms-fresh")
-    inside = fresh.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("content")))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = inside.groupBy("part").agg(F.count("*").alias("c")).select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = inside.join(starts, "part").join(F.broadcast(top)).select((F.col("top") + F.col("start") + F.col("n")).alias("id"), "content")  # one row is broadcast
-    return old.unionByName(new)
+    new = numbered(insertable(texts, atoms), ["content"], old)
+    return old.unionByName(new.select("id", "content"))
 
 
 def deleted_by_text(atoms: DataFrame, text: str) -> DataFrame:
@@ -59,4 +53,32 @@ def orphans(atoms: DataFrame, file_atoms: DataFrame, source_atoms: DataFrame) ->
 
 
 def pruned(atoms: DataFrame, file_atoms: DataFrame, source_atoms: DataFrame) -> DataFrame:
+    """Atoms without the orphans."""
     return atoms.join(orphans(atoms, file_atoms, source_atoms).select("id"), "id", "left_anti")
+
+
+def holder_counts(file_atoms: DataFrame, source_atoms: DataFrame) -> DataFrame:
+    """(atom_id, holders): how many links of files and sources hold each atom; a link that occurs twice counts once."""
+    files = file_atoms.select("atom_id", F.col("file_id").alias("holder"), F.lit("f").alias("kind"))
+    both = files.union(source_atoms.select("atom_id", F.col("source_id").alias("holder"), F.lit("s").alias("kind"))).distinct()
+    return both.groupBy("atom_id").agg(F.count("*").alias("holders"))
+
+
+def counts_after(counts: DataFrame, released: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """``counts`` (atom_id, holders) after links (atom_id, one row each) are ``released`` and ``added``; atoms that nothing holds stay, with 0."""
+    change = released.groupBy("atom_id").agg(F.count("*").alias("n")).select("atom_id", (-F.col("n")).alias("n"))
+    if added is not None:
+        change = change.union(added.groupBy("atom_id").agg(F.count("*").alias("n")))
+    rows = counts.select("atom_id", F.col("holders").alias("n")).union(change)
+    return rows.groupBy("atom_id").agg(F.greatest(F.sum("n"), F.lit(0)).cast("long").alias("holders"))
+
+
+def released_orphans(atoms: DataFrame, counts: DataFrame, released: DataFrame) -> DataFrame:
+    """The orphans that a push makes: atoms of the ``released`` links (atom_id) which nothing else holds.
+
+    ``counts`` are from before. Only atoms that were released are looked at; where all atoms without
+    a holder were pruned before, these are all orphans that there are.
+    """
+    gone = released.groupBy("atom_id").agg(F.count("*").alias("n"))
+    free = gone.join(counts, "atom_id", "left").filter(F.coalesce("holders", F.lit(0)) <= F.col("n")).select(F.col("atom_id").alias("id"))
+    return atoms.filter(F.col("type").isin("aicreated", "imported")).join(free, "id", "left_semi")

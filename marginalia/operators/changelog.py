@@ -29,7 +29,7 @@ def normalised(changes: DataFrame, now_ms: int) -> DataFrame:
     )
     gone = F.col("action") == "deleted"
     return out.select(
-        *[c for c in changes.columns if c not in ("content_sha256", "changed_at_unix_ms", "content_base64")],
+        *[c for c in changes.columns if c not in ("content_sha256", "changed_at_unix_ms", "content_base64", "size_bytes")],
         F.coalesce("changed_at_unix_ms", F.lit(now_ms)).alias("changed_at_unix_ms"), F.when(gone, "").otherwise(F.col("content_base64")).alias("content_base64"),
         F.when(gone, "").otherwise(F.coalesce("content_sha256", digest_of(F.col("content")))).alias("content_sha256"),
         F.when(gone, 0).otherwise(F.octet_length("content")).cast("long").alias("size_bytes"), error.alias("error"))

@@ -11,6 +11,7 @@ from ..functions import markdown, text, vectors
 from ..functions.embedding import embed, term_table
 from ..operators import atoms as atom_ops
 from ..operators import auth, changelog, notes, search, snapshot, sources
+from ..operators import push as pushes
 from ..schema import VECTOR_WIDTH
 from ..sources import payloads
 from ..sources.scratch import spread
@@ -90,7 +91,7 @@ def _notes(spark, d):
 
 
 @query(f"WITH {_NOTES}, {_NEAR} SELECT id, other, round(d, 6) AS distance, rank::INT AS rank FROM kept")
-def note_neighbors_top8(spark, d):
+def vector_neighbors_top8(spark, d):
     return notes.neighbours(_notes(spark, d), RADIUS).withColumn("distance", F.round("distance", 6))
 
 
@@ -157,6 +158,81 @@ def path_filter(spark, d):
     return search.by_path(pages, "url", part="/P", suffix="1").select("page_id")
 
 
+#: Unit vectors of the texts of a table ``given`` (key, t), as they are stored.
+_EMBEDDED = f"""chars AS (SELECT key, unnest(range(0, len(t))) AS i, unnest(string_split(t, '')) AS ch FROM given WHERE t <> ''),
+kinds AS (SELECT DISTINCT i, ch, sha256(i || ':' || unicode(ch)) AS h FROM chars),
+bytes AS (SELECT i, ch, o, ('0x' || substr(h, (o * 2 + 1)::BIGINT, 2))::INT AS b FROM kinds, range(0, 8) r(o)),
+sums AS (SELECT key, (b + 31 * i + 17 * o) % {VECTOR_WIDTH} AS pos, sum(CASE WHEN (xor(b, o::INT) & 1) = 0 THEN 1 ELSE -1 END * ((b % 64) + 1) / 64.0)::DOUBLE AS x FROM chars JOIN bytes USING (i, ch) GROUP BY ALL),
+sizes AS (SELECT key, sqrt(sum(x * x)) AS size FROM sums GROUP BY 1),
+embedded AS (SELECT key, list(coalesce(round(x / size, 8), 0)::FLOAT::DOUBLE ORDER BY pos) AS v FROM (SELECT key, size, p AS pos FROM sizes, range(0, {VECTOR_WIDTH}) r(p)) LEFT JOIN sums USING (key, pos) GROUP BY 1)"""
+
+
+@query(f"""WITH given AS (SELECT doc_id AS key, trim(text, chr(10) || chr(9) || chr(13) || ' ') AS t FROM documents), {_EMBEDDED},
+near AS (SELECT id, other, d, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank FROM
+  (SELECT a.key AS id, b.key AS other, list_distance(a.v, b.v) AS d FROM embedded a JOIN embedded b ON a.key % 2 = b.key % 2 AND a.key <> b.key) WHERE d <= 0.32)
+SELECT id, other, round(d, 6) AS distance, rank::INT AS rank FROM near WHERE rank <= 8""")
+def note_neighbors_top8(spark, d):
+    """At the radius that notes are linked at, on the vectors of whole texts."""
+    made = embed(s.documents(spark, d), "doc_id", "text", VECTOR_WIDTH).select("id", (F.col("id") % 2).alias("vault_id"), vectors.stored(F.col("vector")).alias("vector_content"))
+    return notes.neighbours(made).withColumn("distance", F.round("distance", 6))
+
+
+_PUSHED = rf"""{s.NOTE_LOG},
+ids AS (SELECT vault_id, file_path, min(id) AS id FROM nlog GROUP BY ALL),
+state0 AS (SELECT vault_id, file_path, arg_max(gone, id) AS gone, arg_max(kind, id) AS kind, arg_max(entry, id) AS entry FROM nlog WHERE NOT later GROUP BY ALL),
+state1 AS (SELECT vault_id, file_path, arg_max(gone, id) AS gone, arg_max(kind, id) AS kind, arg_max(entry, id) AS entry, bool_or(later) AS seed FROM nlog GROUP BY ALL),
+texts AS (SELECT *, 'Log of the week for the regions and their teams, entry ' || entry AS item FROM (SELECT 0 AS age, false AS seed, * FROM state0 UNION ALL BY NAME SELECT 1 AS age, * FROM state1)),
+files AS (SELECT t.*, i.id, kind || ': ' || item AS summary, '# ' || kind || chr(10) || chr(10) || '- ' || item AS body, NOT gone AND file_path LIKE '%.md' AS note FROM texts t JOIN ids i USING (vault_id, file_path)),
+given AS (SELECT DISTINCT summary AS key, summary AS t FROM files WHERE note), {_EMBEDDED},
+dist AS (SELECT a.key AS one, b.key AS two, list_distance(a.v, b.v) AS d FROM embedded a, embedded b),
+near AS (SELECT a.age, a.id, a.seed, b.id AS other, d, row_number() OVER (PARTITION BY a.age, a.id ORDER BY d, b.id) AS rank FROM files a JOIN files b ON a.age = b.age AND a.vault_id = b.vault_id AND a.id <> b.id AND a.note AND b.note
+  JOIN dist ON one = a.summary AND two = b.summary WHERE d <= 0.32),
+links0 AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(1 - d) AS s FROM near WHERE age = 0 AND rank <= 8 GROUP BY ALL),
+seeds AS (SELECT id, file_path, vault_id FROM files WHERE age = 1 AND seed),
+new AS (SELECT least(id, other) AS a, greatest(id, other) AS b, max(1 - d) AS s FROM near WHERE age = 1 AND seed AND rank <= 8 GROUP BY ALL),
+links1 AS (SELECT * FROM links0 WHERE a NOT IN (SELECT id FROM seeds) AND b NOT IN (SELECT id FROM seeds) UNION ALL SELECT * FROM new),
+ways AS (SELECT 0 AS age, a AS id, b AS other, s FROM links0 UNION ALL SELECT 0, b, a, s FROM links0 UNION ALL SELECT 1, a, b, s FROM links1 UNION ALL SELECT 1, b, a, s FROM links1),
+impacted AS (SELECT id FROM seeds UNION SELECT other FROM ways WHERE id IN (SELECT id FROM seeds)),
+related AS (SELECT w.age, w.id, f.file_path AS path, row_number() OVER (PARTITION BY w.age, w.id ORDER BY s DESC, f.file_path) AS rank FROM ways w JOIN files f ON f.age = w.age AND f.id = w.other AND NOT f.gone),
+blocks AS (SELECT age, id, string_agg('- [[' || regexp_replace(path, '\.md$', '') || ']]', chr(10) ORDER BY rank) AS lines FROM related WHERE rank <= 8 GROUP BY ALL),
+written AS (SELECT f.age, f.id, f.file_path, f.vault_id, f.body || chr(10) || CASE WHEN lines IS NULL THEN '' ELSE chr(10) || '<!-- related-links:start -->' || chr(10) || '## Related Notes' || chr(10) || lines || chr(10) || '<!-- related-links:end -->' || chr(10) END AS x
+  FROM files f LEFT JOIN blocks k ON k.age = f.age AND k.id = f.id WHERE note)"""
+
+
+def _vaults_before(spark, d):
+    """What is stored once the older part of the note log was pushed; every third atom of its notes is held by a source, too."""
+    log = s.note_log(spark, d)
+    none = spark.createDataFrame([], "id long, content string, vector array<float>, type string, parent string, metadata string")
+    old = pushes.created(log.filter("id < 1000000000"), none, spark.createDataFrame([], "source_id long, atom_id long"), 5).after
+    old.source_atoms = old.atoms.filter("id % 3 = 0").select(F.lit(1).cast("long").alias("source_id"), F.col("id").alias("atom_id"))
+    return old, log.filter("id >= 1000000000").drop("size_bytes")
+
+
+@query(f"""WITH {_PUSHED}
+SELECT 'note' AS kind, vault_id, file_path, f.kind AS other, summary AS detail, NULL::DOUBLE AS value FROM files f WHERE age = 1 AND seed AND note
+UNION ALL SELECT 'link', a.vault_id, a.file_path, b.file_path, NULL, round(s, 6) FROM links1 l JOIN files a ON a.id = l.a AND a.age = 1 JOIN files b ON b.id = l.b AND b.age = 1
+UNION ALL SELECT 'impacted', vault_id, file_path, NULL, NULL, NULL FROM files JOIN impacted USING (id) WHERE age = 1
+UNION ALL SELECT 'change', w.vault_id, w.file_path, 'generated', sha256(w.x), strlen(w.x)::DOUBLE FROM written w JOIN impacted USING (id) LEFT JOIN written o ON o.age = 0 AND o.id = w.id AND w.id NOT IN (SELECT id FROM seeds) WHERE w.age = 1 AND w.x IS DISTINCT FROM o.x
+UNION ALL SELECT 'orphan', vault_id, NULL, NULL, summary, NULL FROM (SELECT *, row_number() OVER (ORDER BY id) AS atom FROM files WHERE age = 0 AND note) WHERE id IN (SELECT id FROM seeds) AND atom % 3 <> 0""")
+def push_derived(spark, d):
+    """A push to vaults that hold notes, links and atoms: notes, links, impacted notes, what is written back, atoms that go."""
+    old, changes = _vaults_before(spark, d)
+    out = pushes.push(old, changes, 6)
+    name = out.files.select("id", "vault_id", "file_path")
+    none = F.lit(None).cast("string")
+    ends = out.after.links.join(name.withColumnRenamed("id", "file_a_id"), "file_a_id").join(name.select(F.col("id").alias("file_b_id"), F.col("file_path").alias("other")), "file_b_id")
+    parts = [
+        out.notes.select(F.lit("note").alias("kind"), "vault_id", "file_path", F.col("title").alias("other"), F.col("summary").alias("detail"), F.lit(None).cast("double").alias("value")),
+        ends.select(F.lit("link"), "vault_id", "file_path", "other", none, F.round("similarity", 6)),
+        out.impacted.join(name, "id").select(F.lit("impacted"), "vault_id", "file_path", none, none, F.lit(None).cast("double")),
+        out.generated.select(F.lit("change"), "vault_id", "file_path", "device_id", "content_sha256", F.col("size_bytes").cast("double")),
+        out.orphans.select(F.lit("orphan"), F.regexp_extract("parent", r"vault://(\d+)/", 1).cast("long"), none, none, "content", F.lit(None).cast("double"))]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    return rows
+
+
 # --- sources and atoms -----------------------------------------------------------------------------
 
 

@@ -49,6 +49,25 @@ def log(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("event_id") % 11 == 0, GENERATED_DEVICE).otherwise("phone").alias("device_id"))
 
 
+def note_log(spark: SparkSession, d: str) -> DataFrame:
+    """A log of short notes, two in three events older (ids below a thousand million), the others a later push.
+
+    Notes on one type of event differ in a number at their end, so that they are near each other.
+    """
+    t = load(spark, d, "events")
+    later = F.when(F.col("event_id") % 3 == 2, 1_000_000_000).otherwise(0)
+    kind = F.initcap("event_type")
+    entry = F.concat(F.lit("Log of the week for the regions and their teams, entry "), F.lpad((F.col("user_id") % 40).cast("string"), 2, "0"))
+    body = F.concat(F.lit("# "), kind, F.lit("\n\n- "), entry).cast("binary")
+    suffix = F.when(F.col("event_id") % 5 == 4, ".txt").otherwise(".md")
+    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+    gone = F.col("event_type") == "error"
+    return t.select(
+        (later + F.col("event_id") + 1).alias("id"), (F.col("user_id") % 3).alias("vault_id"), F.concat(F.lit("n/"), "user_id", F.lit("-"), F.col("event_id") % 5, suffix).alias("file_path"),
+        F.when(gone, "deleted").otherwise("modified").alias("action"), ms.alias("changed_at_unix_ms"), F.when(gone, "").otherwise(base64_of(body)).alias("content_base64"),
+        F.when(gone, "").otherwise(F.sha2(body, 256)).alias("content_sha256"), F.when(gone, 0).otherwise(F.octet_length(body)).cast("long").alias("size_bytes"), F.lit("phone").alias("device_id"))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents")
 
@@ -68,6 +87,11 @@ LOG = (
     " base64(encode(event_type || ' ' || coalesce(props, ''))) AS content_base64, sha256(event_type || ' ' || coalesce(props, '')) AS content_sha256,"
     " strlen(event_type || ' ' || coalesce(props, ''))::BIGINT AS size_bytes, CASE WHEN event_id % 11 = 0 THEN 'generated' ELSE 'phone' END AS device_id FROM events)"
 )
+NOTE_LOG = (
+    "nlog AS (SELECT CASE WHEN event_id % 3 = 2 THEN 1000000000 ELSE 0 END + event_id + 1 AS id, event_id % 3 = 2 AS later, user_id % 3 AS vault_id,"
+    " 'n/' || user_id || '-' || (event_id % 5) || CASE WHEN event_id % 5 = 4 THEN '.txt' ELSE '.md' END AS file_path, event_type = 'error' AS gone, upper(event_type[1]) || event_type[2:] AS kind,"
+    " lpad((user_id % 40)::VARCHAR, 2, '0') AS entry FROM events)"
+)
 STATE = (
     "state AS (SELECT vault_id, file_path, CASE WHEN a = 'deleted' THEN '' ELSE b END AS base64, CASE WHEN a = 'deleted' THEN '' ELSE s END AS content_sha256,"
     " CASE WHEN a = 'deleted' THEN 0 ELSE n END::BIGINT AS size_bytes, a = 'deleted' AS is_deleted, t AS updated_unix_ms, v AS content_version, id AS last_change_id FROM"
