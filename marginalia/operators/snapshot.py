@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .changelog import current_state
-
 #: Bytes of an upload batch, by default and at least.
 UPLOAD_BYTES, UPLOAD_LEAST = 8 << 20, 256 << 10
 
@@ -66,11 +61,16 @@ def remote_diff(
 
 
 def full_push_plan(
-    local: DataFrame, previous: DataFrame, remote: DataFrame, now_ms: int, body_bytes: int, limit: int = UPLOAD_BYTES, prefer_fingerprint: bool = False
+    local: DataFrame, previous: DataFrame, remote: DataFrame | None, now_ms: int, body_bytes: int, limit: int = UPLOAD_BYTES, prefer_fingerprint: bool = False
 ) -> DataFrame | None:
-    """None if a full push's body fits the limit; else the changes of a strict mirror diff, to be sent in batches."""
+    """None if a full push's body fits the limit; else the changes of a strict mirror diff, to be sent in batches.
+
+    Without ``remote``, where the server's status can't be had, the changes since the previous snapshot.
+    """
     if body_bytes <= max(limit, UPLOAD_LEAST):
         return None
+    if remote is None:
+        return local_diff(previous, local, now_ms, prefer_fingerprint)
     return remote_diff(local, previous, remote, now_ms, mirror=True, prefer_fingerprint=prefer_fingerprint, strict_mirror=True)
 
 
@@ -85,54 +85,11 @@ def encoded_size(changes: DataFrame) -> DataFrame:
     return changes.withColumn("bytes", F.octet_length(F.to_json(F.struct(*fields))).cast("long"))
 
 
-def upload_batches(changes: DataFrame, overhead: int, limit: int = UPLOAD_BYTES) -> DataFrame:
-    """(vault_id, seq, bytes, batch): changes packed greedily in order, one sequence for each vault.
-
-    A batch's size is ``overhead`` plus its changes and the commas between them. A change that is too
-    large alone is an error. Packing is sequential in a vault; the rows that a vault's task streams
-    are numbers only.
-    """
-    limit = max(limit, 1)
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vault, used, batch = None, 0, 0
-        for b in batches:
-            numbers = []
-            for v, n in zip(b["vault_id"], b["bytes"]):
-                if overhead + n > limit:
-                    raise ValueError(f"a change of {n} bytes exceeds the upload limit of {limit}")
-                if v != vault:
-                    vault, used, batch = v, overhead + n, 0
-                elif used + 1 + n > limit:
-                    used, batch = overhead + n, batch + 1
-                else:
-                    used += 1 + n
-                numbers.append(batch)
-            yield b.assign(batch=numbers)
-
-    rows = changes.select("vault_id", "seq", "bytes").repartition("vault_id").sortWithinPartitions("vault_id", "seq")
-    return rows.mapInPandas(pack, "vault_id long, seq long, bytes long, batch int")
-
-
 def without_content(changes: DataFrame) -> DataFrame:
     """Added and modified changes that an upload must reject, for want of content."""
     return changes.filter(F.lower("action").isin("added", "modified") & (F.trim(F.coalesce("content_base64", F.lit(""))) == ""))
 
 
-def pulled(files: DataFrame, log: DataFrame, since_ms: int | None) -> tuple[DataFrame, int | None]:
-    """(files, watermark) of a client after a pull of one vault's ``log``.
-
-    Without a watermark the client takes the live snapshot, and files that it doesn't hold go; with
-    one, the changes since. The new watermark is the latest time in the log, or the old one.
-    """
-    latest = log.agg(F.max("changed_at_unix_ms")).first()[0]
-    if since_ms is None:
-        live = current_state(log).filter(~F.col("is_deleted"))
-        return live.select(F.col("file_path").alias("path"), F.col("base64").alias("content_base64")), latest
-    changes = log.filter(F.col("changed_at_unix_ms") > since_ms).select(F.col("file_path").alias("path"), "action", "content_base64", "changed_at_unix_ms", "id")
-    return applied(files, changes), latest if latest is not None else since_ms
-
-
 def applied(files: DataFrame, changes: DataFrame) -> DataFrame:
     """(path, content_base64) after a delta: the last change of each path by (time, id) decides."""
     last = changes.groupBy("path").agg(F.max_by(F.struct("action", "content_base64"), F.struct("changed_at_unix_ms", "id")).alias("l"))

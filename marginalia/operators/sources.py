@@ -27,6 +27,38 @@ def source_indexes(source_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
     return out.select("source_id", F.col("t.mean").alias("embedding"), "atom_count")
 
 
+#: Entries are summed as whole multiples of 2**-32, so that sums don't depend on order and unlinking undoes linking.
+UNIT = 1 << 32
+
+
+def centroid_sums(pairs: DataFrame, atoms: DataFrame) -> DataFrame:
+    """(source_id, pos, total, n) over the ``pairs`` (source_id, atom_id) whose atom exists, summed on the map side."""
+    vectors = atoms.select(F.col("id").alias("atom_id"), F.posexplode("vector").alias("pos", "x"))
+    joined = pairs.select("source_id", "atom_id").join(vectors, "atom_id")
+    return joined.groupBy("source_id", "pos").agg(F.sum(F.round(F.col("x").cast("double") * UNIT).cast("long")).alias("total"), F.count("*").alias("n"))
+
+
+def centroid_sums_after(sums: DataFrame, atoms: DataFrame, linked: DataFrame | None = None, unlinked: DataFrame | None = None) -> DataFrame:
+    """``sums`` after pairs were linked and unlinked: only these pairs' atoms are read.
+
+    Pairs that were linked before, or that weren't, must not be among them (see :func:`link_atoms` and
+    :func:`returned`); an atom that is deleted has to be unlinked while it still exists.
+    """
+    rows = sums.select("source_id", "pos", "total", "n")
+    if linked is not None:
+        rows = rows.union(centroid_sums(linked, atoms))
+    if unlinked is not None:
+        rows = rows.union(centroid_sums(unlinked, atoms).select("source_id", "pos", -F.col("total"), -F.col("n")))
+    return rows.groupBy("source_id", "pos").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0")
+
+
+def centroids(sums: DataFrame) -> DataFrame:
+    """(source_id, embedding, atom_count) from the stored sums."""
+    mean = F.col("total") / UNIT / F.col("n")
+    out = sums.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", mean.alias("mean")))).alias("t"), F.max("n").cast("int").alias("atom_count"))
+    return out.select("source_id", F.col("t.mean").alias("embedding"), "atom_count")
+
+
 def refreshed_indexes(indexes: DataFrame, changed: DataFrame, source_atoms: DataFrame, atoms: DataFrame) -> DataFrame:
     """``indexes`` with the centroids of the ``changed`` sources (source_id) found anew; those without an atom go."""
     touched = source_atoms.join(changed.select("source_id"), "source_id", "left_semi")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import markdown, text, vectors
 from ..functions.embedding import embed, term_table
 from ..operators import atoms as atom_ops
-from ..operators import auth, changelog, notes, search, snapshot, sources
+from ..operators import auth, changelog, notes, packing, search, snapshot, sources
+from ..operators import pull as pulls
 from ..operators import push as pushes
 from ..schema import VECTOR_WIDTH
 from ..sources import payloads
@@ -152,10 +153,10 @@ def source_text_filter(spark, d):
     return s.documents(spark, d).filter(text.matches_any([F.col("source"), F.col("lang"), F.col("text")], "SRC1 en")).select("doc_id")
 
 
-@query("SELECT page_id FROM pages WHERE contains(lower(url), '/p') AND lower(url) LIKE '%1'")
+@query("SELECT page_id FROM pages WHERE contains(lower(url), '.example.') AND lower(url) LIKE '%.html'")
 def path_filter(spark, d):
     pages = s.load(spark, d, "pages")
-    return search.by_path(pages, "url", part="/P", suffix="1").select("page_id")
+    return search.by_path(pages, "url", part=".Example.", suffix=".HTML").select("page_id")
 
 
 #: Unit vectors of the texts of a table ``given`` (key, t), as they are stored.
@@ -319,26 +320,43 @@ def source_upsert(spark, d):
     return sources.upsert_sources(old, new)
 
 
-_PAIRS = "SELECT l_partkey % 50 AS source_id, l_suppkey AS atom_id FROM lineitem WHERE l_linenumber = {}"
+_LINKED = "SELECT DISTINCT l_suppkey % 50 AS source_id, l_partkey AS atom_id FROM lineitem"
+_ASKED = "SELECT DISTINCT l_orderkey % 50 AS source_id, l_partkey AS atom_id FROM lineitem"
 
 
-def _pairs(spark, d, line):
-    return s.load(spark, d, "lineitem").filter(F.col("l_linenumber") == line).select((F.col("l_partkey") % 50).alias("source_id"), F.col("l_suppkey").alias("atom_id"))
+def _pairs(spark, d, column):
+    return s.load(spark, d, "lineitem").select((F.col(column) % 50).alias("source_id"), F.col("l_partkey").alias("atom_id"))
 
 
-@query(f"WITH old AS ({_PAIRS.format(1)}), new AS (SELECT DISTINCT * FROM ({_PAIRS.format(2)})) SELECT n.source_id, n.atom_id, NOT EXISTS (SELECT 1 FROM old o WHERE o.source_id = n.source_id AND o.atom_id = n.atom_id) AS linked FROM new n")
+@query(f"WITH old AS ({_LINKED}), new AS ({_ASKED}) SELECT n.source_id, n.atom_id, NOT EXISTS (SELECT 1 FROM old o WHERE o.source_id = n.source_id AND o.atom_id = n.atom_id) AS linked FROM new n")
 def link_idempotent(spark, d):
-    return sources.link_atoms(_pairs(spark, d, 1), _pairs(spark, d, 2))
+    return sources.link_atoms(_pairs(spark, d, "l_suppkey"), _pairs(spark, d, "l_orderkey"))
 
 
-@query(f"WITH old AS (SELECT DISTINCT * FROM ({_PAIRS.format(1)})), gone AS ({_PAIRS.format(3)}) SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source_id = o.source_id AND g.atom_id = o.atom_id)")
+@query(f"WITH old AS ({_LINKED}), gone AS ({_ASKED}) SELECT * FROM old o WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.source_id = o.source_id AND g.atom_id = o.atom_id)")
 def unlink(spark, d):
-    return sources.unlinked(_pairs(spark, d, 1).distinct(), _pairs(spark, d, 3))
+    return sources.unlinked(_pairs(spark, d, "l_suppkey").distinct(), _pairs(spark, d, "l_orderkey"))
 
 
-@query(f"WITH old AS (SELECT DISTINCT * FROM ({_PAIRS.format(1)})), gone AS ({_PAIRS.format(3)}) SELECT * FROM old o WHERE EXISTS (SELECT 1 FROM gone g WHERE g.source_id = o.source_id AND g.atom_id = o.atom_id)")
+@query(f"WITH old AS ({_LINKED}), gone AS ({_ASKED}) SELECT * FROM old o WHERE EXISTS (SELECT 1 FROM gone g WHERE g.source_id = o.source_id AND g.atom_id = o.atom_id)")
 def unlink_returning(spark, d):
-    return sources.returned(_pairs(spark, d, 1).distinct(), _pairs(spark, d, 3))
+    return sources.returned(_pairs(spark, d, "l_suppkey").distinct(), _pairs(spark, d, "l_orderkey"))
+
+
+@query(f"""WITH {s.ATOMS}, old AS (SELECT id % 7 AS source_id, id AS atom_id FROM atoms UNION SELECT 7, id FROM atoms), gone AS (SELECT * FROM old WHERE atom_id % 3 = 0 OR source_id = 2),
+source_atoms AS (SELECT * FROM old EXCEPT SELECT * FROM gone UNION SELECT 8, id FROM atoms WHERE id % 2 = 0 UNION SELECT id % 7, id + 1 FROM atoms WHERE id % 7 <> 2 AND id % 3 <> 2), {s.CENTROIDS}
+SELECT source_id, (pos - 1)::INT AS pos, round(mean, 6) AS mean, n::INT AS atom_count FROM terms""")
+def centroid_deltas(spark, d):
+    """Stored sums of all sources, brought up to date by the pairs linked and unlinked since, equal to those found anew."""
+    made, one = s.atoms(spark, d), F.col("id")
+    pair = lambda rows, source: rows.select(source.cast("long").alias("source_id"), F.col("id").alias("atom_id"))
+    old = pair(made, one % 7).union(pair(made, F.lit(7)))
+    gone = old.filter("atom_id % 3 = 0 or source_id = 2")
+    asked = pair(made.filter("id % 2 = 0"), F.lit(8)).union(made.filter("id % 7 <> 2 and id % 3 <> 2").select(one % 7, one + 1))
+    new = sources.link_atoms(sources.unlinked(old, gone), asked).filter("linked")
+    sums = sources.centroid_sums_after(sources.centroid_sums(old, made), made, new, sources.returned(old, gone))
+    out = sources.centroids(sums).select("source_id", F.posexplode("embedding").alias("pos", "mean"), "atom_count")
+    return out.withColumn("mean", F.round("mean", 6))
 
 
 @query(f"WITH {s.ATOMS}, {s.SOURCE_ATOMS}, {s.CENTROIDS}, {_OLD_LINKS} SELECT target_source_id, source_id, distance, method FROM old WHERE source_id IN (SELECT source_id FROM indexes WHERE source_id <> 4) AND target_source_id IN (SELECT source_id FROM indexes WHERE source_id <> 4)")
@@ -349,14 +367,30 @@ def links_of_empty_sources_removed(spark, d):
     return sources.graph_without_empty(old, indexes)
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'usercreated' WHEN 1 THEN 'aicreated' ELSE 'imported' END AS type FROM part) SELECT id, type FROM a
-WHERE type <> 'usercreated' AND id NOT IN (SELECT l_partkey FROM lineitem) AND id NOT IN (SELECT o_orderkey // 4 FROM orders)""")
-def orphan_atoms(spark, d):
+_HELD = """a AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'usercreated' WHEN 1 THEN 'aicreated' ELSE 'imported' END AS type FROM part),
+files AS (SELECT DISTINCT l_orderkey AS file_id, (l_partkey * 2 + l_suppkey) % 4001 AS atom_id FROM lineitem), sources AS (SELECT DISTINCT o_custkey AS source_id, o_orderkey * 5 AS atom_id FROM orders)"""
+
+
+def _holders(spark, d):
     kind = F.when(F.col("p_partkey") % 3 == 0, "usercreated").when(F.col("p_partkey") % 3 == 1, "aicreated").otherwise("imported")
     made = s.load(spark, d, "part").select(F.col("p_partkey").alias("id"), kind.alias("type"))
-    held = s.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_partkey").alias("atom_id"))
-    linked = s.load(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), F.floor(F.col("o_orderkey") / 4).alias("atom_id"))
-    return atom_ops.orphans(made, held, linked)
+    held = s.load(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), ((F.col("l_partkey") * 2 + F.col("l_suppkey")) % 4001).alias("atom_id")).distinct()
+    linked = s.load(spark, d, "orders").select(F.col("o_custkey").alias("source_id"), (F.col("o_orderkey") * 5).alias("atom_id"))
+    return made, held, linked
+
+
+@query(f"""WITH {_HELD} SELECT id, type FROM a WHERE type <> 'usercreated' AND id NOT IN (SELECT atom_id FROM files WHERE file_id % 20 = 0) AND id NOT IN (SELECT atom_id FROM sources)""")
+def orphan_atoms(spark, d):
+    """Of all atoms, once nineteen in twenty files are gone."""
+    made, held, linked = _holders(spark, d)
+    return atom_ops.orphans(made, held.filter("file_id % 20 = 0"), linked)
+
+
+@query(f"""WITH {_HELD} SELECT id, type FROM a WHERE type <> 'usercreated' AND id IN (SELECT atom_id FROM files) AND id NOT IN (SELECT atom_id FROM files WHERE file_id % 20 = 0) AND id NOT IN (SELECT atom_id FROM sources)""")
+def released_orphan_atoms(spark, d):
+    """The atoms that these files' going makes orphans, by stored counts of holders: only released ones are looked at."""
+    made, held, linked = _holders(spark, d)
+    return atom_ops.released_orphans(made, atom_ops.holder_counts(held, linked), held.filter("file_id % 20 <> 0"))
 
 
 @query("""SELECT request_id, atom_id FROM (SELECT r.request_id, CASE WHEN r.want IS NOT NULL THEN i.id ELSE t.id END AS atom_id FROM
@@ -502,59 +536,86 @@ def derived_columns_reset(spark, d):
     return changelog.with_derived(log, derived).select("vault_id", "file_path", "is_deleted", "subject")
 
 
-_PUSH = """raw AS (SELECT event_id AS id, user_id % 7 AS vault_id, CASE WHEN event_id % 17 = 0 THEN '/abs' ELSE 'a/./' || user_id || '.md' END AS path,
+_PUSH = f"""{s.LOG}, raw AS (SELECT event_id + 2000000 AS id, user_id % 7 AS vault_id, CASE WHEN event_id % 17 = 0 THEN '/abs' ELSE './' || user_id || '//' || (event_id % 6) || '.md' END AS path,
   CASE event_id % 6 WHEN 0 THEN ' Created ' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'removed' WHEN 3 THEN 'x' WHEN 4 THEN 'add' ELSE 'changed' END AS act FROM events),
 named AS (SELECT *, CASE WHEN act IN (' Created ', 'add') THEN 'added' WHEN act IN ('UPDATE', 'changed') THEN 'modified' WHEN act = 'removed' THEN 'deleted' END AS action FROM raw),
-good AS (SELECT id, vault_id, replace(path, '/./', '/') AS file_path, action FROM named WHERE action IS NOT NULL AND path NOT LIKE '/%'),
-last AS (SELECT vault_id, file_path, arg_max(action, id) AS a, max(id) AS last_change_id, count(*) AS content_version FROM good GROUP BY ALL)"""
+good AS (SELECT id, vault_id, replace(replace(path, './', ''), '//', '/') AS file_path, action, 'hello' AS body, true AS mine FROM named WHERE action IS NOT NULL AND path NOT LIKE '/%'
+  UNION ALL SELECT l.id, l.vault_id, l.file_path, l.action, e.event_type || ' ' || coalesce(e.props, ''), l.device_id <> 'generated' FROM log l JOIN events e ON (e.event_id * 7919) % 1000003 = l.id),
+last AS (SELECT vault_id, file_path, arg_max(action, id) AS a, arg_max(body, id) AS body, max(id) AS last_change_id, count(*) FILTER (mine) AS content_version FROM good GROUP BY ALL)"""
 
 
 def _push(spark, d):
     return s.load(spark, d, "events").select(
-        F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("vault_id"), F.lit("phone").alias("device_id"),
-        F.when(F.col("event_id") % 17 == 0, "/abs").otherwise(F.concat(F.lit("a/./"), "user_id", F.lit(".md"))).alias("file_path"), _raw_action(F.col("event_id")).alias("action"),
+        (F.col("event_id") + 2_000_000).alias("id"), (F.col("user_id") % 7).alias("vault_id"), F.lit("phone").alias("device_id"),
+        F.when(F.col("event_id") % 17 == 0, "/abs").otherwise(F.concat(F.lit("./"), "user_id", F.lit("//"), F.col("event_id") % 6, F.lit(".md"))).alias("file_path"), _raw_action(F.col("event_id")).alias("action"),
         F.lit(5).cast("long").alias("changed_at_unix_ms"), F.lit("aGVsbG8=").alias("content_base64"), F.lit(None).cast("string").alias("content_sha256"))
 
 
-@query(f"""WITH {_PUSH} SELECT vault_id, file_path, a = 'deleted' AS is_deleted, CASE WHEN a = 'deleted' THEN '' ELSE sha256('hello') END AS content_sha256, content_version, last_change_id,
-  CASE WHEN a <> 'deleted' THEN 'hello' END AS content FROM last""")
+@query(f"""WITH {_PUSH} SELECT vault_id, file_path, a = 'deleted' AS is_deleted, CASE WHEN a = 'deleted' THEN '' ELSE sha256(body) END AS content_sha256, content_version, last_change_id,
+  CASE WHEN a <> 'deleted' THEN body END AS content FROM last""")
 def push_applied_state(spark, d):
-    """A whole push: normalised, appended to an empty log, folded, and read as text."""
-    state, _ = changelog.pushed(_push(spark, d).limit(0), _push(spark, d), 5)
+    """A whole push: normalised, appended to the log, folded, and read as text."""
+    state, _ = changelog.pushed(s.log(spark, d), _push(spark, d), 5)
     return state.select("vault_id", "file_path", "is_deleted", "content_sha256", "content_version", "last_change_id", "content")
 
 
-@query(f"""WITH {_PUSH}, versions AS (SELECT vault_id, file_path, row_number() OVER (PARTITION BY vault_id, file_path ORDER BY id) AS file_version FROM good)
+@query(f"""WITH {_PUSH}, versions AS (SELECT vault_id, file_path, row_number() OVER (PARTITION BY vault_id, file_path ORDER BY id) AS file_version FROM good WHERE mine)
 SELECT v.vault_id, v.file_path, v.file_version, j AS job_type, CASE WHEN v.file_version < l.content_version THEN 'superseded' ELSE 'pending' END AS status
 FROM versions v JOIN last l USING (vault_id, file_path), (VALUES ('file_enrichment'), ('atomize')) t(j)""")
 def push_applied_jobs(spark, d):
-    _, jobs = changelog.pushed(_push(spark, d).limit(0), _push(spark, d), 5)
+    _, jobs = changelog.pushed(s.log(spark, d), _push(spark, d), 5)
     return jobs
 
 
-_PULL_LOG = "SELECT file_path AS path, arg_max(action, (changed_at_unix_ms, id)) AS a, arg_max(content_sha256, (changed_at_unix_ms, id)) AS c FROM log WHERE vault_id = {v} AND changed_at_unix_ms > {since} GROUP BY 1"
+_CLIENTS = "clients AS (SELECT vault_id, CASE WHEN vault_id % 3 > 0 THEN min(changed_at_unix_ms) + 86400000 * vault_id END AS since FROM log GROUP BY 1)"
 
 
-@query(f"""WITH {s.LOG}, {s.STATE}, mark AS (SELECT min(changed_at_unix_ms) + 86400000 AS ms FROM log), old AS (SELECT 'gone/' || vault_id || '.md' AS path FROM state GROUP BY vault_id HAVING vault_id < 2),
-delta AS ({_PULL_LOG.format(v=1, since="(SELECT ms FROM mark)")})
-SELECT 0 AS run, file_path AS path, content_sha256 AS content_base64 FROM state WHERE vault_id = 0 AND NOT is_deleted
-UNION ALL SELECT 1, path, c FROM delta WHERE a <> 'deleted' UNION ALL SELECT 1, path, 'old' FROM old WHERE path NOT IN (SELECT path FROM delta)""")
-def delta_pull(spark, d):
-    """A client without a watermark takes the snapshot of vault 0, one with a watermark the changes of vault 1 since."""
+def _pull(spark, d):
+    """A client of each vault: its files, the log (with digests for bodies), and its mark, which every third has none of."""
     log = s.log(spark, d).withColumn("content_base64", F.col("content_sha256"))
-    here = s.log(spark, d).filter("vault_id < 2").select(F.concat(F.lit("gone/"), "vault_id", F.lit(".md")).alias("path"), F.lit("old").alias("content_base64")).distinct()
-    since = log.agg(F.min("changed_at_unix_ms")).first()[0] + 86_400_000
-    full, _ = snapshot.pulled(here, log.filter("vault_id = 0"), None)
-    delta, _ = snapshot.pulled(here, log.filter("vault_id = 1"), since)
-    return full.select(F.lit(0).alias("run"), "path", "content_base64").union(delta.select(F.lit(1), "path", "content_base64"))
+    here = log.filter("id % 2 = 0").select("vault_id", F.col("file_path").alias("path"), F.lit("old").alias("content_base64")).distinct()
+    clients = log.groupBy("vault_id").agg(F.min("changed_at_unix_ms").alias("least")).select(
+        "vault_id", F.when(F.col("vault_id") % 3 > 0, F.col("least") + F.col("vault_id") * 86_400_000).alias("since_ms"), F.lit(None).cast("long").alias("since_id"))
+    return here, log, clients
+
+
+_DELTA_PULL = f"""WITH {s.LOG}, {s.STATE}, {_CLIENTS}, here AS (SELECT DISTINCT vault_id, file_path AS path FROM log WHERE id % 2 = 0),
+delta AS (SELECT l.vault_id, file_path AS path, arg_max(action, (changed_at_unix_ms, id)) AS a, arg_max(content_sha256, (changed_at_unix_ms, id)) AS c FROM log l JOIN clients USING (vault_id) WHERE changed_at_unix_ms > since GROUP BY ALL)
+SELECT vault_id, file_path AS path, content_sha256 AS content_base64 FROM state JOIN clients USING (vault_id) WHERE since IS NULL AND NOT is_deleted
+UNION ALL SELECT vault_id, path, c FROM delta WHERE a <> 'deleted'
+UNION ALL SELECT vault_id, path, 'old' FROM here JOIN clients USING (vault_id) WHERE since IS NOT NULL AND (vault_id, path) NOT IN (SELECT (vault_id, path) FROM delta)"""
 
 
-@query(f"""WITH {s.LOG} SELECT v AS vault_id, max(changed_at_unix_ms) AS watermark FROM log JOIN (VALUES (0), (1)) t(v) ON v = vault_id GROUP BY 1""")
+@query(_DELTA_PULL)
+def delta_pull(spark, d):
+    """All vaults at once: clients without a mark take the snapshot, others the changes since theirs."""
+    files, _ = pulls.pulled(*_pull(spark, d))
+    return files
+
+
+@query(_DELTA_PULL)
+def delta_pull_in_pages(spark, d):
+    """The same in pages of 100 changes, of which the first two were applied before the pull was interrupted."""
+    here, log, clients = _pull(spark, d)
+    pages = pulls.pages(log, clients, 100)
+    begun = pulls.applied(pulls.snapshots(here, log, clients), pages.filter("page < 2"))
+    return pulls.applied(begun, pages.filter("page >= 2"))
+
+
+@query(f"""WITH {s.LOG}, {_CLIENTS}, here AS (SELECT DISTINCT vault_id, file_path AS path FROM log WHERE id % 2 = 0),
+delta AS (SELECT vault_id, file_path AS path, arg_max(action, id) AS a, arg_max(content_sha256, id) AS c FROM log WHERE id > 500000 GROUP BY ALL)
+SELECT vault_id, path, c AS content_base64 FROM delta WHERE a <> 'deleted' UNION ALL SELECT vault_id, path, 'old' FROM here WHERE (vault_id, path) NOT IN (SELECT (vault_id, path) FROM delta)""")
+def safe_pull(spark, d):
+    """Pages by arrival instead of time: changes whose time lies before the mark aren't missed."""
+    here, log, clients = _pull(spark, d)
+    files, _ = pulls.pulled(here, log, clients.select("vault_id", F.lit(0).alias("since_ms"), F.lit(500_000).alias("since_id")), 1000, safe=True)
+    return files
+
+
+@query(f"WITH {s.LOG} SELECT vault_id, arg_max(changed_at_unix_ms, id) AS watermark, max(id) AS change_id FROM log GROUP BY 1")
 def pull_watermarks(spark, d):
-    log = s.log(spark, d).withColumn("content_base64", F.col("content_sha256"))
-    none = log.select(F.col("file_path").alias("path"), "content_base64").limit(0)
-    marks = [(v, snapshot.pulled(none, log.filter(F.col("vault_id") == v), None)[1]) for v in (0, 1)]
-    return spark.createDataFrame(marks, "vault_id int, watermark long")
+    here, log, clients = _pull(spark, d)
+    return pulls.marks(log, clients).select("vault_id", F.col("since_ms").alias("watermark"), F.col("since_id").alias("change_id"))
 
 
 # --- snapshot diffs --------------------------------------------------------------------------------
@@ -633,7 +694,17 @@ SELECT vault_id, seq, bytes, batch FROM r""")
 def upload_batches(spark, d):
     size = F.octet_length(F.concat("event_type", F.coalesce("props", F.lit("")))).cast("long") * 50
     changes = s.load(spark, d, "events").select(F.col("user_id").alias("vault_id"), F.col("event_id").alias("seq"), size.alias("bytes"))
-    return snapshot.upload_batches(changes, 100, 20_000)
+    return packing.upload_batches(changes, 100, 20_000)
+
+
+@query("""WITH RECURSIVE c AS (SELECT event_id AS seq, strlen(event_type || coalesce(props, ''))::BIGINT * 50 AS bytes, row_number() OVER (ORDER BY event_id) AS n FROM events),
+r AS (SELECT seq, bytes, n, 100 + bytes AS used, 0 AS batch FROM c WHERE n = 1 UNION ALL
+  SELECT c.seq, c.bytes, c.n, CASE WHEN r.used + 1 + c.bytes > 20000 THEN 100 + c.bytes ELSE r.used + 1 + c.bytes END, CASE WHEN r.used + 1 + c.bytes > 20000 THEN r.batch + 1 ELSE r.batch END FROM r JOIN c ON c.n = r.n + 1)
+SELECT 1::BIGINT AS vault_id, seq, bytes, batch FROM r""")
+def upload_batches_of_one_vault(spark, d):
+    """All changes in one vault: packed over as many tasks as it has blocks."""
+    size = F.octet_length(F.concat("event_type", F.coalesce("props", F.lit("")))).cast("long") * 50
+    return packing.upload_batches(s.load(spark, d, "events").select(F.lit(1).cast("long").alias("vault_id"), F.col("event_id").alias("seq"), size.alias("bytes")), 100, 20_000)
 
 
 @query("SELECT event_id, strlen('{\"action\":\"' || event_type || '\"' || CASE WHEN event_id % 3 <> 0 THEN ',\"changed_at_unix_ms\":' || event_id ELSE '' END || ',\"file_path\":\"f' || event_id || '\"}')::BIGINT AS bytes FROM events")
@@ -657,6 +728,14 @@ def full_push_fallback(spark, d):
     return snapshot.full_push_plan(cur, prev, remote, 77, body_bytes=1 << 40, prefer_fingerprint=True).select("path", "action")
 
 
+@query(f"""WITH {_PREV}, {_CUR}, j AS (SELECT coalesce(c.path, p.path) AS path, CASE WHEN c.path IS NULL THEN 'deleted' WHEN p.path IS NULL THEN 'added' WHEN {_CLS} <> 'unchanged' THEN 'modified' END AS action
+  FROM cur c FULL JOIN prev p ON p.path = c.path) SELECT * FROM j WHERE action IS NOT NULL""")
+def full_push_without_status(spark, d):
+    """The same where the server's status can't be had: what changed since the snapshot before."""
+    prev, cur = _snapshots(spark, d)
+    return snapshot.full_push_plan(cur, prev, None, 77, body_bytes=1 << 40, prefer_fingerprint=True).select("path", "action")
+
+
 @query(f"WITH {_PREV} SELECT path, CASE WHEN size_bytes % 3 = 0 THEN 'Added' ELSE 'modified' END AS action FROM prev WHERE size_bytes % 3 < 2 AND size_bytes % 5 = 0")
 def uploads_without_content(spark, d):
     prev, _ = _snapshots(spark, d)
@@ -834,13 +913,13 @@ def open_sessions(spark, d):
     return alive.select("event_id", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("expires_at").cast("timestamp_ntz")).alias("expires_us"))
 
 
-_MARKED = "replace(replace(replace(replace(replace(source || ' <' || lang || '> & EN text', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+_MARKED = "replace(replace(replace(replace(replace(source || ' <' || lang || '> & ' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
 
 
-@query(f"SELECT doc_id, regexp_replace({_MARKED}, '(src|en)', '<mark>\\1</mark>', 'gi') AS html FROM documents".replace("\\\\", "\\"))
+@query(f"SELECT doc_id, regexp_replace({_MARKED}, '(src|en)', '<mark>\\1</mark>', 'gi') AS html FROM documents")
 def query_highlight(spark, d):
-    c = F.concat("source", F.lit(" <"), "lang", F.lit("> & EN text"))
-    return s.documents(spark, d).select("doc_id", text.highlighted(c, "SRC x en").alias("html"))
+    c = F.concat("source", F.lit(" <"), "lang", F.lit("> & "), "text")
+    return spread(s.documents(spark, d)).select("doc_id", text.highlighted(c, "SRC x en").alias("html"))
 
 
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '{"a":' || page_id || ',"b":[1,2]}' WHEN 1 THEN '"plain ' || page_id || '"' WHEN 2 THEN NULL ELSE '[' || page_id || ',"x"]' END AS metadata FROM pages""")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.functions import embedding, text, vectors
-from marginalia.operators import atoms, auth, changelog, notes, search, snapshot, sources
+from marginalia.operators import atoms, auth, changelog, notes, packing, search, snapshot, sources
 from marginalia.sources import directory, payloads, state
 from marginalia.streaming import vault_stream
 
@@ -149,10 +149,10 @@ def test_remote_truth_table(spark, local, previous, remote, mirror, want):
 
 def test_upload_batches(spark):
     t = spark.createDataFrame([(1, i, 10) for i in range(5)] + [(2, 0, 10)], "vault_id long, seq long, bytes long")
-    got = sorted((r["vault_id"], r["seq"], r["batch"]) for r in snapshot.upload_batches(t, 5, 26).collect())
+    got = sorted((r["vault_id"], r["seq"], r["batch"]) for r in packing.upload_batches(t, 5, 26).collect())
     assert got == [(1, 0, 0), (1, 1, 0), (1, 2, 1), (1, 3, 1), (1, 4, 2), (2, 0, 0)]
     with pytest.raises(Exception, match="exceeds"):
-        snapshot.upload_batches(t, 5, 12).collect()
+        packing.upload_batches(t, 5, 12).collect()
 
 
 def test_diff_then_apply_gives_the_target(spark):
