@@ -13,6 +13,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+#: Hashed parts of a node's edges: what is found for a node goes to its parts, so no task holds all edges of a hub.
+PARTS = 64
+
+
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``edges`` with the hashed part of each, (u, part, m): the smallest neighbour ``m`` of u, for each of u's parts)."""
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "v"), F.lit(PARTS)).cast("int"))
+    pieces = dealt.groupBy("u", "part").agg(F.min("v").alias("p"))
+    return dealt, pieces.join(pieces.groupBy("u").agg(F.min("p").alias("m")), "u").select("u", "part", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) but the roots; root: the smallest node reachable.
 
@@ -24,11 +35,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges, "cc-edges")
     before = _state(edges)
     while before[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both, least = _least(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        large = both.filter("v > u").join(least, ["u", "part"]).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large, least = _least(large)
+        small = large.join(least, ["u", "part"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
         after = _state(edges)
         if after == before:

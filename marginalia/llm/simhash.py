@@ -6,8 +6,10 @@ bands' values are the keys and no link is lost. For near copies (:func:`keep_one
 have 1024 bits, of the set of five-word shingles: the share of differing bits estimates the angle
 between two texts, and the radius leaves room for all texts of similarity 0.8. There the keys are
 anchors, pairs of the text's smallest shingles under different orders; texts of similarity 0.8 share
-one of six with probability 0.998. Links whose fingerprints alone don't prove the similarity are then
-held against the texts' shingles, exactly.
+one of six with probability 0.998. Links whose fingerprints alone don't prove the similarity must
+also pass a bound by sketches, the smallest ``SKETCH`` hashes of each text's shingles: of texts with
+no more shingles than that the similarity itself, of longer ones an estimate with room for four
+standard deviations. Those that pass are then held against the texts' shingles, exactly.
 
 What shares a key is cut into tiles. A small one is a single tile; a large one is cut by the number
 of one bits and, above ``TILE`` fingerprints of one count, by hash. Pairs of tiles whose population
@@ -19,7 +21,8 @@ copies gives about n rows; the components of the forest are those of the links.
 exact check enter the forest nearest first, and only where sure ones don't already join their ends.
 Where some of them fail it, what they stood for is open again: the tile pairs concerned then report
 further links between texts that aren't joined yet, a growing number of the nearest a component in
-each round, until all links are checked or lie within a component.
+each round, until all links are checked or lie within a component. Sketches are compared only between
+texts that nothing joins yet, and so are texts.
 """
 
 from __future__ import annotations
@@ -49,6 +52,8 @@ NEAR, SURE = 240, 80
 PART_LINKS = 4096
 #: Links a component that a tile pair reports in the first round after a failed check, and its growth by round.
 FAN, GROWTH = 8, 8
+#: Hashes in a sketch, pairs of sketches compared at once, and what stands for no hash.
+SKETCH, PAIRS, NONE = 256, 4096, 0xFFFFFFFF
 #: Anchors of a text: its smallest shingles under two orders each.
 ANCHORS = 6
 ODD = (np.arange(1, 2 * ANCHORS + WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -112,6 +117,55 @@ def wide_udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     release_memory()
 
 
+def sketch_of(text: str | None, size: int) -> tuple[int, np.ndarray]:
+    """(number of the text's different shingle hashes of 32 bits, the ``size`` smallest of them)."""
+    mixed = (shingle_hashes(text, SHINGLE) * ODD[0]) >> np.uint64(32)
+    mixed = np.unique(np.minimum(mixed, np.uint64(NONE - 1)).astype(np.uint32))
+    return len(mixed), mixed[:size]
+
+
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(node, n, sketch) of ``texts`` (node, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [sketch_of(t, size) for t in b["text"]]
+            yield pd.DataFrame({"node": b["node"], "n": [n for n, _ in rows], "sketch": [k.view("<i4") for _, k in rows]})
+        release_memory()
+
+    return texts.mapInPandas(run, "node long, n int, sketch array<int>")
+
+
+class Sketches:
+    """The sketches of several texts, and which pairs of them may have the similarity asked for."""
+
+    def __init__(self, n: np.ndarray, rows: list[np.ndarray], size: int):
+        self.n, self.size = n, size
+        self.rows = np.full((len(rows), size), NONE, dtype=np.uint32)
+        for at, r in zip(self.rows, rows, strict=True):
+            at[: len(r)] = np.asarray(r, dtype=np.int32).view(np.uint32)
+
+    def pass_(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """False only for pairs (i, j) below the similarity, but for a chance of about 3 in 100,000 for long texts."""
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        ok = small + 1 >= SIMILAR * (large - 1)  # one less each way: two shingles may share 32 bits
+        todo = np.flatnonzero(ok)
+        for at in range(0, len(todo), PAIRS):
+            part = todo[at : at + PAIRS]
+            both = np.sort(np.concatenate([self.rows[i[part]], self.rows[j[part]]], axis=1), axis=1)
+            twice = np.zeros(both.shape, dtype=bool)
+            twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+            common = twice.sum(axis=1)
+            held = np.minimum(self.n[i[part]], self.size) + np.minimum(self.n[j[part]], self.size)
+            exact = common + 1 >= SIMILAR * (held - common - 1)
+            # The first ``size`` different hashes of both texts' are a sample of their union.
+            first = np.cumsum(~twice & (both != NONE), axis=1) <= self.size
+            share = (twice & first).sum(axis=1) / self.size
+            bound = SIMILAR - 4 * np.sqrt(SIMILAR * (1 - SIMILAR) / self.size)
+            ok[part] = np.where(large[part] <= self.size, exact, share >= bound)
+        return ok
+
+
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest node that the links (i, j) reach from each of n nodes."""
     label = np.arange(n)
@@ -126,25 +180,36 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, other, bits) of a spanning forest of the links (i, j) at d bits among n nodes.
+def _forest(
+    n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, sure: int, sketches: Sketches | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, other, bits) of a spanning forest of the links (i, j) at d bits among n nodes, and which links are none by the ``sketches``.
 
-    Sure links are given as (node, root, 0); of the others those of least d that join what sure links don't.
+    Sure links are given as (node, root, 0); of the others those of least d that join what sure links
+    don't. Only links between what isn't joined yet are held against the sketches, the nearest first.
     """
     label = _labels(n, i[d <= sure], j[d <= sure])
     node = np.flatnonzero(label != np.arange(n))
     found = [(node, label[node], np.zeros(len(node), dtype=np.int64))]
     left = np.flatnonzero(d > sure)
     left = left[np.argsort(d[left], kind="stable")]
+    good, dead, fan = np.full(len(d), sketches is None), np.zeros(len(d), dtype=bool), FAN
     while True:
-        left = left[label[i[left]] != label[j[left]]]
+        left = left[(label[i[left]] != label[j[left]]) & ~dead[left]]
         if not len(left):
-            return tuple(np.concatenate(part) for part in zip(*found, strict=True))
-        a, b, best = label[i[left]], label[j[left]], np.full(n, len(left))
-        np.minimum.at(best, a, np.arange(len(left)))
-        np.minimum.at(best, b, np.arange(len(left)))
-        pick = np.unique(best[best < len(left)])
-        found.append((i[left[pick]], j[left[pick]], d[left[pick]]))
+            return *(np.concatenate(part) for part in zip(*found, strict=True)), dead
+        new = left[~good[left]]
+        if len(new):
+            new = new[_nearest_of(label[i[new]], fan) | _nearest_of(label[j[new]], fan)]
+            ok = sketches.pass_(i[new], j[new])
+            good[new[ok]], dead[new[~ok]] = True, True
+            fan *= 1 if ok.any() else GROWTH
+        sound = left[good[left]]
+        a, b, best = label[i[sound]], label[j[sound]], np.full(n, len(sound))
+        np.minimum.at(best, a, np.arange(len(sound)))
+        np.minimum.at(best, b, np.arange(len(sound)))
+        pick = np.unique(best[best < len(sound)])
+        found.append((i[sound[pick]], j[sound[pick]], d[sound[pick]]))
         label = _labels(n, a[pick], b[pick])[label]
 
 
@@ -179,6 +244,13 @@ def _tile(t) -> tuple[np.ndarray, np.ndarray]:
     return nodes, (nodes[:, None] if bits is None else np.concatenate(bits).reshape(len(nodes), -1)).view(np.uint64)
 
 
+def _sketched(tiles, size: int | None) -> Sketches | None:
+    """The sketches of all nodes of ``tiles``, one tile after another; None without ``size``."""
+    if size is None:
+        return None
+    return Sketches(np.concatenate([np.asarray(t["n"], dtype=np.int64) for t in tiles]), [r for t in tiles for r in t["sketch"]], size)
+
+
 def _links(tiles, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(nodes, i, j, d): the links within one tile, or between two."""
     (names, a), *more = map(_tile, tiles)
@@ -191,15 +263,15 @@ def _links(tiles, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return names, i[keep], j[keep], d[keep]
 
 
-def _compare(batches: Iterator[pd.DataFrame], radius: int, sure: int) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], radius: int, sure: int, sketch: int | None = None) -> Iterator[pd.DataFrame]:
     """Rows of one tile, or of a tile and another, under a name ``at``, to a forest of their links.
 
     ``more`` says whether ``at`` has links that need a check and aren't in the forest.
     """
 
-    def rows(at, nodes, i, j, d):
-        node, other, bits = _forest(len(nodes), i, j, d, sure)
-        names, open_ = np.unique(at[i[d > sure]], return_counts=True)
+    def rows(at, nodes, i, j, d, sketches):
+        node, other, bits, dead = _forest(len(nodes), i, j, d, sure, sketches)
+        names, open_ = np.unique(at[i[(d > sure) & ~dead]], return_counts=True)
         given, shown = np.unique(at[node[bits > sure]], return_counts=True)
         open_[np.searchsorted(names, given)] -= shown
         return pd.DataFrame({"at": at[node], "u": nodes[node], "v": nodes[other], "d": bits, "more": np.isin(at[node], names[open_ > 0])})
@@ -208,17 +280,17 @@ def _compare(batches: Iterator[pd.DataFrame], radius: int, sure: int) -> Iterato
         tiny = []
         for at, tiles in zip(batch["at"], batch["tiles"], strict=True):
             if len(tiles) == 1 and len(tiles[0]["nodes"]) <= TINY:
-                tiny.append((at, *_tile(tiles[0])))
+                tiny.append((at, *_tile(tiles[0]), tiles[0]))
                 continue
             nodes, i, j, d = _links(tiles, radius)
             if len(i):
-                yield rows(np.full(len(nodes), at), nodes, i, j, d)
+                yield rows(np.full(len(nodes), at), nodes, i, j, d, _sketched(tiles, sketch))
         if tiny:
             tiny.sort(key=lambda t: len(t[1]))
-            i, j, d = _tiny_links([a for *_, a in tiny], radius)
+            i, j, d = _tiny_links([a for _, _, a, _ in tiny], radius)
             if len(i):
                 at = np.repeat([t[0] for t in tiny], [len(t[1]) for t in tiny])
-                yield rows(at, np.concatenate([n for _, n, _ in tiny]), i, j, d)
+                yield rows(at, np.concatenate([t[1] for t in tiny]), i, j, d, _sketched([t[3] for t in tiny], sketch))
     release_memory()
 
 
@@ -231,8 +303,8 @@ def _nearest_of(label: np.ndarray, fan: int) -> np.ndarray:
     return out
 
 
-def _compare_again(batches: Iterator[pd.DataFrame], radius: int, fan: int) -> Iterator[pd.DataFrame]:
-    """Of the links at ``at`` that join different components and haven't failed, the ``fan`` nearest of each component."""
+def _compare_again(batches: Iterator[pd.DataFrame], radius: int, fan: int, sketch: int) -> Iterator[pd.DataFrame]:
+    """Of the links at ``at`` that join different components and haven't failed, the ``fan`` nearest of each component that pass the sketches' bound."""
     for batch in batches:
         for at, tiles, known, roots, us, vs in batch[["at", "tiles", "known", "roots", "us", "vs"]].itertuples(index=False):
             nodes, i, j, d = _links(tiles, radius)
@@ -246,6 +318,7 @@ def _compare_again(batches: Iterator[pd.DataFrame], radius: int, fan: int) -> It
             pair = np.minimum(i, j) * len(nodes) + np.maximum(i, j)
             a, b = places(us), places(vs)
             left = np.flatnonzero((label[i] != label[j]) & ~np.isin(pair, np.minimum(a, b) * len(nodes) + np.maximum(a, b)))
+            left = left[_sketched(tiles, sketch).pass_(i[left], j[left])]
             left = left[np.argsort(d[left], kind="stable")]
             pick = left[_nearest_of(label[i[left]], fan) | _nearest_of(label[j[left]], fan)]
             if len(pick):
@@ -261,7 +334,8 @@ def _band_keys(fp: Column, bands: int) -> Column:
 
 
 def _tiles(entries: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """Tiles (key, tile, chunk, t) of ``entries`` (node, pop, bits, key), and names ``at`` of the pairs of them to compare."""
+    """Tiles (key, tile, chunk, t) of ``entries`` (node, pop, bits, key; n and sketch, if they have any), and names ``at`` of the pairs of them to compare."""
+    more = [c for c in ("n", "sketch") if c in entries.columns]
     counts = entries.groupBy("key", "pop").agg(F.count("*").alias("c"))
     counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).filter("n > 1")  # a row a population count
     cut = F.col("n") > TILE
@@ -270,9 +344,9 @@ def _tiles(entries: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
         F.when(cut, F.ceil(F.col("c") / TILE)).otherwise(1).alias("chunks"))
     counts = materialise(counts, "simhash-counts")
     tiles = entries.join(counts, ["key", "pop"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    tiles = tiles.groupBy("key", "tile", "chunk").agg(F.collect_list("node").alias("nodes"), F.collect_list("bits").alias("bits"))
+    tiles = tiles.groupBy("key", "tile", "chunk").agg(F.collect_list("node").alias("nodes"), F.collect_list("bits").alias("bits"), *[F.collect_list(c).alias(c) for c in more])
     bits = F.when(F.size("bits") > 0, F.col("bits"))
-    tiles = materialise(tiles.select("key", "tile", "chunk", F.struct("nodes", bits.alias("bits")).alias("t")), "simhash-tiles")
+    tiles = materialise(tiles.select("key", "tile", "chunk", F.struct("nodes", bits.alias("bits"), *more).alias("t")), "simhash-tiles")
 
     # A large key's tiles within the radius meet two by two: each pair under a name of its own.
     large = counts.filter("tile >= 0").select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -329,17 +403,26 @@ def _checked(links: DataFrame, texts: DataFrame) -> DataFrame:
     return met.mapInPandas(_similar, "u long, v long")
 
 
-def _near_copies(first: DataFrame, docs: DataFrame) -> DataFrame:
+def _near_copies(first: DataFrame, docs: DataFrame, sketch: int = SKETCH) -> DataFrame:
     """(node, root) of the groups of near copies among ``first`` (node, did, tk, bits, keys); ``docs`` has (did, tk, text).
 
+    Texts that share an anchor with others are stored once, for their sketches (of ``sketch`` hashes)
+    and the exact checks.
+
     The driver sees two counts a round. Rounds end when no link is left that is neither checked nor
     within a component; their fan grows, so a tile pair of n texts has about log(n) of them.
     """
     pop = F.aggregate("bits", F.lit(0), lambda s, x: s + F.bit_count(x))
-    entries = materialise(first.select("node", pop.alias("pop"), "bits", "keys"), "simhash-pops")
-    entries = entries.select("node", "pop", "bits", F.explode(F.array_distinct("keys")).alias("key"))
-    tiles, pairs = _tiles(entries, NEAR)
-    links = _meetings(tiles, pairs).mapInPandas(lambda batches: _compare(batches, NEAR, SURE), LINKS)
+    entries = first.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # Stored, so that the joins with all texts know this side's size.
+    ends = entries.join(shared, "key", "left_semi").select("node").distinct()
+    ends = materialise(first.select("node", "did", "tk").join(ends, "node", "left_semi"), "simhash-ends")
+    texts = materialise(docs.join(ends, ["did", "tk"]).groupBy("node").agg(F.first("text").alias("text")), "simhash-texts")
+    sketched = materialise(_sketches(texts, sketch), "simhash-sketches")
+    entries = first.select("node", pop.alias("pop"), "bits", "keys").join(sketched, "node")
+    tiles, pairs = _tiles(entries.select("node", "pop", "bits", "n", "sketch", F.explode(F.array_distinct("keys")).alias("key")), NEAR)
+    links = _meetings(tiles, pairs).mapInPandas(lambda batches: _compare(batches, NEAR, SURE, sketch), LINKS)
     links = materialise(links, "simhash-links")
     joined = links.filter("d = 0").select("u", "v").distinct()
     links = links.filter("d > 0").select("at", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "more")
@@ -353,10 +436,6 @@ def _near_copies(first: DataFrame, docs: DataFrame) -> DataFrame:
             root = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
             open_ = open_.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
         open_ = materialise(open_.filter("root_u <> root_v").select("u", "v"), "simhash-open")
-        ends = open_.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        # Stored, so that the join with all texts knows this side's size.
-        ends = materialise(first.select("node", "did", "tk").join(ends, "node", "left_semi"), "simhash-ends")
-        texts = docs.join(ends, ["did", "tk"]).groupBy("node").agg(F.first("text").alias("text"))
         passed = materialise(_checked(open_, texts), "simhash-passed")
         joined = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(passed)
         roots = materialise(connected_components(joined), "simhash-roots")
@@ -370,10 +449,10 @@ def _near_copies(first: DataFrame, docs: DataFrame) -> DataFrame:
             return roots
         missed = missed.select("at", "u", "v")
         before = materialise((missed if before is None else missed.union(before)).join(again, "at", "left_semi"), "simhash-missed")
-        links, fan = materialise(_further(_meetings(tiles, pairs, again), before, roots, fan), "simhash-links"), fan * GROWTH
+        links, fan = materialise(_further(_meetings(tiles, pairs, again), before, roots, fan, sketch), "simhash-links"), fan * GROWTH
 
 
-def _further(meetings: DataFrame, missed: DataFrame, roots: DataFrame, fan: int) -> DataFrame:
+def _further(meetings: DataFrame, missed: DataFrame, roots: DataFrame, fan: int, sketch: int) -> DataFrame:
     """(at, u, v, more): links of ``meetings`` between components; ``missed`` (at, u, v) has those that failed."""
     nodes = meetings.select("at", F.explode(F.flatten("tiles.nodes")).alias("node"))
     known = nodes.join(roots, "node").groupBy("at").agg(F.collect_list("node").alias("known"), F.collect_list("root").alias("roots"))
@@ -381,7 +460,7 @@ def _further(meetings: DataFrame, missed: DataFrame, roots: DataFrame, fan: int)
     none = F.array().cast("array<bigint>")
     sent = meetings.join(known, "at", "left").join(bad, "at", "left")
     sent = sent.select("at", "tiles", *[F.coalesce(c, none).alias(c) for c in ("known", "roots", "us", "vs")])
-    found = sent.mapInPandas(lambda batches: _compare_again(batches, NEAR, fan), LINKS)
+    found = sent.mapInPandas(lambda batches: _compare_again(batches, NEAR, fan, sketch), LINKS)
     return found.select("at", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "more")
 
 

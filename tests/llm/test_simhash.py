@@ -137,7 +137,8 @@ def test_forest_of_sure_and_open_links():
     import numpy as np
 
     i, j, d = (np.array(x) for x in ([0, 1, 2, 3, 0, 2], [1, 2, 3, 4, 4, 4], [1, 9, 1, 7, 8, 7]))
-    node, other, bits = simhash._forest(6, i, j, d, 5)
+    node, other, bits, dead = simhash._forest(6, i, j, d, 5)
+    assert not dead.any()
     got = {(int(a), int(b), int(c)) for a, b, c in zip(node, other, bits)}
     assert {g for g in got if g[2] == 0} == {(1, 0, 0), (3, 2, 0)}
     assert {g[2] for g in got if g[2]} == {7, 8} and len(got) == 4  # nearest first, one fewer than nodes joined
@@ -157,8 +158,8 @@ def test_empty_table(make_docs):
     assert simhash.simhash_report(make_docs([])).count() == 0 and simhash.keep_one_each(make_docs([])).count() == 0
 
 
-@pytest.mark.parametrize(("tile", "fan", "growth"), [(1024, 8, 8), (16, 1, 2)])
-def test_a_failed_check_loses_no_other_link(spark, prose, monkeypatch, tile, fan, growth):
+@pytest.mark.parametrize(("tile", "fan", "growth", "sketch"), [(1024, 8, 8, 256), (16, 1, 2, 256), (1024, 8, 8, 16), (16, 1, 2, 16)])
+def test_a_failed_check_loses_no_other_link(spark, prose, monkeypatch, tile, fan, growth, sketch):
     """Links that nearer, but failing, texts stood for are found in later rounds."""
     import numpy as np
 
@@ -188,5 +189,46 @@ def test_a_failed_check_loses_no_other_link(spark, prose, monkeypatch, tile, fan
     assert len(set(root)) == 9
     first = spark.createDataFrame(rows, "node long, did long, tk long, bits array<long>, keys array<long>")
     docs = spark.createDataFrame([(i, 7 * i, t) for i, t in enumerate(texts)], "did long, tk long, text string")
-    got = {r["node"]: r["root"] for r in simhash._near_copies(first, docs).collect()}
+    got = {r["node"]: r["root"] for r in simhash._near_copies(first, docs, sketch).collect()}
     assert {n: got.get(n, n) for n in names} == dict(zip(names, root, strict=True))
+
+
+def test_sketches_against_similarity(prose):
+    """Of short texts the sketches tell the similarity itself; of long ones none at 0.8 or above is turned away, and few below 0.65 pass."""
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = [prose(1, n, words=3000).split() for n in (30, 120, 250, 900) for _ in range(1)]
+    short = long = 0
+    for words in texts:
+        copies = []
+        for k in range(120):
+            other = list(words)
+            for _ in range(rng.randrange(0, 2 + len(words) // 12)):
+                other[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            copies.append(" ".join(other))
+        made = [simhash.sketch_of(t, 256) for t in copies]
+        sketches = simhash.Sketches(np.array([n for n, _ in made]), [k.view("<i4") for _, k in made], 256)
+        i = np.arange(119)
+        got = sketches.pass_(i, i + 1)
+        want = np.array([jaccard(copies[a], copies[a + 1]) for a in i])
+        assert got[want >= 0.8].all()
+        if len(words) < 256:
+            short += (want < 0.8).sum()
+            assert (got & (want < 0.77)).sum() == 0
+        else:
+            long += (want < 0.65).sum()
+            assert (got & (want < 0.62)).sum() <= 2
+    assert short > 20 and long > 5
+
+
+def test_links_that_sketches_turn_away_are_not_shown():
+    """A text far from all others costs no link; the other links stay."""
+    import numpy as np
+
+    one, far = np.arange(100, dtype="<i4"), np.arange(1000, 1100, dtype="<i4")
+    sketches = simhash.Sketches(np.full(4, 100), [one, one + 1, far, one + 2], 256)
+    i, j = np.triu_indices(4, 1)
+    node, other, bits, dead = simhash._forest(4, i, j, np.array([100, 90, 100, 90, 100, 90]), 80, sketches)
+    assert {frozenset(x) for x in zip(node.tolist(), other.tolist())} <= {frozenset(x) for x in ((0, 1), (0, 3), (1, 3))} and len(node) == 2
+    assert {(int(a), int(b)) for a, b in zip(i[dead], j[dead])} == {(0, 2), (1, 2), (2, 3)}
