@@ -1,239 +1,155 @@
-"""Markdown notes: front matter, title, atomic keypoints, and the managed block of related notes.
+"""Markdown notes as relations: front matter, title, atomic keypoints, and the managed block of related notes.
 
-Small per-note helpers, run by Spark on Arrow batches (:func:`parsed_notes`).
+A note's lines are rows. Which lines are code follows from a running count of fences; which lines
+make a paragraph from a running count of those that end one; the headings above a line are the last
+ones of each level, unless one of a lower level came after. All of it is built-in functions, in one
+window over a note's lines.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
-from itertools import islice
-
-import pandas as pd
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..schema import BLOCK_END, BLOCK_START, KEYPOINT_CHARS, KEYPOINTS
 from ..sources.scratch import spread
-from .text import BLANK, NEWLINE, SENTENCE_END, SPACE
+from .text import BLANKS, NEWLINE, SPACE, file_stem, inline_normalised, link_target, nfc, sentences, trimmed
 
-GRAPHEME = regex.compile(r"\X")
-# The patterns of a note's lines and inline marks.
-LINE_END = re.compile(rf"[{NEWLINE}]")
-EDGES = re.compile(rf"^{SPACE}+|{SPACE}+\Z")
-LINE_EDGES = re.compile(rf"^[{BLANK}]+|[{BLANK}]+\Z")
-WIKI = re.compile(r"!?\[\[(.*?)(?:\|(.*?))?\]\]")
-INLINE = [(re.compile(r"\[(.*?)\]\((.*?)\)"), r"\1"), (re.compile(r"`([^`]*)`"), r"\1"), (re.compile(r"[*_~#>]+"), " "), (re.compile(rf"{SPACE}+"), " ")]
-ITEM = [re.compile(rf"[-*+]{SPACE}+(.*)\Z"), re.compile(rf"\d+[.)]{SPACE}+(.*)\Z")]
-QUOTE = re.compile(rf">{SPACE}*(.*)\Z")
-SENTENCE = re.compile(f"[^{SENTENCE_END}]*[{SENTENCE_END}]|[^{SENTENCE_END}]+\\Z")
+# The patterns of a note's lines. Order counts: the first kind that fits decides.
+FENCE = r"^(?:```|~~~)"
+HEADING = r"^(#{1,6}) (.*)$"
+SEPARATOR = r"^[|\-: ]*$"
+BULLET = rf"^[-*+]{SPACE}+(.*)$"
+NUMBER = rf"^\p{{Nd}}+[.)]{SPACE}+(.*)$"
+QUOTE = rf"^>{SPACE}*(.*)$"
+LEVELS = range(1, 7)
 
 
-def strip(text: str) -> str:
-    return EDGES.sub("", text)
+def _full(c: Column) -> Column:
+    """Null for the empty text."""
+    return F.nullif(c, F.lit(""))
 
 
-def nfc(text: str) -> str:
-    return unicodedata.normalize("NFC", text)
+def without_block(text: Column) -> Column:
+    """The text without its block of related notes; unchanged unless both marks are there in order."""
+    start = F.locate(BLOCK_START, text)
+    after = F.substr(text, start + len(BLOCK_START))
+    end = F.when(start > 0, F.locate(BLOCK_END, after))
+    rest = F.concat(F.substr(text, F.lit(1), start - 1), F.substr(after, end + len(BLOCK_END)))
+    rest = trimmed(F.regexp_replace(F.replace(rest, F.lit("\r\n"), F.lit("\n")), r"\n{3,}", "\n\n"))
+    return F.when(end > 0, F.when((rest != "") & text.endswith("\n"), F.concat(rest, F.lit("\n"))).otherwise(rest)).otherwise(text)
 
 
-def inline(text: str) -> str:
-    text = WIKI.sub(lambda m: strip(m[2] or "") or strip(m[1]), text)
-    for pattern, to in INLINE:
-        text = pattern.sub(to, text)
-    return strip(text)
+def with_block(text: Column, related: Column) -> Column:
+    """The text with a block that links the related notes (an array of paths), or without one if there are none."""
+    base = trimmed(without_block(F.coalesce(text, F.lit(""))))
+    links = F.array_distinct(F.transform(F.coalesce(related, F.array().cast("array<string>")), lambda p: F.concat(F.lit("- [["), link_target(nfc(p)), F.lit("]]"))))
+    block = F.array_join(F.concat(F.array(F.lit(BLOCK_START), F.lit("## Related Notes")), links, F.array(F.lit(BLOCK_END))), "\n")
+    alone = F.when(base == "", "").otherwise(F.concat(base, F.lit("\n")))
+    return F.when(F.size(links) == 0, alone).otherwise(F.concat(F.when(base == "", "").otherwise(F.concat(base, F.lit("\n\n"))), block, F.lit("\n")))
 
 
-def sentences(text: str) -> list[str]:
-    text = strip(text.replace("\n", " "))
-    return [s for s in map(strip, SENTENCE.findall(text)) if s]
+def split_front_matter(text: Column) -> tuple[Column, Column]:
+    """(fields' lines, body): lines only of a closed block at the very start."""
+    text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    pattern = r"(?s)\A---\n((?:.*?\n)??)---(?:\n|\z)(.*)\z"
+    closed = text.rlike(pattern)
+    return F.when(closed, F.regexp_extract(text, pattern, 1)), F.when(closed, F.regexp_extract(text, pattern, 2)).otherwise(text)
 
 
-def front_matter(text: str) -> tuple[dict[str, str], str]:
-    """(fields, body): fields only of a closed block at the very start; the last of equal keys wins."""
-    text = text.replace("\r\n", "\n")
-    lines = text.split("\n")
-    if lines[0] != "---" or "---" not in lines[1:]:
-        return {}, text
-    close = lines.index("---", 1)
-    pairs = [line.split(":", 1) for line in lines[1:close] if ":" in line]
-    return {strip(k).lower(): strip(v) for k, v in pairs if strip(k) and strip(v)}, "\n".join(lines[close + 1 :])
-
-
-def heading(line: str) -> tuple[int, str] | None:
-    level = len(line) - len(line.lstrip("#"))
-    if not 1 <= level <= 6 or line[level : level + 1] != " ":
-        return None
-    text = inline(strip(line[level:]))
-    return (level, text) if text else None
-
-
-def item_text(line: str) -> str | None:
-    """The text of a list item, a quote or a table row, in this order; None for any other line."""
-    for pattern in ITEM:
-        if m := pattern.match(line):
-            # The first pattern that fits decides, even if its text is blank.
-            return strip(m[1]) or _other(line)
-    return _other(line)
-
-
-def _other(line: str) -> str | None:
-    if (m := QUOTE.match(line)) and strip(m[1]):
-        return strip(m[1])
-    if "|" in line and not line.startswith("|-"):
-        cells = [c for c in map(strip, line.split("|")) if c]
-        if len(cells) >= 2:
-            return " | ".join(cells)
-    return None
-
-
-def separator(line: str) -> bool:
-    return "|" in line and not line.replace(":", "").strip("|- ")
-
-
-def file_stem(path: str) -> str:
-    name = path.rstrip("/").rsplit("/", 1)[-1]
-    return name.rsplit(".", 1)[0] if "." in name[1:] and not name.endswith(".") else name
-
-
-def title_of(path: str, text: str) -> str:
-    fields, body = front_matter(text)
-    if fields.get("title"):
-        return fields["title"]
-    lines = (heading(LINE_EDGES.sub("", x)) for x in LINE_END.split(body))
-    return next((h[1] for h in lines if h), None) or nfc(file_stem(path))
-
-
-class Keypoints:
-    """Gathers the keypoints of one note."""
-
-    def __init__(self):
-        self.found: dict[str, None] = {}
-        self.above: list[tuple[int, str]] = []
-        self.paragraph: list[str] = []
-
-    @property
-    def full(self) -> bool:
-        return len(self.found) >= KEYPOINTS
-
-    def add(self, raw: str) -> None:
-        text = inline(raw)
-        if not text:
-            return
-        if len(text) > KEYPOINT_CHARS:  # as a reader counts: a letter with its accents is one
-            text = strip("".join(islice((m[0] for m in GRAPHEME.finditer(text)), KEYPOINT_CHARS)))
-        under = " / ".join(t for _, t in self.above)
-        self.found.setdefault(nfc(text if not under or text.startswith(under) else f"{under}: {text}"))
-
-    def add_sentences(self, text: str) -> None:
-        for s in sentences(inline(text)):
-            self.add(s)
-            if self.full:
-                return
-
-    def flush(self) -> None:
-        if self.paragraph:
-            text, self.paragraph = " ".join(self.paragraph), []
-            self.add_sentences(text)
-
-    def enter(self, level: int, text: str) -> None:
-        while self.above and self.above[-1][0] >= level:
-            self.above.pop()
-        self.above.append((level, text))
-
-
-def keypoints(text: str, title: str) -> list[str]:
-    """At most 128 distinct keypoints: list items, quotes, table rows, and sentences of paragraphs,
-    each under its headings; else the whole body's sentences; else the title."""
-    body = front_matter(text)[1].replace("\r\n", "\n")
-    out, code = Keypoints(), False
-    for raw in LINE_END.split(body):
-        line = LINE_EDGES.sub("", raw)
-        fence = line.startswith(("```", "~~~"))
-        if code and not fence:
-            continue
-        if fence:
-            out.flush()
-            code = not code
-        elif not line:
-            out.flush()
-        elif h := heading(line):
-            out.flush()
-            out.enter(*h)
-        elif separator(line):
-            out.flush()
-        elif (point := item_text(line)) is not None:
-            out.flush()
-            out.add(point)
-        else:
-            out.paragraph.append(line)
-        if out.full:
-            break
-    out.flush()
-    if not out.found:
-        out.add_sentences(body)
-    if not out.found:
-        out.add(title)
-    return list(out.found)[:KEYPOINTS]
-
-
-def without_block(text: str) -> str:
-    """The text without its block of related notes; unchanged unless both marks are there in order."""
-    start = text.find(BLOCK_START)
-    end = text.find(BLOCK_END, start + len(BLOCK_START)) if start >= 0 else -1
-    if end < 0:
-        return text
-    rest = (text[:start] + text[end + len(BLOCK_END) :]).replace("\r\n", "\n")
-    rest = strip(re.sub(r"\n{3,}", "\n\n", rest))
-    return rest + "\n" if rest and text.endswith("\n") else rest
+def field(lines: Column, name: str) -> Column:
+    """The value of a field, of the last line that has one; names are in any case."""
+    value = lambda x: trimmed(F.substr(x, F.locate(":", x) + 1))
+    named = lambda x: (F.locate(":", x) > 0) & (F.lower(trimmed(F.split_part(x, F.lit(":"), F.lit(1)))) == name) & (value(x) != "")
+    return F.get(F.reverse(F.transform(F.filter(F.split(lines, "\n"), named), value)), F.lit(0))
+
+
+def heading_text(line: Column) -> Column:
+    """A heading's text; null for any other line."""
+    return _full(F.when(line.rlike(HEADING), inline_normalised(F.regexp_extract(line, HEADING, 2))))
+
 
+def is_separator(line: Column) -> Column:
+    return F.contains(line, F.lit("|")) & line.rlike(SEPARATOR)
 
-def link_target(path: str) -> str:
-    path = nfc(path)
-    name = path.rsplit("/", 1)[-1]
-    cut = len(path) - len(name) + len(file_stem(name)) if name else len(path)
-    return path[:cut].replace("\\", "/")
 
+def item_text(line: Column) -> Column:
+    """The text of a list item, a quote or a table row, in this order; null for any other line."""
+    cells = F.filter(F.transform(F.split(line, r"\|"), trimmed), lambda c: c != "")
+    row = F.when(F.contains(line, F.lit("|")) & ~line.startswith("|-") & (F.size(cells) >= 2), F.array_join(cells, " | "))
+    point = F.when(line.rlike(BULLET), F.regexp_extract(line, BULLET, 1)).when(line.rlike(NUMBER), F.regexp_extract(line, NUMBER, 1))
+    return F.coalesce(_full(trimmed(point)), _full(trimmed(F.regexp_extract(line, QUOTE, 1))), row)
 
-def with_block(text: str, related: list[str]) -> str:
-    """The text with a block that links the related notes, or without one if there are none."""
-    base = strip(without_block(text))
-    links = list(dict.fromkeys(map(link_target, related)))
-    if not links:
-        return f"{base}\n" if base else ""
-    block = "\n".join([BLOCK_START, "## Related Notes", *(f"- [[{x}]]" for x in links), BLOCK_END])
-    return (f"{base}\n\n" if base else "") + block + "\n"
 
+def _cut(text: Column) -> Column:
+    """At most so many characters as a reader counts: a letter with its accents is one."""
+    return F.when(F.char_length(text) > KEYPOINT_CHARS, trimmed(F.regexp_extract(text, rf"\A\X{{1,{KEYPOINT_CHARS}}}", 0))).otherwise(text)
 
-NOTE = [T.StructField("title", T.StringType()), T.StructField("summary", T.StringType()), T.StructField("keypoints", T.ArrayType(T.StringType()))]
+
+def _under(prefix: Column, text: Column) -> Column:
+    """A keypoint under its headings, which aren't repeated where it begins with them."""
+    return F.when((prefix == "") | F.startswith(text, prefix), text).otherwise(F.concat(prefix, F.lit(": "), text))
+
+
+def _points(raw: Column, prefix: Column) -> Column:
+    """The keypoints of an array of pieces of text; blank ones are left out.
+
+    One pass for each step: a lambda would work out again what it names twice.
+    """
+    whole = F.filter(F.transform(raw, inline_normalised), lambda t: t != "")
+    return F.transform(F.transform(F.transform(whole, _cut), lambda t: _under(prefix, t)), nfc)
 
 
-def parsed_notes(notes: DataFrame, path_col: str = "file_path", text_col: str = "content") -> DataFrame:
-    """``notes`` with title, summary and keypoints, each without its managed block, instead of the text.
+def parsed_notes(notes: DataFrame, id_col: str = "id", path_col: str = "file_path", text_col: str = "content") -> DataFrame:
+    """``notes`` (one row an id) with title, summary and keypoints, each without its managed block, instead of the text.
 
-    A map over batches, not a column: Spark would evaluate a column again for each filter on it.
+    Keypoints are at most 128 distinct ones: list items, quotes, table rows, and sentences of
+    paragraphs, each under its headings; else the whole body's sentences; else the title. The title
+    is the front matter's, else that of the first heading, else the file's name. A null text is empty.
     """
-    kept = [f for f in notes.schema.fields if f.name != text_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, text in zip(b[path_col], b[text_col]):
-                base = without_block(text or "")
-                title = title_of(path or "", base)
-                points = keypoints(base, title)
-                rows.append((title, "\n".join(points) or title, points))
-            made = pd.DataFrame(rows, columns=[f.name for f in NOTE], index=b.index)
-            yield pd.concat([b.drop(columns=text_col), made], axis=1)
-
-    return spread(notes).mapInPandas(run, T.StructType([*kept, *NOTE]))
-
-
-@F.pandas_udf(T.StringType())
-def rendered(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """A note's text with its related notes (an array of paths) linked."""
-    for texts, related in batches:
-        yield pd.Series([with_block(t or "", list(r) if r is not None else []) for t, r in zip(texts, related)], dtype=object)
+    kept = [c for c in notes.columns if c not in (id_col, text_col)]
+    base = without_block(F.coalesce(F.col(text_col), F.lit("")))
+    fields, body = split_front_matter(F.col("__base"))
+    texts = spread(notes).select("*", base.alias("__base"))
+    texts = texts.select(F.col(id_col).alias("__id"), F.struct(*kept).alias("__kept"), field(fields, "title").alias("__title"), body.alias("__body"))
+    # A text stands beside its first line only.
+    lines = texts.select("__id", "__kept", "__title", "__body", F.posexplode(F.split("__body", f"[{NEWLINE}]")).alias("pos", "line"))
+    first = F.col("pos") == 0
+    lines = lines.select("__id", *[F.when(first, F.col(c)).alias(c) for c in ("__kept", "__title", "__body")], "pos", F.trim("line", F.lit(BLANKS)).alias("line"))
+    lines = lines.withColumns({"fence": F.col("line").rlike(FENCE), "heading": heading_text(F.col("line"))})
+
+    before = Window.partitionBy("__id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("__id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("code", (F.coalesce(F.sum(F.col("fence").cast("int")).over(before), F.lit(0)) % 2 == 1) & ~F.col("fence"))
+    plain = ~F.col("code") & ~F.col("fence")
+    lines = lines.withColumn("level", F.when(plain & F.col("heading").isNotNull(), F.length(F.regexp_extract("line", HEADING, 1))))
+    point = F.when(plain & F.col("level").isNull() & ~is_separator(F.col("line")), item_text(F.col("line")))
+    lines = lines.withColumn("point", point)
+    prose = plain & F.col("level").isNull() & (F.col("line") != "") & ~is_separator(F.col("line")) & F.col("point").isNull()
+    lines = lines.withColumn("prose", prose)
+    last = {f"h{n}": F.last(F.when(F.col("level") == n, F.struct("pos", F.col("heading").alias("text"))), ignorenulls=True).over(upto) for n in LEVELS}
+    # A paragraph is known by the number of lines before it that end one; code lines don't.
+    lines = lines.withColumns({**last, "island": F.sum((~F.col("prose") & ~F.col("code")).cast("int")).over(upto)})
+    at = lambda n: F.coalesce(F.col(f"h{n}.pos"), F.lit(-1))
+    alive = [F.when(at(n) > (F.greatest(F.lit(-1), *[at(k) for k in range(1, n)]) if n > 1 else F.lit(-1)), F.col(f"h{n}.text")) for n in LEVELS]
+    lines = lines.withColumn("prefix", F.concat_ws(" / ", *alive))
+
+    # Lines of a paragraph together; all others stay alone. The note's own columns come with its first line.
+    unit = F.when(F.col("prose"), F.col("island")).otherwise(-1 - F.col("pos"))
+    units = lines.groupBy("__id", unit.alias("unit")).agg(
+        F.min("pos").alias("pos"), F.max("prose").alias("prose"), F.max("prefix").alias("prefix"), F.max("point").alias("point"),
+        F.array_sort(F.collect_list(F.when(F.col("prose"), F.struct("pos", "line")))).alias("text"), F.max_by("prefix", "pos").alias("last_prefix"),
+        F.min_by(F.struct("__kept", "__title", "__body"), "pos").alias("own"), F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("pos"))).alias("heading"))
+    said = F.when(F.col("prose"), sentences(inline_normalised(F.array_join("text.line", " ")))).when(F.col("point").isNotNull(), F.array("point"))
+    units = units.withColumn("points", _points(said, F.col("prefix")))
+    notes_ = units.groupBy("__id").agg(
+        F.min_by("own", "pos").alias("own"), F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("pos"))).alias("heading"), F.max_by("last_prefix", "pos").alias("prefix"),
+        F.array_sort(F.collect_list(F.when(F.size("points") > 0, F.struct("pos", "points")))).alias("p"))
+    title = F.coalesce("own.__title", "heading", nfc(file_stem(F.coalesce(F.col(f"own.__kept.{path_col}"), F.lit("")))))
+    out = notes_.select(
+        F.col("__id").alias(id_col), "own", "prefix", title.alias("title"), F.slice(F.array_distinct(F.flatten("p.points")), 1, KEYPOINTS).alias("found"))
+    rest = lambda said: F.slice(F.array_distinct(_points(said, F.col("prefix"))), 1, KEYPOINTS)
+    out = out.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(rest(sentences(inline_normalised(F.col("own.__body"))))))
+    out = out.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(rest(F.array("title"))))
+    summary = F.coalesce(_full(F.array_join("found", "\n")), F.col("title"))
+    return out.select(id_col, *[F.col(f"own.__kept.{c}").alias(c) for c in kept], "title", summary.alias("summary"), F.col("found").alias("keypoints"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +16,7 @@ NEWLINE = r"\n-\r\u0085\u2028\u2029"
 SPACE = rf"[{BLANK}{NEWLINE}]"
 #: The same, one by one.
 SPACES = "\t \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\n\x0b\x0c\r\u0085\u2028\u2029"
+BLANKS = "\t \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 # Where sentences end.
 SENTENCE_END = ".!?;。！？"
 # Words for the three actions.
@@ -104,11 +104,14 @@ def link_target(c: Column) -> Column:
     return F.replace(without_extension(c), F.lit("\\"), F.lit("/"))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Canonical composition; Spark has no such function."""
-    for s in batches:
-        yield s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+#: Characters that are composed whatever stands beside them: Latin, Cyrillic, punctuation, kana, Han, Hangul syllables.
+_COMPOSED = r"^[\u0000-\u02ff\u0400-\u0482\u048a-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u3001-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3\uff01-\uff60]*$"
+
+
+def nfc(c: Column) -> Column:
+    """Canonical composition, by the ICU library that comes with Spark; only of texts that may need it."""
+    made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))
+    return F.when(c.rlike(_COMPOSED), c).when(c.isNotNull(), made)
 
 
 @F.pandas_udf(T.StringType())

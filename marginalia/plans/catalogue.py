@@ -436,6 +436,16 @@ def delta_safe_page(spark, d):
     return changelog.delta_since(s.log(spark, d), 0, 1000, safe_after_id=500_000).select(F.col("id").alias("change_id"), "vault_id", "file_path", "action", "changed_at_unix_ms")
 
 
+@query(f"WITH {s.LOG}, asked AS (SELECT unnest([-3, 0, 7, 5000, 1000000, NULL]) AS asked) SELECT asked, least(greatest(coalesce(asked, 5000), 1), 20000, (SELECT count(*) FROM log))::BIGINT AS n FROM asked")
+def clamped_limits(spark, d):
+    """How many changes a pull gives for limits below, inside and above what is allowed, and for none."""
+    parts = [changelog.delta_since(s.log(spark, d), -1, n).agg(F.count("*").alias("n")).select(F.lit(n).cast("int").alias("asked"), "n") for n in (-3, 0, 7, 5000, 1_000_000, None)]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.union(p)
+    return rows
+
+
 @query(f"WITH {s.LOG} SELECT id, file_path, changed_at_unix_ms FROM (SELECT * FROM log ORDER BY changed_at_unix_ms DESC, id DESC LIMIT 100) ORDER BY changed_at_unix_ms, id")
 def status_newest_n(spark, d):
     return changelog.newest(s.log(spark, d), 100).select("id", "file_path", "changed_at_unix_ms")
@@ -803,6 +813,12 @@ def vector_literal(spark, d):
     return t.select("vec_id", vectors.to_literal(F.col("embedding")).alias("literal"))
 
 
+@query("SELECT vec_id, unnest(range(len(embedding)))::INT AS pos, unnest(list_transform(embedding, lambda x: printf('%.8f', x::DOUBLE)::FLOAT)) AS value FROM embeddings")
+def vector_from_literal(spark, d):
+    t = s.load(spark, d, "embeddings").select("vec_id", vectors.from_literal(vectors.to_literal(F.col("embedding"))).alias("v"))
+    return t.select("vec_id", F.posexplode("v").alias("pos", "value"))
+
+
 _TEXTS = "(SELECT doc_id, '# ' || '**' || text || '** [a](u) `c`' AS t FROM documents)"
 _INLINE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\[(.*?)\]\((.*?)\)', '\1', 'g'), '`([^`]*)`', '\1', 'g'), '[*_~#>]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -850,7 +866,7 @@ def related_block_render(spark, d):
     group = F.floor(F.col("doc_id") / 6)
     paths = docs.select(group.alias("g"), "doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("p"))
     lists = paths.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("doc_id", "p"))).alias("r"))  # groups of six
-    out = docs.withColumn("g", F.when(F.col("doc_id") % 12 < 10, group)).join(lists, "g", "left").select("doc_id", markdown.rendered(F.col("text"), F.col("r.p")).alias("x"))
+    out = docs.withColumn("g", F.when(F.col("doc_id") % 12 < 10, group)).join(lists, "g", "left").select("doc_id", markdown.with_block(F.col("text"), F.col("r.p")).alias("x"))
     return out.select("doc_id", F.sha2(F.col("x").cast("binary"), 256).alias("digest"))
 
 
@@ -934,14 +950,86 @@ def metadata_json(spark, d):
 
 def _note_files(spark, d):
     docs = s.documents(spark, d)
-    return docs.select(F.col("doc_id").alias("id"), F.pmod(F.xxhash64("source"), F.lit(1000)).alias("vault_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file_path"), F.col("text").alias("content"), F.lit(False).alias("is_deleted"))
+    return docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("vault_id"), F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("file_path"), F.col("text").alias("content"), F.lit(False).alias("is_deleted"))
+
+
+_S = r"[\t \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\n-\r\x{85}\x{2028}\x{2029}]"
+_B = r"[\t \x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(x):
+    return f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
 
 
-@query()
+def _inline(x):
+    wiki = rf"regexp_replace(regexp_replace({x}, '!?\[\[[^\]|\n]*\|{_S}*([^\]\n]*[^\]\s]){_S}*\]\]', '\1', 'g'), '!?\[\[{_S}*([^\]|\n]*?){_S}*(?:\|{_S}*)?\]\]', '\1', 'g')"
+    marks = rf"regexp_replace(regexp_replace({wiki}, '\[(.*?)\]\((.*?)\)', '\1', 'g'), '`([^`]*)`', '\1', 'g')"
+    return _strip(rf"regexp_replace(regexp_replace({marks}, '[*_~#>]+', ' ', 'g'), '{_S}+', ' ', 'g')")
+
+
+def _said(x):
+    return f"list_filter(list_transform(regexp_extract_all({_strip(f'replace({x}, chr(10), chr(32))')}, '[^.!?;。！？]*[.!?;。！？]|[^.!?;。！？]+$'), lambda p: {_strip('p')}), lambda p: p <> '')"
+
+
+def _pointed(raw, prefix):
+    whole = f"list_transform(list_filter(list_transform({raw}, lambda t: {_inline('t')}), lambda t: t <> ''), lambda t: CASE WHEN length(t) > 420 THEN {_strip('substring_grapheme(t, 1, 420)')} ELSE t END)"
+    return f"list_transform({whole}, lambda t: nfc_normalize(CASE WHEN {prefix} = '' OR starts_with(t, {prefix}) THEN t ELSE {prefix} || ': ' || t END))"
+
+
+#: The rules of keypoints over a table ``given`` (id, vault_id, file_path, t), as windows over lines.
+_KEYPOINTS = rf"""split AS (SELECT *, regexp_matches(b, '(?s)^---\n((?:.*?\n)??)---(?:\n|\z)') AS closed FROM (SELECT *, replace(t, chr(13) || chr(10), chr(10)) AS b FROM given)),
+parts AS (SELECT id, vault_id, file_path, CASE WHEN closed THEN regexp_extract(b, '(?s)^---\n((?:.*?\n)??)---(?:\n|\z)(.*)$', 1) END AS fields, CASE WHEN closed THEN regexp_extract(b, '(?s)^---\n((?:.*?\n)??)---(?:\n|\z)(.*)$', 2) ELSE b END AS body FROM split),
+cut AS (SELECT id, string_split_regex(body, '[\n-\r\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM parts),
+lines AS (SELECT id, unnest(range(len(ls))) AS pos, regexp_replace(unnest(ls), '^{_B}+|{_B}+$', '', 'g') AS line FROM cut),
+marked AS (SELECT *, regexp_matches(line, '^(```|~~~)') AS fence, CASE WHEN regexp_matches(line, '^#{{1,6}} ') THEN nullif({_inline("regexp_replace(line, '^#+ ', '')")}, '') END AS heading FROM lines),
+coded AS (SELECT *, NOT fence AND coalesce(sum(fence::INT) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS code FROM marked),
+kinds AS (SELECT *, CASE WHEN NOT code AND NOT fence AND heading IS NOT NULL THEN length(regexp_extract(line, '^#+')) END AS level, contains(line, '|') AND regexp_matches(line, '^[|\-: ]*$') AS separator,
+  list_filter(list_transform(string_split(line, '|'), lambda c: {_strip('c')}), lambda c: c <> '') AS cells FROM coded),
+items AS (SELECT *, CASE WHEN NOT code AND NOT fence AND level IS NULL AND NOT separator THEN coalesce(
+  CASE WHEN regexp_matches(line, '^[-*+]{_S}+') THEN nullif({_strip(f"regexp_replace(line, '^[-*+]{_S}+', '')")}, '') WHEN regexp_matches(line, '^\pN+[.)]{_S}+') THEN nullif({_strip(f"regexp_replace(line, '^[0-9]+[.)]{_S}+', '')")}, '') END,
+  CASE WHEN starts_with(line, '>') THEN nullif({_strip("line[2:]")}, '') END, CASE WHEN contains(line, '|') AND NOT starts_with(line, '|-') AND len(cells) >= 2 THEN array_to_string(cells, ' | ') END) END AS point FROM kinds),
+prosed AS (SELECT *, NOT code AND NOT fence AND level IS NULL AND line <> '' AND NOT separator AND point IS NULL AS prose FROM items),
+above AS (SELECT *, sum((NOT prose AND NOT code)::INT) OVER w AS island, {", ".join(f"coalesce(last_value(CASE WHEN level = {n} THEN pos END IGNORE NULLS) OVER w, -1) AS p{n}, last_value(CASE WHEN level = {n} THEN heading END IGNORE NULLS) OVER w AS h{n}" for n in range(1, 7))}
+  FROM prosed WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+led AS (SELECT *, concat_ws(' / ', {", ".join(f"CASE WHEN p{n} > greatest(-1{''.join(f', p{k}' for k in range(1, n))}) THEN h{n} END" for n in range(1, 7))}) AS prefix FROM above),
+units AS (SELECT id, min(pos) AS pos, max(prefix) AS prefix, CASE WHEN bool_or(prose) THEN {_said(_inline("string_agg(line, ' ' ORDER BY pos)"))} ELSE list_filter([max(point)], lambda x: x IS NOT NULL) END AS raw FROM led GROUP BY id, CASE WHEN prose THEN island ELSE -1 - pos END),
+flat AS (SELECT id, pos, unnest(range(len(ps))) AS k, unnest(ps) AS content FROM (SELECT id, pos, {_pointed("raw", "prefix")} AS ps FROM units WHERE len(raw) > 0)),
+firsts AS (SELECT id, content, min((pos, k)) AS place FROM flat GROUP BY ALL),
+heads AS (SELECT id, arg_min(heading, pos) FILTER (heading IS NOT NULL) AS heading, arg_max(prefix, pos) AS prefix FROM led GROUP BY 1),
+named AS (SELECT p.*, h.prefix, coalesce(list_filter(list_transform(list_filter(string_split(fields, chr(10)), lambda f: contains(f, ':') AND lower({_strip("split_part(f, ':', 1)")}) = 'title'), lambda f: {_strip("substr(f, strpos(f, ':') + 1)")}), lambda v: v <> '')[-1],
+  h.heading, nfc_normalize(regexp_replace(regexp_extract(file_path, '[^/]*$'), '(.)\.[^./\\]+$', '\1'))) AS title FROM parts p JOIN heads h USING (id)),
+rest AS (SELECT id, title, {_pointed(_said(_inline("body")), "prefix")} AS ps, {_pointed("[title]", "prefix")} AS last FROM named WHERE id NOT IN (SELECT id FROM firsts)),
+others AS (SELECT id, unnest(range(len(ps))) AS k, unnest(ps) AS content FROM (SELECT id, CASE WHEN len(ps) > 0 THEN ps ELSE last END AS ps FROM rest)),
+points AS (SELECT id, content, (row_number() OVER (PARTITION BY id ORDER BY place) - 1)::INT AS k FROM (SELECT * FROM firsts UNION ALL SELECT id, content, min((0::BIGINT, k)) FROM others GROUP BY ALL)),
+keypoints AS (SELECT n.id, n.vault_id, n.file_path, n.title, k, content FROM points JOIN named n USING (id) WHERE k < 128)"""
+
+
+@query(f"""WITH given AS (SELECT doc_id AS id, doc_id % 7 AS vault_id, source || '/' || doc_id || '.md' AS file_path, text AS t FROM documents), {_KEYPOINTS}
+SELECT id AS file_id, k AS keypoint_index, content, 'vault://' || vault_id || '/' || file_path AS parent, to_json({{'file_path': file_path, 'keypoint_index': k, 'title': title, 'vault_uid': vault_id::VARCHAR}})::VARCHAR AS metadata FROM keypoints""")
 def keypoints(spark, d):
     return notes.keypoint_rows(notes.parse(_note_files(spark, d)))
 
 
+#: Texts with every kind of line, some of them after a block of related notes that must go.
+_MIXED = """CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'Title: T ' || doc_id || chr(10) || '---' || chr(10) WHEN 1 THEN '<!-- related-links:start -->x<!-- related-links:end -->' || chr(13) || chr(10) ELSE '' END
+ || replace(replace(text, '. ', CASE doc_id % 5 WHEN 0 THEN '.' || chr(10) || '- ' WHEN 1 THEN chr(10) || '## ' WHEN 2 THEN chr(10) || '| a | ' WHEN 3 THEN chr(10) || '> [[x|' ELSE chr(10) || '```' || chr(10) END), ', ', ']] *_')"""
+
+
+@query(f"""WITH given AS (SELECT doc_id AS id, doc_id % 7 AS vault_id, 'n/é.' || doc_id || '.md' AS file_path,
+  CASE WHEN doc_id % 4 = 1 THEN {_strip("replace(substr(m, strpos(m, 'end -->') + 7), chr(13) || chr(10), chr(10))")} || CASE WHEN m LIKE '%' || chr(10) THEN chr(10) ELSE '' END ELSE m END AS t
+  FROM (SELECT doc_id, {_MIXED} AS m FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '\\n\\n\\n'))), {_KEYPOINTS}
+SELECT id AS file_id, k AS keypoint_index, title, content FROM keypoints JOIN named USING (id, title)""")
+def keypoints_of_mixed_notes(spark, d):
+    """Front matter, headings, items, quotes, tables, code and links made of whole texts; related blocks are taken off."""
+    docs = s.documents(spark, d).filter(F.col("text").isNotNull() & ~F.col("text").rlike("\n\n\n"))
+    n, i = F.col("doc_id") % 5, F.col("doc_id")
+    mark = F.when(n == 0, ".\n- ").when(n == 1, "\n## ").when(n == 2, "\n| a | ").when(n == 3, "\n> [[x|").otherwise("\n```\n")
+    head = F.when(i % 4 == 0, F.concat(F.lit("---\nTitle: T "), i, F.lit("\n---\n"))).when(i % 4 == 1, "<!-- related-links:start -->x<!-- related-links:end -->\r\n").otherwise("")
+    mixed = F.concat(head, F.replace(F.replace("text", F.lit(". "), mark), F.lit(", "), F.lit("]] *_")))
+    files = docs.select(i.alias("id"), (i % 7).alias("vault_id"), F.concat(F.lit("n/é."), i, F.lit(".md")).alias("file_path"), mixed.alias("content"), F.lit(False).alias("is_deleted"))
+    return notes.parse(files).select(F.col("id").alias("file_id"), F.posexplode("keypoints").alias("keypoint_index", "content"), "title")
+
+
 #: A note for each page: the kinds of lines, one after another, each with the keypoints it must give.
 _NOTE = [
     ("'---'", []), ("'Title: Note ' || page_id", []), ("'tags: x'", []), ("'---'", []), ("'# Top **' || page_id || '**'", []), ("''", []),
@@ -956,17 +1044,30 @@ _NOTE_ORDER = [k for _, found in _NOTE for k in found]
 
 
 def _lined_notes(spark, d):
-    lines = F.expr("concat_ws('\n', " + ", ".join(x.replace("||", "||") for x, _ in _NOTE) + ")")
+    lines = F.expr("concat_ws('\n', " + ", ".join(x for x, _ in _NOTE) + ")")
     return s.load(spark, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 5).alias("vault_id"), F.concat(F.lit("n/"), "page_id", F.lit(".md")).alias("file_path"), lines.alias("content"), F.lit(False).alias("is_deleted"))
 
 
 _LISTED = "SELECT page_id AS file_id, (k - 1)::INT AS keypoint_index, list_extract([" + ", ".join(_NOTE_ORDER) + f"], k) AS content FROM pages, range(1, {len(_NOTE_ORDER) + 1}) r(k)"
 
 
-@query(f"SELECT file_id, keypoint_index, content, 'vault://' || file_id % 5 || '/n/' || file_id || '.md' AS parent FROM ({_LISTED})")
+@query(f"""SELECT file_id, keypoint_index, content, 'vault://' || file_id % 5 || '/n/' || file_id || '.md' AS parent,
+ '{{"file_path":"n/' || file_id || '.md","keypoint_index":' || keypoint_index || ',"title":"Note ' || file_id || '","vault_uid":"' || file_id % 5 || '"}}' AS metadata FROM ({_LISTED})""")
 def keypoints_of_all_kinds(spark, d):
     rows = notes.keypoint_rows(notes.parse(_lined_notes(spark, d)))
-    return rows.select("file_id", "keypoint_index", "content", "parent")
+    return rows.select("file_id", "keypoint_index", "content", "parent", "metadata")
+
+
+@query(f"""WITH strings AS (SELECT file_id AS id, 'keypoint' AS what, keypoint_index AS k, content AS t FROM ({_LISTED}) UNION ALL SELECT page_id, 'title', 0, 'Note ' || page_id FROM pages
+  UNION ALL SELECT file_id, 'summary', 0, string_agg(content, chr(10) ORDER BY keypoint_index) FROM ({_LISTED}) GROUP BY file_id), given AS (SELECT DISTINCT t AS key, t FROM strings), {_EMBEDDED}
+SELECT id, what, k, round(list_sum(list_transform(v, lambda x, i: x * i)), 3) AS moment FROM strings JOIN embedded ON key = t""")
+def note_embeddings(spark, d):
+    """Titles, summaries and keypoints of notes as vectors, all in one pass; each told by a sum over its entries."""
+    note, points = notes.embedded(notes.parse(_lined_notes(spark, d)), VECTOR_WIDTH)
+    both = [note.select("id", F.lit(w).alias("what"), F.lit(0).alias("k"), F.col(c).alias("v")) for w, c in (("title", "vector_subject"), ("summary", "vector_content"))]
+    rows = both[0].union(both[1]).union(points.select("file_id", F.lit("keypoint"), "keypoint_index", "vector"))
+    moment = F.aggregate(F.transform("v", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("id", "what", "k", F.round(moment, 3).alias("moment"))
 
 
 @query(f"SELECT file_id AS id, 'Note ' || file_id AS title, string_agg(content, chr(10) ORDER BY keypoint_index) AS summary FROM ({_LISTED}) GROUP BY file_id")

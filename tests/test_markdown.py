@@ -2,7 +2,7 @@
 
 import pytest
 
-from marginalia.functions import markdown as m
+import markdown_rules as m
 from marginalia.schema import BLOCK_END, BLOCK_START
 
 
