@@ -1106,11 +1106,11 @@ def stream_changelog_state(spark, d):
     import uuid
 
     from ..sources.scratch import scratch_dir
-    from ..streaming.vault_stream import fold_to, latest_version
+    from ..streaming.vault_stream import fold_to, read_state
 
     here = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     s.log(spark, d).repartition(3).write.parquet(f"{here}/log")
     log = spark.readStream.schema(spark.read.parquet(f"{here}/log").schema).option("maxFilesPerTrigger", 1).parquet(f"{here}/log")
-    fold_to(log, f"{here}/state", f"{here}/checkpoint").awaitTermination()
-    out = spark.read.parquet(latest_version(spark, f"{here}/state"))
+    fold_to(log, f"{here}/state", f"{here}/checkpoint", buckets=16).awaitTermination()
+    out = read_state(spark, f"{here}/state")
     return out.select("vault_id", "file_path", "is_deleted", "updated_unix_ms", "content_version", "last_change_id")

@@ -246,9 +246,31 @@ def test_stream_equals_batch(spark, tmp_path):
     log.repartition(4).write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
     vault_stream.fold_to(stream, str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(vault_stream.latest_version(spark, str(tmp_path / "state")))
+    got = vault_stream.read_state(spark, str(tmp_path / "state"))
     want = changelog.current_state(log).select(*got.columns)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     memory = vault_stream.fold_stream(stream, str(tmp_path / "cp2"), "folded")
     memory.awaitTermination()
     assert {tuple(r) for r in spark.table("folded").select(*got.columns).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    root, cp, src = (str(tmp_path / n) for n in ("state", "cp", "log"))
+    schema = log_of(spark, []).schema
+
+    def fold(rows):
+        log_of(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        vault_stream.fold_to(spark.readStream.schema(schema).parquet(src), root, cp, buckets=8).awaitTermination()
+        return vault_stream.manifest(spark, root)[1]
+
+    first = fold([(i, f"{i}.md", "modified", i, "d") for i in range(1, 60)])
+    assert len(first) == 8
+    stamps = {p: (tmp_path / "state" / p).stat().st_mtime_ns for p in first.values()}
+    second = fold([(100, "7.md", "deleted", 1, "d"), (101, "7.md", "modified", 1, "d")])
+    changed = [b for b in first if first[b] != second[b]]
+    assert len(changed) == 1 and all((tmp_path / "state" / p).stat().st_mtime_ns == stamps[p] for b, p in second.items() if b not in changed)
+    assert (tmp_path / "state" / first[changed[0]]).exists()  # a reader of the state before may still be at it
+    third = fold([(200, "7.md", "modified", 1, "d")])
+    assert not (tmp_path / "state" / first[changed[0]]).exists() and third[changed[0]] != second[changed[0]]
+    state = {r["file_path"]: r for r in vault_stream.read_state(spark, root).collect()}
+    assert len(state) == 59 and state["7.md"]["content_version"] == 4 and state["7.md"]["last_change_id"] == 200
