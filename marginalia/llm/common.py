@@ -17,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
     Only a local-mode session (one machine, as in tests) may leave it unset; then a temporary
-    folder is made once for the session.
+    folder is made once for the session. The tables of an application lie in a folder of their own,
+    which goes when the application ends.
     """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("marginalia.shared.dir", None)
@@ -27,7 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("marginalia.shared.dir", folder)
-    return folder.rstrip("/")
+    own = f"{folder.rstrip('/')}/marginalia-llm-{spark.sparkContext.applicationId}"
+    if spark.conf.get("marginalia.llm.own", None) != own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark.conf.set("marginalia.llm.own", own)
+    return own
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

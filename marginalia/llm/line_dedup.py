@@ -7,14 +7,16 @@ which they differ are its variable fields. A template that occurs in ``min_docs`
 recurs, and a long one, of ``long_tokens`` tokens or more, from two documents on: the document with
 the smallest id keeps its lines, every other document loses them.
 
-Only leaves that hold two or more different lines need their tokens; all else runs on hashes.
-Templates of a leaf are grown in passes: the line with the most documents that has no template yet
-(ties: the larger hash) founds one, and similar lines join it. After ``max_templates`` passes over
-whole leaves, what is left goes by buckets: a line's positions below the leading ones are dealt into
-one group more than similar lines may differ in, so similar lines agree in all of some group, and
-share its bucket. In a pass every line that outranks all others in its buckets founds a template,
-and the others take the highest-ranked founder that they are similar to. The founders are those of
-single-file passes, many at a time. Passes end when no lines are left.
+Only leaves that hold two or more different lines need their tokens; all else runs on hashes. A
+leaf's templates are those that passes in single file would grow: the line with the most documents
+that has no template yet (ties: the larger hash) founds one, and similar lines join it. They are
+found many at a time, by buckets: a line's positions below the leading ones are dealt into one group
+more than similar lines may differ in, so similar lines agree in all of some group, and share its
+bucket. In a pass every line that outranks all others in its buckets founds a template, as no line
+that it could join is left. Another line looks at the highest-ranked line of all its buckets: where
+that one founds and is similar, it joins it, since nothing similar ranks higher; else it waits. Passes
+end when no lines are left. (Before them, ``max_templates`` passes may go over whole leaves: the same
+templates, faster where leaves are small.)
 """
 
 from __future__ import annotations
@@ -53,11 +55,13 @@ def _fits(tokens: str, model: str, similarity: float) -> Column:
 
 def _buckets(left: DataFrame, depth: int, similarity: float) -> DataFrame:
     """(h, rank, bucket): similar lines of a leaf share a bucket at least."""
-    size = F.size("tokens")
-    groups = size - F.ceil(size * similarity - 1e-9).cast("int") + 1  # the lines differ in fewer positions
-    dealt = left.select("h", "leaf", "rank", "tokens", F.explode(F.sequence(F.lit(0), groups - 1)).alias("g"), groups.alias("groups"))
-    part = F.filter("tokens", lambda _, i: (i >= depth) & (F.pmod(i - F.col("g"), F.col("groups")) == 0))
-    return dealt.select("h", "rank", F.xxhash64("leaf", "g", part).alias("bucket"))
+    groups = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1  # the lines differ in fewer positions
+    sized = left.select("h", "leaf", "rank", "tokens", F.size("tokens").alias("size"))
+    sized = sized.select("h", "leaf", "rank", "tokens", (F.col("size") - 1).alias("last"), groups.alias("groups"))
+    # Every position is looked at once, in the group that it belongs to.
+    places = lambda g: F.filter(F.sequence(g, F.col("last"), F.col("groups")), lambda i: i >= depth)
+    key = lambda g: F.xxhash64("leaf", g, F.transform(places(g), lambda i: F.get("tokens", i)))
+    return sized.select("h", "rank", F.explode(F.transform(F.sequence(F.lit(0), F.col("groups") - 1), key)).alias("bucket"))
 
 
 def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: int, similarity: float, max_templates: int) -> DataFrame:
@@ -70,12 +74,11 @@ def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: in
     text = lines.join(crowded.select("h", "did").hint("merge"), ["h", "did"], "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
     text = text.select("h", F.split("shape", " ").alias("tokens"))
     rank = F.col("n_docs") * (1 << HASH_BITS) + F.pmod("h", F.lit(1 << HASH_BITS))
-    left = materialise(crowded.join(text, "h").select("h", "leaf", "tokens", rank.alias("rank")), "line-texts")
+    texts = left = materialise(crowded.join(text, "h").select("h", "leaf", "tokens", rank.alias("rank")), "line-texts")
     found = None
     for _ in range(max_templates):
-        founders = left.groupBy("leaf").agg(F.max("rank").alias("rank"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        founders = left.join(founders, ["leaf", "rank"]).select("leaf", F.col("h").alias("template"), F.col("tokens").alias("model"))
-        founders = founders.groupBy("leaf").agg(F.min_by("template", "template").alias("template"), F.min_by("model", "template").alias("model"))
+        founders = left.groupBy("leaf").agg(F.max(F.struct("rank", "h")).alias("top"), F.count("*").alias("n")).filter("n > 1")
+        founders = left.join(founders.select("leaf", F.col("top.h").alias("h")), ["leaf", "h"]).select("leaf", F.col("h").alias("template"), F.col("tokens").alias("model"))
         joined = left.join(founders, "leaf").withColumn("fits", _fits("tokens", "model", similarity))
         joined = materialise(joined.select("h", "leaf", "tokens", "rank", "template", "fits"), "line-pass")
         took = joined.filter((F.col("fits")) | (F.col("h") == F.col("template"))).select("h", "template")
@@ -84,21 +87,19 @@ def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: in
         if left.isEmpty():
             return found
     buckets = materialise(_buckets(left, depth, similarity), "line-buckets")
-    while not left.isEmpty():
-        top = buckets.groupBy("bucket").agg(F.max(F.struct("rank", "h")).alias("top"))
-        seen = buckets.join(top, "bucket").groupBy("h").agg(F.collect_set("top").alias("tops"))
-        seen = materialise(seen.select("h", F.forall("tops", lambda t: t["h"] == F.col("h")).alias("founds"), "tops"), "line-seen")
-        founders = seen.filter("founds").select(F.col("h").alias("template"))
-        models = left.join(founders, F.col("h") == F.col("template"), "left_semi").select(F.col("h").alias("template"), F.col("tokens").alias("model"))
-        tried = seen.filter("not founds").select("h", F.explode("tops").alias("top"))
-        tried = tried.select("h", F.col("top.rank").alias("top_rank"), F.col("top.h").alias("template")).join(models, "template")
-        tried = tried.join(left.select("h", "tokens"), "h").filter(_fits("tokens", "model", similarity))
-        took = tried.groupBy("h").agg(F.max_by("template", F.struct("top_rank", "template")).alias("template"))
-        took = materialise(took.union(founders.select(F.col("template").alias("h"), "template")), "line-took")
+    while not buckets.isEmpty():
+        # Stored, so that the join reads plain shuffles and Spark can split a frequent bucket.
+        top = materialise(buckets.groupBy("bucket").agg(F.max(F.struct("rank", "h")).alias("top")).select("bucket", "top.*"), "line-tops")
+        top = top.select("bucket", F.struct("rank", "h").alias("top"))
+        seen = materialise(buckets.select("h", "bucket").join(top, "bucket").groupBy("h").agg(F.max("top").alias("top")).select("h", F.col("top.h").alias("template")), "line-seen")
+        founders = seen.filter("h = template").select("template")
+        models = texts.select(F.col("h").alias("template"), F.col("tokens").alias("model")).join(founders, "template", "left_semi")
+        tried = seen.filter("h <> template").join(models, "template").join(texts.select("h", "tokens"), "h")
+        took = tried.filter(_fits("tokens", "model", similarity)).select("h", "template")
+        took = materialise(took.union(founders.select("template", "template")), "line-took")
         found = took if found is None else found.union(took)
-        left = materialise(left.join(took.select("h"), "h", "left_anti"), "line-left")
         buckets = materialise(buckets.join(took.select("h"), "h", "left_anti"), "line-buckets")
-    return found
+    return texts.select("h", F.col("h").alias("template")).limit(0) if found is None else found
 
 
 def template_line_dedup(
@@ -109,7 +110,7 @@ def template_line_dedup(
     similarity: float = 0.8,
     min_docs: int = 3,
     min_tokens: int = 3,
-    max_templates: int = 8,
+    max_templates: int = 0,
     count_col: str | None = None,
     long_tokens: int = 50,
 ) -> DataFrame:
@@ -121,7 +122,7 @@ def template_line_dedup(
     text stays null (0 lines); an empty text has one empty line. A text whose lines all go becomes
     empty; the row stays. Rows with the same id count as one document; exactly repeated rows get
     the same result. Rows with a null id come after all others. Columns n_lines and n_dropped of
-    the input are replaced. ``count_col`` names a column with the text's number of characters, which
+    the input are replaced. ``max_templates`` changes the work, not the result. ``count_col`` names a column with the text's number of characters, which
     then follows the text where lines were dropped.
     """
     spare = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]

@@ -180,3 +180,23 @@ def test_templates_against_brute_force(make_docs, max_templates):
     rows = [(i, "\n".join([f"own words of {word()} {word()}", *copies[2 * i : 2 * i + 2]]), "en") for i in range(len(copies) // 2)]
     got, want = {g[0]: g[1] for g in run(make_docs(rows), max_templates=max_templates)}, brute_templates(rows)
     assert got == want and sum(len(t) for t in want.values()) < 0.5 * sum(len(t) for _, t, _ in rows)
+
+
+@pytest.mark.parametrize("max_templates", [0, 1, 8])
+def test_lines_between_templates_join_the_higher_ranked_one(make_docs, max_templates):
+    """Crowded leaves of lines that are similar to several others: whatever the passes, templates are those of single file."""
+    import random
+
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for leaf in range(40):
+        base = [f"{'abcdefghij'[leaf % 10]}lead", "of", f"leaf{'klmn'[leaf // 10]}", *[word() for _ in range(12)]]
+        spare = [[word() for _ in range(3)] for _ in range(15)]
+        for _ in range(30):
+            line = list(base)
+            for k in rng.sample(range(3, 15), rng.randrange(0, 6)):
+                line[k] = rng.choice(spare[k])
+            rows.append((len(rows), "\n".join([" ".join(line), f"own {word()} {word()}"]), "en"))
+    got, want = {g[0]: g[1] for g in run(make_docs(rows), min_docs=5, max_templates=max_templates)}, brute_templates(rows, min_docs=5)
+    assert got == want and sum(t.count("\n") == 0 for t in want.values()) > 300
