@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,18 +115,41 @@ def nfc(c: Column) -> Column:
     return F.when(c.rlike(_COMPOSED), c).when(c.isNotNull(), made)
 
 
+# The public constants of FNV-1a with 64 bits.
+FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
+_FNV_BLOCK = 1 << 16
+
+
+def fnv1a64_of(data: bytes, state: int = FNV_START) -> int:
+    """FNV-1a of ``data``, carried on from ``state``, so that a long file can be read piece by piece.
+
+    Only the low byte of the state meets a byte of the data, and bit k of a product with an odd
+    number depends on the bits up to k. So the low bytes are found bit by bit, as running
+    exclusive-ors over all positions; what they add to the state is then one sum of multiples of
+    powers of the prime.
+    """
+    raw = np.frombuffer(data, dtype=np.uint8)
+    for at in range(0, len(raw), _FNV_BLOCK):
+        part = raw[at : at + _FNV_BLOCK].astype(np.int64)
+        low = state & 0xFF
+        mixed = np.zeros(len(part), dtype=np.int64)  # (low byte before) xor (byte), by rising bits
+        for k in range(8):
+            carried = ((mixed * (FNV_PRIME & 0xFF)) >> k) & 1  # what the bits below add to bit k of the product
+            given = (part >> k) & 1
+            steps = np.append((low >> k) & 1, (given ^ carried)[:-1])
+            mixed |= (np.bitwise_xor.accumulate(steps) ^ given) << k
+        before = mixed ^ part
+        powers = np.multiply.accumulate(np.full(len(part), FNV_PRIME, dtype=np.uint64))
+        total = ((mixed - before).astype(np.uint64) * powers[::-1]).sum(dtype=np.uint64)
+        state = (int(total) + state * int(powers[-1])) & 0xFFFFFFFFFFFFFFFF
+    return state
+
+
 @F.pandas_udf(T.StringType())
 def fnv1a64(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """FNV-1a of bytes as 16 hexadecimal digits; Spark's integers don't wrap around."""
-
-    def digest(data: bytes) -> str:
-        h = 0xCBF29CE484222325
-        for b in data:
-            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        return f"{h:016x}"
-
     for s in batches:
-        yield s.map(digest, na_action="ignore")
+        yield s.map(lambda data: f"{fnv1a64_of(data):016x}", na_action="ignore")
 
 
 def base64_of(data: Column) -> Column:

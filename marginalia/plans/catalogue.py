@@ -774,6 +774,47 @@ def full_push_bodies(spark, d):
     return payloads.parse_full_pushes(bodies, "body").select("vault_uid", "seq", "file_path", "content_base64")
 
 
+@query("""SELECT CASE WHEN page_id % 50 = 7 THEN NULL ELSE strlen(html)::BIGINT END AS size_bytes, 'd' || page_id % 3 || '/' || page_id || '.md' AS path, page_id % 50 = 7 AS warned FROM pages""")
+def folder_scan(spark, d):
+    """A folder with a file for each page, of which some vanish between listing and reading: these have warnings, the others fingerprints."""
+    import uuid
+
+    from ..sources import directory
+    from ..sources.scratch import scratch_dir, stored
+
+    root = f"{scratch_dir(spark)}/folder-{uuid.uuid4().hex}"
+    pages = s.load(spark, d, "pages").select(F.concat(F.lit("d"), F.col("page_id") % 3, F.lit("/"), "page_id", F.lit(".md")).alias("path"), F.col("html").cast("binary").alias("content"))
+    directory.written(pages, root)
+    names = stored(directory.listed(spark, root), "folder-names")
+    directory.remove_files(names.filter(F.regexp_extract("path", r"(\d+)\.md", 1).cast("int") % 50 == 7), root)
+    out = directory.scanned(names, root).join(pages.select("path", text.fnv1a64(F.col("content")).alias("want")), "path")
+    right = F.col("warning").isNotNull() | (F.col("content_fingerprint") == F.col("want"))
+    return out.filter(right).select("path", F.when(F.col("warning").isNull(), F.col("size_bytes")).alias("size_bytes"), F.col("warning").isNotNull().alias("warned"))
+
+
+@query(f"""WITH {s.LOG}, {s.STATE}, marks AS (SELECT min(changed_at_unix_ms) + 86400000 * 3 AS ms FROM log),
+early AS (SELECT vault_id, file_path, arg_max(action, id) AS a, arg_max(content_sha256, id) AS c FROM log WHERE changed_at_unix_ms <= (SELECT ms FROM marks) GROUP BY ALL),
+late AS (SELECT vault_id, file_path, arg_max(action, (changed_at_unix_ms, id)) AS a, arg_max(content_sha256, (changed_at_unix_ms, id)) AS c FROM log WHERE changed_at_unix_ms > (SELECT ms FROM marks) GROUP BY ALL)
+SELECT vault_id || '/' || file_path AS path, 64::BIGINT AS size_bytes, coalesce(l.c, e.c) AS content FROM early e FULL JOIN late l USING (vault_id, file_path) WHERE coalesce(l.a, e.a) <> 'deleted'""")
+def folder_after_pulls(spark, d):
+    """The snapshot of the log's beginning mirrored to a folder, the later changes applied to it, and the folder read back."""
+    import uuid
+
+    from ..sources import directory
+    from ..sources.scratch import scratch_dir
+
+    root = f"{scratch_dir(spark)}/folder-{uuid.uuid4().hex}"
+    log = s.log(spark, d)
+    mark = log.agg(F.min("changed_at_unix_ms")).first()[0] + 3 * 86_400_000
+    path = F.concat("vault_id", F.lit("/"), "file_path").alias("path")
+    live = changelog.current_state(log.filter(F.col("changed_at_unix_ms") <= mark)).filter("not is_deleted")
+    directory.mirror(spark, live.select(path, F.col("content_sha256").cast("binary").alias("content")), root)
+    later = log.filter(F.col("changed_at_unix_ms") > mark).groupBy("vault_id", "file_path")
+    last = later.agg(F.max_by(F.struct("action", "content_sha256"), F.struct("changed_at_unix_ms", "id")).alias("l"))
+    directory.applied(last.select(path, F.col("l.action").alias("action"), F.col("l.content_sha256").cast("binary").alias("content")), root)
+    return directory.read_folder(spark, root).select("path", "size_bytes", F.col("content").cast("string").alias("content"))
+
+
 # --- text ------------------------------------------------------------------------------------------
 
 _CHARS = f"""texts AS (SELECT doc_id, string_split(trim(text, chr(10) || chr(9) || chr(13) || ' '), '') AS cs FROM documents),

@@ -274,3 +274,38 @@ def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
     assert not (tmp_path / "state" / first[changed[0]]).exists() and third[changed[0]] != second[changed[0]]
     state = {r["file_path"]: r for r in vault_stream.read_state(spark, root).collect()}
     assert len(state) == 59 and state["7.md"]["content_version"] == 4 and state["7.md"]["last_change_id"] == 200
+
+
+def test_fingerprints_in_pieces():
+    import numpy as np
+
+    def slow(data):
+        h = 0xCBF29CE484222325
+        for b in data:
+            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 7, 255, 70_000, 140_001):
+        data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
+        assert text.fnv1a64_of(data) == slow(data)
+        state = text.FNV_START
+        for at in range(0, n, 999):
+            state = text.fnv1a64_of(data[at : at + 999], state)
+        assert state == slow(data)
+
+
+def test_scan_goes_on_past_unreadable_files(spark, tmp_path):
+    files = spark.createDataFrame([(f"d{i % 2}/{i}.md", bytearray(b"x" * i)) for i in range(20)] + [("big", bytearray(b"ab" * 2_000_000)), (".sync-state/s", bytearray(b"1"))], "path string, content binary")
+    assert directory.written(files, str(tmp_path)) == 22
+    names = directory.listed(spark, str(tmp_path)).collect()
+    (tmp_path / "d1" / "7.md").unlink()
+    got = {r["path"]: r for r in directory.scanned(spark.createDataFrame(names), str(tmp_path)).collect()}
+    assert len(got) == 21 and [p for p, r in got.items() if r["warning"]] == ["d1/7.md"] and got["d1/7.md"]["content_fingerprint"] is None
+    assert all(r["content_fingerprint"] == f"{text.fnv1a64_of(b'ab' * 2_000_000 if p == 'big' else b'x' * int(p[3:-3])):016x}" for p, r in got.items() if not r["warning"])
+    assert got["d0/0.md"]["size_bytes"] == 0
+    changes = spark.createDataFrame([("big", "deleted", None), ("d0/2.md", "modified", bytearray(b"new")), ("gone", "deleted", None)], "path string, action string, content binary")
+    directory.applied(changes, str(tmp_path))
+    assert not (tmp_path / "big").exists() and (tmp_path / "d0" / "2.md").read_bytes() == b"new"
+    with pytest.raises(Exception, match="leaves"):
+        directory.written(spark.createDataFrame([("../x", bytearray(b"1"))], "path string, content binary"), str(tmp_path))
