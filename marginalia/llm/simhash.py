@@ -12,7 +12,7 @@ no more shingles than that the similarity itself, of longer ones an estimate wit
 standard deviations. Those that pass are then held against the texts' shingles, exactly.
 
 What shares a key is cut into tiles. A small one is a single tile; a large one is cut by the number
-of one bits and, above ``TILE`` fingerprints of one count, by hash. Pairs of tiles whose population
+of one bits (ranges of half the radius) and, above ``TILE`` fingerprints of one count, by hash. Pairs of tiles whose population
 counts differ by more than the radius are skipped: they can't hold a link. A pair of tiles meets
 under a key of its own and is compared by numpy exclusive-or and bit counts.
 
@@ -203,7 +203,7 @@ def _forest(
             new = new[_nearest_of(label[i[new]], fan) | _nearest_of(label[j[new]], fan)]
             ok = sketches.pass_(i[new], j[new])
             good[new[ok]], dead[new[~ok]] = True, True
-            fan *= 1 if ok.any() else GROWTH
+            fan *= GROWTH
         sound = left[good[left]]
         a, b, best = label[i[sound]], label[j[sound]], np.full(n, len(sound))
         np.minimum.at(best, a, np.arange(len(sound)))
@@ -336,14 +336,16 @@ def _band_keys(fp: Column, bands: int) -> Column:
 def _tiles(entries: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """Tiles (key, tile, chunk, t) of ``entries`` (node, pop, bits, key; n and sketch, if they have any), and names ``at`` of the pairs of them to compare."""
     more = [c for c in ("n", "sketch") if c in entries.columns]
-    counts = entries.groupBy("key", "pop").agg(F.count("*").alias("c"))
+    wide = max(1, radius // 2)  # population counts in a tile: one, where the radius tells them apart
+    entries = entries.withColumn("bin", F.floor(F.col("pop") / wide))
+    counts = entries.groupBy("key", "bin").agg(F.count("*").alias("c"))
     counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("key"))).filter("n > 1")  # a row a population count
     cut = F.col("n") > TILE
     counts = counts.select(
-        "key", "pop", F.when(cut, F.col("pop")).otherwise(-1).alias("tile"),
+        "key", "bin", F.when(cut, F.col("bin")).otherwise(-1).alias("tile"),
         F.when(cut, F.ceil(F.col("c") / TILE)).otherwise(1).alias("chunks"))
     counts = materialise(counts, "simhash-counts")
-    tiles = entries.join(counts, ["key", "pop"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+    tiles = entries.join(counts, ["key", "bin"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     tiles = tiles.groupBy("key", "tile", "chunk").agg(F.collect_list("node").alias("nodes"), F.collect_list("bits").alias("bits"), *[F.collect_list(c).alias(c) for c in more])
     bits = F.when(F.size("bits") > 0, F.col("bits"))
     tiles = materialise(tiles.select("key", "tile", "chunk", F.struct("nodes", bits.alias("bits"), *more).alias("t")), "simhash-tiles")
@@ -352,7 +354,7 @@ def _tiles(entries: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     large = counts.filter("tile >= 0").select("key", "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     other = large.select("key", F.col("tile").alias("tile2"), F.col("chunk").alias("chunk2"))
     pairs = large.join(other, "key").filter(
-        F.col("tile2").between(F.col("tile"), F.col("tile") + radius)
+        (F.col("tile2") >= F.col("tile")) & ((F.col("tile2") - F.col("tile") - 1) * wide + 1 <= radius)
         & ((F.col("tile2") > F.col("tile")) | (F.col("chunk2") > F.col("chunk"))))
     return tiles, pairs.withColumn("at", F.xxhash64("key", "tile", "chunk", "tile2", "chunk2"))
 
