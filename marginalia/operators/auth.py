@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
+
 #: Fixed value: days that a settings session lasts, in seconds.
 SESSION_SECONDS = 604_800
 
@@ -26,3 +28,13 @@ def open_sessions(sessions: DataFrame, now: Column) -> DataFrame:
 
 def expiry(now: Column) -> Column:
     return now + F.make_interval(secs=F.lit(SESSION_SECONDS))
+
+
+def resolved_settings(stored: DataFrame, defaults: DataFrame, clearable: str = "embedding_api_key") -> DataFrame:
+    """(setting_key, setting_value): stored settings over defaults. Blank ones are ignored, except that
+    the ``clearable`` one may be set to nothing."""
+    given = trimmed(F.col("stored"))
+    mine = stored.select("setting_key", F.col("setting_value").alias("stored"))
+    both = mine.join(defaults.select("setting_key", F.col("setting_value").alias("default")), "setting_key", "full")
+    value = F.when((given != "") | (F.col("stored").isNotNull() & (F.col("setting_key") == clearable)), given).otherwise(F.col("default"))
+    return both.select("setting_key", value.alias("setting_value"))

@@ -5,11 +5,12 @@ The log is append-only. State follows arrival (the change id); event times are t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import action_of, digest_of, path_of, strict_base64, text_of
 from ..schema import GENERATED_DEVICE, SYNC_LIMIT, clamp
+from .ids import placed
 
 
 def normalised(changes: DataFrame, now_ms: int) -> DataFrame:
@@ -149,8 +150,8 @@ JOB_TYPES = ["file_enrichment", "atomize"]
 def enqueued(log: DataFrame) -> DataFrame:
     """Two jobs for each client change, by file version; a job that is there already isn't queued again."""
     mine = log.filter(F.coalesce(F.col("device_id"), F.lit("")) != GENERATED_DEVICE)
-    version = F.row_number().over(Window.partitionBy("vault_id", "file_path").orderBy("id"))  # a file's own changes
-    jobs = mine.select("vault_id", "file_path", version.cast("long").alias("file_version"))
+    versions = placed(mine.select("vault_id", "file_path", "id"), ["vault_id", "file_path"], ["id"])
+    jobs = versions.select("vault_id", "file_path", (F.col("place") + 1).cast("long").alias("file_version"))
     return jobs.select("*", F.explode(F.array(*map(F.lit, JOB_TYPES))).alias("job_type"), F.lit("pending").alias("status"))
 
 

@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .ids import placed
 
 #: Changes in a block, about.
 BLOCK = 8192
@@ -62,14 +63,8 @@ def upload_batches(changes: DataFrame, overhead: int, limit: int) -> DataFrame:
     A change that is too large alone is an error. (vault_id, seq) are single.
     """
     limit = max(limit, 1)
-    rows = changes.select("vault_id", "seq", "bytes")
-    ranged = stored(rows.repartitionByRange("vault_id", "seq").withColumn("part", F.spark_partition_id()), "pack-ranges")
-    counts = ranged.groupBy("vault_id", "part").agg(F.count("*").alias("c"))  # a row a vault and range
-    before = Window.partitionBy("vault_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("vault_id", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("vault_id", "part").orderBy("seq"))
-    blocks = ranged.join(starts, ["vault_id", "part"]).withColumn("block", F.floor((F.col("start") + nth - 1) / BLOCK))
-    blocks = stored(blocks.select("vault_id", "block", "seq", "bytes"), "pack-blocks")
+    rows = placed(changes.select("vault_id", "seq", "bytes"), ["vault_id"], ["seq"]).withColumn("block", F.floor(F.col("place") / BLOCK))
+    blocks = stored(rows.drop("place"), "pack-blocks")
 
     def sum_up(group: pd.DataFrame) -> pd.DataFrame:
         sizes = group.sort_values("seq")["bytes"].to_numpy(dtype=np.int64)

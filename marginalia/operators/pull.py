@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SYNC_LIMIT, clamp
 from ..sources.scratch import stored
 from .changelog import current_state, latest_change
+from .ids import placed
 
 KEYS = ["vault_id", "path"]
 
@@ -18,19 +19,14 @@ def pages(log: DataFrame, clients: DataFrame, limit: int | None = None, safe: bo
     A client gets the changes later than ``since_ms``, in order of (time, id); or, if ``safe``, those
     that arrived after ``since_id``, in order of arrival, which misses none that arrives late. A page
     has ``limit`` changes. Vaults whose client holds no mark get none: they take the snapshot.
-    Stored, so that a pull that was interrupted goes on where it stopped. Numbers come in two levels,
-    ranges of changes first, so a vault with any share of the log is spread.
+    Stored, so that a pull that was interrupted goes on where it stopped. A vault with any share of the
+    log is spread.
     """
     due = F.col("id") > F.col("since_id") if safe else F.col("changed_at_unix_ms") > F.col("since_ms")
     order = ["id"] if safe else ["changed_at_unix_ms", "id"]
     rows = log.join(clients.select("vault_id", "since_ms", "since_id"), "vault_id").filter(due).drop("since_ms", "since_id")
-    ranged = stored(rows.repartitionByRange("vault_id", *order).withColumn("__part", F.spark_partition_id()), "pull-ranges")
-    counts = ranged.groupBy("vault_id", "__part").agg(F.count("*").alias("c"))  # a row a vault and range
-    before = Window.partitionBy("vault_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("vault_id", "__part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__start"))
-    nth = F.row_number().over(Window.partitionBy("vault_id", "__part").orderBy(*order))
-    numbered = ranged.join(starts, ["vault_id", "__part"]).withColumn("page", F.floor((F.col("__start") + nth - 1) / clamp(limit, SYNC_LIMIT)))
-    return stored(numbered.drop("__part", "__start"), "pull-pages")
+    rows = placed(rows, ["vault_id"], order).withColumn("page", F.floor(F.col("place") / clamp(limit, SYNC_LIMIT)))
+    return stored(rows.drop("place"), "pull-pages")
 
 
 def applied(files: DataFrame, changes: DataFrame, order: tuple[str, ...] = ("changed_at_unix_ms", "id")) -> DataFrame:

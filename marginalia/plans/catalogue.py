@@ -815,6 +815,22 @@ def folder_after_pulls(spark, d):
     return directory.read_folder(spark, root).select("path", "size_bytes", F.col("content").cast("string").alias("content"))
 
 
+@query("""SELECT 'v' || page_id % 3 AS vault_uid, page_id % 2 AS seq, CASE WHEN page_id % 2 = 0 THEN 'a/' || page_id ELSE 'b/' || page_id END AS file_path, 'added' AS action, page_id AS changed_at_unix_ms FROM pages""")
+def push_bodies(spark, d):
+    """Bodies of pushes written as files of JSON lines and read back, in either spelling; every second one has an empty change first."""
+    import uuid
+
+    from ..sources.scratch import scratch_dir
+
+    i = F.col("page_id")
+    one = F.format_string('{"file_path":"a/%d","filePath":"x","action":"added","changed_at_unix_ms":%d}', i, i)
+    two = F.format_string('{"filePath":"b/%d","action":"added","changedAtUnixMs":%d}', i, i)
+    body = F.when(i % 2 == 0, F.format_string('{"vault_uid":"v%d","changes":[%s]}', i % 3, one)).otherwise(F.format_string('{"vaultUid":"v%d","changes":[{},%s]}', i % 3, two))
+    root = f"{scratch_dir(spark)}/bodies-{uuid.uuid4().hex}"
+    s.load(spark, d, "pages").select(body.alias("value")).write.text(root)
+    return payloads.read_pushes(spark, root).filter("file_path is not null").select("vault_uid", "seq", "file_path", "action", "changed_at_unix_ms")
+
+
 # --- text ------------------------------------------------------------------------------------------
 
 _CHARS = f"""texts AS (SELECT doc_id, string_split(trim(text, chr(10) || chr(9) || chr(13) || ' '), '') AS cs FROM documents),
@@ -970,6 +986,44 @@ def open_sessions(spark, d):
     return alive.select("event_id", F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("expires_at").cast("timestamp_ntz")).alias("expires_us"))
 
 
+_SETTINGS = """stored AS (SELECT 'k' || c_custkey AS setting_key, CASE c_custkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' v ' || c_name || ' ' END AS setting_value FROM customer WHERE c_custkey % 4 < 3),
+defaults AS (SELECT 'k' || c_custkey AS setting_key, c_mktsegment AS setting_value FROM customer WHERE c_custkey % 5 > 0)"""
+
+
+def _settings(spark, d):
+    t, n = s.load(spark, d, "customer"), F.col("c_custkey")
+    key = F.concat(F.lit("k"), n).alias("setting_key")
+    value = F.when(n % 4 == 0, " ").when(n % 4 == 2, F.concat(F.lit(" v "), "c_name", F.lit(" ")))
+    return t.filter(n % 4 < 3).select(key, value.alias("setting_value")), t.filter(n % 5 > 0).select(key, F.col("c_mktsegment").alias("setting_value"))
+
+
+@query(f"""WITH {_SETTINGS} SELECT setting_key, CASE WHEN trim(s.setting_value) <> '' OR (s.setting_value IS NOT NULL AND setting_key = 'k8') THEN trim(s.setting_value) ELSE d.setting_value END AS setting_value
+FROM stored s FULL JOIN defaults d USING (setting_key)""")
+def settings_resolved(spark, d):
+    return auth.resolved_settings(*_settings(spark, d), clearable="k8")
+
+
+@query(f"""WITH {_SETTINGS} SELECT * FROM stored UNION ALL SELECT * FROM defaults WHERE setting_key NOT IN (SELECT setting_key FROM stored)""")
+def settings_upserted(spark, d):
+    new, old = _settings(spark, d)
+    return sources.upsert(old, new, ["setting_key"])
+
+
+@query("""SELECT 'v' || page_id AS vault_uid, CASE WHEN page_id % 4 = 3 THEN page_id * 7 END AS last_server_change_id, CASE WHEN page_id % 4 = 3 THEN 1 ELSE 0 END AS n_files, page_id % 4 < 3 AS fresh,
+ CASE WHEN page_id % 4 = 3 THEN '{"vault_uid":"v' || page_id || '","last_server_change_id":' || page_id * 7 || ',"local_snapshot":{"a.md":{"size_bytes":5}}}' ELSE '{"vault_uid":"v' || page_id || '","local_snapshot":{}}' END AS saved FROM pages""")
+def client_states(spark, d):
+    """Saved states of clients: broken ones, those of another vault and missing ones start fresh."""
+    from ..sources import state
+
+    i = F.col("page_id")
+    good = F.format_string('{"vault_uid": "v%d", "last_server_change_id": %d, "other": 1, "local_snapshot": {"a.md": {"size_bytes": 5}}}', i, i * 7)
+    other = F.lit('{"vault_uid": "w", "last_server_change_id": 3}')
+    saved = s.load(spark, d, "pages").select(F.concat(F.lit("v"), i).alias("vault_uid"), F.when(i % 4 == 3, good).when(i % 4 == 1, other).when(i % 4 == 0, "{broken").alias("state"))
+    states = state.client_states(saved)
+    rows = states.select("vault_uid", "last_server_change_id", F.size("local_snapshot").alias("n_files"), "fresh")
+    return rows.join(state.state_texts(states).select("vault_uid", F.col("state").alias("saved")), "vault_uid")
+
+
 _MARKED = "replace(replace(replace(replace(replace(source || ' <' || lang || '> & ' || text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
 
 

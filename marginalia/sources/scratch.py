@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a local session may do without it and gets a folder of its own."""
+    """A folder of the application's own in ``spark.checkpoint.dir``, which goes when the application ends.
+
+    Only a local session may do without that setting; it gets a temporary folder.
+    """
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir", None) or spark.conf.get("marginalia.scratch.dir", None)
     if not folder:
@@ -18,7 +21,14 @@ def scratch_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("marginalia.scratch.dir", folder)
-    return folder.rstrip("/")
+    own = f"{folder.rstrip('/')}/marginalia-{spark.sparkContext.applicationId}"
+    if spark.conf.get("marginalia.scratch.own", None) != own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        spark.conf.set("marginalia.scratch.own", own)
+    return own
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

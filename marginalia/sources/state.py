@@ -1,27 +1,36 @@
-"""Small state files of a sync client."""
+"""What sync clients save between runs, one JSON text each, and a probe of the catalogue."""
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FRESH = {"files": {}, "last_server_change_id": None, "last_server_change_unix_ms": None}
+# The fields of a saved state.
+STATE = (
+    "vault_uid string, last_server_change_id bigint, last_server_change_unix_ms bigint,"
+    " local_snapshot map<string, struct<size_bytes: bigint, modified_unix_ms: bigint, content_fingerprint: string>>"
+)
 
 
-def load_state(text: str | None, vault_uid: str) -> dict:
-    """A client's saved state; a fresh one if it is missing, broken, or another vault's."""
-    try:
-        state = json.loads(text or "")
-    except ValueError:
-        state = None
-    if not isinstance(state, dict) or state.get("vault_uid") != vault_uid:
-        return {"vault_uid": vault_uid, **FRESH, "files": {}}
-    return {"vault_uid": vault_uid, **FRESH, **state}
+def client_states(saved: DataFrame, uid_col: str = "vault_uid", text_col: str = "state") -> DataFrame:
+    """(vault_uid, last_server_change_id, last_server_change_unix_ms, local_snapshot, fresh) of each client.
 
+    A state that is missing, broken, or another vault's counts for nothing: the client starts fresh,
+    without marks and files.
+    """
+    rows = saved.select(F.col(uid_col).alias("uid"), F.from_json(text_col, STATE).alias("s"))
+    good = F.coalesce(F.col("s.vault_uid") == F.col("uid"), F.lit(False))
+    none = F.create_map().cast("map<string, struct<size_bytes: bigint, modified_unix_ms: bigint, content_fingerprint: string>>")
+    return rows.select(
+        F.col("uid").alias("vault_uid"), *[F.when(good, F.col(f"s.{c}")).alias(c) for c in ("last_server_change_id", "last_server_change_unix_ms")],
+        F.when(good & F.col("s.local_snapshot").isNotNull(), F.col("s.local_snapshot")).otherwise(none).alias("local_snapshot"), (~good).alias("fresh"))
 
-def dump_state(state: dict) -> str:
-    return json.dumps(state, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
+def state_texts(states: DataFrame) -> DataFrame:
+    """(vault_uid, state): what is saved again; fields without a value are left out."""
+    return states.select("vault_uid", F.to_json(F.struct("vault_uid", "last_server_change_id", "last_server_change_unix_ms", "local_snapshot")).alias("state"))
 
-def first_table(spark) -> str | None:
+
+def first_table(spark: SparkSession) -> str | None:
     """The first table of the catalogue by name, as a probe that it answers."""
     return min((t.name for t in spark.catalog.listTables()), default=None)

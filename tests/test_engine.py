@@ -235,10 +235,14 @@ def test_folders(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file() and not p.name.startswith(".")) == ["y.md"]
 
 
-def test_state_files():
-    assert state.load_state("{broken", "v")["files"] == {}
-    assert state.load_state('{"vault_uid":"other","files":{"a":1}}', "v")["files"] == {}
-    assert state.load_state('{"vault_uid":"v","files":{"a":1}}', "v")["files"] == {"a": 1}
+def test_state_files(spark):
+    rows = [("v", "{broken"), ("v", '{"vault_uid":"other","local_snapshot":{"a":{}}}'), ("v", None), ("v", '{"vault_uid":"v","local_snapshot":{"a":{"size_bytes":1}},"last_server_change_id":4}')]
+    got = state.client_states(spark.createDataFrame(rows, "vault_uid string, state string")).collect()
+    assert [(r["fresh"], len(r["local_snapshot"]), r["last_server_change_id"]) for r in got] == [(True, 0, None)] * 3 + [(False, 1, 4)]
+    assert state.first_table(spark) is None or isinstance(state.first_table(spark), str)
+    spark.range(1).createOrReplaceTempView("aaa_probe")
+    assert state.first_table(spark) == "aaa_probe"
+    spark.catalog.dropTempView("aaa_probe")
 
 
 def test_stream_equals_batch(spark, tmp_path):
