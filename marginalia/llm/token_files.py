@@ -18,7 +18,7 @@ body           the remaining symbols, 32-bit, zstandard
 =============  ================================================================================
 
 The expansion lengths place every symbol of the body, so any range of ids is decoded from the
-symbols that cover it alone (:func:`decode_range`).
+symbols that cover it and the rules that they reach (:func:`decode_range`, :func:`read_documents`).
 """
 
 from __future__ import annotations
@@ -140,12 +140,24 @@ def expand(rules: np.ndarray, spans: np.ndarray, body: np.ndarray) -> np.ndarray
 
 
 def decode_range(rules: np.ndarray, spans: np.ndarray, body: np.ndarray, start: int, n: int) -> np.ndarray:
-    """Ids ``start`` to ``start + n`` of a shard, from the symbols that cover them."""
-    sizes = np.concatenate([np.ones(FIRST_RULE, dtype=np.int64), spans])[body]
+    """Ids ``start`` to ``start + n`` of a shard, from the symbols that cover them and the rules that these reach.
+
+    Every pass replaces the nonterminals that are left by their two symbols; other rules aren't looked at.
+    """
+    sizes = np.ones(len(body), dtype=np.int64)
+    big = body >= FIRST_RULE
+    sizes[big] = spans[body[big] - FIRST_RULE]
     ends = np.cumsum(sizes)
     a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, start + n)
     skip = start - (int(ends[a] - sizes[a]) if a < len(ends) else 0)
-    return expand(rules, spans, body[a : b + 1])[skip : skip + n]
+    part = body[a : b + 1]
+    while (big := part >= FIRST_RULE).any():
+        first = np.cumsum(1 + big) - (1 + big)
+        wider = np.repeat(part, 1 + big)
+        pairs = rules[part[big] - FIRST_RULE]
+        wider[first[big]], wider[first[big] + 1] = pairs[:, 0], pairs[:, 1]
+        part = wider
+    return part[skip : skip + n].astype("<u2")
 
 
 def _pack(values: np.ndarray, kind: str) -> bytes:
@@ -247,6 +259,31 @@ def read_token_files(spark, path: str, schema: T.StructType | None = None) -> Da
     return rows.select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_documents(spark, path: str, ids: list) -> DataFrame:
+    """(doc_id, ids) of the documents named by ``ids``, a list that is stated by the caller, without null.
+
+    Shards without any of them aren't decoded, and of the others only the ranges of these documents.
+    """
+    shards = spark.read.parquet(path)
+    kind = shards.schema["doc_ids"].dataType.elementType
+    asked = sorted(set(ids))
+    some = shards.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast(kind) for i in asked]))) if asked else shards.limit(0)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {n: batch.column(n)[k] for n in ("doc_ids", "lengths", "spans", "body", "rules")}
+                lengths, spans, body = (unpack(row[n].as_py(), t) for n, t in (("lengths", "<i8"), ("spans", "<i4"), ("body", "<i4")))
+                rules, starts = unpack(row["rules"].as_py(), "<i4").reshape(-1, 2), np.cumsum(lengths) - lengths
+                names = row["doc_ids"].as_py()
+                hits = [d for d, name in enumerate(names) if name in wanted]
+                found = [decode_range(rules, spans, body, int(starts[d]), int(lengths[d])).tolist() for d in hits]
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values.take(pa.array(hits, pa.int64())), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    wanted = frozenset(asked)
+    return some.mapInArrow(decode, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+
+
 def token_file_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write ``docs`` to files in the shared folder and report each document as read back from them."""
     import uuid

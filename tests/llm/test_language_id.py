@@ -40,3 +40,41 @@ def test_filter_keeps_clean_rows_and_columns(spark):
     ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
     real = {r["doc_id"] for r in docs.filter("lang is not null").collect() if r["text"] and len(r["text"].split()) > 20}
     assert len(real & ids) >= 0.98 * len(real)
+
+
+def slow_grams(text):
+    """Distinct n-grams of one to three folded symbols."""
+    fold = lambda b: b - 96 if 97 <= b <= 122 else 27 + (b & 31) if b >= 128 else 0
+    s = [fold(b) for b in text.lower().encode()]
+    return {tuple(s[i : i + n]) for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+
+def test_scores_against_kernel_ridge_on_all_rows(make_docs):
+    """With every training row a landmark the approximation is exact: scores are those of the full kernel matrix."""
+    import random
+
+    import numpy as np
+
+    from marginalia.llm.language_id import RIDGE
+
+    rng = random.Random(2)
+    stems = {"aa": ["ba", "no", "ti", "Re"], "bb": ["zü", "ko", "wy", "xe"], "cc": ["la", "ñi", "so", "no"]}
+    rows = [(i, " ".join("".join(rng.choice(stems[lang]) for _ in range(3)) for _ in range(rng.randrange(4, 30))), lang) for i in range(90) for lang in [sorted(stems)[i % 3]]]
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in language_report(make_docs(rows)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in rows}
+    train = [r for r in rows if not held[r[0]]]
+    assert len({t for _, t, _ in train}) == len(train) and max(sum(r[2] == x for r in train) for x in stems) <= 160 // 3
+    grams = {i: slow_grams(t) for i, t, _ in rows}
+    kernel = lambda a, b: len(grams[a] & grams[b]) / np.sqrt(len(grams[a]) * len(grams[b]))
+    names = sorted(stems)
+    k = np.array([[kernel(a[0], b[0]) for b in train] for a in train])
+    y = np.array([[float(r[2] == x) for x in names] for r in train])
+
+    def off(parts):
+        """The largest difference, if the sums of so many parts carry a ridge each (Spark packs the sample's twelve files into one or more)."""
+        w = np.linalg.solve(k + parts * RIDGE * np.eye(len(train)), y)
+        f = np.array([[kernel(i, b[0]) for b in train] for i, *_ in rows]) @ w
+        assert [got[i][:2] for i, *_ in rows] == [(held[i], names[int(x.argmax())]) for (i, *_), x in zip(rows, f)]
+        return max(abs(got[i][2] - min(1, max(0, x.max()))) for (i, *_), x in zip(rows, f))
+
+    assert min(off(parts) for parts in range(1, 13)) < 1e-4

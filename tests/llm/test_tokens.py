@@ -62,6 +62,25 @@ def test_grammar(seed):
         assert (token_files.decode_range(rules, spans, body, start, n) == ids[start : start + n]).all()
 
 
+def test_documents_are_read_alone(spark, make_docs, odd_rows, library, monkeypatch, tmp_path):
+    """Ranges are decoded without the rules that they don't reach."""
+    path = f"{tmp_path}/files"
+    token_files.write_token_files(make_docs(odd_rows), path)
+    got = {}
+    for r in token_files.read_documents(spark, path, [4, 6, 9, 777]).collect():
+        got.setdefault(r["doc_id"], []).append(r["ids"])
+    texts = {i: [[*library(t), 2] for j, t, _ in odd_rows if j == i] for i in (4, 6, 9)}
+    assert got == texts
+    assert token_files.read_documents(spark, path, []).count() == 0
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([np.tile(rng.integers(0, 50, 30), 20), np.tile(rng.integers(100, 150, 30), 20)])
+    rules, spans, body = token_files.compress(ids)
+    broken = rules.copy()
+    late = (rules >= 100).all(axis=1) & (rules < 150).all(axis=1)
+    broken[late] = -1  # rules of the second half
+    assert late.any() and (token_files.decode_range(broken, spans, body, 10, 400) == ids[10:410]).all()
+
+
 def test_tiny_grammars():
     for ids in ([], [5], [5, 5], [5] * 101):
         rules, spans, body = token_files.compress(np.array(ids, dtype=int))
