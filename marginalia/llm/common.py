@@ -7,6 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+_working: list[dict[str, DataFrame]] = []  # the tables of each `working_tables` that is open
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -46,7 +50,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _working:
+        _working[-1][path] = out
+    return out
+
+
+@contextlib.contextmanager
+def working_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are materialised inside are removed at the end, but for those given to what this yields.
+
+    For steps whose result reads a few of the tables that they store: the kept ones.
+    """
+    made: dict[str, DataFrame] = {}
+    _working.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        for path in [p for p, t in made.items() if t is df]:
+            del made[path]
+        return df
+
+    try:
+        yield keep
+    finally:
+        _working.remove(made)
+    for path in made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, materialise, row_keys
+from .common import free_names, materialise, row_keys, working_tables
 
 #: Bits of the hash in a founder's rank, above which the number of documents stands.
 HASH_BITS = 24
@@ -135,21 +135,22 @@ def template_line_dedup(
     lines = lines.select("did", "tk", "pos", _spaced(F.col("line")).alias("shape"))
     n_tokens = F.when(F.col("shape") == "", 0).otherwise(_occurrences(F.col("shape"), " ") + 1)
     hashed = lines.select("did", "tk", "pos", F.xxhash64("shape").alias("h"), n_tokens.alias("n_tokens"), F.xxhash64(F.substring_index("shape", " ", depth)).alias("lead"))
-    hashed = materialise(hashed, "line-hashes").filter(F.col("n_tokens") >= min_tokens)
-    need = F.when(F.col("n_tokens") >= long_tokens, min(min_docs, 2)).otherwise(min_docs)  # the same in a whole leaf
-    hashed = hashed.select("did", "tk", "pos", "h", F.xxhash64("n_tokens", "lead").alias("leaf"), need.alias("need"))
-    shapes = hashed.groupBy("h", "leaf", "did").agg(F.max("need").alias("need")).groupBy("h", "leaf").agg(F.count("*").alias("n_docs"), F.max("need").alias("need"), F.min("did").alias("did"))
-    shapes = materialise(shapes, "line-shapes")
-    leaves = shapes.groupBy("leaf").agg(F.count("*").alias("n_shapes"), F.sum("n_docs").alias("n_docs"), F.max("need").alias("need"))
-    # A template can only recur in a leaf with enough documents; most lines go no further than this.
-    leaves = materialise(leaves.filter(F.col("n_docs") >= F.col("need")), "line-leaves")
-    templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "did", "shape"), depth, similarity, max_templates)
-    busy = hashed.join(leaves.select("leaf"), "leaf", "left_semi")
-    named = materialise(busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"), "need"), "line-named")
-    recurring = named.groupBy("template", "did").agg(F.max("need").alias("need")).groupBy("template")
-    recurring = recurring.agg(F.count("*").alias("n"), F.min("did").alias("owner"), F.max("need").alias("need")).filter(F.col("n") >= F.col("need"))
-    # Stored, so that the join below reads two plain shuffles and Spark can split a frequent template.
-    recurring = materialise(recurring.select("template", "owner"), "line-recurring")
+    with working_tables(docs.sparkSession) as keep:
+        hashed = materialise(hashed, "line-hashes").filter(F.col("n_tokens") >= min_tokens)
+        need = F.when(F.col("n_tokens") >= long_tokens, min(min_docs, 2)).otherwise(min_docs)  # the same in a whole leaf
+        hashed = hashed.select("did", "tk", "pos", "h", F.xxhash64("n_tokens", "lead").alias("leaf"), need.alias("need"))
+        shapes = hashed.groupBy("h", "leaf", "did").agg(F.max("need").alias("need")).groupBy("h", "leaf").agg(F.count("*").alias("n_docs"), F.max("need").alias("need"), F.min("did").alias("did"))
+        shapes = materialise(shapes, "line-shapes")
+        leaves = shapes.groupBy("leaf").agg(F.count("*").alias("n_shapes"), F.sum("n_docs").alias("n_docs"), F.max("need").alias("need"))
+        # A template can only recur in a leaf with enough documents; most lines go no further than this.
+        leaves = materialise(leaves.filter(F.col("n_docs") >= F.col("need")), "line-leaves")
+        templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "did", "shape"), depth, similarity, max_templates)
+        busy = hashed.join(leaves.select("leaf"), "leaf", "left_semi")
+        named = keep(materialise(busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"), "need"), "line-named"))
+        recurring = named.groupBy("template", "did").agg(F.max("need").alias("need")).groupBy("template")
+        recurring = recurring.agg(F.count("*").alias("n"), F.min("did").alias("owner"), F.max("need").alias("need")).filter(F.col("n") >= F.col("need"))
+        # Stored, so that the join below reads two plain shuffles and Spark can split a frequent template.
+        recurring = keep(materialise(recurring.select("template", "owner"), "line-recurring"))
     drops = named.join(recurring, "template").filter("did > owner")
     drops = drops.groupBy("did", "tk").agg(F.collect_set("pos").alias("drops"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_names, materialise, release_memory, row_keys, small_batches
+from .common import free_names, materialise, release_memory, row_keys, small_batches, working_tables
 from .components import connected_components
 
 #: Fingerprints in a tile, about.
@@ -496,11 +496,12 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     small_batches(docs.sparkSession)
     keys = row_keys(id_col, text_col)
-    prints = docs.select(*keys, wide_udf(F.col(text_col).cast("string")).alias("p"))
-    prints = materialise(prints.select("did", "tk", "p.bits", "p.keys", F.xxhash64("p.bits").alias("node")), "simhash-wide")
-    first = prints.groupBy("node").agg(F.min(F.struct("did", "tk", "keys", "bits")).alias("first"))
-    first = materialise(first.select("node", "first.*"), "simhash-distinct")
-    roots = _near_copies(first, docs.select(*keys, F.col(text_col).cast("string").alias("text")))
+    with working_tables(docs.sparkSession) as keep:
+        prints = docs.select(*keys, wide_udf(F.col(text_col).cast("string")).alias("p"))
+        prints = materialise(prints.select("did", "tk", "p.bits", "p.keys", F.xxhash64("p.bits").alias("node")), "simhash-wide")
+        first = prints.groupBy("node").agg(F.min(F.struct("did", "tk", "keys", "bits")).alias("first"))
+        first = keep(materialise(first.select("node", "first.*"), "simhash-distinct"))
+        roots = keep(_near_copies(first, docs.select(*keys, F.col(text_col).cast("string").alias("text"))))
     rooted = first.select("node", "did", "tk").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), F.struct("did", "tk").alias("row"))
     best = rooted.groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     did, tk = free_names(docs, "did", "tk")
