@@ -15,8 +15,8 @@ more than similar lines may differ in, so similar lines agree in all of some gro
 bucket. In a pass every line that outranks all others in its buckets founds a template, as no line
 that it could join is left. Another line looks at the highest-ranked line of all its buckets: where
 that one founds and is similar, it joins it, since nothing similar ranks higher; else it waits. Passes
-end when no lines are left. (Before them, ``max_templates`` passes may go over whole leaves: the same
-templates, faster where leaves are small.)
+end when no lines are left. Leaves of up to ``LEAF_LINES`` lines are passed over as a whole before, up to
+``max_templates`` times: the same templates with less work.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import free_names, materialise, row_keys, working_tables
 
 #: Bits of the hash in a founder's rank, above which the number of documents stands.
 HASH_BITS = 24
+#: Different lines of a leaf up to which it is passed over as a whole; a pass brings a leaf together in a task.
+LEAF_LINES = 256
 
 
 def _general(line: Column) -> Column:
@@ -67,15 +69,17 @@ def _buckets(left: DataFrame, depth: int, similarity: float) -> DataFrame:
 def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: int, similarity: float, max_templates: int) -> DataFrame:
     """(h, template) for lines that take another line's template."""
     crowded = materialise(
-        shapes.join(leaves.filter("n_shapes > 1").select("leaf"), "leaf", "left_semi").select("h", "leaf", "n_docs", "did"), "line-crowded"
+        shapes.select("h", "leaf", "n_docs", "did").join(leaves.filter("n_shapes > 1").select("leaf", "n_shapes"), "leaf"), "line-crowded"
     )
     # The crowded lines grow with the corpus, so their join is a merge at every size. A line's text
     # is that of its first document, so that a frequent line is one row here.
     text = lines.join(crowded.select("h", "did").hint("merge"), ["h", "did"], "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
     text = text.select("h", F.split("shape", " ").alias("tokens"))
     rank = F.col("n_docs") * (1 << HASH_BITS) + F.pmod("h", F.lit(1 << HASH_BITS))
-    texts = left = materialise(crowded.join(text, "h").select("h", "leaf", "tokens", rank.alias("rank")), "line-texts")
-    found = None
+    small = (F.col("n_shapes") <= LEAF_LINES).alias("small")
+    texts = materialise(crowded.join(text, "h").select("h", "leaf", "tokens", rank.alias("rank"), small), "line-texts")
+    whole = F.col("small") if max_templates else F.lit(False)
+    left, large, found = texts.filter(whole).drop("small"), texts.filter(~whole).drop("small"), None
     for _ in range(max_templates):
         founders = left.groupBy("leaf").agg(F.max(F.struct("rank", "h")).alias("top"), F.count("*").alias("n")).filter("n > 1")
         founders = left.join(founders.select("leaf", F.col("top.h").alias("h")), ["leaf", "h"]).select("leaf", F.col("h").alias("template"), F.col("tokens").alias("model"))
@@ -85,8 +89,8 @@ def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: in
         found = took if found is None else found.union(took)
         left = joined.filter(~F.col("fits") & (F.col("h") != F.col("template"))).select("h", "leaf", "tokens", "rank")
         if left.isEmpty():
-            return found
-    buckets = materialise(_buckets(left, depth, similarity), "line-buckets")
+            break
+    buckets = materialise(_buckets(large.unionByName(left), depth, similarity), "line-buckets")
     while not buckets.isEmpty():
         # Stored, so that the join reads plain shuffles and Spark can split a frequent bucket.
         top = materialise(buckets.groupBy("bucket").agg(F.max(F.struct("rank", "h")).alias("top")).select("bucket", "top.*"), "line-tops")
@@ -110,7 +114,7 @@ def template_line_dedup(
     similarity: float = 0.8,
     min_docs: int = 3,
     min_tokens: int = 3,
-    max_templates: int = 0,
+    max_templates: int = 8,
     count_col: str | None = None,
     long_tokens: int = 50,
 ) -> DataFrame:
