@@ -137,3 +137,32 @@ def test_released_orphans_equal_all_orphans(spark):
 
 def test_note_neighbours_query_has_rows(spark):
     assert catalogue.QUERIES["note_neighbors_top8"](spark, "/root/testdata/sf0.01").count() > 0
+
+
+def test_nearest_of_copies_and_far_more_tiles(spark, small_tiles, monkeypatch):
+    """Copies are searched for once, and ties go to smaller ids; vectors with entries that are no numbers are near nothing."""
+    monkeypatch.setattr(neighbours, "BLOCK", 400)
+    x = clustered(300, 40, 0.06)
+    x = np.concatenate([x, np.repeat(x[:20], 30, axis=0)])
+    extra = [(5000, 0, [float("nan")] + [0.0] * 15), (5001, 0, [float("inf")] + [0.0] * 15), (5002, 0, None)]
+    n = frame(spark, x).union(spark.createDataFrame(extra, NOTES))
+    wide = x.astype(np.float32).astype(float)
+    d = np.sqrt(((wide[:, None] - wide[None]) ** 2).sum(axis=2))
+    want = set()
+    for i in range(len(x)):
+        others = sorted((round(d[i, j], 12), j) for j in range(len(x)) if j != i and j % 2 == i % 2 and d[i, j] <= 0.32)
+        want |= {(i, j, r + 1) for r, (_, j) in enumerate(others[:8])}
+    got = {(r["id"], r["other"], r["rank"]) for r in notes.neighbours(n).collect()}
+    assert got == want
+    some = n.withColumn("seed", F.col("id").isin(3, 4, 310))
+    assert {(r["id"], r["other"], r["rank"]) for r in notes.neighbours(some).collect()} == {w for w in want if w[0] in (3, 4, 310)}
+
+
+def test_the_search_within_a_vault_sends_codes_by_blocks(spark, monkeypatch):
+    """A task holds a block's codes, one byte an entry, of a bounded number of chunks; chunks are bounded by their entries."""
+    monkeypatch.setattr(neighbours, "CHUNK_CELLS", 1600)
+    monkeypatch.setattr(neighbours, "TILE", 50)
+    index = neighbours.metric_index(frame(spark, clustered(800, 800, 1.0), vaults=1))
+    chunks = index.tiles.groupBy(F.shiftright("tile", 20)).agg(F.sum("n").alias("n")).toPandas()
+    assert len(chunks) == 8 and chunks["n"].max() < 200
+    assert all(r["size"] == 16 * r["n"] for r in index.tiles.select("n", F.length("codes").alias("size")).collect())
