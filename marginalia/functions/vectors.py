@@ -45,8 +45,13 @@ def resize(v: Column, width: int) -> Column:
 
 
 def to_literal(v: Column) -> Column:
-    """``[0.12345678,...]`` with 8 decimals."""
-    return F.concat(F.lit("["), F.array_join(F.transform(as_doubles(v), lambda x: F.format_string("%.8f", x)), ","), F.lit("]"))
+    """``[0.12345678,...]`` with 8 decimals, rounded as C does: the exact value, halves to the even digit; nulls are left out."""
+    # format_string would round the shortest decimal form instead, halves up.
+    def one(x: Column) -> Column:
+        plain = F.call_function("format_number", x, F.lit("0.00000000"))
+        return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(plain)
+
+    return F.concat(F.lit("["), F.array_join(F.transform(as_doubles(v), one), ","), F.lit("]"))
 
 
 def from_literal(s: Column) -> Column:
@@ -57,3 +62,9 @@ def from_literal(s: Column) -> Column:
 def stored(v: Column) -> Column:
     """What storing a vector does to it: 8 decimals, then single precision."""
     return F.transform(as_doubles(v), lambda x: F.round(x, 8).cast("float"))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded, halves away from zero, where ``x * 10^digits`` fits 53 bits; Spark's own rounding goes by way of decimals."""
+    unit = float(10**digits)
+    return F.when(x < 0, -F.floor(-x * unit + 0.5)).otherwise(F.floor(x * unit + 0.5)) / unit

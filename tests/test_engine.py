@@ -313,3 +313,38 @@ def test_scan_goes_on_past_unreadable_files(spark, tmp_path):
     assert not (tmp_path / "big").exists() and (tmp_path / "d0" / "2.md").read_bytes() == b"new"
     with pytest.raises(Exception, match="leaves"):
         directory.written(spark.createDataFrame([("../x", bytearray(b"1"))], "path string, content binary"), str(tmp_path))
+
+
+def test_literals_round_as_c_does(spark):
+    """Halves to the even digit, by exact values; numbers that aren't finite in C's spelling."""
+    xs = [1 / 512, -3 / 512, 5 / 512, 0.1, -1e-10, 1234.0078125, float("nan"), float("inf"), float("-inf")]
+    got = one(spark, vectors.to_literal(F.array(*map(F.lit, xs))))
+    assert got == "[" + ",".join("%.8f" % x for x in xs) + "]"
+
+
+def test_cheap_rounding(spark):
+    xs = [0.1234565, -0.1234565, 0.5e-6, -0.4e-6, 0.0, 12.3456789]
+    got = [one(spark, vectors.rounded(F.lit(x), 6)) for x in xs]
+    assert got == [math.copysign(math.floor(abs(x) * 1e6 + 0.5), x) / 1e6 for x in xs]
+
+
+def test_digests_of_low_positions_are_kept_and_others_found(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from marginalia.functions import embedding
+
+    monkeypatch.setattr(embedding, "POSITIONS", 8)
+    monkeypatch.setattr(embedding, "_kept", {})
+    texts = ["plain text", "", "é漢 text of more", "plain"]
+    for _ in range(2):
+        sums, _ = embedding._sums(texts, 16)
+        for t, s in zip(texts, sums):
+            want = np.zeros(16)
+            for i, c in enumerate(t):
+                h = hashlib.sha256(f"{i}:{ord(c)}".encode()).digest()
+                for o in range(8):
+                    want[(h[o] + 31 * i + 17 * o) % 16] += (1 if (h[o] ^ o) & 1 == 0 else -1) * (h[o] % 64 + 1) / 64
+            assert np.array_equal(s, want)
+    assert embedding._kept["known"].any()
