@@ -40,11 +40,12 @@ def current_state(log: DataFrame, keys: tuple[str, ...] = ("vault_id", "file_pat
     """One row a file: the last change to arrive wins, whatever its time says.
 
     content_version counts the changes that clients made; changes that the engine generated move the
-    body, size, time and last_change_id only. Deleted files keep a tombstone without content. A
-    single map-side aggregation: a file with any number of changes sends one row from each task.
+    body, size, time and last_change_id only. Deleted files keep a tombstone without content. Of changes
+    with one id, which a sound log has none of, the earliest time counts, then the digest. A single map-side aggregation: a file with any number of changes sends one row from each task.
     """
     generated = F.coalesce(F.col("device_id"), F.lit("")) == GENERATED_DEVICE
-    last = F.max_by(F.struct("action", "changed_at_unix_ms", "content_base64", "content_sha256", "size_bytes", "id"), "id")
+    first = F.struct("id", -F.col("changed_at_unix_ms"), "content_sha256", "action")
+    last = F.max_by(F.struct("action", "changed_at_unix_ms", "content_base64", "content_sha256", "size_bytes", "id"), first)
     folded = log.groupBy(*keys).agg(last.alias("l"), F.count_if(~generated).alias("content_version"))
     gone = F.col("l.action") == "deleted"
     return folded.select(
@@ -97,8 +98,9 @@ def newest(log: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def latest_change(log: DataFrame, *keys: str) -> DataFrame:
-    """The change with the greatest id (not time) of each group: id and changed_at_unix_ms."""
-    return log.groupBy(*keys).agg(F.max("id").alias("latest_change_id"), F.max_by("changed_at_unix_ms", "id").alias("latest_change_unix_ms"))
+    """The change with the greatest id (not time) of each group: id and changed_at_unix_ms; of several with that id the earliest."""
+    top = F.max_by("changed_at_unix_ms", F.struct("id", -F.col("changed_at_unix_ms")))
+    return log.groupBy(*keys).agg(F.max("id").alias("latest_change_id"), top.alias("latest_change_unix_ms"))
 
 
 def latest_generated(log: DataFrame, *keys: str) -> DataFrame:

@@ -348,3 +348,29 @@ def test_digests_of_low_positions_are_kept_and_others_found(monkeypatch):
                     want[(h[o] + 31 * i + 17 * o) % 16] += (1 if (h[o] ^ o) & 1 == 0 else -1) * (h[o] % 64 + 1) / 64
             assert np.array_equal(s, want)
     assert embedding._kept["known"].any()
+
+
+def test_of_changes_with_one_id_the_earliest_counts(spark):
+    """However the rows come; the number of changes stays."""
+    rows = [(9, 1, "a", "modified", ms, "eA==", f"s{ms}", 1, "phone") for ms in (5, 3, 7)]
+    schema = "id long, vault_id long, file_path string, action string, changed_at_unix_ms long, content_base64 string, content_sha256 string, size_bytes long, device_id string"
+    for given in (rows, rows[::-1], rows[1:] + rows[:1]):
+        log = spark.createDataFrame(given, schema)
+        assert tuple(changelog.latest_change(log, "vault_id").first()) == (1, 9, 3)
+        got = changelog.current_state(log).first()
+        assert (got["updated_unix_ms"], got["content_sha256"], got["content_version"]) == (3, "s3", 3)
+
+
+def test_pushed_jobs_where_change_ids_recur(spark, tmp_path):
+    """As the SQL counts them: a change once for each event of its id."""
+    import duckdb
+
+    from marginalia.plans import catalogue
+
+    at = str(tmp_path / "events.parquet")
+    duckdb.sql(f"copy (select event_id + k * 1000003 as event_id, ts, user_id, event_type, value, props from '/root/testdata/sf0.001/events.parquet', range(2) r(k)) to '{at}'")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{at}'")
+    want = sorted(con.execute(f"select vault_id, file_path, file_version, job_type, status from ({catalogue.ORACLES['push_applied_jobs']})").fetchall())
+    got = catalogue.QUERIES["push_applied_jobs"](spark, str(tmp_path)).select("vault_id", "file_path", "file_version", "job_type", "status").collect()
+    assert sorted(map(tuple, got)) == want
