@@ -374,3 +374,19 @@ def test_pushed_jobs_where_change_ids_recur(spark, tmp_path):
     want = sorted(con.execute(f"select vault_id, file_path, file_version, job_type, status from ({catalogue.ORACLES['push_applied_jobs']})").fetchall())
     got = catalogue.QUERIES["push_applied_jobs"](spark, str(tmp_path)).select("vault_id", "file_path", "file_version", "job_type", "status").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_folders_are_listed_in_parts_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """A bounded number of names at a time, below several levels; what is read doesn't pass through a listing by the driver."""
+    from pyarrow import fs as pa_fs
+
+    for k in range(25):
+        at = tmp_path / f"d{k % 2}" / "deep"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"{k}.md").write_bytes(b"x" * k)
+    monkeypatch.setattr(directory, "NAMES", 10)
+    parts = list(directory._batches(pa_fs.LocalFileSystem(), str(tmp_path), True))
+    assert [len(p) for p in parts] == [10, 10, 5]
+    got = directory.read_folder(spark, str(tmp_path)).collect()
+    assert sorted((r["path"], r["size_bytes"], bytes(r["content"])) for r in got) == sorted((f"d{k % 2}/deep/{k}.md", k, b"x" * k) for k in range(25))
+    assert directory.read_folder(spark, str(tmp_path)).inputFiles() == []
