@@ -90,15 +90,18 @@ def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: in
         left = joined.filter(~F.col("fits") & (F.col("h") != F.col("template"))).select("h", "leaf", "tokens", "rank")
         if left.isEmpty():
             break
-    buckets = materialise(_buckets(large.unionByName(left), depth, similarity), "line-buckets")
+    # From here on only the lines that wait are read, so that passes get smaller with them.
+    rest = materialise(large.unionByName(left), "line-rest")
+    buckets, rest = materialise(_buckets(rest, depth, similarity), "line-buckets"), rest.select("h", "tokens")
     while not buckets.isEmpty():
         # Stored, so that the join reads plain shuffles and Spark can split a frequent bucket.
         top = materialise(buckets.groupBy("bucket").agg(F.max(F.struct("rank", "h")).alias("top")).select("bucket", "top.*"), "line-tops")
         top = top.select("bucket", F.struct("rank", "h").alias("top"))
-        seen = materialise(buckets.select("h", "bucket").join(top, "bucket").groupBy("h").agg(F.max("top").alias("top")).select("h", F.col("top.h").alias("template")), "line-seen")
-        founders = seen.filter("h = template").select("template")
-        models = texts.select(F.col("h").alias("template"), F.col("tokens").alias("model")).join(founders, "template", "left_semi")
-        tried = seen.filter("h <> template").join(models, "template").join(texts.select("h", "tokens"), "h")
+        seen = buckets.select("h", "bucket").join(top, "bucket").groupBy("h").agg(F.max("top").alias("top")).select("h", F.col("top.h").alias("template"))
+        seen = materialise(seen.join(rest, "h"), "line-seen")
+        rest = seen.select("h", "tokens")
+        founders = seen.filter("h = template").select("template", F.col("tokens").alias("model"))
+        tried = seen.filter("h <> template").join(founders, "template")
         took = tried.filter(_fits("tokens", "model", similarity)).select("h", "template")
         took = materialise(took.union(founders.select("template", "template")), "line-took")
         found = took if found is None else found.union(took)

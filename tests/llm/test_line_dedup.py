@@ -200,3 +200,18 @@ def test_lines_between_templates_join_the_higher_ranked_one(make_docs, max_templ
             rows.append((len(rows), "\n".join([" ".join(line), f"own {word()} {word()}"]), "en"))
     got, want = {g[0]: g[1] for g in run(make_docs(rows), min_docs=5, max_templates=max_templates)}, brute_templates(rows, min_docs=5)
     assert got == want and sum(t.count("\n") == 0 for t in want.values()) > 300
+
+
+def test_bucket_passes_read_waiting_lines_only(make_docs, monkeypatch):
+    """Lines that have a template, and those of small leaves, aren't read again with every pass of a large one."""
+    from marginalia.llm import line_dedup as m
+
+    read, store = [], m.materialise
+    monkeypatch.setattr(m, "materialise", lambda df, name: (name == "line-took" and read.append(df.inputFiles()), store(df, name))[1])
+    monkeypatch.setattr(m, "LEAF_LINES", 8)
+    leads = {"we hereby state": 12, "read this on": 4, "all of it": 5}  # only the first leaf is passed over by buckets
+    words = ["".join("abcdefgh"[i // 8**k % 8] for k in range(4)) for i in range(300)]
+    lines = [" ".join([lead, *words[100 * n + 8 * k :][:8]]) for n, (lead, size) in enumerate(leads.items()) for k in range(size)]
+    got = {g[0]: g[3] for g in run(make_docs([(3 * i + k, x, "en") for i, x in enumerate(lines) for k in range(3)]))}
+    assert got == {i: int(i % 3 > 0) for i in range(63)}
+    assert read and not [f for files in read for f in files if "line-texts" in f]
