@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from ..schema import BLOCK_END, BLOCK_START, KEYPOINT_CHARS, KEYPOINTS
 from ..sources.scratch import spread
-from .text import BLANKS, NEWLINE, SPACE, file_stem, inline_normalised, link_target, nfc, sentences, trimmed
+from .text import BLANKS, SPACE, file_stem, inline_normalised, link_target, nfc, normalised_again, once, sentences, trimmed
 
 # The patterns of a note's lines. Order counts: the first kind that fits decides.
 FENCE = r"^(?:```|~~~)"
 HEADING = r"^(#{1,6}) (.*)$"
 SEPARATOR = r"^[|\-: ]*$"
+LINE_END = r"[\n\x0b\x0c\r\x85[\u2028-\u2029]]"  # each character of NEWLINE; Java tells Latin ones by one look
 BULLET = rf"^[-*+]{SPACE}+(.*)$"
 NUMBER = rf"^\p{{Nd}}+[.)]{SPACE}+(.*)$"
 QUOTE = rf"^>{SPACE}*(.*)$"
@@ -66,7 +67,7 @@ def field(lines: Column, name: str) -> Column:
 
 def heading_text(line: Column) -> Column:
     """A heading's text; null for any other line."""
-    return _full(F.when(line.rlike(HEADING), inline_normalised(F.regexp_extract(line, HEADING, 2))))
+    return F.when(line.rlike(HEADING), once(once(F.regexp_extract(line, HEADING, 2), inline_normalised), _full))
 
 
 def is_separator(line: Column) -> Column:
@@ -91,15 +92,20 @@ def _under(prefix: Column, text: Column) -> Column:
     return F.when((prefix == "") | F.startswith(text, prefix), text).otherwise(F.concat(prefix, F.lit(": "), text))
 
 
-def _points(raw: Column, prefix: Column) -> Column:
-    """The keypoints of an array of pieces of text; blank ones are left out.
+def _points(pieces: Column, prefix: Column) -> Column:
+    """The keypoints of an array of normalised pieces of text; blank ones are left out.
 
     One pass for each step: a lambda would work out again what it names twice.
     """
-    whole = F.filter(F.transform(raw, inline_normalised), lambda t: t != "")
+    whole = F.filter(pieces, lambda t: t != "")
     return F.transform(F.transform(F.transform(whole, _cut), lambda t: _under(prefix, t)), nfc)
 
 
+def _said(text: Column) -> Column:
+    """The sentences of a normalised text."""
+    return F.transform(sentences(text), normalised_again)
+
+
 def parsed_notes(notes: DataFrame, id_col: str = "id", path_col: str = "file_path", text_col: str = "content") -> DataFrame:
     """``notes`` (one row an id) with title, summary and keypoints, each without its managed block, instead of the text.
 
@@ -113,7 +119,7 @@ def parsed_notes(notes: DataFrame, id_col: str = "id", path_col: str = "file_pat
     texts = spread(notes).select("*", base.alias("__base"))
     texts = texts.select(F.col(id_col).alias("__id"), F.struct(*kept).alias("__kept"), field(fields, "title").alias("__title"), body.alias("__body"))
     # A text stands beside its first line only.
-    lines = texts.select("__id", "__kept", "__title", "__body", F.posexplode(F.split("__body", f"[{NEWLINE}]")).alias("pos", "line"))
+    lines = texts.select("__id", "__kept", "__title", "__body", F.posexplode(F.split("__body", LINE_END)).alias("pos", "line"))
     first = F.col("pos") == 0
     lines = lines.select("__id", *[F.when(first, F.col(c)).alias(c) for c in ("__kept", "__title", "__body")], "pos", F.trim("line", F.lit(BLANKS)).alias("line"))
     lines = lines.withColumns({"fence": F.col("line").rlike(FENCE), "heading": heading_text(F.col("line"))})
@@ -140,7 +146,10 @@ def parsed_notes(notes: DataFrame, id_col: str = "id", path_col: str = "file_pat
         F.min("pos").alias("pos"), F.max("prose").alias("prose"), F.max("prefix").alias("prefix"), F.max("point").alias("point"),
         F.array_sort(F.collect_list(F.when(F.col("prose"), F.struct("pos", "line")))).alias("text"), F.max_by("prefix", "pos").alias("last_prefix"),
         F.min_by(F.struct("__kept", "__title", "__body"), "pos").alias("own"), F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("pos"))).alias("heading"))
-    said = F.when(F.col("prose"), sentences(inline_normalised(F.array_join("text.line", " ")))).when(F.col("point").isNotNull(), F.array("point"))
+    # Text as a column before each step that names it several times.
+    units = units.withColumn("whole", F.when(F.col("prose"), F.array_join("text.line", " ")).otherwise(F.col("point")))
+    units = units.withColumn("whole", inline_normalised(F.col("whole")))
+    said = F.when(F.col("prose"), _said(F.col("whole"))).when(F.col("point").isNotNull(), F.array("whole"))
     units = units.withColumn("points", _points(said, F.col("prefix")))
     notes_ = units.groupBy("__id").agg(
         F.min_by("own", "pos").alias("own"), F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("pos"))).alias("heading"), F.max_by("last_prefix", "pos").alias("prefix"),
@@ -149,7 +158,7 @@ def parsed_notes(notes: DataFrame, id_col: str = "id", path_col: str = "file_pat
     out = notes_.select(
         F.col("__id").alias(id_col), "own", "prefix", title.alias("title"), F.slice(F.array_distinct(F.flatten("p.points")), 1, KEYPOINTS).alias("found"))
     rest = lambda said: F.slice(F.array_distinct(_points(said, F.col("prefix"))), 1, KEYPOINTS)
-    out = out.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(rest(sentences(inline_normalised(F.col("own.__body"))))))
-    out = out.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(rest(F.array("title"))))
+    out = out.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(rest(_said(inline_normalised(F.col("own.__body"))))))
+    out = out.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(rest(F.array(inline_normalised(F.col("title"))))))
     summary = F.coalesce(_full(F.array_join("found", "\n")), F.col("title"))
     return out.select(id_col, *[F.col(f"own.__kept.{c}").alias(c) for c in kept], "title", summary.alias("summary"), F.col("found").alias("keypoints"))
