@@ -30,19 +30,36 @@ from .common import free_names, materialise, row_keys, working_tables
 HASH_BITS = 24
 #: Different lines of a leaf up to which it is passed over as a whole; a pass brings a leaf together in a task.
 LEAF_LINES = 256
+#: Bits that tell documents whose lines' texts are needed: 8 MB, for some 20 million such documents.
+ID_BITS = 1 << 26
 
 
-def _general(line: Column) -> Column:
-    """The line with every token that has a digit as ``<*>``."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"\S*[0-9]\S*", "<*>")).otherwise(line)
+def _shape(line: Column) -> Column:
+    """The line's tokens with single spaces between them, every token that has a digit as ``<*>``.
+
+    One search for single characters and a plain one tell most lines, which are so already.
+    """
+    odd = line.rlike(r"[0123456789\t\r\x0b\f]") | F.contains(line, F.lit("  "))
+    general = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")
+    return F.trim(F.when(odd, F.regexp_replace(general, r"\s+", " ")).otherwise(line))
+
+
+def _lines(base: DataFrame) -> DataFrame:
+    """(did, tk, pos, shape): the lines of ``base`` (did, tk, body)."""
+    lines = base.select("did", "tk", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
+    # Each step is used more than once by the next, so it has a projection of its own; a filter here
+    # would be pushed below them and repeat their work.
+    return lines.select("did", "tk", "pos", _shape(F.col("line")).alias("shape"))
 
 
-def _spaced(line: Column) -> Column:
-    """The line's tokens with single spaces between them. Plain searches tell most lines, which are so already."""
-    odd = F.contains(line, F.lit("  "))
-    for c in "\t\r\v\f":
-        odd = odd | F.contains(line, F.lit(c))
-    return F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+def _holding(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``base`` whose did ``wanted`` has, and some others: a map of ``ID_BITS`` bits tells, which has the same size for any corpus."""
+    bit = F.pmod(F.xxhash64("did"), F.lit(ID_BITS))
+    marks = wanted.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("place"))
+    marks = marks.groupBy("part").agg(F.bitmap_construct_agg("place").alias("marks"))
+    rows = base.withColumns({"part": F.bitmap_bucket_number(bit), "place": F.bitmap_bit_position(bit)}).join(F.broadcast(marks), "part")
+    byte = F.conv(F.hex(F.substring("marks", (F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.filter(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select(*base.columns)
 
 
 def _occurrences(text: Column, mark: str) -> Column:
@@ -66,13 +83,14 @@ def _buckets(left: DataFrame, depth: int, similarity: float) -> DataFrame:
     return sized.select("h", "rank", F.explode(F.transform(F.sequence(F.lit(0), F.col("groups") - 1), key)).alias("bucket"))
 
 
-def _templates(shapes: DataFrame, leaves: DataFrame, lines: DataFrame, depth: int, similarity: float, max_templates: int) -> DataFrame:
+def _templates(shapes: DataFrame, leaves: DataFrame, base: DataFrame, depth: int, similarity: float, max_templates: int) -> DataFrame:
     """(h, template) for lines that take another line's template."""
     crowded = materialise(
         shapes.select("h", "leaf", "n_docs", "did").join(leaves.filter("n_shapes > 1").select("leaf", "n_shapes"), "leaf"), "line-crowded"
     )
     # The crowded lines grow with the corpus, so their join is a merge at every size. A line's text
-    # is that of its first document, so that a frequent line is one row here.
+    # is that of its first document, so that a frequent line is one row here and few texts are taken apart again.
+    lines = _lines(_holding(base, crowded)).select(F.xxhash64("shape").alias("h"), "did", "shape")
     text = lines.join(crowded.select("h", "did").hint("merge"), ["h", "did"], "left_semi").groupBy("h").agg(F.first("shape").alias("shape"))
     text = text.select("h", F.split("shape", " ").alias("tokens"))
     rank = F.col("n_docs") * (1 << HASH_BITS) + F.pmod("h", F.lit(1 << HASH_BITS))
@@ -135,11 +153,7 @@ def template_line_dedup(
     spare = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     text = F.col(text_col).cast("string")
     base = docs.select(*row_keys(id_col, text_col), text.alias("body"))
-    lines = base.select("did", "tk", F.posexplode(F.split("body", "\n")).alias("pos", "line"))
-    # Each step is used more than once by the next, so it has a projection of its own; a filter here
-    # would be pushed below them and repeat their work.
-    lines = lines.select("did", "tk", "pos", _general(F.col("line")).alias("line"))
-    lines = lines.select("did", "tk", "pos", _spaced(F.col("line")).alias("shape"))
+    lines = _lines(base)
     n_tokens = F.when(F.col("shape") == "", 0).otherwise(_occurrences(F.col("shape"), " ") + 1)
     hashed = lines.select("did", "tk", "pos", F.xxhash64("shape").alias("h"), n_tokens.alias("n_tokens"), F.xxhash64(F.substring_index("shape", " ", depth)).alias("lead"))
     with working_tables(docs.sparkSession) as keep:
@@ -151,7 +165,7 @@ def template_line_dedup(
         leaves = shapes.groupBy("leaf").agg(F.count("*").alias("n_shapes"), F.sum("n_docs").alias("n_docs"), F.max("need").alias("need"))
         # A template can only recur in a leaf with enough documents; most lines go no further than this.
         leaves = materialise(leaves.filter(F.col("n_docs") >= F.col("need")), "line-leaves")
-        templates = _templates(shapes, leaves, lines.select(F.xxhash64("shape").alias("h"), "did", "shape"), depth, similarity, max_templates)
+        templates = _templates(shapes, leaves, base, depth, similarity, max_templates)
         busy = hashed.join(leaves.select("leaf"), "leaf", "left_semi")
         named = keep(materialise(busy.join(templates, "h", "left").select("did", "tk", "pos", F.coalesce("template", "h").alias("template"), "need"), "line-named"))
         recurring = named.groupBy("template", "did").agg(F.max("need").alias("need")).groupBy("template")
@@ -164,10 +178,11 @@ def template_line_dedup(
     did, tk, gone = free_names(docs, "did", "tk", "drops")
     keyed = docs.select(*[F.col(f"`{c}`") for c in spare], *[k.alias(n) for n, k in zip((did, tk), row_keys(id_col, text_col), strict=True)])
     out = keyed.join(drops.select(F.col("did").alias(did), F.col("tk").alias(tk), F.col("drops").alias(gone)), [did, tk], "left")
-    parts = F.split(text, "\n")
     n_lines = F.coalesce(_occurrences(text, "\n") + 1, F.lit(0))
     kept = F.array_except(F.sequence(F.lit(0), n_lines - 1), F.col(gone))
-    cleaned = F.when(F.col(gone).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    # A lambda works out anew for each line what it names, so the split text is the argument of one around it.
+    joined = F.transform(F.array(F.split(text, "\n")), lambda parts: F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    cleaned = F.when(F.col(gone).isNull(), text).otherwise(F.get(joined, F.lit(0)))
 
     out = out.select(
         *[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in spare],

@@ -215,3 +215,30 @@ def test_bucket_passes_read_waiting_lines_only(make_docs, monkeypatch):
     got = {g[0]: g[3] for g in run(make_docs([(3 * i + k, x, "en") for i, x in enumerate(lines) for k in range(3)]))}
     assert got == {i: int(i % 3 > 0) for i in range(63)}
     assert read and not [f for files in read for f in files if "line-texts" in f]
+
+
+def test_map_of_documents_holds_all_wanted_and_few_others(spark):
+    """Texts are taken apart again only of documents that a needed line is read from."""
+    from pyspark.sql import functions as F
+
+    from marginalia.llm.line_dedup import _holding
+
+    base = spark.range(-20_000, 20_000).select(F.col("id").alias("did"), F.lit(0).cast("long").alias("tk"), F.lit("x").alias("body"))
+    got = {r["did"] for r in _holding(base, base.filter("did % 100 = 0").select("did", F.explode(F.array(F.lit(1), F.lit(2))).alias("h"))).collect()}
+    assert got >= set(range(-20_000, 20_000, 100)) and len(got) < 420
+    assert _holding(base, base.limit(0)).count() == 0
+
+
+def test_lines_that_go_cost_as_much_as_their_text(make_docs):
+    """A text is split once, not once for each of its lines."""
+    import time
+
+    rows = [(i, "\n".join([x for k in range(12_000) for x in (f"{'abcdefghij'[i]} own of {k:x}", "one line for all of them to share")]), "en") for i in range(4)]
+    docs = make_docs(rows)
+    run(docs.limit(1))
+    began = time.time()
+    got = {g[0]: (g[2], g[3]) for g in run(docs)}
+    took = time.time() - began
+    assert got == {i: (24_000, 12_000 if i else 0) for i in got} and len(got) == 4
+    print(f"{took:.1f} s")
+    assert took < 20
