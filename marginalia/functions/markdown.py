@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..schema import BLOCK_END, BLOCK_START, KEYPOINT_CHARS, KEYPOINTS
 from ..sources.scratch import spread
-from .text import BLANKS, SPACE, file_stem, inline_normalised, link_target, nfc, normalised_again, once, sentences, trimmed
+from .text import BLANKS, SPACE, file_stem, inline_normalised, is_ascii, link_target, nfc, normalised_again, once, sentences, trimmed
 
 # The patterns of a note's lines. Order counts: the first kind that fits decides.
 FENCE = r"^(?:```|~~~)"
@@ -31,6 +31,11 @@ def _full(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def _ends_bare(line: Column) -> Column:
+    """A line without white space around it; most lines have none but spaces, whose search looks at the ends alone."""
+    return F.when(is_ascii(line) & ~F.contains(line, F.lit("\t")), F.trim(line)).otherwise(F.trim(line, F.lit(BLANKS)))
+
+
 def without_block(text: Column) -> Column:
     """The text without its block of related notes; unchanged unless both marks are there in order."""
     start = F.locate(BLOCK_START, text)
@@ -103,7 +108,12 @@ def _points(pieces: Column, prefix: Column) -> Column:
 
 def _said(text: Column) -> Column:
     """The sentences of a normalised text."""
-    return F.transform(sentences(text), normalised_again)
+    return F.transform(sentences(text, normalised=True), normalised_again)
+
+
+def _one(c: Column) -> Column:
+    """The only value of a group that isn't null. A list takes it in once; min_by would weigh every row."""
+    return F.get(F.collect_list(c), F.lit(0))
 
 
 def parsed_notes(notes: DataFrame, id_col: str = "id", path_col: str = "file_path", text_col: str = "content") -> DataFrame:
@@ -121,7 +131,7 @@ def parsed_notes(notes: DataFrame, id_col: str = "id", path_col: str = "file_pat
     # A text stands beside its first line only.
     lines = texts.select("__id", "__kept", "__title", "__body", F.posexplode(F.split("__body", LINE_END)).alias("pos", "line"))
     first = F.col("pos") == 0
-    lines = lines.select("__id", *[F.when(first, F.col(c)).alias(c) for c in ("__kept", "__title", "__body")], "pos", F.trim("line", F.lit(BLANKS)).alias("line"))
+    lines = lines.select("__id", *[F.when(first, F.col(c)).alias(c) for c in ("__kept", "__title", "__body")], "pos", _ends_bare(F.col("line")).alias("line"))
     lines = lines.withColumns({"fence": F.col("line").rlike(FENCE), "heading": heading_text(F.col("line"))})
 
     before = Window.partitionBy("__id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,14 +155,14 @@ def parsed_notes(notes: DataFrame, id_col: str = "id", path_col: str = "file_pat
     units = lines.groupBy("__id", unit.alias("unit")).agg(
         F.min("pos").alias("pos"), F.max("prose").alias("prose"), F.max("prefix").alias("prefix"), F.max("point").alias("point"),
         F.array_sort(F.collect_list(F.when(F.col("prose"), F.struct("pos", "line")))).alias("text"), F.max_by("prefix", "pos").alias("last_prefix"),
-        F.min_by(F.struct("__kept", "__title", "__body"), "pos").alias("own"), F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("pos"))).alias("heading"))
+        _one(F.when(F.col("pos") == 0, F.struct("__kept", "__title", "__body"))).alias("own"), F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("pos"))).alias("heading"))
     # Text as a column before each step that names it several times.
     units = units.withColumn("whole", F.when(F.col("prose"), F.array_join("text.line", " ")).otherwise(F.col("point")))
     units = units.withColumn("whole", inline_normalised(F.col("whole")))
     said = F.when(F.col("prose"), _said(F.col("whole"))).when(F.col("point").isNotNull(), F.array("whole"))
     units = units.withColumn("points", _points(said, F.col("prefix")))
     notes_ = units.groupBy("__id").agg(
-        F.min_by("own", "pos").alias("own"), F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("pos"))).alias("heading"), F.max_by("last_prefix", "pos").alias("prefix"),
+        _one(F.col("own")).alias("own"), F.min_by("heading", F.when(F.col("heading").isNotNull(), F.col("pos"))).alias("heading"), F.max_by("last_prefix", "pos").alias("prefix"),
         F.array_sort(F.collect_list(F.when(F.size("points") > 0, F.struct("pos", "points")))).alias("p"))
     title = F.coalesce("own.__title", "heading", nfc(file_stem(F.coalesce(F.col(f"own.__kept.{path_col}"), F.lit("")))))
     out = notes_.select(

@@ -40,6 +40,11 @@ def trimmed(c: Column) -> Column:
     return F.trim(c, F.lit(SPACES))
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether all characters are ASCII: told by counting bytes, without a search."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(trimmed(c), F.lit(""))
 
@@ -49,6 +54,7 @@ def blank_to_null(c: Column) -> Column:
 _WIDE = r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 _ODD = rf"[*_~#>\t\n\x0b\x0c\r\x85\xa0{_WIDE}]"
 #: Runs of marks and white space, but for one space alone.
+_ASCII_RUNS = r"[*_~#>\t\n\x0b\x0c\r][*_~#>\t\n\x0b\x0c\r\x20]*+|\x20[*_~#>\t\n\x0b\x0c\r\x20]++"
 _RUNS = rf"{_ODD}[*_~#>\t\n\x0b\x0c\r\x20\x85\xa0{_WIDE}]*+|\x20[*_~#>\t\n\x0b\x0c\r\x20\x85\xa0{_WIDE}]++"
 
 
@@ -62,9 +68,10 @@ def inline_normalised(c: Column) -> Column:
     """Markdown inline marks resolved: wiki links, links, code, emphasis; white space collapsed.
 
     Patterns of links and code are tried only on texts that can have them. ``c`` is named several times.
+    What is left of white space are single spaces.
     """
     spans = lambda x: F.regexp_replace(F.regexp_replace(x, r"\[(.*?)\]\((.*?)\)", "$1"), r"`([^`]*)`", "$1")
-    runs = lambda x: trimmed(F.regexp_replace(x, _RUNS, " "))
+    runs = lambda x: F.trim(F.when(is_ascii(c), F.regexp_replace(x, _ASCII_RUNS, " ")).otherwise(F.regexp_replace(x, _RUNS, " ")))
     return (
         F.when(F.contains(c, F.lit("[[")), runs(spans(_without_wiki_links(c))))
         .when(F.contains(c, F.lit("](")) | F.contains(c, F.lit("`")), runs(spans(c))).otherwise(runs(c)))
@@ -75,16 +82,17 @@ def normalised_again(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("[[")) | F.contains(c, F.lit("](")) | F.contains(c, F.lit("`")), inline_normalised(c)).otherwise(c)
 
 
-def sentences(c: Column) -> Column:
-    """An array of sentences, cut after every end mark; blank ones are left out."""
-    flat = trimmed(F.replace(c, F.lit("\n"), F.lit(" ")))
+def sentences(c: Column, normalised: bool = False) -> Column:
+    """An array of sentences, cut after every end mark; blank ones are left out. Normalised texts have no white space but spaces."""
+    bare = (lambda s: F.trim(s)) if normalised else trimmed  # F.trim itself would get a place as its second argument
+    flat = c if normalised else trimmed(F.replace(c, F.lit("\n"), F.lit(" ")))
     wide = [e for e in SENTENCE_END if e > "\xff"]
     cut = lambda t, ends: F.regexp_extract_all(t, F.lit(f"[^{ends}]*+[{ends}]|[^{ends}]+$"), F.lit(0))
     # Latin ends alone are told by one look at a table.
     latin = "".join(e for e in SENTENCE_END if e not in wide)
     some = lambda t: F.when(reduce(or_, [F.contains(t, F.lit(e)) for e in wide]), cut(t, SENTENCE_END)).otherwise(cut(t, latin))
     parts = once(flat, some)
-    return F.filter(F.transform(parts, trimmed), lambda s: s != "")
+    return F.filter(F.transform(parts, bare), lambda s: s != "")
 
 
 def query_terms(c: Column) -> Column:
@@ -144,7 +152,7 @@ _COMPOSING = r"[\u0300-\x{10ffff}&&[^\u0400-\u0482\u048a-\u052f\u2010-\u2027\u20
 def nfc(c: Column) -> Column:
     """Canonical composition, by the ICU library that comes with Spark; only of texts that may need it."""
     made = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))
-    return F.when(~c.rlike(_COMPOSING), c).when(c.isNotNull(), made)
+    return F.when(is_ascii(c), c).when(~c.rlike(_COMPOSING), c).when(c.isNotNull(), made)
 
 
 # The public constants of FNV-1a with 64 bits.

@@ -46,3 +46,11 @@ def test_plain_prose_costs_few_searches(spark):
     df.unpersist()
     print(f"one search {one:.3f} s, all steps {all_steps:.3f} s")
     assert all_steps < 10 * one
+
+
+def test_normalised_texts_have_the_same_sentences(spark):
+    """Normalised texts are cut without a search for other white space than spaces, with the same result."""
+    pieces = ["One. 2 Two! 0 1. 3", "\ta\x0bb. c\r.\xa0d\u2003.", "\x850. \u3000x\u2029! \u1680", "é. ü; 。だ", " ", ".", "0 . 1 . 2", "*_a_*. ~b", "\x1c a. \x1f"]
+    df = spark.createDataFrame([(p,) for p in pieces], "t string").select("t", text.inline_normalised(F.col("t")).alias("x"))
+    got = df.select("t", "x", text.sentences(F.col("x")).alias("a"), text.sentences(F.col("x"), normalised=True).alias("b")).collect()
+    assert all(r["x"] == rules.inline(r["t"]) and r["a"] == r["b"] == rules.sentences(r["x"]) for r in got), got
