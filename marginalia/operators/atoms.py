@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
+from ..sources.scratch import by_shuffle
 from .ids import numbered
 
 
@@ -80,5 +81,5 @@ def released_orphans(atoms: DataFrame, counts: DataFrame, released: DataFrame) -
     a holder were pruned before, these are all orphans that there are.
     """
     gone = released.groupBy("atom_id").agg(F.count("*").alias("n"))
-    free = gone.join(counts, "atom_id", "left").filter(F.coalesce("holders", F.lit(0)) <= F.col("n")).select(F.col("atom_id").alias("id"))
-    return atoms.filter(F.col("type").isin("aicreated", "imported")).join(free, "id", "left_semi")
+    free = gone.join(by_shuffle(counts), "atom_id", "left").filter(F.coalesce("holders", F.lit(0)) <= F.col("n")).select(F.col("atom_id").alias("id"))
+    return atoms.filter(F.col("type").isin("aicreated", "imported")).join(by_shuffle(free), "id", "left_semi")

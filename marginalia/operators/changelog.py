@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import action_of, digest_of, path_of, strict_base64, text_of
 from ..schema import GENERATED_DEVICE, SYNC_LIMIT, clamp
+from ..sources.scratch import by_shuffle
 from .ids import placed
 
 
@@ -140,7 +141,7 @@ def full_push(state: DataFrame, incoming: DataFrame, now_ms: int, keys: tuple[st
 
 def job_status(jobs: DataFrame, state: DataFrame) -> DataFrame:
     """Jobs as they stand: open ones of older versions of a file are superseded."""
-    out = jobs.join(state.select("vault_id", "file_path", "content_version"), ["vault_id", "file_path"])
+    out = jobs.join(by_shuffle(state.select("vault_id", "file_path", "content_version")), ["vault_id", "file_path"])
     old = (F.col("file_version") < F.col("content_version")) & F.col("status").isin("pending", "running")
     return out.withColumn("status", F.when(old, "superseded").otherwise(F.col("status"))).drop("content_version")
 

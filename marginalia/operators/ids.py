@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import stored
+from ..sources.scratch import by_shuffle, stored
 
 
 def placed(rows: DataFrame, group: list[str], order: list[str], name: str = "place") -> DataFrame:
     """``rows`` with their place from 0 in their group, in the given order, which leaves no ties.
 
-    Rows are dealt into ranges of (group, order), which are stored; a place is the number of the
+    Rows are by_shuffle into ranges of (group, order), which are stored; a place is the number of the
     group's rows in the ranges before and the number inside. No group is sorted by one task.
     """
     ranged = stored(rows.repartitionByRange(*group, *order).withColumn("__part", F.spark_partition_id()), "ranges")
@@ -19,7 +19,7 @@ def placed(rows: DataFrame, group: list[str], order: list[str], name: str = "pla
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*group, "__part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("__start"))
     nth = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
-    return ranged.join(starts, [*group, "__part"]).withColumn(name, F.col("__start") + nth - 1).drop("__part", "__start")
+    return ranged.join(by_shuffle(starts), [*group, "__part"]).withColumn(name, F.col("__start") + nth - 1).drop("__part", "__start")
 
 
 def numbered(rows: DataFrame, order: list[str], taken: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import VECTOR_WIDTH
-from ..sources.scratch import stored
+from ..sources.scratch import by_shuffle, stored
 from . import changelog, notes
 from .atoms import released_orphans
 from .ids import numbered
@@ -50,7 +50,7 @@ def file_ids(log: DataFrame) -> DataFrame:
 
 def files_of(log: DataFrame) -> DataFrame:
     """Current state with file ids and text."""
-    return changelog.with_text(changelog.current_state(log).join(file_ids(log), KEYS))
+    return changelog.with_text(changelog.current_state(log).join(by_shuffle(file_ids(log)), KEYS))
 
 
 def push(before: Vaults, changes: DataFrame, now_ms: int, width: int = VECTOR_WIDTH, index: Index | None = None) -> Pushed:
@@ -67,10 +67,10 @@ def push(before: Vaults, changes: DataFrame, now_ms: int, width: int = VECTOR_WI
     names = before.log.columns
     log = before.log.unionByName(good.select(*[c for c in good.columns if c in names]), allowMissingColumns=True)
     files = stored(files_of(log), "push-files")
-    seeds = files.join(good.select(*KEYS).distinct(), KEYS, "left_semi").select("id")
+    seeds = files.join(by_shuffle(good.select(*KEYS).distinct()), KEYS, "left_semi").select("id")
 
-    released = stored(before.file_atoms.join(seeds.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("file_id", "atom_id").distinct(), "push-released")
-    some = released.select("atom_id").distinct()
+    released = stored(before.file_atoms.join(by_shuffle(seeds.withColumnRenamed("id", "file_id")), "file_id", "left_semi").select("file_id", "atom_id").distinct(), "push-released")
+    some = by_shuffle(released.select("atom_id").distinct())
     held = before.file_atoms.join(some, "atom_id", "left_semi").select("atom_id", F.concat(F.lit("f"), "file_id").alias("by"))
     held = held.union(before.source_atoms.join(some, "atom_id", "left_semi").select("atom_id", F.concat(F.lit("s"), "source_id")))
     counts = held.distinct().groupBy("atom_id").agg(F.count("*").alias("holders"))
@@ -79,13 +79,13 @@ def push(before: Vaults, changes: DataFrame, now_ms: int, width: int = VECTOR_WI
     made = notes.process(files, seeds, before.links, before.vectors, width, now_ms, index)
     points = made["keypoints"].select("file_id", "keypoint_index", "content", "vector", F.lit("imported").alias("type"), "parent", "metadata")
     points = stored(numbered(points, ["file_id", "keypoint_index"], before.atoms), "push-atoms")
-    atoms = before.atoms.join(orphans.select("id"), "id", "left_anti").unionByName(points.select(*[c for c in before.atoms.columns if c in points.columns]), allowMissingColumns=True)
-    file_atoms = before.file_atoms.join(seeds.withColumnRenamed("id", "file_id"), "file_id", "left_anti").select("file_id", "atom_id").union(points.select("file_id", F.col("id").alias("atom_id")))
+    atoms = before.atoms.join(by_shuffle(orphans.select("id")), "id", "left_anti").unionByName(points.select(*[c for c in before.atoms.columns if c in points.columns]), allowMissingColumns=True)
+    file_atoms = before.file_atoms.join(by_shuffle(seeds.withColumnRenamed("id", "file_id")), "file_id", "left_anti").select("file_id", "atom_id").union(points.select("file_id", F.col("id").alias("atom_id")))
     generated = stored(numbered(made["changes"], KEYS, log.select("id")), "push-generated")
-    vectors = before.vectors.join(seeds, "id", "left_anti").select("id", "vector_content").unionByName(made["vectors"].select("id", "vector_content"))
+    vectors = before.vectors.join(by_shuffle(seeds), "id", "left_anti").select("id", "vector_content").unionByName(made["vectors"].select("id", "vector_content"))
 
     jobs = changelog.job_status(changelog.enqueued(log), files)
-    done = jobs.join(good.select(*KEYS, F.lit(True).alias("seed")).distinct(), KEYS, "left")
+    done = jobs.join(by_shuffle(good.select(*KEYS, F.lit(True).alias("seed")).distinct()), KEYS, "left")
     jobs = done.withColumn("status", F.when(F.col("seed") & (F.col("status") == "pending"), "completed").otherwise(F.col("status"))).drop("seed")
     after = Vaults(log.unionByName(generated.select(*[c for c in generated.columns if c in names]), allowMissingColumns=True), made["links"], vectors, atoms, file_atoms, before.source_atoms)
     return Pushed(after, checked.filter("error is not null"), files, made["notes"], made["impacted"], generated, jobs, orphans)

@@ -83,6 +83,17 @@ def test_copies_in_one_vault(spark, small_tiles):
     assert [r["other"] for r in near.filter("id = 50").orderBy("rank").collect()] == list(range(8))
 
 
+def test_tables_that_grow_are_not_broadcast(spark):
+    n = frame(spark, clustered(60, 3, 0.05))
+    near = notes.neighbours(n)
+    links = notes.edges(near)
+    files = n.select("id", "vault_id", F.concat(F.lit("n"), "id", F.lit(".md")).alias("file_path"), F.lit("x").alias("content"), F.lit(False).alias("is_deleted"))
+    held = n.select(F.col("id").alias("atom_id"), F.lit(1).alias("holders"))
+    made = n.select("id", F.lit("imported").alias("type"))
+    for f in (near, notes.refreshed_edges(links, links, n), notes.impacted(n, links, links), notes.rewrites(files, links, n), atoms.released_orphans(made, held, held)):
+        assert "Broadcast" not in f._jdf.queryExecution().executedPlan().toString()
+
+
 LOG = "id long, vault_id long, file_path string, action string, changed_at_unix_ms long, content_base64 string, content_sha256 string, size_bytes long, device_id string"
 
 
