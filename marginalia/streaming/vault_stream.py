@@ -43,8 +43,10 @@ def fold_to(log: DataFrame, root: str, checkpoint: str, buckets: int = 64) -> St
         old = [f"{root}/{now[str(b)]}" for b in touched if str(b) in now]
         rows = new.drop("bucket")
         if old:
+            # Of changes with one id the same counts as where they come in one batch.
+            later = F.struct("last_change_id", -F.col("updated_unix_ms"), "content_sha256")
             rows = spark.read.parquet(*old).select(*COLUMNS).unionByName(rows).groupBy(*KEYS).agg(
-                F.max_by(F.struct(*[c for c in COLUMNS[2:] if c != "content_version"]), "last_change_id").alias("l"), F.sum("content_version").alias("content_version")
+                F.max_by(F.struct(*[c for c in COLUMNS[2:] if c != "content_version"]), later).alias("l"), F.sum("content_version").alias("content_version")
             ).select(*KEYS, "l.*", "content_version")
         rows = rows.select(*COLUMNS, bucket).repartition(min(len(touched), buckets), "bucket")
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/v{n:012d}")

@@ -280,6 +280,18 @@ def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
     assert len(state) == 59 and state["7.md"]["content_version"] == 4 and state["7.md"]["last_change_id"] == 200
 
 
+@pytest.mark.parametrize("late", [1, 2])
+def test_a_recurring_id_is_decided_alike_in_one_batch_and_in_two(spark, tmp_path, late):
+    rows = [(7, f"{i}.md", "modified", t, "d") for i in range(20) for t in (10 + i % 2, 11 - i % 2)]
+    src, schema = str(tmp_path / "log"), log_of(spark, []).schema
+    for part in (rows[late - 1 :: 2], rows[2 - late :: 2]):
+        log_of(spark, part).coalesce(1).write.mode("append").parquet(src)
+        vault_stream.fold_to(spark.readStream.schema(schema).parquet(src), str(tmp_path / "state"), str(tmp_path / "cp"), buckets=2).awaitTermination()
+    got = vault_stream.read_state(spark, str(tmp_path / "state"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in changelog.current_state(log_of(spark, rows)).select(*got.columns).collect()}
+    assert {r["updated_unix_ms"] for r in got.collect()} == {10}
+
+
 def test_fingerprints_in_pieces():
     import numpy as np
 
