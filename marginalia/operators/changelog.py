@@ -42,11 +42,12 @@ def current_state(log: DataFrame, keys: tuple[str, ...] = ("vault_id", "file_pat
 
     content_version counts the changes that clients made; changes that the engine generated move the
     body, size, time and last_change_id only. Deleted files keep a tombstone without content. Of changes
-    with one id, which a sound log has none of, the earliest time counts, then the greatest digest as shown. A single map-side aggregation: a file with any number of changes sends one row from each task.
+    with one id, which a sound log has none of, the earliest time counts, then the greatest ``copy`` where
+    the log has that column, then the greatest digest as shown. A single map-side aggregation: a file with any number of changes sends one row from each task.
     """
     generated = F.coalesce(F.col("device_id"), F.lit("")) == GENERATED_DEVICE
     shown = F.when(F.col("action") == "deleted", "").otherwise(F.col("content_sha256"))
-    first = F.struct("id", -F.col("changed_at_unix_ms"), shown, "action")
+    first = F.struct("id", -F.col("changed_at_unix_ms"), *[c for c in ("copy",) if c in log.columns], shown, "action")
     last = F.max_by(F.struct("action", "changed_at_unix_ms", "content_base64", "content_sha256", "size_bytes", "id"), first)
     folded = log.groupBy(*keys).agg(last.alias("l"), F.count_if(~generated).alias("content_version"))
     gone = F.col("l.action") == "deleted"

@@ -131,6 +131,13 @@ def test_push_on_what_is_stored(spark):
     assert {r["id"] for r in out.after.vectors.collect()} == {1, 3, 13}
 
 
+def test_of_bodies_of_one_change_the_last_copy_counts(spark):
+    rows = [(5, 1, f"{k}.md", "modified", 9, base64.b64encode(b"%d" % n).decode(), None, None, "phone", n) for k in range(9) for n in ((1, 2, 3) if k % 2 else (3, 1, 2))]
+    log = spark.createDataFrame(rows, LOG + ", copy long").withColumn("content_sha256", F.sha2(F.unbase64("content_base64"), 256))
+    state, _ = changelog.pushed(log, log.filter("false"), 5)
+    assert {r["content"] for r in state.collect()} == {"3"}
+
+
 def test_released_orphans_equal_all_orphans(spark):
     rng = np.random.default_rng(2)
     made = spark.createDataFrame([(i, ["usercreated", "imported", "aicreated"][i % 3]) for i in range(200)], "id long, type string")
