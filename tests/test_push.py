@@ -55,6 +55,20 @@ def test_tiles_that_hold_no_pair_are_skipped(spark, small_tiles, clusters, sprea
     assert got == brute(x, 2, 0.32)
 
 
+def test_blocks_that_meet_many_are_not_shuffled(spark, small_tiles, monkeypatch):
+    """What is shuffled for a pair of blocks is bounded by their tiles' number, not by their vectors."""
+    monkeypatch.setattr(neighbours, "BLOCK", 200)
+    sizes = []
+    for width in (16, 512):
+        x = clustered(900, 900, 1.0, width=width)
+        index = neighbours.metric_index(frame(spark, x))
+        rows = neighbours.block_pairs(index, None, 1.3).toPandas()
+        sizes.append(rows.astype(str).map(len).to_numpy().sum())
+        assert len(rows) > 8 and set(rows.columns).isdisjoint({"codes", "flat", "ids"})
+        assert {(r["id"], r["other"]) for r in neighbours.near(index, None, 1.3).collect()} == brute(x, 2, 1.3)
+    assert sizes[1] < 1.5 * sizes[0]
+
+
 def test_seeds_alone_are_searched_for(spark, small_tiles):
     """Pairs compared: seeds times their vaults at most, and no vault without a seed; stale vectors don't count."""
     x = clustered(600, 600, 1.0)
