@@ -47,9 +47,9 @@ def without_block(text: Column) -> Column:
 
 
 def with_block(text: Column, related: Column) -> Column:
-    """The text with a block that links the related notes (an array of paths), or without one if there are none."""
+    """The text with a block that links the related notes (an array of paths), or without one if there are none; a null path is none."""
     base = trimmed(without_block(F.coalesce(text, F.lit(""))))
-    links = F.array_distinct(F.transform(F.coalesce(related, F.array().cast("array<string>")), lambda p: F.concat(F.lit("- [["), link_target(nfc(p)), F.lit("]]"))))
+    links = F.array_distinct(F.transform(F.filter(F.coalesce(related, F.array().cast("array<string>")), lambda p: p.isNotNull()), lambda p: F.concat(F.lit("- [["), link_target(nfc(p)), F.lit("]]"))))
     block = F.array_join(F.concat(F.array(F.lit(BLOCK_START), F.lit("## Related Notes")), links, F.array(F.lit(BLOCK_END))), "\n")
     alone = F.when(base == "", "").otherwise(F.concat(base, F.lit("\n")))
     return F.when(F.size(links) == 0, alone).otherwise(F.concat(F.when(base == "", "").otherwise(F.concat(base, F.lit("\n\n"))), block, F.lit("\n")))

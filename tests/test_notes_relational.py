@@ -75,3 +75,9 @@ def test_composition(spark):
     words = ["plain", "é", "é", "한", "Å", "Ａ", "ｶﾞ", "ガ", "क़", "", None, "q̣̇"]
     df = spark.createDataFrame([(w,) for w in words], "w string")
     assert [r["x"] for r in df.select(text.nfc(F.col("w")).alias("x")).collect()] == [None if w is None else rules.nfc(w) for w in words]
+
+
+def test_a_related_note_without_a_path_is_no_link(spark):
+    rows = spark.createDataFrame([("x", [None]), ("x", ["a.md", None]), ("x", None)], "t string, r array<string>")
+    made = [r[0] for r in rows.select(markdown.with_block(F.col("t"), F.col("r"))).collect()]
+    assert made[0] == made[2] == "x\n" and made[1].count("- [[") == 1
